@@ -6,12 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import quality
-from slate.session import table
+from slate.llm import chat, decontam, licenses, quality, sharding, simhash, urlfilter
+from slate.session import small_batches, table
+
+
+def _over(name: str, query: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(*[table(spark, sf_dir, t) for t in (name, *more)])
+
+    return run
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_quality_rules": lambda spark, sf: quality.query(table(spark, sf, "documents")),
+    "op1_simhash": _over("documents", simhash.query),
+    "op2_sharding": _over("documents", sharding.query),
+    "op3_url_filters": _over("pages", urlfilter.query),
+    "op4_quality_rules": _over("documents", quality.query),
+    "op5_decontamination": _over("documents", decontam.query, "benchmark"),
+    "op6_license_scans": _over("documents", licenses.query),
+    "op10_chat_formatting": _over("conversations", chat.query),
 }
 SQL: dict[str, str] = {
+    "op3_url_filters": urlfilter.SQL,
     "op4_quality_rules": quality.SQL,
+    "op5_decontamination": decontam.SQL,
+    "op6_license_scans": licenses.SQL,
+    "op10_chat_formatting": chat.SQL,
 }
