@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +71,21 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most so many rows, so that long texts stay small next to a worker's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors where they can't find it by their own search path."""
+    context = spark.sparkContext
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if str(ROOT) in paths or getattr(context, "_slate_shipped", False):
+        return
+    folder = Path(tempfile.mkdtemp(prefix="slate-code-"))
+    copy = folder / "copy"
+    shutil.copytree(ROOT / "slate", copy / "slate", ignore=shutil.ignore_patterns("__pycache__"))
+    before = list(sys.path)
+    context.addPyFile(shutil.make_archive(str(folder / "slate"), "zip", copy))
+    sys.path[:] = before
+    context._slate_shipped = True  # type: ignore[attr-defined]
