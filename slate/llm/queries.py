@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slate.llm import chat, decontam, licenses, quality, sharding, simhash, urlfilter
-from slate.session import small_batches, table
+import corpus_pipeline
+from slate.llm import chat, decontam, htmltext, licenses, pieces, quality, sharding, simhash, tokenfiles, urlfilter
+from slate.session import ship, small_batches, table
 
 
 def _over(name: str, query: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         small_batches(spark)
         return query(*[table(spark, sf_dir, t) for t in (name, *more)])
 
@@ -25,7 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": _over("documents", quality.query),
     "op5_decontamination": _over("documents", decontam.query, "benchmark"),
     "op6_license_scans": _over("documents", licenses.query),
+    "op7_sentencepiece": _over("documents", pieces.query),
+    "op8_token_files": _over("documents", tokenfiles.query),
+    "op9_html_extraction": _over("pages", htmltext.query),
     "op10_chat_formatting": _over("conversations", chat.query),
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op3_url_filters": urlfilter.SQL,

@@ -16,8 +16,8 @@ per member. Small groups emit a link only from the first key that both sides sha
 
 Cases: words are runs of non-white-space (ASCII white space) after ASCII capitals are lowered; one or two words make
 one shingle; a null or empty text has the fingerprint zero and links like any other; repeated rows and ids are all
-returned, with one component; a null id is returned too but names a component only if no other id does; an empty table gives an
-empty table. Texts are never cut. Only the id and text columns are read by ``near_duplicates``; ``deduplicated`` carries
+returned, with one component; a null id is returned too but names a component only if no other id does; an empty table gives
+an empty table. Texts are never cut. Only the id and text columns are read by ``near_duplicates``; ``deduplicated`` carries
 all columns whatever their names are.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from slate.llm.batches import sliced
 from slate.llm.graph import components
-from slate.session import cut, scratch
+from slate.session import cut
 
 SHINGLE = 3
 DISTANCE = 3
@@ -215,17 +215,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns, one row of each component: that with the smallest id.
+    """The input's columns, one row of each component: that with the smallest (id, hash of the text), null ids first.
 
-    Of repeated rows with that id, one of the smallest (text, other columns as strings) stays. Rows with a null id can not be told apart by
-    it and stay all if no other id is in their component.
+    Rows with equal ids and texts are one; of their other columns the row with the smallest hash stays.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("n_id")).distinct()
-    carried = docs.select(F.col(f"`{id_col}`").alias("n_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("n_row"))
-    chosen = carried.join(kept, F.col("n_key").eqNullSafe(F.col("n_id")), "left_semi")
-    alone = chosen.where("n_key IS NULL").select("n_row")
-    first = chosen.where("n_key IS NOT NULL").groupBy("n_key").agg(F.min_by("n_row", F.struct(F.col(f"n_row.`{text_col}`"), F.to_json("n_row"))).alias("n_row"))
-    return first.select("n_row").unionByName(alone).select("n_row.*")
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    keyed = docs.select(key.alias("n_key"), F.col(f"`{text_col}`").alias("n_text"))
+    groups = near_duplicates(keyed, "n_key", "n_text")
+    kept = groups.where(F.col("n_key") == F.col("component_id")).select("n_key").distinct()
+    rows = docs.select(key.alias("n_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("n_row"))
+    once = rows.groupBy("n_key").agg(F.min_by("n_row", F.xxhash64("n_row")).alias("n_row"))
+    return once.join(kept, "n_key", "left_semi").select("n_row.*")
 
 
 def query(documents: DataFrame) -> DataFrame:
