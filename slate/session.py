@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -89,3 +90,8 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(shutil.make_archive(str(folder / "slate"), "zip", copy))
     sys.path[:] = before
     context._slate_shipped = True  # type: ignore[attr-defined]
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, from a list of one row each: what is computed below is not computed again inside later filters."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
