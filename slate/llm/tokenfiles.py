@@ -28,6 +28,7 @@ import os
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -208,7 +209,7 @@ class Reader:
 _P = rb"!-/:-@\[-`{-~"
 #: Chunks that the tokenizer splits anyway: at white space, and where an ASCII letter or digit meets ASCII punctuation.
 CHUNK = re.compile(rb"[%b]*+[^\s%b]++(?:(?<=[a-z0-9])|(?=\s|\Z))|\S+" % (_P, _P))
-HELD = 200_000
+HELD = 300_000
 
 
 class Encoder:
@@ -223,21 +224,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.special = [t.content.encode() for t in added.values()]
+        # a token that the library takes out of a text before all else: it can stand between chunks
+        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[bytes], at_once: int = 1000) -> list[bytes]:
+        """Ids of each chunk; many are handed over as one text, with the token between them."""
+        if self.between is None:
+            return self._library([c.decode() for c in chunks])
+        mark, content = self.between
+        groups = [content.encode().join(chunks[k : k + at_once]).decode() for k in range(0, len(chunks), at_once)]
+        out: list[bytes] = []
+        for data in self._library(groups):
+            cuts = (4 * np.flatnonzero(np.frombuffer(data, np.uint32) == mark)).tolist()
+            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         data = [t.encode() for t in texts]
         whole = [any(s in x for s in self.special) for x in data]
         split = [[] if w else CHUNK.findall(x.lower()) for x, w in zip(data, whole, strict=True)]
+        # two generations: what was met since the last turn, and what was met in the turn before
         if len(self.known) > HELD:
-            self.known.clear()
-        new = list({c for own in split for c in own}.difference(self.known))
-        if new:
-            self.known.update(zip(new, self._library([c.decode() for c in new]), strict=True))
+            self.older, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
+        if new := list(missing.difference(self.known)):
+            self.known.update(zip(new, self._chunks(new), strict=True))
         known = self.known.__getitem__
         return [self._library([t])[0] if w else b"".join(map(known, own)) for t, w, own in zip(texts, whole, split, strict=True)]
 
