@@ -4,8 +4,8 @@ A text becomes symbols (its characters, white space as U+2581 and one more of it
 symbol pairs that form a piece, ordered by the piece's score and then from left to right, says which pair is merged next, until
 no pair forms a piece. Characters that are no piece become byte pieces.
 
-No piece joins what stands before a run of U+2581 with what follows (and none contains a line end) in such
-vocabularies, which ``Vocabulary`` checks, so texts are cut there and the agenda runs once for each distinct segment
+No piece joins what stands before a run of U+2581 with what follows, none contains a line end, and in none a letter is
+followed by a character that is neither letter nor digit; ``Vocabulary`` checks this of its pieces, and texts are cut there and the agenda runs once for each distinct segment
 that a task has not met lately. Short segments of a batch share one agenda in numpy arrays: each round takes the best
 pair of every segment at once. Long segments have a heap each.
 
@@ -36,9 +36,12 @@ from slate.llm.batches import sliced
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
+#: Some of the characters that are letters.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LONG = 48
-HELD = 200_000
+HELD = 300_000
 _WIDTH = 21
+_SLOT_BITS = 20
 _NONE = np.int64(1) << 62
 
 
@@ -70,25 +73,51 @@ class Vocabulary:
             raise ValueError("the model has no byte pieces")
         ranks = {score: k for k, score in enumerate(sorted({get.get_score(i) for i in self.normal.values()}, reverse=True))}
         merges = {}
-        whole = True
+        whole = letters = True
         for piece, i in self.normal.items():
             whole = whole and MARK not in piece.lstrip(MARK) and not ("\n" in piece and len(piece) > 1)
+            letters = letters and not any(a.isalpha() and not b.isalnum() for a, b in zip(piece, piece[1:], strict=False))
             for k in range(1, len(piece)):
                 left, right = self._symbol(piece[:k]), self._symbol(piece[k:])
                 if left is not None and right is not None:
                     merges[left << _WIDTH | right] = (ranks[get.get_score(i)], i)
         self.merges = merges
-        self.keys = np.array(sorted(merges), np.int64)
-        self.ranks = np.array([merges[k][0] for k in self.keys.tolist()], np.int64)
-        self.results = np.array([merges[k][1] for k in self.keys.tolist()], np.int64)
-        self.segments = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if whole else "(?s).+")
+        self._hash(merges)
+        self.symbol_of = np.arange(self.first_free, self.first_free + 0x110000)
+        for piece, i in self.normal.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        word = f"{MARK}*+[^{MARK}\n{LETTERS}]*+[{LETTERS}]++(?![^\\W_])|" if letters else ""
+        self.segments = re.compile(f"{word}{MARK}*+[^{MARK}\n]++|{MARK}++|\n" if whole else "(?s).+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _symbol(self, text: str) -> int | None:
         """The id of a piece; a character that is none has a number of its own beyond the ids."""
         found = self.normal.get(text)
         return found if found is not None or len(text) > 1 else self.first_free + ord(text)
 
+    def _hash(self, merges: dict[int, tuple[int, int]]) -> None:
+        """Open-addressing table of the merges, for lookups of many pairs at once."""
+        keys = np.array(sorted(merges), np.int64)
+        self.slots = np.full(1 << _SLOT_BITS, -1, np.int64)
+        self.ranks, self.results = np.zeros(1 << _SLOT_BITS, np.int64), np.zeros(1 << _SLOT_BITS, np.int64)
+        self.probes = 0
+        place = self._slot(keys)
+        while len(keys):
+            self.probes += 1
+            free = self.slots[place] < 0
+            self.slots[place[free]] = keys[free]
+            done = self.slots[place] == keys
+            own = [merges[k] for k in keys[done].tolist()]
+            self.ranks[place[done]] = [r for r, _ in own]
+            self.results[place[done]] = [i for _, i in own]
+            keys, place = keys[~done], (place[~done] + 1) & ((1 << _SLOT_BITS) - 1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
     def _ids(self, symbols: list[int]) -> bytes:
         out: list[int] = []
         for s in symbols:
@@ -127,14 +156,23 @@ class Vocabulary:
     def _offers(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place in the merge table of each pair, or -1."""
         wanted = left << _WIDTH | right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where(self.keys[at] == wanted, at, -1)
+        place = self._slot(wanted)
+        held = self.slots[place]
+        out = np.where(held == wanted, place, -1)
+        open_ = np.flatnonzero((held != wanted) & (held >= 0))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            place[open_] = (place[open_] + 1) & ((1 << _SLOT_BITS) - 1)
+            held = self.slots[place[open_]]
+            hit = held == wanted[open_]
+            out[open_[hit]] = place[open_[hit]]
+            open_ = open_[~hit & (held >= 0)]
+        return out
 
     def agendas(self, segments: list[str]) -> list[bytes]:
         """Ids of many short segments: in each round every segment merges the best pair on its agenda."""
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
-        distinct, inverse = np.unique(codes, return_inverse=True)
-        symbols = np.array([self._symbol(chr(c)) for c in distinct.tolist()], np.int64)[inverse]
+        symbols = self.symbol_of[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
         owner = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
         out: list[bytes] = [b""] * len(segments)
         inner = np.append(owner[1:] == owner[:-1], False)
@@ -161,7 +199,7 @@ class Vocabulary:
             kept[place + 1] = False
             new = (np.cumsum(kept) - 1)[place]
             symbols, owner, offer = symbols[kept], owner[kept], offer[kept]
-            touched = np.unique(np.concatenate((new, np.maximum(new - 1, 0))))
+            touched = np.concatenate((new, np.maximum(new - 1, 0)))
             after = np.minimum(touched + 1, len(symbols) - 1)
             same = (owner[touched] == owner[after]) & (after > touched)
             offer[touched] = np.where(same, self._offers(symbols[touched], symbols[after]), -1)
@@ -179,9 +217,12 @@ class Vocabulary:
         """Ids as little-endian unsigned 32-bit numbers, with begin and end ids."""
         begin, end = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
         split = [self.segments.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        # two generations: what was met since the last turn, and what was met in the turn before
         if len(self.known) > HELD:
-            self.known.clear()
-        new = {s for own in split for s in own}.difference(self.known)
+            self.older, self.known = self.known, {}
+        missing = set().union(*split).difference(self.known)
+        self.known.update((s, self.older[s]) for s in missing.intersection(self.older))
+        new = missing.difference(self.known)
         short = [s for s in new if len(s) <= LONG]
         if short:
             self.known.update(zip(short, self.agendas(short), strict=True))
