@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.session import cut
+from slate.session import cut, discard
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -26,6 +26,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         jumped = hooked.join(above, "up", "left").select("node", F.least("up", F.coalesce("top", "up")).alias("root"), "old")
         jumped = cut(jumped)
         changed = jumped.where("root <> old").limit(1).count()
+        discard(label)
         label = jumped.select("node", "root")
         if not changed:
             return label

@@ -172,16 +172,16 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     crowded = _crowded(nodes, block)
-    blocks = F.greatest(F.ceil(F.col("c_n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("c_blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("c_blocks") - 1), lambda other: F.least(own, other) * 32768 + F.greatest(own, other))
+    blocks = F.greatest(F.ceil(F.col("c_n") / block), F.lit(1)).cast("long")
+    own = F.pmod(F.xxhash64("fp"), F.col("c_blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c_blocks") - 1), lambda other: F.least(own, other) * F.col("c_blocks") + F.greatest(own, other))
     full = keyed.join(crowded.withColumn("c_blocks", blocks), F.col("key") == F.col("c_key"))
     met = full.select("key", F.explode(pairs).alias("sub"), "fp")
-    plain = keyed.join(crowded, F.col("key") == F.col("c_key"), "left_anti").select("key", F.lit(0).cast("int").alias("sub"), "fp")
+    plain = keyed.join(crowded, F.col("key") == F.col("c_key"), "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp")
     grouped = plain.unionByName(met).repartition(parts, "key", "sub").sortWithinPartitions("key", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
         for batch in batches:
             now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
             held = [np.concatenate(x) for x in zip(held, now, strict=True)]
