@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slate.functions import text, times
-from slate.operators import dedupe, lookup, overlap
+from slate.operators import dedupe, lookup, order, overlap
 from slate.plans import views
 from slate.plans.views import AS_OF, RINKS, SESSIONS
 from slate.session import settled, table
@@ -174,8 +174,7 @@ def unknown_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Titles without a class, once per rink with their first occurrence, in batches of 60."""
     rows = _normal(spark, sf).where(text.title_class(F.col("title_norm")).isNull())
     first = rows.groupBy("rink_id", "title_norm").agg(F.min("ingest_pos").alias("example"))
-    place = F.row_number().over(Window.orderBy("rink_id", "title_norm")) - 1
-    return first.withColumn("batch", F.floor(place / 60).cast("long"))
+    return order.numbered(first, ["rink_id", "title_norm"]).select("rink_id", "title_norm", "example", F.floor(F.col("place") / 60).cast("long").alias("batch"))
 
 
 UNKNOWN_TITLES = f"""WITH {SESSIONS}, unknown AS (

@@ -93,15 +93,20 @@ def _array_after(text: str, name: str) -> str | None:
     return None
 
 
-def embedded_json(landed: DataFrame, name: str = "_onlineScheduleList") -> DataFrame:
+# Names in the script format.
+SCRIPT_LIST = "_onlineScheduleList"
+SCRIPT_ROW = "EventId:bigint,EventStartTime:string,EventEndTime:string,EventTypeName:string,SubEventTypeName:string,AccountName:string,ShowAccount:boolean,Closed:boolean"
+# End of fixed values.
+
+
+def embedded_json(landed: DataFrame, name: str = SCRIPT_LIST) -> DataFrame:
     """An array assigned to a variable inside a script; conflicts are left out, the title is type, subtype, account without repeats."""
 
     def find(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in bodies:
             yield pa.array([_array_after(b or "", name) for b in batch.to_pylist()], pa.string())
 
-    schema = "array<struct<EventId:bigint,EventStartTime:string,EventEndTime:string,EventTypeName:string,SubEventTypeName:string,AccountName:string,ShowAccount:boolean,Closed:boolean>>"
-    rows = landed.select("source_id", F.explode(F.from_json(F.arrow_udf(find, "string")("body"), schema)).alias("e"))
+    rows = landed.select("source_id", F.explode(F.from_json(F.arrow_udf(find, "string")("body"), f"array<struct<{SCRIPT_ROW}>>")).alias("e"))
     names = F.array_distinct(F.filter(F.array(F.trim("e.EventTypeName"), F.trim("e.SubEventTypeName"), F.when(F.col("e.ShowAccount"), F.trim("e.AccountName"))), lambda x: x.isNotNull() & (x != "")))
     typed = rows.where("NOT coalesce(e.EventTypeName, '') = 'Conflict'").select(
         "source_id", F.col("e.EventId").alias("event_id"), F.array_join(names, " - ").alias("title"), F.col("e.EventStartTime").cast("timestamp_ntz").alias("start_ts"), F.col("e.EventEndTime").cast("timestamp_ntz").alias("end_ts")
