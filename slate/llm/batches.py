@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
@@ -12,7 +13,7 @@ SLICE_BYTES = 4 << 20
 def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut where the texts of column ``text`` pass ``limit`` bytes. A longer text stands alone."""
     for batch in batches:
-        lengths = [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(text).cast(pa.large_binary())] if batch.nbytes > limit else []
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist() if batch.nbytes > limit else []
         start = held = 0
         for i, n in enumerate(lengths):
             if held and held + n > limit:

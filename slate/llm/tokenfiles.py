@@ -29,7 +29,8 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -138,11 +139,12 @@ class Writer:
             self._put(pack(ids[k : min(k + SEGMENT, stop)]))
         self.held, self.n_held = [ids[stop:]], len(ids) - stop
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc or 0)
-        self.nulls.append(doc is None)
+    def add(self, docs: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
+        """Documents with the lengths of their ids, which stand one after another in ``ids``."""
+        self.docs += [doc or 0 for doc in docs]
+        self.nulls += [doc is None for doc in docs]
+        self.starts += (self.total + np.cumsum(lengths)).tolist()
         self.total += len(ids)
-        self.starts.append(self.total)
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= SEGMENT:
@@ -168,6 +170,7 @@ class Reader:
             raise ValueError("not a file of directly addressable codes")
         offsets = np.frombuffer(self._read(directory, 8 * (self.n_segments + 1)), "<u8").astype(np.int64)
         self.offsets, self.table = offsets[:-1].tolist(), int(offsets[-1])
+        self.loaded: tuple[int, Segment | None] = (-1, None)
 
     def _read(self, offset: int, length: int) -> bytes:
         self.source.seek(offset)
@@ -191,25 +194,25 @@ class Reader:
         data = self._read(self.offsets[k], stop - self.offsets[k])
         return Segment(lambda offset, length: data[offset : offset + length])
 
-    def slices(self, starts: np.ndarray) -> Iterator[np.ndarray]:
-        """The ids between neighbouring starts, in order; segments are loaded one at a time."""
-        loaded, segment = -1, None
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            parts = []
-            while a < b:
-                if a // SEGMENT != loaded:
-                    loaded = a // SEGMENT
-                    segment = self.segment(loaded)
-                stop = min(b, (loaded + 1) * SEGMENT)
-                parts.append(segment.ids(a - loaded * SEGMENT, stop - loaded * SEGMENT))
-                a = stop
-            yield np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    def ids(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b of the file; segments are loaded one at a time."""
+        parts = [np.zeros(0, np.uint32)]
+        while a < b:
+            k = a // SEGMENT
+            if k != self.loaded[0]:
+                self.loaded = (k, self.segment(k))
+            stop = min(b, (k + 1) * SEGMENT)
+            parts.append(self.loaded[1].ids(a - k * SEGMENT, stop - k * SEGMENT))
+            a = stop
+        return np.concatenate(parts)
 
 
 _P = rb"!-/:-@\[-`{-~"
 #: Chunks that the tokenizer splits anyway: at white space, and where an ASCII letter or digit meets ASCII punctuation.
 CHUNK = re.compile(rb"[%b]*+[^\s%b]++(?:(?<=[a-z0-9])|(?=\s|\Z))|\S+" % (_P, _P))
-HELD = 300_000
+#: One word for the tokenizer, whatever stands beside it.
+LETTERS = re.compile(rb"[a-z]+")
+HELD = 400_000
 
 
 class Encoder:
@@ -226,28 +229,46 @@ class Encoder:
         self.library = Tokenizer.from_str(definition)
         added = self.library.get_added_tokens_decoder()
         self.special = [t.content.encode() for t in added.values()]
+        parts = json.loads(definition)
+        # the same tokenizer without its normaliser, for chunks that are normal already
+        self.plain = Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
+        suffix = parts["model"].get("end_of_word_suffix") or None
+        vocabulary = self.library.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if suffix and piece.endswith(suffix)]] = True
         # a token that the library takes out of a text before all else: it can stand between chunks
-        self.between = next(((i, t.content) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
+        taken = [(i, t.content.encode()) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.between = taken[0] if taken else None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[bytes], at_once: int = 1000) -> list[bytes]:
-        """Ids of each chunk; many are handed over as one text, with the token between them."""
-        if self.between is None:
-            return self._library([c.decode() for c in chunks])
-        mark, content = self.between
-        groups = [content.encode().join(chunks[k : k + at_once]).decode() for k in range(0, len(chunks), at_once)]
-        out: list[bytes] = []
-        for data in self._library(groups):
-            cuts = (4 * np.flatnonzero(np.frombuffer(data, np.uint32) == mark)).tolist()
-            out += [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        data = [t.encode() for t in texts]
+    @staticmethod
+    def _ids(library, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunks(self, chunks: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Chunks with their ids. ASCII chunks have no capitals or white space left, so normalising would not change them."""
+        words = [c for c in chunks if LETTERS.fullmatch(c)] if self.ends.any() else []
+        rest = chunks.difference(words)
+        normal = [c for c in rest if c.isascii()]
+        yield from self._joined(self.plain, words, b" ", lambda ids: np.flatnonzero(self.ends[ids]) + 1, 0)
+        for own, library in ((normal, self.plain), (list(rest.difference(normal)), self.library)):
+            if self.between is None:
+                yield from zip(own, self._ids(library, [c.decode() for c in own]), strict=True)
+                continue
+            mark, content = self.between
+            yield from self._joined(library, own, content, lambda ids, mark=mark: np.append(np.flatnonzero(ids == mark), len(ids)), 1)
+
+    def _joined(self, library, chunks: list[bytes], between: bytes, stops: Callable[[np.ndarray], np.ndarray], gap: int, at_once: int = 1000) -> Iterator[tuple[bytes, bytes]]:
+        """Many chunks as one text: where one's ids stop, and ``gap`` ids on, the next one's start."""
+        groups = [chunks[k : k + at_once] for k in range(0, len(chunks), at_once)]
+        for group, data in zip(groups, self._ids(library, [between.join(g).decode() for g in groups]), strict=True):
+            cuts = (4 * stops(np.frombuffer(data, np.uint32))).tolist()
+            yield from zip(group, [data[a:b] for a, b in zip([0, *[c + 4 * gap for c in cuts[:-1]]], cuts, strict=True)], strict=True)
+
+    def encode(self, data: list[bytes]) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of texts in UTF-8."""
         whole = [any(s in x for s in self.special) for x in data]
         split = [[] if w else CHUNK.findall(x.lower()) for x, w in zip(data, whole, strict=True)]
         # two generations: what was met since the last turn, and what was met in the turn before
@@ -255,10 +276,15 @@ class Encoder:
             self.older, self.known = self.known, {}
         missing = set().union(*split).difference(self.known)
         self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
-        if new := list(missing.difference(self.known)):
-            self.known.update(zip(new, self._chunks(new), strict=True))
+        self.known.update(self._chunks(missing.difference(self.known)))
         known = self.known.__getitem__
-        return [self._library([t])[0] if w else b"".join(map(known, own)) for t, w, own in zip(texts, whole, split, strict=True)]
+        return [self._ids(self.library, [x.decode()])[0] if w else b"".join(map(known, own)) for x, w, own in zip(data, whole, split, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> Encoder:
+    """One encoder per worker process: its next task goes on with the chunks that it has."""
+    return Encoder(definition)
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -279,10 +305,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder, writer = Encoder(definition.value), Writer(where.open_output_stream(f"{folder}/{name}"))
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                writer.add(doc, np.frombuffer(ids + end, "<u4"))
+                encoder, writer = _encoder(definition.value), Writer(where.open_output_stream(f"{folder}/{name}"))
+            ids = encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            writer.add(batch.column(0).to_pylist(), [len(x) // 4 + 1 for x in ids], np.frombuffer(end.join([*ids, b""]), "<u4"))
         if writer is not None:
             writer.close()
             writer.stream.close()
@@ -336,14 +361,16 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def _rows(reader: Reader, base: int, id_col: str, at_once: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many documents and, but for a longer document, of one segment's ids."""
     docs, nulls, starts = reader.documents()
-    slices = reader.slices(starts)
-    for k in range(0, len(docs), at_once):
-        own = docs[k : k + at_once]
-        ids = [next(slices).astype("<u4").tobytes() for _ in own]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(own, mask=nulls[k : k + at_once]), pa.array(starts[k : k + len(own)] + base), pa.array(ids, pa.binary())], names=[id_col, "start", "ids"]
-        )
+    k = 0
+    while k < len(docs):
+        stop = max(k + 1, min(k + at_once, int(np.searchsorted(starts, starts[k] + SEGMENT, "right")) - 1))
+        ids = reader.ids(int(starts[k]), int(starts[stop])).astype("<u4").tobytes()
+        places = (4 * (starts[k : stop + 1] - starts[k])).tolist()
+        own = [ids[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[k:stop], mask=nulls[k:stop]), pa.array(starts[k:stop] + base), pa.array(own, pa.binary())], names=[id_col, "start", "ids"])
+        k = stop
 
 
 def query(documents: DataFrame) -> DataFrame:
