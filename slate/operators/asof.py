@@ -60,11 +60,24 @@ def last_n(tg: DataFrame, n: int) -> DataFrame:
     return days.join(form, ["team", "day"], "left").select("team", "day", F.coalesce("n_last", F.lit(0)).alias("n_last"), F.coalesce("half_last", F.lit(0)).alias("half_last"))
 
 
-def streaks(tg: DataFrame) -> DataFrame:
-    """(team, game_id, streak): signed length of the run of equal results that ends with this game; ties are 0."""
-    numbered = _numbered(tg).withColumn("sign", (F.col("half_points") - 1).cast("long"))
-    by_k = Window.partitionBy("team").orderBy("k")
-    runs = numbered.withColumn("new", F.coalesce((F.lag("sign").over(by_k) != F.col("sign")).cast("long"), F.lit(1)))
-    grouped = runs.withColumn("run", F.sum("new").over(by_k.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy("team", "run").orderBy("k"))
-    return grouped.select("team", "game_id", (F.col("sign") * place).cast("long").alias("streak"))
+def streaks(tg: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(team, game_id, streak): signed length of the run of equal results that ends with this game; ties are 0.
+
+    A team's history is cut into chunks of so many games, so no task holds a whole history. Runs are counted inside chunks;
+    what a chunk's first run continues comes from one summary row per chunk.
+    """
+    numbered = _numbered(tg).select("team", "game_id", "k", (F.col("half_points") - 1).cast("long").alias("sign"), F.floor((F.col("k") - 1) / chunk).alias("chunk"))
+    inside = Window.partitionBy("team", "chunk").orderBy("k")
+    marked = numbered.withColumn("new", F.coalesce((F.lag("sign").over(inside) != F.col("sign")).cast("long"), F.lit(1)))
+    runs = marked.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = runs.withColumn("place", F.row_number().over(Window.partitionBy("team", "chunk", "run").orderBy("k")))
+    ends = placed.groupBy("team", "chunk").agg(
+        F.min_by("sign", "k").alias("first_sign"), F.max_by("sign", "k").alias("last_sign"), F.max_by("place", "k").alias("tail"), (F.max("run") == 1).alias("whole")
+    )
+    by_chunk = Window.partitionBy("team").orderBy("chunk")
+    linked = ends.withColumn("linked", (F.lag("last_sign").over(by_chunk) == F.col("first_sign")).eqNullSafe(F.lit(True)))
+    islands = linked.withColumn("island", F.sum((~(F.col("whole") & F.col("linked"))).cast("long")).over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = islands.withColumn("total", F.sum("tail").over(Window.partitionBy("team", "island").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)))
+    carried = totals.select("team", "chunk", F.when(F.col("linked"), F.lag("total").over(by_chunk)).otherwise(0).alias("carry"))
+    length = F.col("place") + F.when(F.col("run") == 1, F.col("carry")).otherwise(0)
+    return placed.join(carried, ["team", "chunk"]).select("team", "game_id", (F.col("sign") * length).cast("long").alias("streak"))

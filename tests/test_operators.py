@@ -119,6 +119,27 @@ def test_a_later_result_changes_nothing_earlier(spark):
     assert both[0].exceptAll(both[1]).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 7])
+def test_streaks_do_not_depend_on_chunks(spark, chunk):
+    tg = views.team_games(views.games(spark, "/root/testdata/sf0.001")).cache()
+    assert asof.streaks(tg, chunk).exceptAll(asof.streaks(tg)).count() == 0
+
+
+def test_streaks_by_hand(spark):
+    results = [(1, 3), (2, 1), (3, 0), (0, 4), (2, 2), (5, 0), (3, 1)]
+    rows = [(k, dt.date(2024, 1, 1 + k), 0, 1, a, b) for k, (a, b) in enumerate(results)]
+    tg = views.team_games(spark.createDataFrame(rows, "game_id long, day date, home long, away long, home_goals long, away_goals long"))
+    got = {r.game_id: r.streak for r in asof.streaks(tg, 2).where("team = 0").collect()}
+    assert got == {0: -1, 1: 1, 2: 2, 3: -1, 4: 0, 5: 1, 6: 2}
+
+
+def test_places_are_global(spark):
+    from slate.operators import order
+
+    rows = order.numbered(spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v")), ["v"]).collect()
+    assert all(r.v == r.place for r in rows) and len(rows) == 1000
+
+
 def _season(margin):
     rows = [(0, i, j, 3 + margin * (j - i) if j > i else 3, 3 if j > i else 3 + margin * (i - j)) for i in range(4) for j in range(4) if i != j]
     return rows
