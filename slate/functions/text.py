@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -125,3 +126,11 @@ def html_text(html: Column) -> Column:
 def html_links(html: Column) -> Column:
     """Distinct link targets in page order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit('(?i)href="([^"]+)"'), 1))
+
+
+def folded(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Ordered rewrites of a lower-case name, then single spaces. Patterns have \\b at their two ends."""
+    out = F.replace(F.lower(text), F.lit("."), F.lit(""))
+    for pattern, value in rules:
+        out = F.regexp_replace(out, bounded(pattern), value)
+    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))

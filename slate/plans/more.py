@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slate.functions import text
-from slate.operators import asof, lookup, score
+from slate.operators import asof, lookup, overlap, score
 from slate.plans import feeds, results, views
 from slate.plans.views import AS_OF, GAMES, RINKS, SESSIONS, TEAM_GAMES
 from slate.session import table
@@ -240,14 +240,79 @@ def best_per_family(spark: SparkSession, sf: str) -> DataFrame:
 BEST_PER_FAMILY = f"""WITH {results._PREDICTED}, l AS (SELECT division, home AS variant, {_TIDY("avg(-(half / 2.0 * ln(greatest(0.000001, least(0.999999, p))) + (1.0 - half / 2.0) * ln(1.0 - greatest(0.000001, least(0.999999, p)))))")} AS log_loss FROM predicted WHERE p IS NOT NULL GROUP BY 1, 2)
 SELECT division, arg_min(variant, row(log_loss, variant)) AS best, min(log_loss) AS log_loss, {_TIDY("(arg_min(log_loss, variant) - min(log_loss))")} AS gain FROM l GROUP BY division"""
 
+FOLDS = ((r"\bjunior\b", "jr"), (r"\bsupplier\b", "team"), (r"\bst\b", "saint"), (r"\b(?:2016|aaa|squad)\b", " "), (r"\be\b", "elite"))
+
+
+def name_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier names with levels and short forms, as keys after ordered rewrites."""
+    k = F.col("s_suppkey")
+    name = F.concat("s_name", F.when(k % 2 == 0, " St. Junior").otherwise(" Squad AAA"), F.when(k % 3 == 0, " E").otherwise(" 2016"))
+    return table(spark, sf, "supplier").select("s_suppkey", text.folded(name, FOLDS).alias("name_key"))
+
+
+_FOLD_SQL = "replace(lower(s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' St. Junior' ELSE ' Squad AAA' END || CASE WHEN s_suppkey % 3 = 0 THEN ' E' ELSE ' 2016' END), '.', '')"
+for _pattern, _value in FOLDS:
+    _FOLD_SQL = f"regexp_replace({_FOLD_SQL}, '{_pattern}', '{_value}', 'g')"
+NAME_FOLD = f"SELECT s_suppkey, trim(regexp_replace({_FOLD_SQL}, '[^a-z0-9]+', ' ', 'g')) AS name_key FROM supplier"
+
+
+def narrative(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences about each team that apply, in a fixed order, joined to one text."""
+    rec = score.records(views.team_games(views.games(spark, sf)))
+    says = lambda test, *parts: F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    lines = F.filter(
+        F.array(
+            says(F.col("wins") > F.col("losses"), "More wins than losses (", F.col("wins").cast("string"), ")."),
+            says(F.col("wins") <= F.col("losses"), "No more wins than losses (", F.col("losses").cast("string"), ")."),
+            says(F.col("capped_diff") > 0, "Scores more than it lets in."),
+            says(F.col("ties") * 5 > F.col("games"), "Ties often."),
+            says(F.col("team") % 2 == 0, "Plays in an even slot."),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return rec.select("team", F.size(lines).cast("long").alias("n_lines"), F.array_join(lines, " ").alias("blurb"))
+
+
+NARRATIVE = f"""WITH rec AS ({results.RECORD}), l AS (SELECT team, list_filter([
+  CASE WHEN wins > losses THEN 'More wins than losses (' || wins || ').' END, CASE WHEN wins <= losses THEN 'No more wins than losses (' || losses || ').' END,
+  CASE WHEN capped_diff > 0 THEN 'Scores more than it lets in.' END, CASE WHEN ties * 5 > games THEN 'Ties often.' END, CASE WHEN team % 2 = 0 THEN 'Plays in an even slot.' END], lambda x: x IS NOT NULL) AS l FROM rec)
+SELECT team, CAST(len(l) AS BIGINT) AS n_lines, array_to_string(l, ' ') AS blurb FROM l"""
+
+
+def allowlist(spark: SparkSession, sf: str) -> DataFrame:
+    """Games whose home side is on the list of its division, with the side's name where it is known."""
+    allowed = spark.range(views.TEAMS).where("id % 5 < 2").select(F.col("id").alias("home"), (F.col("id") % 4).alias("division"))
+    names = table(spark, sf, "supplier").where("s_suppkey < 12").select(F.col("s_suppkey").alias("home"), F.col("s_name").alias("name"))
+    kept = views.games(spark, sf).join(allowed, ["home", "division"], "left_semi").join(names, "home", "left")
+    return kept.groupBy("home").agg(F.count("*").alias("n"), F.coalesce(F.max("name"), F.lit("unverified")).alias("name"))
+
+
+ALLOWLIST = f"""WITH {GAMES} SELECT home, count(*) AS n, coalesce(max(s_name), 'unverified') AS name FROM games LEFT JOIN supplier ON s_suppkey = home AND s_suppkey < 12 WHERE home % 5 < 2 GROUP BY home"""
+
+
+def block_members(spark: SparkSession, sf: str) -> DataFrame:
+    """For each block that has any: the events that overlap it, by start."""
+    blocks, events = feeds._sides(spark, sf)
+    pairs = overlap.overlapping(blocks, events, "rink_id", "block_id", "event_id").join(events.select("event_id", "start_ts"), "event_id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("start_ts", "event_id"))), lambda x: x["event_id"].cast("string"))
+    return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum("overlap_s").alias("overlap_s"), F.array_join(listed, ",").alias("members"))
+
+
+BLOCK_MEMBERS = f"""WITH {feeds._SIDES}
+SELECT a.ingest_pos AS block_id, count(*) AS n, CAST(sum(epoch(least(a.end_ts, b.end_ts)) - epoch(greatest(a.start_ts, b.start_ts))) AS BIGINT) AS overlap_s,
+       string_agg(CAST(b.ingest_pos AS VARCHAR), ',' ORDER BY b.start_ts, b.ingest_pos) AS members
+FROM a JOIN b ON a.rink_id = b.rink_id AND a.start_ts < b.end_ts AND b.start_ts < a.end_ts GROUP BY 1"""
+
 QUERIES = {
     "feed_games": feed_games, "freshness": freshness, "slice_with_fallback": slice_with_fallback, "alias_resolve": alias_resolve, "cross_season": cross_season, "standings": standings,
     "score_parse": score_parse, "labels": labels, "calendar_link": calendar_link, "guarded_publish": guarded_publish, "index_merge": index_merge, "three_way": three_way,
+    "name_fold": name_fold, "narrative": narrative, "allowlist": allowlist, "block_members": block_members,
     "signal_direction": signal_direction, "metric_table": metric_table, "scout_card": scout_card, "best_per_family": best_per_family,
 }
 SQL = {
     "feed_games": FEED_GAMES, "freshness": FRESHNESS, "slice_with_fallback": SLICE_WITH_FALLBACK, "alias_resolve": ALIAS_RESOLVE, "cross_season": CROSS_SEASON, "standings": STANDINGS,
     "score_parse": SCORE_PARSE, "labels": LABELS, "calendar_link": CALENDAR_LINK, "index_merge": INDEX_MERGE, "three_way": THREE_WAY,
+    "name_fold": NAME_FOLD, "narrative": NARRATIVE, "allowlist": ALLOWLIST, "block_members": BLOCK_MEMBERS,
     "signal_direction": SIGNAL_DIRECTION, "metric_table": METRIC_TABLE, "scout_card": SCOUT_CARD, "best_per_family": BEST_PER_FAMILY,
     "guarded_publish": f"WITH idx AS ({feeds.INDEX_PER_RINK}) SELECT rink_id, n_sessions, n_open FROM idx",
 }
