@@ -23,6 +23,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -213,6 +214,9 @@ class Vocabulary:
         for a, b, k in zip(starts, [*starts[1:], len(symbols)], owner[starts].tolist(), strict=True):
             out[k] = self._ids(symbols[a:b].tolist()) if k in odd else data[4 * a : 4 * b]
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers, with begin and end ids."""
         begin, end = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
@@ -230,7 +234,7 @@ class Vocabulary:
         long = {s: self.agenda(s) for s in new if len(s) > LONG}
         if long:
             known = lambda s: long[s] if len(s) > LONG else self.known[s]
-        return [b"".join((begin, *map(known, own), end)) for own in split]
+        return [begin + b"".join(map(known, own)) + end for own in split]
 
     def decode(self, ids: bytes) -> str:
         table = self.bytes_of
@@ -238,6 +242,12 @@ class Vocabulary:
         return (data[1:] if data.startswith(b" ") else data).decode(errors="replace")
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(model: bytes) -> Vocabulary:
+    """One vocabulary per worker process."""
+    return Vocabulary(model)
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """id, ids (little-endian unsigned 32-bit), n_tokens, decoded text, and whether the library agrees."""
     held = docs.sparkSession.sparkContext.broadcast(Path(model or public_tokenizers.path(MODEL)).read_bytes())
@@ -245,25 +255,28 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     names = fields.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(held.value)
+        own = _vocabulary(held.value)
         library = own.library
-        for batch in sliced(batches, 1, 1 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = own.encode(texts)
-            theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-            back, decoded = library.decode(theirs, num_threads=1), [own.decode(x) for x in ids]
-            packed = [array("I", x).tobytes() for x in theirs]
-            agrees = [a == b and c == d for a, b, c, d in zip(ids, packed, decoded, back, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(packed if not all(agrees) else ids, pa.binary()),
-                    pa.array([len(x) // 4 for x in packed], pa.int64()),
-                    pa.array(back if not all(agrees) else decoded, pa.string()),
-                    pa.array(agrees, pa.bool_()),
-                ],
-                names=names,
-            )
+        try:
+            for batch in sliced(batches, 1):
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                ids = own.encode(texts)
+                theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                back, decoded = library.decode(theirs, num_threads=1), [own.decode(x) for x in ids]
+                packed = [array("I", x).tobytes() for x in theirs]
+                agrees = [a == b and c == d for a, b, c, d in zip(ids, packed, decoded, back, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array(packed if not all(agrees) else ids, pa.binary()),
+                        pa.array([len(x) // 4 for x in packed], pa.int64()),
+                        pa.array(back if not all(agrees) else decoded, pa.string()),
+                        pa.array(agrees, pa.bool_()),
+                    ],
+                    names=names,
+                )
+        finally:  # the process waits for other tasks, which may need its memory
+            own.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, fields.schema)
 
