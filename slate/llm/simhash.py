@@ -171,7 +171,8 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints, whose components are those of all links. ``nodes`` has distinct fp."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    crowded = _crowded(nodes, block)
+    # written first: where it is small, as nearly always, the joins below need no shuffle
+    crowded = cut(_crowded(nodes, block))
     blocks = F.greatest(F.ceil(F.col("c_n") / block), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("c_blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c_blocks") - 1), lambda other: F.least(own, other) * F.col("c_blocks") + F.greatest(own, other))
@@ -220,12 +221,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with equal ids and texts are one; of their other columns the row with the smallest hash stays.
     """
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    # one text column joins without a cast, so rows are shuffled once for both the grouping and the join
+    plain = lambda k: F.concat_ws(":", k["hash"].cast("string"), k["id"].cast("string"))
     keyed = docs.select(key.alias("n_key"), F.col(f"`{text_col}`").alias("n_text"))
     groups = near_duplicates(keyed, "n_key", "n_text")
-    kept = groups.where(F.col("n_key") == F.col("component_id")).select("n_key").distinct()
-    rows = docs.select(key.alias("n_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("n_row"))
-    once = rows.groupBy("n_key").agg(F.min_by("n_row", F.xxhash64("n_row")).alias("n_row"))
-    return once.join(kept, "n_key", "left_semi").select("n_row.*")
+    kept = groups.where(F.col("n_key") == F.col("component_id")).select(plain(F.col("n_key")).alias("n_plain")).distinct()
+    rows = docs.select(plain(key).alias("n_plain"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("n_row"))
+    once = rows.groupBy("n_plain").agg(F.min_by("n_row", F.xxhash64("n_row")).alias("n_row"))
+    return once.join(kept, "n_plain", "left_semi").select("n_row.*")
 
 
 def query(documents: DataFrame) -> DataFrame:
