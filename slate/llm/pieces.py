@@ -40,7 +40,7 @@ MARK = "▁"
 #: Some of the characters that are letters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LONG = 48
-HELD = 300_000
+HELD = 150_000
 _WIDTH = 21
 _SLOT_BITS = 20
 _NONE = np.int64(1) << 62
@@ -258,7 +258,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         own = _vocabulary(held.value)
         library = own.library
         try:
-            for batch in sliced(batches, 1):
+            for batch in sliced(batches, 1, 2 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = own.encode(texts)
                 theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
