@@ -1,10 +1,13 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (line ends, or ``.``, ``!``, ``?`` before white space), each sentence is normalised
-(letters and digits only, ASCII lower case, single spaces) and mapped to the identifier of a known licence
-sentence. What remains of a text is its sequence of identifiers, in text order; a licence rule is an ordered
+A text is normalised (letters and digits only, ASCII lower case, single spaces) with its breaks kept: hard ones (``.``,
+``!``, ``?`` before white space, and blank lines) and soft ones (line ends, and ``;``, ``:`` before white space). A known
+licence sentence holds where it stands between two breaks with no hard break inside, so it is found as a line of its
+own and wrapped over lines, in comments too: what leads a line (``//``, ``*``, ``#``, ``rem`` and the like) is dropped, and a line
+of nothing else is blank. What remains of a text is its sequence of identifiers, in text order; a licence rule is an ordered
 sequence of identifiers and holds if they occur in that order, whatever stands between. The scan is one pass
-without a shuffle, and the table of known sentences is a constant of this module.
+without a shuffle, and the table of known sentences is a constant of this module. Sentences are counted by line ends
+and ``.``, ``!``, ``?`` alone. SQL reads single lines only: it gives less where a known sentence is wrapped.
 
 Cases: a null or empty text has no sentences and no licence; a rule counts once however often it holds; texts
 are never cut; each row is scanned by itself, so repeated rows give repeated results; an empty table gives an
@@ -13,9 +16,10 @@ empty table. Only the id and text columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Normalised sentences of public licence texts and notices, with their identifiers.
@@ -66,25 +70,57 @@ CUT = r"\n|[.!?]+[\x20\x09-\x0D]+"
 NOT_WORD = "[^A-Za-z0-9]+"
 KINDS = ("restricted", "copyleft", "permissive")
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Steps of the normal form of a text in ASCII lower case: capitals are free then, and stand for hard (H) and soft (S) breaks.
+#: No step repeats a group, so none needs a deep stack, however long a text is.
+BREAKS = (
+    (r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", "H"),
+    (r"\n[^\p{L}\p{N}]*", "S"),
+    (r"[.!?]+[\x20\x09-\x0DSH]+", "H"),
+    (r"[;:]+[\x20\x09-\x0D]+", "S"),
+    ("[^a-z0-9HS]+", " "),
+    ("(?<=[HS])(?:rem|dnl|c) ?S", "H"),
+    ("(?<=[HS])(?:rem|dnl|c) ", ""),
+)
+#: Every known sentence has one of these, so texts without them are not read for sentences.
+ANCHORS = ("licen", "warrant", "copyright", "permission")
+
 
 def _pattern(identifiers: tuple[str, ...]) -> str:
     """Over identifiers written as ``;a;;b;``: these, in this order."""
     return ";.*".join(f";{name}" for name in identifiers) + ";"
 
 
+def _wrapped(sentence: str) -> str:
+    """A known sentence in the normal form, with any soft breaks between its words."""
+    return sentence.replace(" ", "[ S]+")
+
+
+def _names(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, by where they start; of two at one place the shorter is first."""
+    lowered = F.translate(text, CAPITALS, CAPITALS.lower())
+    marked = F.concat(F.lit("\n"), lowered, F.lit("\n"))
+    for pattern, by in BREAKS:
+        marked = F.regexp_replace(marked, pattern, by)
+    longest = sorted(SENTENCES.values(), key=len, reverse=True)
+    # the sentence is looked at, not consumed: its breaks may be another's
+    found = F.regexp_extract_all(marked, F.lit(f"[HS](?= ?({'|'.join(map(_wrapped, longest))}) ?[HS])"), 1)
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable((text, name) for name, text in SENTENCES.items())])
+    heads = sorted(((head, name) for name, head in SENTENCES.items() if any(x.startswith(head + " ") for x in longest)), key=lambda x: len(x[0]))
+
+    def named(s: Column) -> Column:
+        own = F.element_at(known, F.regexp_replace(s, "[ S]+", " "))
+        return F.filter(F.array(*[F.when(s.rlike(f"^{_wrapped(head)} ?S"), F.lit(name)) for head, name in heads], own), lambda x: x.isNotNull())
+
+    may = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(x)) for x in ANCHORS])
+    return F.when(may, F.flatten(F.transform(found, named))).otherwise(F.array().cast("array<string>"))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, sentence count, known sentence identifiers in order, rules that hold, licences and the strictest kind."""
-    sentences = F.filter(
-        F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), CUT), lambda s: F.trim(F.lower(F.regexp_replace(s, NOT_WORD, " ")))),
-        lambda s: s != "",
-    )
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable((text, name) for name, text in SENTENCES.items())])
-    cut = df.select(F.col(id_col), sentences.alias("l_sentences"))
-    named = cut.select(
-        id_col,
-        F.size("l_sentences").cast("long").alias("n_sentences"),
-        F.transform(F.filter("l_sentences", lambda s: s.isin(*SENTENCES.values())), lambda s: F.element_at(known, s)).alias("l_names"),
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sentences = F.filter(F.transform(F.split(text, CUT), lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " "))), lambda s: s != "")
+    named = df.select(F.col(id_col), F.size(sentences).cast("long").alias("n_sentences"), _names(text).alias("l_names"))
     sequence = F.concat(F.lit(";"), F.array_join("l_names", ";;"), F.lit(";"))
     held = F.filter(
         F.array(*[F.when(sequence.rlike(_pattern(names)), F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("licence"), F.lit(kind).alias("kind"))) for rule, licence, kind, names in RULES]),
