@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +95,38 @@ def deep_rows(landed: DataFrame, marker: str, fields: list[str], depth: int = 8)
     return whole
 
 
+#: A link of a page: the target of an href, or a document or image that src, data-src or content name.
+ASSET = r"\.(?:pdf|png|jpe?g|webp|gif)(?:\?[^\"']*)?"
+LINK = re.compile(rf"""href\s*=\s*(?:"([^"]+)"|'([^']+)')|(?:src|content)\s*=\s*(?:"([^"]+?{ASSET})"|'([^']+?{ASSET})')""", re.I)
+AROUND = 400
+ROWS = 64
+NEAR = re.compile("schedule|public|open", re.I)
+
+
+def _links(body: str) -> Iterator[tuple[str, bool]]:
+    """Every link of a page, and whether its surroundings, other links included, have a word of schedules."""
+    for m in LINK.finditer(body):
+        yield m[m.lastindex or 0], NEAR.search(body, max(0, m.start() - AROUND), m.end() + AROUND) is not None
+
+
 def asset_scores(landed: DataFrame) -> DataFrame:
     """Links of a page by how much they look like a schedule: words of the link count 3, of its surroundings 1, bad words -4; the best of each link."""
-    links = landed.select("source_id", F.explode(F.regexp_extract_all("body", F.lit("(?is)(.{0,80}href=\"[^\"]+\".{0,80})"), 1)).alias("near"))
-    url = F.regexp_extract("near", '(?is)href="([^"]+)"', 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                found = [(i, *link) for i, body in enumerate(one.column(1).to_pylist()) for link in _links(body or "")]
+                at, urls, near = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([one.column(0).take(pa.array(at, pa.int64())), pa.array(urls, pa.string()), pa.array(near, pa.bool_())], names=["source_id", "url", "near"])
+
+    rows = landed.select("source_id", "body")
+    links = rows.mapInArrow(run, landed.select("source_id", F.lit("").alias("url"), F.lit(True).alias("near")).schema)
+    url = F.lower("url")
     case = lambda test, points: F.when(test, points).otherwise(0)
     points = (
-        case(F.lower(url).rlike("schedule|calendar|hours|page"), 3)
-        + case(F.lower(url).rlike("logo|icon|banner"), -4)
-        + case(F.lower(url).rlike(r"\.(pdf|png|jpe?g)$"), 2)
-        + case(F.lower("near").rlike("schedule|public|open"), 1)
+        case(url.rlike("schedule|calendar|hours|page"), 3)
+        + case(url.rlike("logo|icon|banner"), -4)
+        + case(url.rlike(r"\.(pdf|png|jpe?g)$"), 2)
+        + case(F.col("near"), 1)
     )
-    return links.select("source_id", url.alias("url"), points.alias("points")).groupBy("source_id", "url").agg(F.max("points").alias("points")).where("points >= 1")
+    return links.select("source_id", "url", points.alias("points")).groupBy("source_id", "url").agg(F.max("points").alias("points")).where("points >= 1")
