@@ -170,7 +170,9 @@ def test_layouts_by_fingerprint(spark):
     assert got[1] == ("prompt", [("user", "p"), ("assistant", "c")])
     assert got[2] == ("instruction", [("user", "i\nin"), ("assistant", "o")]) and got[3][1] == [("user", "i"), ("assistant", "o")]
     assert got[4] == ("messages", [("user", "a"), ("", "b")])
-    assert got[5] == got[7] == ("unknown", [])
+    assert got[5] == ("unknown", [])
+    assert got[7] == ("prompt", [("user", "p"), ("assistant", "c")])  # another layout's field changes nothing
+    assert got[6] == ("messages", [])
 
 
 def test_pages(spark):
