@@ -1,19 +1,22 @@
 """HTML extraction by a tree-structured graphical model.
 
-Block elements of a page are the nodes of a tree; each is content, holds none, or holds content and more. A node's potential comes from what can be seen of it
-(tag, words of its class, id and role, amount of text, share of link text, sentence marks, form fields), an
-edge's potential from the kind of the child. Sum-product messages go up and down once and give every node's exact
-marginal; text that stands directly in a node with a content marginal over one half belongs to the main text.
+Block elements of a page are the nodes of a tree, and so is text that stands beside block elements; each is content, holds none, or holds
+content and more. A node's potential comes from what can be seen of it: its tag, the words of its class, id and role, and, in any language, its
+amount of text, also next to its siblings and the page, the length of its blocks, where on the page it stands, its share of link text, sentence
+marks and form fields. An edge's potential comes from the kind of the child. Sum-product messages go up and down once, as logarithms, and give every
+node's exact marginal; text that stands directly in a node with a content marginal over one half belongs to the main text.
 
 Potentials are counted, with add-one smoothing, over labelled pages: a page and its content text; a node counts as content if at
-least ``LABEL_SHARE`` of its text stands in content blocks, and as neutral if less but some does. ``fit`` counts on Spark. The query trains on ``TRAINING_PAGES``
+least ``LABEL_SHARE`` of its text stands in content blocks, and as neutral if less but some does. Amounts say much the same of a node, so
+each of their potentials counts to the power ``AMOUNTS``. ``fit`` counts on Spark. The query trains on ``TRAINING_PAGES``
 made-up pages (``labelled_pages``: articles in several layouts among menus, headers, footers, sidebars, notices, adverts,
-forms and comments); this number bounds what is sent to the driver.
+forms and comments, half of them without names that say what they are); this number bounds what is sent to the driver.
 
 Text: character references are decoded, white space inside a block (line break elements too) becomes one space, blocks are trimmed and
-joined by line ends in page order. Cases: null or empty html gives an empty text; text without markup is one block of the
-root; unclosed, misnested and cut-off markup is read as far as it goes; repeated rows are extracted one by one; an
-empty table gives an empty table. Nothing is dropped for its length. Only the id, URL and html columns are read.
+joined by line ends in page order. Buttons, selections and text fields have no text. Cases: null or empty html gives an empty text; text without
+markup is one block of the root; unclosed, misnested and cut-off markup is read as far as it goes: a tag without an end ends the page, an attribute value without its closing
+quote ends at the next ``>``, a script, style, title or frame without an end takes the rest of the page, and other skipped elements without an end are read; repeated rows are
+extracted one by one; an empty table gives an empty table. Nothing is dropped for its length, and reading is linear in it, whatever the markup. Only the id, URL and html columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
-from math import exp, log
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,29 +37,35 @@ from slate.llm.batches import sliced
 
 TRAINING_PAGES = 1500
 LABEL_SHARE = 0.8
-CLIP = 30.0
+AMOUNTS = 0.3
+#: A word of names counts if so many nodes of the training pages have it.
+NAMED = 4
 
 #: Element kinds of HTML.
-RAW = frozenset("script style noscript template iframe svg math object textarea title head".split())
+RAW = frozenset("script style noscript template iframe svg math object textarea title head button select".split())
+TO_THE_END = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q ruby rp rt s samp select small span strike strong sub sup time tt u var wbr br source link meta".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br source link meta".split()
 )
 CLOSED_BY = {
-    "li": frozenset(["li"]),
-    "dt": frozenset(["dt", "dd"]),
-    "dd": frozenset(["dt", "dd"]),
-    "tr": frozenset(["tr", "td", "th"]),
-    "td": frozenset(["td", "th"]),
-    "th": frozenset(["td", "th"]),
-    "option": frozenset(["option"]),
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "option": ("option",),
 }
-SCOPE = frozenset("ul ol dl table".split())
+SCOPE = ("ul", "ol", "dl", "table")
 FIELDS = frozenset("input select textarea button option".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_MARKUP = re.compile("<(/?)([a-zA-Z][^\\s/>]*)|<!--|<[!?/]")
+_PLACE = re.compile("[>=]")
+_QUOTE = re.compile("=\\s*([\"']?)")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+TEXT_NODE = "#text"
 
 
 @dataclass(slots=True)
@@ -64,10 +73,14 @@ class Node:
     parent: int
     tag: str
     names: str = ""
+    #: Characters of the page's text before this node.
+    before: int = 0
     chars: int = 0
+    blocks: int = 0
     link_chars: int = 0
     marks: int = 0
     fields: int = 0
+    signs: int = 0
 
 
 @dataclass(slots=True)
@@ -75,6 +88,53 @@ class Page:
     nodes: list[Node] = field(default_factory=lambda: [Node(-1, "#root")])
     #: (node, text) in page order.
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    #: Number of block elements in each node.
+    inner: Counter[int] = field(default_factory=Counter)
+
+
+class _Tags:
+    """Where tags end. A place from which no end was found is kept, so none is read twice and the whole is linear."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.dead: set[int] = set()
+        self.unended: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The ``>`` that ends a tag whose name ends at ``at``; -1 if there is none."""
+        html, place, passed = self.html, at, []
+        while place not in self.dead:
+            passed.append(place)
+            if (m := _PLACE.search(html, place)) is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            quote = _QUOTE.match(html, m.start())
+            place = html.find(quote[1], quote.end()) + 1 if quote[1] else quote.end()
+            if not place:
+                break
+        self.dead.update(passed)
+        return html.find(">", at)
+
+    def past(self, tag: str, at: int) -> int:
+        """Where an element that is skipped ends."""
+        if tag not in self.unended:
+            m = _closing(tag).search(self.html, at)
+            if m and m[0] == "<body":
+                return m.start()
+            if m and (end := self.html.find(">", m.end())) >= 0:
+                return end + 1
+            self.unended.add(tag)
+        return len(self.html) if tag in TO_THE_END else at
+
+
+_ENDS: dict[str, re.Pattern[str]] = {}
+
+
+def _closing(tag: str) -> re.Pattern[str]:
+    if tag not in _ENDS:
+        _ENDS[tag] = re.compile(rf"</{tag}(?![^\s/>])" + (r"|<body(?![^\s/>])" if tag == "head" else ""), re.I)
+    return _ENDS[tag]
 
 
 def parse(html: str) -> Page:
@@ -82,49 +142,58 @@ def parse(html: str) -> Page:
     page = Page()
     nodes, blocks = page.nodes, page.blocks
     stack = [0]
+    #: Places in the stack of the open elements of each tag.
+    opened: dict[str, list[int]] = defaultdict(list)
     pending: list[str] = []
-    links = 0
+    links = read = linked = 0
+    tags = _Tags(html)
 
     def flush() -> None:
+        nonlocal read, linked
         if pending:
             text = " ".join(unescape("".join(pending)).split())
             pending.clear()
             if text:
                 blocks.append((stack[-1], text))
+                read += len(text)
                 node = nodes[stack[-1]]
                 node.chars += len(text)
-                node.marks += text.count(".") + text.count(",") + text.count("?") + text.count("!")
-
-    def shut(tags: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                flush()
-                del stack[k:]
-                return
-            if tag in stop:
-                return
+                node.blocks += 1
+                node.link_chars += min(linked, len(text))
+                node.marks += sum(map(text.count, ".,?!"))
+                node.signs += "\u00a9" in text
+            linked = 0
+
+    def back_to(k: int) -> None:
+        """Closes the open elements from place ``k`` of the stack on."""
+        flush()
+        while len(stack) > k:
+            opened[nodes[stack.pop()].tag].pop()
 
     at, size = 0, len(html)
     while at < size:
-        m = _TOKEN.search(html, at)
+        m = _MARKUP.search(html, at)
         upto = m.start() if m else size
         if upto > at:
-            text = html[at:upto]
-            pending.append(text)
+            pending.append(html[at:upto])
             if links:
-                nodes[stack[-1]].link_chars += len(text)
+                linked += upto - at
         if not m:
             break
-        at = m.end()
-        closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if not m[2]:
+            end = html.find("-->", m.end()) + 3 if m[0] == "<!--" else html.find(">", m.end()) + 1
+            at = end if end > m.end() else size
             continue
-        tag = tag.lower()
+        closing, tag = m[1], m[2].lower()
+        end = tags.end(m.end())
+        if end < 0:
+            break
+        rest, at = html[m.end() : end], end + 1
         if tag in RAW:
-            if not closing and not rest.endswith("/"):
-                end = _closing(tag).search(html, at)
-                at = end.end() if end else (at if tag == "head" else size)
+            if not closing:
+                nodes[stack[-1]].fields += tag in FIELDS
+                if not rest.endswith("/"):
+                    at = tags.past(tag, at)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -134,36 +203,44 @@ def parse(html: str) -> Page:
             if tag in FIELDS and not closing:
                 nodes[stack[-1]].fields += 1
             continue
+        links = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    flush()
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                back_to(opened[tag][-1])
             else:
                 flush()
-            links = 0
             continue
         flush()
-        links = 0
         if nodes[stack[-1]].tag == "p":
-            stack.pop()
+            back_to(len(stack) - 1)
         if tag in CLOSED_BY:
-            shut(CLOSED_BY[tag], SCOPE)
-        nodes.append(Node(stack[-1], tag, " ".join(x or y or z for x, y, z in _NAMES.findall(rest)) if "=" in rest else ""))
+            nearest = max((opened[t][-1] for t in CLOSED_BY[tag] if opened[t]), default=0)
+            if nearest > max((opened[t][-1] for t in SCOPE if opened[t]), default=0):
+                back_to(nearest)
+        page.inner[stack[-1]] += 1
+        nodes.append(Node(stack[-1], tag, " ".join(x or y or z for x, y, z in _NAMES.findall(rest)) if "=" in rest else "", read))
         if tag not in VOID:
+            opened[tag].append(len(stack))
             stack.append(len(nodes) - 1)
     flush()
+    _part_texts(page)
     return page
 
 
-_ENDS: dict[str, re.Pattern[str]] = {}
-
-
-def _closing(tag: str) -> re.Pattern[str]:
-    if tag not in _ENDS:
-        _ENDS[tag] = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I)
-    return _ENDS[tag]
+def _part_texts(page: Page) -> None:
+    """Text beside block elements becomes a node of its own."""
+    before = 0
+    for k, (i, text) in enumerate(page.blocks):
+        if page.inner[i]:
+            signs, marks = "\u00a9" in text, sum(map(text.count, ".,?!"))
+            above = page.nodes[i]
+            share = above.link_chars * len(text) // max(above.chars, 1)
+            page.nodes.append(Node(i, TEXT_NODE, "", before, len(text), 1, share, marks, 0, signs))
+            page.blocks[k] = (len(page.nodes) - 1, text)
+        before += len(text)
+    for i in {page.nodes[i].parent for i, _ in page.blocks if page.nodes[i].tag == TEXT_NODE}:
+        above = page.nodes[i]
+        above.chars = above.blocks = above.link_chars = above.marks = above.signs = 0
 
 
 def _bucket(x: float, edges: tuple[float, ...]) -> int:
@@ -171,22 +248,36 @@ def _bucket(x: float, edges: tuple[float, ...]) -> int:
 
 
 def features(page: Page) -> list[list[str]]:
-    """What is seen of every node: first its kind, then the rest. Amounts are those of the whole subtree."""
+    """What is seen of every node: first its kind, then its amounts, then the words of its names. Amounts are those of the whole subtree."""
     nodes = page.nodes
+    # texts beside elements come last, so their amounts are added first
     for i in range(len(nodes) - 1, 0, -1):
         node, up = nodes[i], nodes[nodes[i].parent]
         up.chars += node.chars
+        up.blocks += node.blocks
         up.link_chars += node.link_chars
         up.marks += node.marks
         up.fields += node.fields
+        up.signs += node.signs
+    largest = [0] * len(nodes)
+    for node in nodes[1:]:
+        largest[node.parent] = max(largest[node.parent], node.chars)
+    whole = max(nodes[0].chars, 1)
     out = []
     for node in nodes:
+        chars = max(node.chars, 1)
         own = [
             f"tag {node.tag}",
-            f"chars {_bucket(node.chars, (0, 15, 60, 250, 1000))}",
-            f"links {_bucket(node.link_chars / node.chars if node.chars else 0, (0.05, 0.3, 0.7))}",
-            f"marks {_bucket(100 * node.marks / node.chars if node.chars else 0, (0.3, 1, 4))}",
+            f"chars {_bucket(node.chars, (0, 15, 60, 250, 1000))} {node.tag}",
+            f"links {(linked := _bucket(node.link_chars / chars, (0.05, 0.3, 0.7)))}",
+            f"linked {linked} {node.tag}",
+            f"marks {_bucket(100 * node.marks / chars, (0.3, 1, 4))}",
+            f"length {_bucket(node.chars / max(node.blocks, 1), (12, 30, 70, 160))}",
+            f"beside {_bucket(node.chars / max(largest[node.parent], 1), (0.03, 0.15, 0.4, 0.99)) if node.parent >= 0 else 4}",
+            f"share {_bucket(node.chars / whole, (0.02, 0.1, 0.4, 0.8))}",
+            f"start {_bucket(node.before / whole, (0, 0.05, 0.25, 0.75, 0.93))}",
             f"fields {_bucket(node.fields, (0, 2))}",
+            f"signs {_bucket(node.signs, (0,))}{_bucket(node.chars, (250,))}",
         ]
         if node.names:
             own += {f"name {part.lower()}" for part in _PART.findall(node.names)}
@@ -198,26 +289,33 @@ def features(page: Page) -> list[list[str]]:
 NEUTRAL, CONTENT, NOISE = STATES = (0, 1, 2)
 
 
+def _sum(x: float, y: float, z: float) -> float:
+    """The logarithm of a sum, from the logarithms of its parts."""
+    top = x if x > y else y
+    top = z if z > top else top
+    return top + log(exp(x - top) + exp(y - top) + exp(z - top))
+
+
 def _normal(x: list[float]) -> list[float]:
-    total = x[0] + x[1] + x[2]
-    return [max(v / total, 1e-200) for v in x]
+    """Logarithms of shares of one."""
+    total = _sum(*x)
+    return [v - total for v in x]
 
 
 @dataclass
 class Model:
-    """Log probabilities of node features by state, and child-given-parent tables by the child's kind."""
+    """Log probabilities of node features by state, and of child given parent by the child's kind."""
 
     root: list[float]
     feature: dict[str, list[float]]
     edge: dict[str, list[list[float]]]
 
     def _potential(self, names: list[str]) -> list[float]:
-        known = [w for name in names if (w := self.feature.get(name)) is not None]
-        if not known:
-            return [1.0, 1.0, 1.0]
-        sums = [sum(w) for w in zip(*known, strict=True)]
-        top = max(sums)
-        return [exp(max(x - top, -CLIP)) for x in sums]
+        x = y = z = 0.0
+        for name in names:
+            if (w := self.feature.get(name)) is not None:
+                x, y, z = x + w[0], y + w[1], z + w[2]
+        return [x, y, z]
 
     def marginals(self, page: Page) -> list[float]:
         """The content probability of every node, by sum-product messages up and down the tree."""
@@ -225,20 +323,22 @@ class Model:
         edges = [self.edge.get(own[0], self.edge["tag"]) for own in seen]
         # what a node's own potential and the messages from its children say
         below = [self._potential(names) for names in seen]
-        up = [[1.0, 1.0, 1.0]] * len(nodes)
+        up = [[0.0, 0.0, 0.0]] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             x, y, z = below[i]
-            up[i] = _normal([row[0] * x + row[1] * y + row[2] * z for row in edges[i]])
-            p = nodes[i].parent
-            below[p] = _normal([a * b for a, b in zip(below[p], up[i], strict=True)])
+            up[i] = message = _normal([_sum(row[0] + x, row[1] + y, row[2] + z) for row in edges[i]])
+            into = below[nodes[i].parent]
+            for s in STATES:
+                into[s] += message[s]
         belief = below
-        belief[0] = _normal([a * b for a, b in zip(belief[0], self.root, strict=True)])
+        belief[0] = _normal([a + b for a, b in zip(belief[0], self.root, strict=True)])
         for i in range(1, len(nodes)):
             # what the parent believes without this child's message
-            x, y, z = _normal([a / b for a, b in zip(belief[nodes[i].parent], up[i], strict=True)])
+            x, y, z = (a - b for a, b in zip(belief[nodes[i].parent], up[i], strict=True))
             first, second, third = edges[i]
-            belief[i] = _normal([below[i][s] * (x * first[s] + y * second[s] + z * third[s]) for s in STATES])
-        return [b[CONTENT] for b in belief]
+            own = below[i]
+            belief[i] = _normal([own[s] + _sum(x + first[s], y + second[s], z + third[s]) for s in STATES])
+        return [exp(b[CONTENT]) for b in belief]
 
     def text(self, html: str | None) -> str:
         page = parse(html or "")
@@ -282,17 +382,22 @@ def counts(html: str, content: str) -> Counter[tuple[str, str]]:
 def model_from(totals: dict[tuple[str, str], int]) -> Model:
     get = defaultdict(int, totals)
     nodes = [get["nodes", f"{s}"] for s in STATES]
-    names = {what for what, label in totals if len(label) == 1} - {"nodes", "root"}
-    feature = {name: [log((get[name, f"{s}"] + 1) / (nodes[s] + 2)) for s in STATES] for name in names}
+    feature = {}
+    for name in {what for what, label in totals if len(label) == 1} - {"nodes", "root"}:
+        seen = [get[name, f"{s}"] for s in STATES]
+        if name.startswith("name ") and sum(seen) < NAMED:
+            continue
+        power = 1.0 if name.startswith(("tag ", "name ", "linked ")) else AMOUNTS
+        feature[name] = [power * log((n + 1) / (total + 2)) for n, total in zip(seen, nodes, strict=True)]
     edge = {}
     for kind in {what for what, label in totals if len(label) == 2} | {"tag"}:
         rows = []
         for parent in STATES:
             # a kind's own counts, filled up with those of all kinds
-            all_kinds = _normal([get["tag", f"{parent}{s}"] + 0.01 for s in STATES])
-            rows.append(_normal([get[kind, f"{parent}{s}"] + 2 * all_kinds[s] for s in STATES]))
+            all_kinds = _normal([log(get["tag", f"{parent}{s}"] + 0.01) for s in STATES])
+            rows.append(_normal([log(get[kind, f"{parent}{s}"] + 2 * exp(all_kinds[s])) for s in STATES]))
         edge[kind] = rows
-    return Model(_normal([get["root", f"{s}"] + 1 for s in STATES]), feature, edge)
+    return Model(_normal([log1p(get["root", f"{s}"]) for s in STATES]), feature, edge)
 
 
 def fit(labelled: DataFrame, html_col: str = "html", content_col: str = "content") -> Model:
@@ -330,6 +435,9 @@ class _Maker:
         self.r = random.Random(seed)
         self.content: list[str] = []
         self.n = 0
+        #: Names say what they are, are missing, or are words that no other page has.
+        self.naming = self.r.choice(("known", "known", "none", "own"))
+        self.own_names = {kind: "".join(self.r.choice("abcdefghijklmnoprstuvwxyz") for _ in range(self.r.randint(4, 10))) for kind in self.NAMES}
 
     def words(self, a: int, b: int, end: str = ".") -> str:
         r = self.r
@@ -341,9 +449,9 @@ class _Maker:
         return " ".join(out).capitalize() + end
 
     def named(self, kind: str, often: float = 0.85) -> str:
-        if self.r.random() > often:
+        if self.naming == "none" or self.r.random() > often:
             return ""
-        return f' {self.r.choice(("class", "class", "id"))}="{self.r.choice(self.NAMES[kind])}"'
+        return f' {self.r.choice(("class", "class", "id"))}="{self.own_names[kind] if self.naming == "own" else self.r.choice(self.NAMES[kind])}"'
 
     def keep(self, text: str) -> str:
         self.content.append(text)
@@ -355,6 +463,9 @@ class _Maker:
 
     def noise(self, kind: str) -> str:
         r = self.r
+        if kind == "menu" and r.random() < 0.25:
+            bar = r.choice((" | ", " ", " &middot; ", "<br>")).join(f'<a href="/{i}">{self.words(1, 2, "")}</a>' for i in range(r.randint(3, 12)))
+            return f"<div{self.named('menu', 1)}>{bar}</div>"
         if kind == "menu":
             tag = r.choice(("nav", "nav", "div", "ul"))
             inner = self.links(r.randint(3, 9))
@@ -372,7 +483,7 @@ class _Maker:
             inner = r.choice((f"<h3>{self.words(1, 4, '')}</h3>{self.links(r.randint(2, 8))}", f"<h3>{self.words(1, 3, '')}</h3><p>{self.words(8, 40)}</p>", f"<p>{self.words(5, 30)}</p>"))
             return f"<{tag}{self.named('side', 0.5 if tag == 'aside' else 1)}>{inner}</{tag}>"
         if kind in ("notice", "advert"):
-            tag = r.choice(("div", "div", "section", "p", "aside"))
+            tag = r.choice(("div", "div", "section", "aside", "p" if self.naming == "known" else "div"))
             inner = self.words(3, 30) if tag == "p" or r.random() < 0.5 else f"<p>{self.words(4, 30)}</p>"
             return f"<{tag}{self.named(kind, 1)}>{inner}{'<button>' + self.words(1, 2, '') + '</button>' if r.random() < 0.3 else ''}</{tag}>"
         if kind == "form":
@@ -383,43 +494,69 @@ class _Maker:
         tag = r.choice(("section", "div"))
         return f"<{tag}{self.named('comments', 1)}><h2>{self.words(1, 3, '')}</h2>{'<ol>' + inner + '</ol>' if t == 'li' else inner}</{tag}>"
 
+    def paragraph(self) -> str:
+        r = self.r
+        text = self.keep(self.words(*r.choice(((0, 2), (1, 6), (2, 12), (12, 60), (30, 160), (80, 300)) if r.random() < 0.99 else ((1500, 4000),))))
+        cut = text.split(" ")
+        k = r.randrange(len(cut))
+        cut[k] = r.choice((cut[k], cut[k], f"<b>{cut[k]}</b>", f'<a href="/x">{cut[k]}</a>', f"<em>{cut[k]}</em>", f"<code>{cut[k]}</code>"))
+        return " ".join(cut)
+
     def block(self) -> str:
         r, kind = self.r, self.r.random()
-        if kind < 0.72:
-            text = self.keep(self.words(*r.choice(((1, 6), (12, 60), (30, 160), (80, 300)))))
-            cut = text.split(" ")
-            k = r.randrange(len(cut))
-            cut[k] = r.choice((cut[k], cut[k], f"<b>{cut[k]}</b>", f'<a href="/x">{cut[k]}</a>', f"<em>{cut[k]}</em>"))
-            return f"<p>{' '.join(cut)}" + ("</p>" if r.random() < 0.9 else "")
-        if kind < 0.82:
-            return f"<h2>{self.keep(self.words(2, 9, ''))}</h2>"
-        if kind < 0.9:
-            return "<ul>" + "".join(f"<li>{self.keep(self.words(3, 25))}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
-        if kind < 0.94:
+        if kind < 0.68:
+            return f"<p>{self.paragraph()}" + ("</p>" if r.random() < 0.9 else "")
+        if kind < 0.78:
+            return f"<{(h := r.choice(('h2', 'h2', 'h3', 'h4')))}>{self.keep(self.words(2, 9, ''))}</{h}>"
+        if kind < 0.85:
+            tag = r.choice(("ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{self.keep(self.words(*r.choice(((1, 4), (3, 25)))))}</li>" for _ in range(r.randint(2, 8))) + f"</{tag}>"
+        if kind < 0.88:
             return f"<blockquote>{self.keep(self.words(10, 60))}</blockquote>"
-        if kind < 0.97:
+        if kind < 0.91:
             return f"<figure><img src='/i.png'><figcaption>{self.keep(self.words(4, 20))}</figcaption></figure>"
-        return f"<table><tr><td>{self.keep(self.words(1, 5, ''))}</td><td>{self.keep(self.words(1, 5, ''))}</td></tr></table>"
+        if kind < 0.95:
+            code = self.keep(" ".join(r.choice(("x = 1", "for i in y:", "foo(a, b)", "{", "}", "return z", "if (a > b) {", "import os")).replace("<", "") + f" # q{self.n}" for _ in range(r.randint(1, 12))))
+            self.n += 1
+            return r.choice(("<pre>{}</pre>", "<pre><code>{}</code></pre>", "<div class=highlight><pre>{}</pre></div>")).format(code.replace(">", "&gt;").replace(" ", "\n  "))
+        if kind < 0.97:
+            return "<dl>" + "".join(f"<dt>{self.keep(self.words(1, 3, ''))}</dt><dd>{self.keep(self.words(4, 30))}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
+        cells = lambda: "".join(f"<td>{self.keep(self.words(1, 5, ''))}</td>" for _ in range(3))
+        top = f"<tr>{cells().replace('td>', 'th>')}</tr>" if r.random() < 0.4 else ""
+        return f"<table>{top}" + "".join(f"<tr>{cells()}</tr>" for _ in range(r.randint(1, 5))) + "</table>"
 
     def article(self) -> str:
         r = self.r
         inner = [f"<h1>{self.keep(self.words(2, 12, r.choice(('', '.'))))}</h1>"]
-        for _ in range(r.choice((1, 2, 4, 8, 15))):
-            inner.append(self.block())
-            if r.random() < 0.06:
+        bare = r.random() < 0.12  # text between line breaks and no paragraphs
+        section = r.random() < 0.15
+        for _ in range(r.choice((1, 2, 4, 8, 15, 40))):
+            inner.append(self.run() if bare else f"<section>{self.block()}{self.block()}</section>" if section else self.block())
+            if r.random() < 0.05:
                 inner.append(self.noise(r.choice(("advert", "side", "form", "notice"))))
         if r.random() < 0.15:
             inner.append(self.noise("comments"))
-        tag = r.choice(("article", "article", "main", "div", "section"))
+        tag = r.choice(("article", "main", "div", "div", "section"))
         body = f"<{tag}{self.named('content', 0.35 if tag in ('article', 'main') else 1)}>{''.join(inner)}</{tag}>"
         return f"<main{self.named('content', 0.3)}>{body}</main>" if tag == "article" and r.random() < 0.3 else body
 
+    def run(self) -> str:
+        """Text that stands in the article's own element; a rule behind it keeps it from the next."""
+        return self.keep(self.words(20, 120)) + "<hr>"
+
     def page(self) -> tuple[str, str]:
         r = self.r
         before = [k for k in ("notice", "header", "menu", "advert", "form", "side") if r.random() < 0.5]
         after = [k for k in ("comments", "side", "advert", "form", "menu", "footer", "notice") if r.random() < 0.45]
-        middle = [self.noise(k) for k in before] + [self.article()] + [self.noise(k) for k in after]
-        body = "".join(middle)
+        first, own, last = [self.noise(k) for k in before], self.article(), [self.noise(k) for k in after]
+        if r.random() < 0.12:  # a table holds the columns
+            column = lambda kinds: f"<td{self.named('side', 0.5)}>{''.join(kinds)}</td>" if kinds else ""
+            line = lambda: f"<a href='/'>{self.words(1, 3, '')}</a>{r.choice((' | ', '<br>'))}" * r.randint(2, 8)
+            row = lambda inner: f"<tr><td{self.named('header', 0.3)}>{inner}</td></tr>" if r.random() < 0.6 else ""
+            aside = f"<td>{line()}</td>" if r.random() < 0.4 else column(first)
+            body = f"<table>{row(line())}<tr>{aside}<td{self.named('content', 0.5)}>{own}</td>{column(last)}</tr>{row(self.noise('footer'))}</table>"
+        else:
+            body = "".join([*first, own, *last])
         for _ in range(r.choice((0, 0, 1, 2))):
             body = f"<div{self.named('wrap')}>{body}</div>"
         head = f"<head><title>{self.words(2, 8, '')}</title><script>var t='<p>';</script><style>p{{}}</style></head>"

@@ -4,6 +4,7 @@ import array
 import collections
 import hashlib
 import html as markup
+import math
 import random
 import re
 import zlib
@@ -201,11 +202,13 @@ def test_messages_are_exact_marginals():
     seen = htmltext.features(htmltext.parse("<body><nav><ul><li>a b</ul></nav><article class=post><p>Some words, here.<p>x</article></body>"))
     weights, total = [0.0] * len(page.nodes), 0.0
     for states in itertools.product(htmltext.STATES, repeat=len(page.nodes)):
+        # the model holds logarithms
         w = model.root[states[0]]
         for i, s in enumerate(states):
-            w *= model._potential(seen[i])[s]
+            w += model._potential(seen[i])[s]
             if i:
-                w *= model.edge.get(seen[i][0], model.edge["tag"])[states[page.nodes[i].parent]][s]
+                w += model.edge.get(seen[i][0], model.edge["tag"])[states[page.nodes[i].parent]][s]
+        w = math.exp(w)
         total += w
         for i, s in enumerate(states):
             weights[i] += w * (s == htmltext.CONTENT)
