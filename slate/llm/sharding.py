@@ -1,14 +1,16 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Groups are rows with equal texts. A group stays together unless it is heavier, in any of the three measures, than
-``1 / pieces`` of a shard; then its rows are dealt in turn to as many pieces as it has such shares, so a text that a
-third of all rows hold is spread. All other groups share ``bundles`` units by their text's hash. What is packed is
-therefore bounded whatever the input: at most ``bundles`` units and 3 * shards * pieces pieces (and one rounding piece
-per heavy group). Only their three sums go to the driver.
+Groups are rows with equal texts. A group stays together as long as it has at most the share ``whole`` of a shard in each of the three
+measures; only a heavier one, which would unbalance its shard, is split: its rows are dealt in turn to pieces of at most that share, so a text that
+a third of all rows hold is spread. Groups heavier than ``1 / fine`` of a shard are packed one by one, all lighter ones
+as ``bundles`` units by their text's hash. This rule is the same at every size, and what is packed is bounded by it: at most
+3 * shards * fine groups, as many pieces at most, and ``bundles`` units. Only their sums go to the driver. With few groups nearly every one has a
+bundle of its own; with very many a bundle is a small sample of them, and its groups go the same way.
 
 Units are placed largest first. Each goes to the shard where the dot product of its vector with the shard's residual
 capacity is highest, all measures as shares of a shard. Then the fullest and the emptiest shard trade single units as long as
-that brings their bytes closer. The law that holds is ``bytes``: shard sizes are near equal.
+that brings their bytes closer and leaves the tokens and rows of both between the least and the most that the placing gave to any shard. So trades
+make no measure's spread wider. The law that holds is ``bytes``: shard sizes are near equal.
 
 Slots number the rows of a shard from 0 in ascending id order without gaps. They come from a range-partitioned sort
 and one count per (partition, shard), never from one task per shard.
@@ -28,7 +30,11 @@ from slate.session import cut
 
 SHARDS = 40
 BUNDLES = 16_384
-PIECES = 64
+FINE = 64
+WHOLE = 0.5
+TRADES = 400
+#: Pairs of units that are looked at in one array.
+BLOCK = 1_000_000
 OVERHEAD = 16
 MEASURES = ("size", "tokens", "one")
 _LOW = (1 << 33) - 1
@@ -46,37 +52,42 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def even(sizes: np.ndarray, placed: np.ndarray, shards: int, trades: int = 4_000) -> np.ndarray:
-    """Trades between the fullest and the emptiest shard until no trade of two units (or move of one) narrows their gap."""
+def even(vectors: np.ndarray, placed: np.ndarray, shards: int, trades: int = TRADES) -> np.ndarray:
+    """Trades between the fullest and the emptiest shard by the first measure, which widen the spread of no other.
+
+    A trade gives one unit and takes one or none back. It ends when no such trade narrows the gap.
+    """
     out = placed.copy()
-    load = np.bincount(out, sizes, shards)
+    load = np.stack([np.bincount(out, v, shards) for v in vectors.T], axis=1)
+    least, most = load.min(axis=0), load.max(axis=0)
     for _ in range(trades):
-        full, empty = int(load.argmax()), int(load.argmin())
-        gap = load[full] - load[empty]
+        full, empty = int(load[:, 0].argmax()), int(load[:, 0].argmin())
+        gap = load[full, 0] - load[empty, 0]
         give, take = np.flatnonzero(out == full), np.flatnonzero(out == empty)
-        take = take[np.argsort(sizes[take], kind="stable")]
-        against = np.concatenate(([0.0], sizes[take]))  # 0: nothing comes back
-        wanted = sizes[give] - gap / 2
-        at = np.searchsorted(against, wanted)
-        best = (np.inf, -1, -1)
-        for shift in (-1, 0):
-            near = np.clip(at + shift, 0, len(against) - 1)
-            off = np.abs(sizes[give] - against[near] - gap / 2)
-            k = int(off.argmin()) if len(off) else -1
-            if k >= 0 and off[k] < best[0]:
-                best = (float(off[k]), k, int(near[k]))
-        moved = 0.0 if best[1] < 0 else sizes[give[best[1]]] - against[best[2]]
-        if not 0 < moved < gap:
+        back = np.concatenate((np.zeros((1, vectors.shape[1])), vectors[take]))  # first: nothing comes back
+        best, i, j = gap, -1, -1
+        step = max(1, BLOCK // len(back))
+        for start in range(0, len(give), step):
+            moved = vectors[give[start : start + step]][:, None, :] - back[None, :, :]
+            after = np.abs(gap - 2 * moved[:, :, 0])
+            for m in range(1, vectors.shape[1]):
+                one, other = load[full, m] - moved[:, :, m], load[empty, m] + moved[:, :, m]
+                after[(np.minimum(one, other) < least[m]) | (np.maximum(one, other) > most[m])] = np.inf
+            k = int(after.argmin())
+            if after.flat[k] < best:
+                best, (i, j) = float(after.flat[k]), divmod(k, len(back))
+                i += start
+        if i < 0:
             break
-        out[give[best[1]]] = empty
-        if best[2]:
-            out[take[best[2] - 1]] = full
-        load[full] -= moved
-        load[empty] += moved
+        out[give[i]] = empty
+        if j:
+            out[take[j - 1]] = full
+        load[full] -= vectors[give[i]] - back[j]
+        load[empty] += vectors[give[i]] - back[j]
     return out
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, bundles: int = BUNDLES, pieces: int = PIECES) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, bundles: int = BUNDLES, fine: int = FINE, whole: float = WHOLE) -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard and the group's hash for every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -92,9 +103,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
         )
     )
     totals = slim.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in MEASURES]).first()
-    heaviest = F.greatest(*[F.col(m) * (shards * pieces / max(totals[m], 1)) for m in MEASURES])
+    heaviest = F.greatest(*[F.col(m) * (shards / max(totals[m], 1)) for m in MEASURES])
     groups = slim.groupBy("s_group").agg(*[F.sum(m).alias(m) for m in MEASURES])
-    heavy = groups.select("s_group", F.ceil(heaviest).cast("long").alias("s_pieces")).where("s_pieces > 1")
+    # few: each of them holds 1 / fine of a shard in some measure
+    heavy = groups.where(heaviest * fine > 1).select("s_group", F.ceil(heaviest / whole).cast("long").alias("s_pieces"))
     unit = slim.join(F.broadcast(heavy), "s_group", "left").select(
         *slim.columns,
         F.when(F.col("s_pieces").isNull(), F.pmod("s_group", F.lit(bundles))).otherwise(F.col("s_group")).alias("s_unit"),
@@ -102,7 +114,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     )
     sums = unit.groupBy("s_unit", "s_piece").agg(*[F.sum(m).alias(m) for m in MEASURES]).orderBy("s_unit", "s_piece").collect()
     vectors = np.array([[r[m] for m in MEASURES] for r in sums], float).reshape(-1, len(MEASURES))
-    chosen = even(vectors[:, 0], place(vectors, shards), shards)
+    chosen = even(vectors, place(vectors, shards), shards)
     plan = spark.createDataFrame([(r.s_unit, r.s_piece, int(shard)) for r, shard in zip(sums, chosen, strict=True)], "s_unit long, s_piece long, shard int")
     placed = unit.join(F.broadcast(plan), ["s_unit", "s_piece"]).select("s_id", "size", "text_crc32", "s_group", "shard", "s_row")
     return numbered(placed).select(

@@ -90,17 +90,55 @@ def test_links_in_dense_and_crowded_buckets(spark, block):
     assert {f: roots.get(f, f) for f in signed} == plain_components(signed, np.array(own, np.uint64))
 
 
+def spreads(rows):
+    """Spread of bytes, tokens and rows over shards, as shares of a shard, counted from the texts."""
+    load = np.zeros((40, 3))
+    for shard, text in rows:
+        load[shard] += (len((text or "").encode()) + 16, len(re.findall(r"[^\x20\x09-\x0D]+", text or "")), 1)
+    return (load.max(axis=0) - load.min(axis=0)) / load.mean(axis=0), load.mean(axis=0)
+
+
 def test_shards_balance_and_slots_have_no_gaps(spark):
-    rows = sharding.query(spark.read.parquet(DOCS)).collect()
-    total = sum(r["size"] for r in rows)
+    table = spark.read.parquet(DOCS.replace("sf0.001", "sf0.01"))  # with five rows a shard nothing balances
+    rows = sharding.query(table).collect()
     assert {r.shard for r in rows} == set(range(40)) and all(r.law == "bytes" and r.grown_shard is None for r in rows)
     slots = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: r.doc_id):
         slots[r.shard].append(r.slot)
     assert all(s == list(range(len(s))) for s in slots.values())
-    texts = {r.doc_id: r.text for r in spark.read.parquet(DOCS).collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r["size"] == len(texts[r.doc_id].encode()) + 16 for r in rows)
-    assert total == sum(r["size"] for r in rows)
+    assert len(rows) == len(texts)
+    (size, tokens, count), _ = spreads([(r.shard, texts[r.doc_id]) for r in rows])
+    assert size < 0.005 and tokens < 0.08 and count <= 2 / 25
+    held = collections.defaultdict(set)
+    for r in rows:
+        held[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in held.values())  # no group here is as heavy as half a shard
+
+
+def test_trades_widen_no_measure():
+    r = np.random.default_rng(3)
+    for n, shards in ((300, 7), (2000, 40), (40, 40), (5, 8), (1, 3), (0, 4)):
+        vectors = np.stack([r.pareto(1.5, n) * 100 + 16, r.pareto(1.3, n) * 10, r.integers(1, 9, n)], axis=1).astype(float)
+        placed = sharding.place(vectors, shards)
+        traded = sharding.even(vectors, placed, shards)
+        before, after = (np.stack([np.bincount(p, v, shards) for v in vectors.T]) for p in (placed, traded))
+        assert (np.ptp(after, axis=1) <= np.ptp(before, axis=1) + 1e-9).all()
+        assert after.sum(axis=1) == pytest.approx(vectors.sum(axis=0))
+
+
+def test_placing_takes_the_highest_dot_product():
+    """Unit by unit against a plain reading of the rule."""
+    r = np.random.default_rng(4)
+    vectors = r.pareto(1.5, (60, 3)) + 0.1
+    shares = vectors / (vectors.sum(axis=0) / 6)
+    room, wanted = [[1.0] * 3 for _ in range(6)], [0] * 60
+    for unit in sorted(range(60), key=lambda u: -max(shares[u])):
+        shard = max(range(6), key=lambda s: sum(a * b for a, b in zip(room[s], shares[unit], strict=True)))
+        room[shard] = [a - b for a, b in zip(room[shard], shares[unit], strict=True)]
+        wanted[unit] = shard
+    assert sharding.place(vectors, 6).tolist() == wanted
 
 
 def test_a_third_in_one_group_is_spread(spark):
