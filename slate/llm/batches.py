@@ -6,8 +6,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
+    """Partitions for an explicit shuffle of ``df``: the session's number, or more where its inputs have more than ``each`` bytes for each of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 17))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

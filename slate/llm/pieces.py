@@ -9,8 +9,9 @@ followed by a character that is neither letter nor digit; ``Vocabulary`` checks
 that a task has not met lately. Short segments of a batch share one agenda in numpy arrays: each round takes the best
 pair of every segment at once. Long segments have a heap each.
 
-Every batch is checked against the sentencepiece library, ids and decoded texts alike; ``agrees`` says whether both
-were equal, and where they were not the library's result is returned.
+Ids and decoded texts come from the agenda alone. Every batch is checked against the sentencepiece library, ids and decoded texts alike, and a
+difference is an error: the library knows models (other normalisers, user symbols) that this module does not. ``agrees`` says that a row was
+checked and equal.
 
 Cases: a null or empty text has only the begin and end ids and decodes to an empty text; repeated rows are encoded one by
 one; an empty table gives an empty table. Texts are never cut. Only the id and text columns are read by ``encoded``.
@@ -248,33 +249,30 @@ def _vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
+def checked(own: Vocabulary, texts: list[str]) -> tuple[list[bytes], list[str]]:
+    """Ids and decoded texts by the agenda; an error where the library gives others."""
+    ids = own.encode(texts)
+    decoded = [own.decode(x) for x in ids]
+    theirs = own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+    for text, mine, other, back, other_back in zip(texts, ids, theirs, decoded, own.library.decode(theirs, num_threads=1), strict=True):
+        if mine != array("I", other).tobytes() or back != other_back:
+            raise RuntimeError(f"the agenda and the sentencepiece library disagree on a text of {len(text)} characters that begins with {text[:60]!r}")
+    return ids, decoded
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """id, ids (little-endian unsigned 32-bit), n_tokens, decoded text, and whether the library agrees."""
+    """id, ids (little-endian unsigned 32-bit), n_tokens, decoded text, and that the library agrees."""
     held = docs.sparkSession.sparkContext.broadcast(Path(model or public_tokenizers.path(MODEL)).read_bytes())
     fields = docs.select(F.col(id_col), F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("decoded"), F.lit(True).alias("agrees"))
     names = fields.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _vocabulary(held.value)
-        library = own.library
         try:
             for batch in sliced(batches, 1, 2 << 20):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = own.encode(texts)
-                theirs = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                back, decoded = library.decode(theirs, num_threads=1), [own.decode(x) for x in ids]
-                packed = [array("I", x).tobytes() for x in theirs]
-                agrees = [a == b and c == d for a, b, c, d in zip(ids, packed, decoded, back, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(packed if not all(agrees) else ids, pa.binary()),
-                        pa.array([len(x) // 4 for x in packed], pa.int64()),
-                        pa.array(back if not all(agrees) else decoded, pa.string()),
-                        pa.array(agrees, pa.bool_()),
-                    ],
-                    names=names,
-                )
+                ids, decoded = checked(own, [t or "" for t in batch.column(1).to_pylist()])
+                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), sizes, pa.array(decoded, pa.string()), pa.array([True] * len(ids), pa.bool_())], names=names)
         finally:  # the process waits for other tasks, which may need its memory
             own.forget()
 

@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slate.llm.batches import partitions
 from slate.session import cut
 
 SHARDS = 40
@@ -132,8 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
 def numbered(placed: DataFrame) -> DataFrame:
     """Adds ``slot``: the place of a row in its shard, by ascending id."""
     spark = placed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(parts, "shard", "s_id", "s_row").sortWithinPartitions("shard", "s_id", "s_row")
+    ordered = placed.repartitionByRange(partitions(placed), "shard", "s_id", "s_row").sortWithinPartitions("shard", "s_id", "s_row")
     ordered = cut(ordered.withColumn("s_at", F.monotonically_increasing_id()))
     runs = ordered.groupBy(F.shiftright("s_at", 33).alias("s_part"), "shard").agg(F.count("*").alias("n"), F.min("s_at").alias("first")).collect()
     base, before = [], {}

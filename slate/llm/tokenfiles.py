@@ -12,11 +12,11 @@ A file is a run of segments of ``SEGMENT`` ids, a table of its documents (ids, s
     directory  offset of every segment (u64), offset of the documents (u64)
     tail       segments (u64), documents (u64), ids (u64), offset of the directory (u64), b"DACEND01"
 
-``write`` sorts the documents by id over range partitions, encodes each partition and writes one file of it under a fresh
+``write`` sorts the documents by id over range partitions, whose number grows with the input, encodes each partition and writes one file of it under a fresh
 name; a repeated task writes another name. The driver gets one row per file, puts the names and running totals in a manifest,
 and removes files that no manifest names. Files go to any file system that pyarrow.fs opens by the path's scheme.
 
-Cases: a null or empty text is just its end id; documents of one id stand together, ordered by text; null ids come first;
+Cases: a null or empty text is just its end id; documents of one id stand together, ordered by the text's XXH64, then the text; null ids come first;
 repeated rows are all written; an empty table gives a manifest without files. Texts are never cut. Only the id
 and text columns are read.
 """
@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.llm.batches import sliced
+from slate.llm.batches import partitions, sliced
 from slate.session import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -213,13 +213,26 @@ CHUNK = re.compile(rb"[%b]*+[^\s%b]++(?:(?<=[a-z0-9])|(?=\s|\Z))|\S+" % (_P, _P)
 #: One word for the tokenizer, whatever stands beside it.
 LETTERS = re.compile(rb"[a-z]+")
 HELD = 400_000
+#: The normaliser and the first split of the tokenizers for which ``CHUNK`` is right.
+LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTED = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Texts of a worker's first batch that are encoded by the library too.
+CHECKED = 16
+
+
+def _splits_at_chunks(parts: dict) -> bool:
+    """Whether a definition lowers and splits its input as ``CHUNK`` does, so that no merge crosses a chunk's end."""
+    before = parts.get("pre_tokenizer") or {}
+    first = before.get("pretokenizers", [before])[0]
+    return parts.get("normalizer") == LOWERED and first == PARTED and parts.get("truncation") is None and not parts["model"].get("dropout")
 
 
 class Encoder:
     """The tokenizers library, asked once for each distinct chunk that was not met lately.
 
-    The tokenizer lowers its input and splits it where ``CHUNK`` does, so the ids of a text are those of its
-    chunks. Texts that may hold special tokens are given to the library whole.
+    Where the tokenizer's definition lowers its input and splits it as ``CHUNK`` does, the ids of a text are those of its
+    chunks. Texts that may hold special tokens, and all texts of other definitions, are given to the library whole. The first texts
+    of every worker process are encoded in both ways, and a difference is an error.
     """
 
     def __init__(self, definition: str) -> None:
@@ -230,6 +243,8 @@ class Encoder:
         added = self.library.get_added_tokens_decoder()
         self.special = [t.content.encode() for t in added.values()]
         parts = json.loads(definition)
+        self.chunked = _splits_at_chunks(parts)
+        self.checked = False
         # the same tokenizer without its normaliser, for chunks that are normal already
         self.plain = Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
         suffix = parts["model"].get("end_of_word_suffix") or None
@@ -269,7 +284,7 @@ class Encoder:
 
     def encode(self, data: list[bytes]) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of texts in UTF-8."""
-        whole = [any(s in x for s in self.special) for x in data]
+        whole = [not self.chunked or any(s in x for s in self.special) for x in data]
         split = [[] if w else CHUNK.findall(x.lower()) for x, w in zip(data, whole, strict=True)]
         # two generations: what was met since the last turn, and what was met in the turn before
         if len(self.known) > HELD:
@@ -278,7 +293,13 @@ class Encoder:
         self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
         self.known.update(self._chunks(missing.difference(self.known)))
         known = self.known.__getitem__
-        return [self._ids(self.library, [x.decode()])[0] if w else b"".join(map(known, own)) for x, w, own in zip(data, whole, split, strict=True)]
+        asked = iter(self._ids(self.library, [x.decode() for x, w in zip(data, whole, strict=True) if w]))
+        out = [next(asked) if w else b"".join(map(known, own)) for w, own in zip(whole, split, strict=True)]
+        if not self.checked:
+            self.checked = True
+            if out[:CHECKED] != self._ids(self.library, [x.decode() for x in data[:CHECKED]]):
+                raise RuntimeError("the ids of chunks are not those that the tokenizers library gives for whole texts")
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -293,8 +314,10 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     definition = spark.sparkContext.broadcast(Path(tokenizer or public_tokenizers.path(TOKENIZER)).read_text())
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("t_text")).repartitionByRange(parts, "t_id").sortWithinPartitions("t_id", "t_text")
+    order = ("t_id", "t_hash", "t_text")
+    keyed = docs.select(F.col(id_col).cast("long").alias("t_id"), F.col(text_col).alias("t_text"), F.xxhash64(F.col(text_col)).alias("t_hash"))
+    # the hash parts the rows of one id, or of none, if they are many
+    ordered = keyed.repartitionByRange(partitions(docs), "t_id", "t_hash").sortWithinPartitions(*order).select("t_id", "t_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = None, None
