@@ -6,8 +6,10 @@ words gives one window. Each window is kept as numbers of a small vocabulary wit
 mapped to the same numbers (0 if no item has the word); only stretches without a 0 can hold a window, their hashes
 are looked up in the set, and every hit is verified against the window's own words.
 
-The set is bounded: items are streamed to the driver and cut into sets of at most ``max_windows`` windows. Each set
-is broadcast and scanned in its own pass over the rows, so a larger benchmark takes more passes, not more memory.
+The set is bounded: items are streamed to the driver and cut into sets of at most ``max_windows`` windows and ``MAX_BYTES`` of words. A benchmark that is
+one set is scanned in one pass without a write or a shuffle. For a larger one the texts are written once, and each set is broadcast, scanned in a job of its own
+that writes the rows that it hits, and released before the next one is built; then the hits of a row are put together. So a larger benchmark takes
+more passes, and no more memory in the driver or a worker.
 
 Cases: a null or empty text has no words and is clean; an item with null text has no windows; windows of items with a
 null id count as hits but name no item; equal windows of several items name all of them; repeated rows are scanned
@@ -19,17 +21,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from slate.llm.batches import sliced
+from slate.session import cut
 
 WINDOW = 10
 MAX_WINDOWS = 500_000
+MAX_BYTES = 64 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes that belong to words stay (capitals lowered), all others become spaces.
@@ -84,17 +91,18 @@ def _hashes(numbers: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
 
 def window_sets(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_windows: int) -> Iterator[WindowSet]:
     items: list[tuple[str | None, list[bytes]]] = []
-    held = 0
+    held = size = 0
     for name, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         if not (own := words(text)):
             continue
         for part in _parts(own, window, max_windows):
             n = max(1, len(part) - window + 1)
-            if items and held + n > max_windows:
+            weight = sum(map(len, part))
+            if items and (held + n > max_windows or size + weight > MAX_BYTES):
                 yield WindowSet(items, window)
-                items, held = [], 0
+                items, held, size = [], 0, 0
             items.append((name, part))
-            held += n
+            held, size = held + n, size + weight
     if items:
         yield WindowSet(items, window)
 
@@ -111,40 +119,41 @@ def _parts(own: list[bytes], window: int, max_windows: int) -> Iterator[list[byt
 _SPANS = "array<struct<first:int,last:int>>"
 
 
-def _pass(rows: DataFrame, windows: WindowSet) -> DataFrame:
-    """Adds one set's hits to rows of (d_row, d_text, d_words, d_spans, d_items)."""
-    held = rows.sparkSession.sparkContext.broadcast(windows)
-    schema = rows.schema
+def _found(index: WindowSet, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Word count, merged hit spans and sorted items of every text."""
+    split = [words(text) for text in texts]
+    ends = np.cumsum([len(x) + 1 for x in split])
+    starts = ends - [len(x) + 1 for x in split]
+    numbers = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    for start, own in zip(starts.tolist(), split, strict=True):
+        numbers[start : start + len(own)] = np.fromiter(map(index.vocabulary.get, own, repeat(0)), np.uint32, len(own))
+    spans: list[list[tuple[int, int]]] = [[] for _ in split]
+    named: list[set[str]] = [set() for _ in split]
+    for place, n, names in index.find(numbers):
+        row = int(np.searchsorted(ends, place, "right"))
+        first = place - int(starts[row])
+        spans[row].append((first, first + n - 1))
+        named[row].update(names)
+    return [len(x) for x in split], [_merged(s) for s in spans], [sorted(x) for x in named]
+
+
+def _arrow_spans(spans: list[list[tuple[int, int]]], kind: pa.DataType) -> pa.Array:
+    return pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], kind)
+
+
+def _pass(rows: DataFrame, held: Broadcast, only_hits: bool = False) -> DataFrame:
+    """d_row, d_text, d_words, d_spans and d_items of rows of (d_row, d_text), by one set; with ``only_hits`` of the rows that it hits, and without text."""
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(f"d_words long, d_spans {_SPANS}, d_items array<string>").fields])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in schema.fields[2:]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        kind = None
         for batch in sliced(batches, 1):
-            kind = kind or batch.schema
-            split = [words(text) for text in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(x) + 1 for x in split])
-            starts = ends - [len(x) + 1 for x in split]
-            numbers = np.zeros(int(ends[-1]), np.uint32)
-            for start, own in zip(starts.tolist(), split, strict=True):
-                numbers[start : start + len(own)] = np.fromiter(map(index.vocabulary.get, own, repeat(0)), np.uint32, len(own))
-            spans: dict[int, list[tuple[int, int]]] = {}
-            named: dict[int, set[str]] = {}
-            for place, n, names in index.find(numbers):
-                row = int(np.searchsorted(ends, place, "right"))
-                first = place - int(starts[row])
-                spans.setdefault(row, []).append((first, first + n - 1))
-                named.setdefault(row, set()).update(names)
-            before = list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True))
-            joined = [_merged([(s["first"], s["last"]) for s in old or []] + spans.get(i, [])) for i, (old, _) in enumerate(before)]
-            items = [sorted(named.get(i, set()).union(old or [])) for i, (_, old) in enumerate(before)]
+            n_words, spans, items = _found(held.value, batch.column(1).to_pylist())
+            kept = [i for i, s in enumerate(spans) if s or not only_hits]
+            text = pa.nulls(len(kept), batch.column(1).type) if only_hits else batch.column(1)
+            row = batch.column(0).take(pa.array(kept, pa.int64())) if only_hits else batch.column(0)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(x) for x in split], pa.int64()),
-                    pa.array([[{"first": a, "last": b} for a, b in s] for s in joined], kind.field(3).type),
-                    pa.array(items, kind.field(4).type),
-                ],
+                [row, text, pa.array([n_words[i] for i in kept], pa.int64()), _arrow_spans([spans[i] for i in kept], kinds["d_spans"]), pa.array([items[i] for i in kept], kinds["d_items"])],
                 names=schema.names,
             )
 
@@ -161,18 +170,38 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, row, text_col: str, item_col: str, item_text: str, window: int, max_windows: int) -> DataFrame:
-    rows = docs.select(
-        row.alias("d_row"),
-        F.col(text_col).alias("d_text"),
-        F.lit(None).cast("long").alias("d_words"),
-        F.array().cast(_SPANS).alias("d_spans"),
-        F.array().cast("array<string>").alias("d_items"),
+def _merge_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (d_key, lists of spans by set, items), with one merged list of spans."""
+    for batch in batches:
+        spans = [_merged([(s["first"], s["last"]) for s in own]) for own in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _arrow_spans(spans, batch.schema.field(1).type), batch.column(2)], names=batch.schema.names)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, row: Column, text_col: str, item_col: str, item_text: str, window: int, max_windows: int) -> DataFrame:
+    """d_row, d_text, d_words, d_spans and d_items of all rows."""
+    context = docs.sparkSession.sparkContext
+    rows = docs.select(row.alias("d_row"), F.col(text_col).alias("d_text"))
+    sets = window_sets(benchmark, item_col, item_text, window, max_windows)
+    first, second = next(sets, None), next(sets, None)
+    if second is None:
+        return _pass(rows, context.broadcast(first or WindowSet([], window)))
+    keyed = cut(rows.withColumn("d_key", F.monotonically_increasing_id()))
+    hits = None
+    for index in chain((first, second), sets):
+        held = context.broadcast(index)
+        first = second = index = None  # one set at a time
+        own = cut(_pass(keyed.select("d_key", "d_text"), held, only_hits=True).select("d_key", "d_spans", "d_items"))
+        held.unpersist()
+        hits = own if hits is None else hits.unionByName(own)
+    together = hits.groupBy("d_key").agg(F.flatten(F.collect_list("d_spans")).alias("d_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("d_items")))).alias("d_items"))
+    merged = together.mapInArrow(_merge_hits, together.schema)
+    return keyed.join(merged, "d_key", "left").select(
+        "d_row",
+        "d_text",
+        F.regexp_count(F.coalesce("d_text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("d_words"),
+        F.coalesce("d_spans", F.array().cast(_SPANS)).alias("d_spans"),
+        F.coalesce("d_items", F.array().cast("array<string>")).alias("d_items"),
     )
-    any_set = False
-    for windows in window_sets(benchmark, item_col, item_text, window, max_windows):
-        rows, any_set = _pass(rows, windows), True
-    return rows if any_set else _pass(rows, WindowSet([], window))
 
 
 def scan(
@@ -218,31 +247,28 @@ def clean(
     is left again until no window stands in it, and leaves out rows of which no word is left.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = _scanned(docs, benchmark, whole, text_col, item_col, item_text, window, max_windows)
+    scanned = lambda rest: _scanned(rest, benchmark, whole, text_col, item_col, item_text, window, max_windows)
     if remove == "documents":
-        return rows.where(F.size("d_spans") == 0).select("d_row.*")
+        return scanned(docs).where(F.size("d_spans") == 0).select("d_row.*")
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
-    sets = [docs.sparkSession.sparkContext.broadcast(s) for s in window_sets(benchmark, item_col, item_text, window, max_windows)]
 
     def shorten(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            out = []
-            for text, spans in zip(batch.field(0).to_pylist(), batch.field(1).to_pylist(), strict=True):
-                cuts = [(s["first"], s["last"]) for s in spans]
-                while cuts:
-                    text = cut_spans(text, cuts)
-                    own = words(text)
-                    cuts = _merged(
-                        [(p, p + n - 1) for held in sets for p, n, _ in held.value.find(np.fromiter(map(held.value.vocabulary.get, own, repeat(0)), np.uint32, len(own)))]
-                    )
-                out.append(text)
-            yield pa.array(out, pa.string())
+            pairs = zip(batch.field(0).to_pylist(), batch.field(1).to_pylist(), strict=True)
+            yield pa.array([cut_spans(text, [(s["first"], s["last"]) for s in spans]) for text, spans in pairs], pa.string())
 
     shortened = F.arrow_udf(shorten, "string")(F.struct("d_text", "d_spans"))
     columns = [F.col("d_new").alias(c) if c == text_col else F.col(f"d_row.`{c}`").alias(c) for c in docs.columns]
-    left = F.when(F.size("d_spans") > 0, shortened).otherwise(F.col("d_text"))
-    return rows.withColumn("d_new", left).where((F.size("d_spans") == 0) | F.col("d_new").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).select(*columns)
+    rest, done = docs, None
+    while True:  # every round takes words away from the rows that it goes on with
+        marked = cut(scanned(rest))
+        clear = marked.where(F.size("d_spans") == 0).select("d_row.*")
+        done = clear if done is None else done.unionByName(clear)
+        left = marked.where(F.size("d_spans") > 0).withColumn("d_new", shortened).where(F.col("d_new").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+        rest = cut(left.select(*columns))
+        if rest.isEmpty():
+            return done
 
 
 def query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

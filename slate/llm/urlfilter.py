@@ -1,12 +1,13 @@
 """URL allow and block lists as a trie over reversed host labels and path segments.
 
-The trie is built once on the driver from the rule list and broadcast; its number of rules is checked first.
+The rules, ordered by their reversed host labels, are cut into tries of at most ``max_bytes`` each (``cost`` of a rule: its labels
+and segments, with their texts, as objects), so hosts of one top label stand together. One trie is built on the driver, broadcast, walked by all URLs and released before the next one; the longer match of both is
+kept. A list that fits into one trie, as most do, is one pass without a write; a larger one takes more passes over ids and URLs, and no more memory.
 Every URL walks down its host labels from the right; each node on the way that carries rules then walks the
 path segments. The longest match wins: more host labels first, then the longer path.
 
 A rule fits its host and every subdomain if the URL's path starts with the rule's path, character by character.
-Two entries for one (host, path) are settled in favour of ``block``. A rule list beyond ``max_rules`` is not
-broadcast: ``judge`` then joins every URL's (host suffix, path prefix) keys with the rules by equality.
+Two entries for one (host, path) are settled in favour of ``block``.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and gets the default verdict; ports and
 user names stay part of the host text; an empty table gives an empty table; repeated rows give repeated results.
@@ -16,15 +17,20 @@ Only the id and URL columns are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_RULES = 1_000_000
+from slate.session import cut
+
+MAX_BYTES = 64 << 20
+#: Bytes of a node of the trie as Python objects, more than measured.
+NODE_BYTES = 450
 DEFAULT = "allow"
 
 
@@ -71,8 +77,9 @@ def _segments(path: str) -> tuple[list[str], str]:
 class PathNode:
     children: dict[str, PathNode] = field(default_factory=dict)
     entry: Entry | None = None
-    #: Entries whose path ends inside a segment, longest first.
-    open_ends: list[tuple[str, Entry]] = field(default_factory=list)
+    #: Entries whose path ends inside a segment, by what stands there, and the lengths of that.
+    open_ends: dict[str, Entry] = field(default_factory=dict)
+    lengths: set[int] = field(default_factory=set)
 
 
 @dataclass
@@ -81,15 +88,36 @@ class HostNode:
     paths: PathNode | None = None
 
 
+def cost(rule: Entry) -> int:
+    """Bytes that a rule takes in a trie at most."""
+    return NODE_BYTES * (rule.host.count(".") + rule.path.count("/") + 4) + 4 * len(rule.name)
+
+
+def settled_rules(rules: Iterable[Entry]) -> list[Entry]:
+    """One rule for each (host, path), ordered by reversed host labels, so that what shares nodes stands together."""
+    one: dict[tuple[str, str], Entry] = {}
+    for rule in rules:
+        if one.setdefault((rule.host, rule.path), rule).verdict != "block":
+            one[rule.host, rule.path] = rule
+    return sorted(one.values(), key=lambda r: (r.host.split(".")[::-1], r.path))
+
+
+def tries(rules: Iterable[Entry], max_bytes: int = MAX_BYTES) -> Iterator[Trie]:
+    """The rules in as few tries as their sizes allow; no rules give one empty trie."""
+    held, size = [], 0
+    for rule in settled_rules(rules):
+        if held and size + cost(rule) > max_bytes:
+            yield Trie(held)
+            held, size = [], 0
+        held.append(rule)
+        size += cost(rule)
+    yield Trie(held)
+
+
 class Trie:
-    def __init__(self, rules: tuple[Entry, ...] | list[Entry]) -> None:
+    def __init__(self, rules: Iterable[Entry]) -> None:
         self.root = HostNode()
-        strict = {}
-        for rule in rules:
-            known = strict.setdefault((rule.host, rule.path), rule)
-            if known.verdict != "block":
-                strict[rule.host, rule.path] = rule
-        for rule in strict.values():
+        for rule in settled_rules(rules):
             self._add(rule)
 
     def _add(self, rule: Entry) -> None:
@@ -101,8 +129,8 @@ class Trie:
         for segment in whole:
             here = here.children.setdefault(segment, PathNode())
         if rest:
-            here.open_ends.append((rest, rule))
-            here.open_ends.sort(key=lambda x: -len(x[0]))
+            here.open_ends[rest] = rule
+            here.lengths.add(len(rest))
         else:
             here.entry = rule
 
@@ -111,10 +139,9 @@ class Trie:
         found = node.entry
         at = 0
         while True:
-            for rest, entry in node.open_ends:
-                if path.startswith(rest, at):
-                    found = entry
-                    break
+            if node.open_ends:
+                fits = [n for n in node.lengths if path[at : at + n] in node.open_ends]
+                found = node.open_ends[path[at : at + max(fits)]] if fits else found
             end = path.find("/", at) + 1
             if not end or (node := node.children.get(path[at:end])) is None:  # type: ignore[assignment]
                 return found
@@ -143,69 +170,40 @@ def judge(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = DEFAULT,
-    max_rules: int = MAX_RULES,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """id, host, path, rule (host and path of the entry that decided, else null) and verdict for every row."""
-    if len(rules) > max_rules:
-        return _judge_by_join(df, rules, id_col, url_col, default)
-    trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
     schema = _fields(df, id_col)
+    empty = F.lit(None).cast("string")
+    rows = df.select(F.col(id_col), F.col(url_col).alias("u_url"), empty.alias("host"), empty.alias("path"), empty.alias("u_host"), empty.alias("u_path"), empty.alias("verdict"))
+    before = None
+    for trie in tries(rules, max_bytes):
+        if before is not None:  # the last pass has to be done before its trie can go
+            rows = cut(rows)
+            before.unpersist()
+        before = df.sparkSession.sparkContext.broadcast(trie)
+        rows = _walked(rows, before)
+    rule = F.when(F.col("u_host").isNotNull(), F.concat("u_host", "u_path"))
+    return rows.select(F.col(schema.names[0]), "host", "path", rule.alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _walked(rows: DataFrame, trie: Broadcast) -> DataFrame:
+    """Rows with their parts and the longer of their match so far and this trie's."""
+    names = rows.schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = trie.value
         for batch in batches:
             split = [parts(url) for url in batch.column(1).to_pylist()]
-            found = [tree.find(host, path) for host, path in split]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([host for host, _ in split], pa.string()),
-                    pa.array([path for _, path in split], pa.string()),
-                    pa.array([entry and entry.name for entry in found], pa.string()),
-                    pa.array([entry.verdict if entry else default for entry in found], pa.string()),
-                ],
-                names=schema.names,
-            )
-
-    return df.select(id_col, url_col).mapInArrow(run, schema)
-
-
-def _judge_by_join(df: DataFrame, rules: tuple[Entry, ...] | list[Entry], id_col: str, url_col: str, default: str) -> DataFrame:
-    """The same verdicts where the rules are too many to broadcast.
-
-    Each URL asks for every pair of a host suffix and a path prefix whose length some rule has; the pairs of one
-    URL are few, and the rules are distinct keys, so the equality join makes at most one row per pair.
-    """
-    spark = df.sparkSession
-    lengths = sorted({len(rule.path) for rule in rules})
-    table = (
-        spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "r_host string, r_path string, r_verdict string")
-        .groupBy("r_host", "r_path")
-        .agg(F.max("r_verdict").alias("r_verdict"))
-    )
-    rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring({url_col}, instr({url_col}, '://') + 3)")).otherwise("")
-    rows = df.select(F.col(id_col), F.col(url_col)).select(
-        id_col,
-        F.monotonically_increasing_id().alias("r_row"),
-        F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
-        F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"),
-    )
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
-    prefixes = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
-    )
-    asked = rows.select("r_row", F.explode(suffixes).alias("r_host"), prefixes.alias("r_paths")).select(
-        "r_row", "r_host", F.explode("r_paths").alias("r_path")
-    )
-    best = (
-        asked.join(table, ["r_host", "r_path"])
-        .groupBy("r_row")
-        .agg(F.max(F.struct(F.length("r_host").alias("a"), F.length("r_path").alias("b"), F.concat("r_host", "r_path").alias("rule"), "r_verdict")).alias("r_best"))
-    )
-    return rows.join(best, "r_row", "left").select(
-        id_col, "host", "path", F.col("r_best.rule").alias("rule"), F.coalesce("r_best.r_verdict", F.lit(default)).alias("verdict")
-    )
+            best = list(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True))
+            for i, (host, path) in enumerate(split):
+                entry, old = tree.find(host, path), best[i]
+                if entry and (old[0] is None or (len(entry.host), len(entry.path)) > (len(old[0]), len(old[1]))):
+                    best[i] = (entry.host, entry.path, entry.verdict)
+            columns = [[h for h, _ in split], [p for _, p in split], *([b[k] for b in best] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.string()) for c in columns]], names=names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def query(pages: DataFrame) -> DataFrame:

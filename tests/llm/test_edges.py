@@ -132,7 +132,7 @@ def test_urls(spark):
         (1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.b.net", "/x", "net/", "block"), (5, "example.net", "/en/1", "example.net/en/", "allow"), (6, "net", "", None, "allow"),
         (7, "net", "/", "net/", "block"), (8, "q.org", "/fr/a", "org/fr/", "allow"), (9, "a.example.com", "/de/", "example.com/de/", "block"), (9, "badexample.com", "/de/", None, "allow"), (10, "", "", None, "allow"),
     ]
-    joined = urlfilter.judge(pages, max_rules=0)
+    joined = urlfilter.judge(pages, max_bytes=0)
     assert sorted(map(repr, joined.collect())) == sorted(map(repr, urlfilter.judge(pages).collect()))
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
