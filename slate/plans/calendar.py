@@ -126,7 +126,7 @@ CLOSURE_EXPAND = WEEKLY_EXPAND + " WHERE " + " AND ".join(f"NOT day BETWEEN DATE
 
 
 def rrule_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules of the sessions: daily, weekly or neither, with steps, ends and counts, within a month."""
+    """Rules of the sessions: daily, weekly or neither, with steps, weekdays, ends, counts and exceptions, within a month."""
     k = F.col("ingest_pos")
     rows = views.sessions(spark, sf).select(
         k.alias("event_id"),
@@ -136,6 +136,8 @@ def rrule_expand(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(20) + k % 70).alias("minutes"),
         F.when(k % 5 == 0, F.col("start_ts") + F.expr("INTERVAL 9 DAYS")).alias("until_ts"),
         F.when(k % 7 == 0, k % 6 + 1).alias("max_count"),
+        F.when(k % 2 == 0, F.array(k % 7, (k + 2) % 7, (k + 3) % 7)).alias("by_day"),
+        F.when(k % 4 == 0, F.array(F.col("start_ts") + F.expr("INTERVAL 7 DAYS"), F.col("start_ts") + F.expr("INTERVAL 50 HOURS"))).alias("except_ts"),
     )
     return recur.rules(rows, "2024-01-10", "2024-02-10")
 
@@ -143,10 +145,14 @@ def rrule_expand(spark: SparkSession, sf: str) -> DataFrame:
 RRULE_EXPAND = f"""WITH {SESSIONS}, r AS (
   SELECT ingest_pos AS k, start_ts, 20 + ingest_pos % 70 AS minutes, CASE ingest_pos % 3 WHEN 0 THEN ingest_pos % 4 + 1 WHEN 1 THEN (ingest_pos % 4 + 1) * 7 ELSE 1 END AS every,
          CASE WHEN ingest_pos % 3 = 2 THEN 1 WHEN ingest_pos % 7 = 0 THEN ingest_pos % 6 + 1 ELSE 1000 END AS most,
+         CASE WHEN ingest_pos % 3 = 1 AND ingest_pos % 2 = 0
+              THEN list_sort(list_transform([ingest_pos % 7, (ingest_pos + 2) % 7, (ingest_pos + 3) % 7], lambda d: (d - dayofweek(start_ts + INTERVAL 5 HOUR) + 7) % 7)) ELSE [0] END AS offsets,
+         CASE WHEN ingest_pos % 4 = 0 THEN [start_ts + INTERVAL 7 DAY, start_ts + INTERVAL 50 HOUR] ELSE [] END AS excepted,
          CASE WHEN ingest_pos % 5 = 0 THEN least(start_ts + INTERVAL 9 DAY, TIMESTAMP '2024-02-10') ELSE TIMESTAMP '2024-02-10' END AS stop FROM sessions),
-e AS (SELECT k, i, start_ts + to_days(CAST(i * every AS INT)) AS s, minutes, stop FROM r, unnest(range(0, least(most, 60))) AS t(i))
-SELECT k AS event_id, i AS k, s AS start_ts, s + to_minutes(CAST(minutes AS INT)) AS end_ts FROM e
-WHERE s <= stop AND s >= TIMESTAMP '2024-01-10' AND s < TIMESTAMP '2024-02-10'"""
+e AS (SELECT k, i * len(offsets) + j - 1 AS n, start_ts + to_days(CAST(i * every + offsets[j] AS INT)) AS s, minutes, stop, most, excepted FROM r, unnest(range(0, 60)) AS t(i), unnest(range(1, len(offsets) + 1)) AS o(j))
+SELECT k AS event_id, n AS k, s AS start_ts, s + to_minutes(CAST(minutes AS INT)) AS end_ts FROM e
+WHERE n < most AND s <= stop AND s >= TIMESTAMP '2024-01-10' AND s < TIMESTAMP '2024-02-10'
+  AND len(list_filter(excepted, lambda x: abs(epoch(x) - epoch(s)) < 86400 AND day(x) = day(s))) = 0"""
 
 
 def tiles(spark: SparkSession, sf: str) -> DataFrame:

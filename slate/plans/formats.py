@@ -46,12 +46,12 @@ def source_ical(spark: SparkSession, sf: str) -> DataFrame:
     zoned = F.concat(F.lit(f"DTSTART;TZID={times.ZONE}:"), F.date_format(times.local(F.col("start_ts")), "yyyyMMdd'T'HHmmss"))
     start = F.when(F.col("ingest_pos") % 2 == 0, zoned).otherwise(F.concat(F.lit("DTSTART:"), utc("start_ts")))
     folded = F.regexp_replace("title", "^(.{4})(.+)$", "$1\n $2")
-    item = F.concat_ws("\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "ingest_pos"), F.concat(F.lit("SUMMARY:"), folded), start, F.concat(F.lit("DTEND:"), utc("end_ts")), F.lit("RRULE:FREQ=WEEKLY;COUNT=3"), F.lit("END:VEVENT"))
+    item = F.concat_ws("\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "ingest_pos"), F.concat(F.lit("SUMMARY:"), folded), start, F.concat(F.lit("DTEND:"), utc("end_ts")), F.lit("RRULE:FREQ=WEEKLY;COUNT=3;BYDAY=MO,XX,1WE"), F.concat(F.lit("EXDATE:"), utc(F.col("start_ts") + F.expr("INTERVAL 7 DAYS")), F.lit(","), utc(F.col("start_ts") + F.expr("INTERVAL 14 DAYS"))), F.lit("END:VEVENT"))
     rows = landed.ical(_texts(views.sessions(spark, sf), item, "BEGIN:VCALENDAR\n", "\nEND:VCALENDAR\n", "\n"))
-    return rows.select(F.col("uid").cast("long").alias("event_id"), "title", "start_ts", "end_ts", *[c.cast("string").alias(n) for c, n in zip(landed.rule_parts(F.col("rule")), ("freq", "step", "until", "most"), strict=True)]).drop("until")
+    return rows.select(F.col("uid").cast("long").alias("event_id"), "title", "start_ts", "end_ts", *[c.cast("string").alias(n) for c, n in zip(landed.rule_parts(F.col("rule")), ("freq", "step", "until", "most"), strict=True)], F.array_join(landed.rule_days(F.col("rule")).cast("array<string>"), ",").alias("days"), F.get("except_ts", F.lit(1)).alias("second_except")).drop("until")
 
 
-SOURCE_ICAL = f"WITH {SESSIONS} SELECT ingest_pos AS event_id, title, start_ts, end_ts, 'WEEKLY' AS freq, '1' AS step, '3' AS most FROM sessions"
+SOURCE_ICAL = f"WITH {SESSIONS} SELECT ingest_pos AS event_id, title, start_ts, end_ts, 'WEEKLY' AS freq, '1' AS step, '3' AS most, '1,3' AS days, start_ts + INTERVAL 14 DAY AS second_except FROM sessions"
 
 
 def source_embedded_json(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,11 +84,22 @@ def asset_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return links.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("points"), "url"))).where("n <= 5").withColumn("n", F.col("n").cast("long"))
 
 
+#: Links of these pages are all href in double quotes, so a place in the text is the lengths of what stands before it.
+ASSET_RANKS = f"""WITH p AS (SELECT page_id, replace(html, 'href="/th', 'href="/schedule/th') AS body FROM pages),
+s AS (SELECT page_id, body, string_split(body, 'href="') AS s FROM p),
+l AS (SELECT page_id, body, string_split(s[i + 1], '"')[1] AS url, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + 6 * (i - 1) AS BIGINT) AS place FROM s, unnest(range(1, len(s))) AS t(i)),
+c AS (SELECT page_id, url, regexp_matches(substr(body, greatest(place - {pages.AROUND}, 0) + 1, least(place, {pages.AROUND}) + 7 + length(url) + {pages.AROUND}), '(?i)schedule|public|open') AS near FROM l WHERE url <> ''),
+q AS (SELECT page_id AS source_id, url, max((CASE WHEN regexp_matches(lower(url), 'schedule|calendar|hours|page') THEN 3 ELSE 0 END) - (CASE WHEN regexp_matches(lower(url), 'logo|icon|banner') THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(lower(url), '[.](pdf|png|jpe?g)$') THEN 2 ELSE 0 END) + (CASE WHEN near THEN 1 ELSE 0 END)) AS points FROM c GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY points DESC, url) AS n FROM q WHERE points >= 1)
+SELECT source_id, url, CAST(points AS INT) AS points, n FROM n WHERE n <= 5"""
+
+
 QUERIES = {
     "source_month_cells": source_month_cells, "source_item_list": source_item_list, "source_club_rows": source_club_rows, "source_listing": source_listing,
     "source_deep_rows": source_deep_rows, "asset_ranks": asset_ranks,
 }
 SQL = {
     "source_month_cells": SOURCE_MONTH_CELLS, "source_item_list": SOURCE_ITEM_LIST, "source_club_rows": SOURCE_CLUB_ROWS, "source_listing": SOURCE_LISTING,
-    "source_deep_rows": SOURCE_DEEP_ROWS,
+    "source_deep_rows": SOURCE_DEEP_ROWS, "asset_ranks": ASSET_RANKS,
 }

@@ -41,7 +41,10 @@ def nested_days(landed: DataFrame) -> DataFrame:
 
 
 def ical(landed: DataFrame, zone: str = times.ZONE) -> DataFrame:
-    """VEVENT blocks: summary, start, end, rule; folded lines are joined, seconds dropped, events without summary or start left out."""
+    """VEVENT blocks: summary, start, end, rule, exceptions; folded lines are joined, seconds dropped, events without summary or start left out.
+
+    ``except_ts`` has the times of all EXDATE lines, each a comma-separated list.
+    """
     unfolded = F.regexp_replace("body", "\\r?\\n[ \\t]", "")
     blocks = landed.select("source_id", F.explode(F.regexp_extract_all(unfolded, F.lit("(?s)BEGIN:VEVENT(.*?)END:VEVENT"), 1)).alias("v"))
     value = lambda name: F.nullif(F.rtrim(F.regexp_extract("v", f"(?m)^{name}(?:;[^:\\r\\n]*)?:([^\\r\\n]*)", 1)), F.lit(""))
@@ -51,11 +54,13 @@ def ical(landed: DataFrame, zone: str = times.ZONE) -> DataFrame:
         wall = F.try_to_timestamp(F.concat(F.left(text, F.lit(8)), F.coalesce(F.nullif(F.substring(text, 10, 4), F.lit("")), F.lit("0000"))), F.lit("yyyyMMddHHmm"))
         return F.when(F.endswith(text, F.lit("Z")), wall).otherwise(times.utc(wall, zone)).cast("timestamp_ntz")
 
+    lines = F.regexp_extract_all("v", F.lit("(?m)^EXDATE(?:;[^:\\r\\n]*)?:([^\\r\\n]*)"), 1)
+    excepted = F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(x, ","))), lambda x: at(F.trim(x))), lambda x: x.isNotNull())
     start, end = value("DTSTART"), value("DTEND")
     all_day = F.length(start) == 8
     default_end = F.when(all_day, at(start) + F.expr("INTERVAL 1 DAY")).otherwise(at(start) + F.expr("INTERVAL 1 HOUR"))
     rows = blocks.select(
-        "source_id", value("UID").alias("uid"), unescape(value("SUMMARY")).alias("title"), at(start).alias("start_ts"), F.coalesce(at(end), default_end).alias("end_ts"), all_day.alias("all_day"), value("RRULE").alias("rule")
+        "source_id", value("UID").alias("uid"), unescape(value("SUMMARY")).alias("title"), at(start).alias("start_ts"), F.coalesce(at(end), default_end).alias("end_ts"), all_day.alias("all_day"), value("RRULE").alias("rule"), excepted.alias("except_ts")
     )
     return rows.where("title IS NOT NULL AND start_ts IS NOT NULL")
 
@@ -67,6 +72,17 @@ def rule_parts(rule: Column) -> tuple[Column, Column, Column, Column]:
     return part("FREQ"), F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), until, part("COUNT").try_cast("int")
 
 
+#: Weekdays of recurrence rules.
+WEEKDAYS = ("SU", "MO", "TU", "WE", "TH", "FR", "SA")
+
+
+def rule_days(rule: Column) -> Column:
+    """Weekdays (0 is Sunday) of a recurrence rule's BYDAY, without what no weekday is; null if it has none. Ordinals before a day are not read."""
+    part = F.nullif(F.regexp_extract(rule, "(?:^|;)BYDAY=([^;]*)", 1), F.lit(""))
+    days = F.transform(F.split(part, ","), lambda d: F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.upper(F.right(d, F.lit(2)))).cast("int") - 1)
+    return F.filter(days, lambda d: d >= 0)
+
+
 def _array_after(text: str, name: str) -> str | None:
     """The bracketed value assigned to a name; brackets inside strings do not count."""
     at = text.find(name)
