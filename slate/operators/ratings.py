@@ -1,8 +1,8 @@
 """Team ratings. Spark reduces games to sufficient statistics; the fit itself is a small solve in numpy.
 
 Massey and Colley need only sums per pair of teams, Bradley-Terry and Poisson counts per pair and outcome, so what
-reaches a fit is bounded by teams squared times outcomes, not by games. Elo and Kalman follow game order: one ordered pass
-per league in a grouped map, over rows of a few numbers.
+reaches a fit is bounded by teams squared times outcomes, not by games; normal matrices are summed by index from these rows, so a fit holds teams squared
+numbers and its rows, and no design matrix. Elo and Kalman follow game order: one ordered pass per league in a grouped map, over rows of a few numbers.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUP = "league"
@@ -39,13 +39,20 @@ def _sides(rows: pd.DataFrame, teams: list[int]) -> tuple[np.ndarray, np.ndarray
     return rows.home.map(place).to_numpy(), rows.away.map(place).to_numpy(), margin, rows.n.to_numpy(float)
 
 
-def _design(h: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
-    x = np.zeros((len(h), n + 1))
-    rows = np.arange(len(h))
-    x[rows, h] += 1
-    x[rows, a] -= 1
-    x[:, n] = 1
-    return x
+def normal_matrix(h: np.ndarray, a: np.ndarray, n: np.ndarray, teams: int) -> np.ndarray:
+    """The weighted normal matrix of rows home - away + edge; the edge is last."""
+    out = np.zeros((teams + 1, teams + 1))
+    edge = np.full(len(h), teams)
+    signed = ((h, 1), (a, -1), (edge, 1))
+    for one, x in signed:
+        for other, y in signed:
+            np.add.at(out, (one, other), x * y * n)
+    return out
+
+
+def normal_side(h: np.ndarray, a: np.ndarray, v: np.ndarray, teams: int) -> np.ndarray:
+    """The sums of ``v`` over the same rows."""
+    return np.append(np.bincount(h, v, teams) - np.bincount(a, v, teams), v.sum())
 
 
 def massey(counts: DataFrame, cap: float = 8, ridge: float = 1, home_prior: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
@@ -53,9 +60,8 @@ def massey(counts: DataFrame, cap: float = 8, ridge: float = 1, home_prior: tupl
 
     def kernel(rows: pd.DataFrame, teams: list[int]) -> dict[str, list[float]]:
         h, a, margin, n = _sides(rows, teams)
-        x = _design(h, a, len(teams))
-        left = (x * n[:, None]).T @ x
-        right = (x * n[:, None]).T @ np.clip(margin, -cap, cap)
+        left = normal_matrix(h, a, n, len(teams))
+        right = normal_side(h, a, n * np.clip(margin, -cap, cap), len(teams))
         left[np.arange(len(teams)), np.arange(len(teams))] += ridge
         left[-1, -1] += 1e-3 + home_prior[1]
         right[-1] += home_prior[0] * home_prior[1]
@@ -95,13 +101,12 @@ def bradley_terry(counts: DataFrame, ridge: float = 1.0, soft: float | None = No
 
     def kernel(rows: pd.DataFrame, teams: list[int]) -> dict[str, list[float]]:
         h, a, margin, n = _sides(rows, teams)
-        x = _design(h, a, len(teams))
         y = 0.5 + 0.5 * np.tanh(margin / soft) if soft else (np.sign(margin) + 1) / 2
         pull = np.append(np.full(len(teams), ridge), 1e-3)
 
         def gradient(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            p = 1 / (1 + np.exp(-(x @ b)))
-            return x.T @ (n * (p - y)) + pull * b, (x * (n * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.diag(pull)
+            p = 1 / (1 + np.exp(-(b[h] - b[a] + b[-1])))
+            return normal_side(h, a, n * (p - y), len(teams)) + pull * b, normal_matrix(h, a, n * np.maximum(p * (1 - p), 1e-9), len(teams)) + np.diag(pull)
 
         fit = _newton(gradient, np.zeros(len(teams) + 1), 12)
         return {"rating": fit[:-1], "edge": [fit[-1]] * len(teams)}
@@ -114,20 +119,24 @@ def poisson(counts: DataFrame, ridge: float = 1.0) -> DataFrame:
 
     def kernel(rows: pd.DataFrame, teams: list[int]) -> dict[str, list[float]]:
         h, a, _, n = _sides(rows, teams)
-        t, k = len(teams), len(rows)
-        x = np.zeros((2 * k, 2 * t + 2))
-        r = np.arange(k)
-        x[r, h], x[r, t + a] = 1, -1
-        x[k + r, a], x[k + r, t + h] = 1, -1
-        x[:, 2 * t] = 1
-        x[:k, 2 * t + 1] = 1
+        t = len(teams)
+        # a row for each side of a game: who scores, against whom, at home or not
+        scorer, other = np.concatenate((h, a)), t + np.concatenate((a, h))
+        at_home = np.repeat([1.0, 0.0], len(rows))
         goals, w = np.concatenate((rows.home_goals, rows.away_goals)).astype(float), np.concatenate((n, n))
         pull = np.append(np.full(2 * t, ridge), [0.0, 1e-3])
         extra = np.append(np.full(2 * t, ridge), [1e-3, 1e-3])
+        mean_at, edge_at = np.full(2 * len(rows), 2 * t), np.full(2 * len(rows), 2 * t + 1)
+        signed = ((scorer, 1.0), (other, -1.0), (mean_at, 1.0), (edge_at, at_home))
 
         def gradient(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            mean = np.exp(x @ b)
-            return x.T @ (w * (mean - goals)) + pull * b, (x * (w * mean)[:, None]).T @ x + np.diag(extra)
+            mean = np.exp(b[scorer] - b[other] + b[2 * t] + b[2 * t + 1] * at_home)
+            side, square = pull * b, np.diag(extra)
+            for one, x in signed:
+                side += np.bincount(one, x * w * (mean - goals), 2 * t + 2)
+                for two, y in signed:
+                    np.add.at(square, (one, two), x * y * w * mean)
+            return side, square
 
         start = np.zeros(2 * t + 2)
         start[2 * t] = np.log(max(0.5, (w * goals).sum() / max(1.0, w.sum())))
@@ -224,49 +233,75 @@ def walk_forward(signals: DataFrame, group: str, at_least: int = 30, ridge: floa
     """Chances from a logistic fit on games of earlier days only, refitted for every day.
 
     ``signals``: group, day, signal (whole number), half_points. Rows are first counted by (day, signal, half_points), so a fit
-    sees counts, and predictions are made once per (day, signal).
+    sees counts, and predictions are made once per (day, signal). Every month of a group is a task of its own: it starts from the
+    counts of all earlier months, which are running sums over the months, and adds its days.
     """
-    counts = signals.groupBy(group, "day", "signal", "half_points").agg(F.count("*").alias("n"))
+    month = F.date_trunc("month", F.col("day").cast("timestamp"))
+    counts = signals.groupBy(group, "day", "signal", "half_points").agg(F.count("*").alias("n")).withColumn("month", month)
+    monthly = counts.groupBy(group, "month", "signal", "half_points").agg(F.sum("n").alias("n"))
+    grid = monthly.select(group, "month").distinct().join(monthly.select(group, "signal", "half_points").distinct(), group)
+    earlier = Window.partitionBy(group, "signal", "half_points").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    filled = grid.join(monthly, [group, "month", "signal", "half_points"], "left")
+    known = filled.select(group, "month", F.lit(None).cast("timestamp").alias("day"), "signal", "half_points", F.sum("n").over(earlier).alias("n")).where("n > 0")
+    tasks = counts.select(group, "month", F.col("day").cast("timestamp").alias("day"), "signal", "half_points", "n").unionByName(known)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        held: dict[tuple[int, int], float] = {}
-        for day, now in rows.sort_values("day").groupby("day", sort=True):
-            if sum(held.values()) >= at_least and len({s for s, _ in held}) > 1:
-                keys = np.array(sorted(held), float)
-                fit = logistic(keys[:, :1], keys[:, 1] / 2, np.array([held[k] for k in sorted(held)]), ridge)
-                for signal in sorted(set(now.signal)):
-                    out.append((rows[group].iloc[0], day, signal, 1 / (1 + np.exp(-(fit[0] + fit[1] * signal)))))
-            for row in now.itertuples():
-                held[int(row.signal), int(row.half_points)] = held.get((int(row.signal), int(row.half_points)), 0.0) + row.n
-        return pd.DataFrame(out, columns=[group, "day", "signal", "p"])
-
-    return counts.withColumn("day", F.col("day").cast("timestamp")).groupBy(group).applyInPandas(run, f"{group} long, day timestamp, signal long, p double").withColumn("day", F.to_date("day"))
-
-
-def ordered_logit(signals: DataFrame, group: str, steps: int = 120) -> DataFrame:
-    """Slope and two cut points of loss / tie / win by the signal, fitted by gradient ascent with step halving, on counts."""
+        signal, half = np.unique(rows.signal.to_numpy()), np.array([0, 1, 2])
+        held = np.zeros((len(signal), 3))
+        at = (np.searchsorted(signal, rows.signal.to_numpy()), rows.half_points.to_numpy(int))
+        past, n = rows.day.isna().to_numpy(), rows.n.to_numpy(float)
+        np.add.at(held, (at[0][past], at[1][past]), n[past])
+        out: list[pd.DataFrame] = []
+        for day, places in sorted(rows[~past].groupby("day").indices.items()):
+            places = np.flatnonzero(~past)[places]
+            k, y = np.nonzero(held)
+            if held.sum() >= at_least and len(np.unique(k)) > 1:
+                fit = logistic(signal[k][:, None].astype(float), half[y] / 2, held[k, y], ridge)
+                now = signal[np.unique(at[0][places])]
+                out.append(pd.DataFrame({group: rows[group].iloc[0], "day": day, "signal": now, "p": 1 / (1 + np.exp(-(fit[0] + fit[1] * now)))}))
+            np.add.at(held, (at[0][places], at[1][places]), n[places])
+        return pd.concat(out) if out else pd.DataFrame({group: [], "day": pd.to_datetime([]), "signal": [], "p": []})
+
+    # few bytes, much work: a given number of partitions is not coalesced
+    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, group, "month").groupBy(group, "month").applyInPandas(run, f"{group} long, day timestamp, signal long, p double").withColumn("day", F.to_date("day"))
+
+
+def ordered_logit(signals: DataFrame, group: str, steps: int = 60) -> DataFrame:
+    """Slope (per largest signal) and two cut points of loss / tie / win by the signal, by Newton's method with step halving, on counts."""
     counts = signals.groupBy(group, "signal", "half_points").agg(F.count("*").alias("n"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s, y, n = rows.signal.to_numpy(float), rows.half_points.to_numpy(int), rows.n.to_numpy(float)
-        s = s / max(np.abs(s).max(), 1)
+        s, n = s / max(np.abs(s).max(), 1), n / n.sum()
+        zero, one = np.zeros(len(s)), np.ones(len(s))
+        # how the two cut points less slope times signal depend on slope, low and high
+        by_low, by_high = np.column_stack((-s, one, zero)), np.column_stack((-s, zero, one))
+
+        def chances(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            low, high = 1 / (1 + np.exp(-(by_low @ b))), 1 / (1 + np.exp(-(by_high @ b)))
+            return low, high, np.maximum(np.choose(y, (low, high - low, 1 - high)), 1e-12)
 
         def value(b: np.ndarray) -> float:
-            low, high = 1 / (1 + np.exp(-(b[1] - b[0] * s))), 1 / (1 + np.exp(-(b[2] - b[0] * s)))
-            chance = np.where(y == 0, low, np.where(y == 1, high - low, 1 - high))
-            return float((n * np.log(np.maximum(chance, 1e-12))).sum() / n.sum()) if b[2] > b[1] else -np.inf
+            return float((n * np.log(chances(b)[2])).sum()) if b[2] > b[1] else -np.inf
 
-        b, step = np.array([0.5, -0.3, 0.3]), 1.0
+        b = np.array([0.5, -0.3, 0.3])
         best = value(b)
         for _ in range(steps):
-            slope = np.array([(value(b + d) - value(b - d)) / 2e-5 for d in np.eye(3) * 1e-5])
-            while step > 1e-8 and value(b + step * slope) <= best:
-                step /= 2
-            if step <= 1e-8:
+            low, high, chance = chances(b)
+            # slopes and curvatures of each outcome's chance by the two cut points
+            f, g = np.where(y == 0, 1, np.where(y == 1, -1, 0)) * low * (1 - low), np.where(y == 1, 1, np.where(y == 2, -1, 0)) * high * (1 - high)
+            ff, gg = f * (1 - 2 * low), g * (1 - 2 * high)
+            slope = by_low.T @ (n * f / chance) + by_high.T @ (n * g / chance)
+            weights = ((by_low, by_low, (f / chance) ** 2 - ff / chance), (by_high, by_high, (g / chance) ** 2 - gg / chance), (by_low, by_high, f * g / chance**2), (by_high, by_low, f * g / chance**2))
+            curve = sum((x * (n * w)[:, None]).T @ z for x, z, w in weights) + 1e-9 * np.eye(3)
+            move, size = np.linalg.solve(curve, slope), 1.0
+            while size > 1e-8 and value(b + size * move) < best:
+                size /= 2
+            if size <= 1e-8 or np.abs(size * move).max() < 1e-10:
                 break
-            b = b + step * slope
-            best, step = value(b), min(step * 2, 64.0)
+            b = b + size * move
+            best = value(b)
         return pd.DataFrame({group: [rows[group].iloc[0]], "slope": [b[0]], "low": [b[1]], "high": [b[2]], "log_likelihood": [best]})
 
     return counts.groupBy(group).applyInPandas(run, f"{group} long, slope double, low double, high double, log_likelihood double")

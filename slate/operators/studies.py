@@ -43,11 +43,8 @@ def massey_with_priors(counts: DataFrame, priors: DataFrame, ridge: float = 4.0,
             return pd.DataFrame({"league": [], "team": [], "rating": [], "edge": []})
         at = {t: i for i, t in enumerate(teams)}
         h, a, n = rows.home.map(at).to_numpy(), rows.away.map(at).to_numpy(), rows.n.to_numpy(float)
-        x = np.zeros((len(rows), len(teams) + 1))
-        line = np.arange(len(rows))
-        x[line, h], x[line, a], x[:, -1] = 1, -1, 1
-        left = (x * n[:, None]).T @ x + np.diag([ridge] * len(teams) + [1e-3 + home[1]])
-        right = (x * n[:, None]).T @ np.clip((rows.home_goals - rows.away_goals).to_numpy(float), -cap, cap)
+        left = ratings.normal_matrix(h, a, n, len(teams)) + np.diag([ridge] * len(teams) + [1e-3 + home[1]])
+        right = ratings.normal_side(h, a, n * np.clip((rows.home_goals - rows.away_goals).to_numpy(float), -cap, cap), len(teams))
         mean = dict(zip(means.team, means.prior, strict=True))
         right[:-1] += ridge * share * np.array([mean.get(t, 0.0) for t in teams])
         right[-1] += home[0] * home[1]
@@ -67,12 +64,12 @@ def ceilings(counts: DataFrame, cap: float = 8, ridge: float = 1.0) -> DataFrame
         teams = sorted(set(rows.home) | set(rows.away))
         at = {t: i for i, t in enumerate(teams)}
         n, m = rows.n.to_numpy(float), np.clip((rows.home_goals - rows.away_goals).to_numpy(float), -cap, cap)
-        x = np.zeros((len(rows), len(teams) + 1))
-        line = np.arange(len(rows))
-        x[line, rows.home.map(at)], x[line, rows.away.map(at)], x[:, -1] = 1, -1, 1
-        inverse = np.linalg.inv((x * n[:, None]).T @ x + np.diag([ridge] * len(teams) + [1e-3]))
-        seen = x @ (inverse @ ((x * n[:, None]).T @ m))
-        lever = ((x @ inverse) * x).sum(axis=1)
+        h, a, k = rows.home.map(at).to_numpy(), rows.away.map(at).to_numpy(), len(teams)
+        inverse = np.linalg.inv(ratings.normal_matrix(h, a, n, k) + np.diag([ridge] * k + [1e-3]))
+        fit = inverse @ ratings.normal_side(h, a, n * m, k)
+        seen = fit[h] - fit[a] + fit[k]
+        own = np.diag(inverse)
+        lever = own[h] + own[a] + own[k] - 2 * inverse[h, a] + 2 * inverse[h, k] - 2 * inverse[a, k]
         without = (seen - lever * m) / (1 - lever)
         hit = lambda p: float((n * np.where(m == 0, 0.5, np.sign(p) == np.sign(m))).sum() / n.sum())
         return pd.DataFrame({"league": [rows.league.iloc[0]], "games": [int(n.sum())], "hindsight": [hit(seen)], "left_out": [hit(without)]})
@@ -103,6 +100,7 @@ def margin_band(margin: Column, low: float, high: float) -> tuple[Column, Column
 
 
 def level(p: Column) -> Column:
+    # Limits of the levels.
     return F.when(p >= 0.55, "likely").when(p >= 0.40, "even").when(p >= 0.20, "unlikely").otherwise("long shot")
 
 
