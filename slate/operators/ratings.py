@@ -71,6 +71,60 @@ def massey(counts: DataFrame, cap: float = 8, ridge: float = 1, home_prior: tupl
     return _fit(counts, kernel, "rating double, edge double")
 
 
+def massey_by_day(games: DataFrame, variants: DataFrame, group: str) -> DataFrame:
+    """(variant, game_id, n_before, expected): the margin that a fit on games of earlier days expects; null where there are none.
+
+    ``variants``: variant, cap, ridge, target (margin, sqrt or result), half_life in days (0: none). Each variant of a group is
+    a task. A day's games enter its sums once and are forgotten by scaling the sums by the half-life, so a day costs one solve, whatever came before it.
+    """
+    slim = games.select(F.col(group).alias(GROUP), "game_id", F.datediff("day", F.lit("1970-01-01")).alias("day"), "home", "away", (F.col("home_goals") - F.col("away_goals")).alias("margin"))
+    parts = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = slim.crossJoin(F.broadcast(variants)).repartition(parts, "variant", GROUP)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        one = rows.iloc[0]
+        teams, places = np.unique(np.concatenate((rows.home, rows.away)), return_inverse=True)
+        h, a = places[: len(rows)], places[len(rows) :]
+        margin = rows.margin.to_numpy(float)
+        capped = np.clip(margin, -one.cap, one.cap)
+        target = {"margin": capped, "sqrt": np.sign(capped) * np.sqrt(np.abs(capped)), "result": np.sign(margin)}[one.target]
+        left, right, k = np.zeros((len(teams) + 1,) * 2), np.zeros(len(teams) + 1), len(teams)
+        pull = np.diag([one.ridge] * k + [1e-3])
+        expected, before = np.full(len(rows), np.nan), np.zeros(len(rows), int)
+        seen = last = 0
+        for day, now in sorted(rows.groupby("day").indices.items()):
+            if seen:
+                faded = 0.5 ** ((day - last) / one.half_life) if one.half_life else 1.0
+                left, right = left * faded, right * faded
+                fit = np.linalg.solve(left + pull, right)
+                expected[now] = fit[h[now]] - fit[a[now]] + fit[k]
+            before[now] = seen
+            weight = np.ones(len(now))
+            left = left + normal_matrix(h[now], a[now], weight, k)
+            right = right + normal_side(h[now], a[now], target[now], k)
+            seen, last = seen + len(now), day
+        return pd.DataFrame({"variant": one.variant, "game_id": rows.game_id, "n_before": before, "expected": expected})
+
+    fitted = work.groupBy("variant", GROUP).applyInPandas(run, "variant string, game_id long, n_before long, expected double")
+    return fitted.withColumn("expected", F.when(~F.isnan("expected"), F.col("expected")))
+
+
+def calibrated(rows: DataFrame, ridge: float = 1.0, intercept: float = 0.0, slope: float = 0.52) -> DataFrame:
+    """(season, n, intercept, slope, prior_intercept, prior_slope): a logistic fit of each season, and the one of the season before or the defaults.
+
+    ``rows``: season, signal, half_points. They are counted first, so a fit sees counts.
+    """
+    counts = rows.groupBy("season", "signal", "half_points").agg(F.count("*").alias("n"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        fit = logistic(own[["signal"]].to_numpy(float), own.half_points.to_numpy(float) / 2, own.n.to_numpy(float), ridge)
+        return pd.DataFrame({"season": [own.season.iloc[0]], "n": [int(own.n.sum())], "intercept": [fit[0]], "slope": [fit[1]]})
+
+    fits = counts.groupBy("season").applyInPandas(run, "season int, n long, intercept double, slope double")
+    prior = fits.select((F.col("season") + 1).alias("season"), F.col("intercept").alias("i"), F.col("slope").alias("s"))
+    return fits.join(prior, "season", "left").select("season", "n", "intercept", "slope", F.coalesce("i", F.lit(intercept)).alias("prior_intercept"), F.coalesce("s", F.lit(slope)).alias("prior_slope"))
+
+
 def colley(counts: DataFrame) -> DataFrame:
     def kernel(rows: pd.DataFrame, teams: list[int]) -> dict[str, list[float]]:
         h, a, margin, n = _sides(rows, teams)

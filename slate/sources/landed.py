@@ -167,3 +167,25 @@ def complete(rows: DataFrame, key: str, declared: Column, most: int = 10_000_000
     test = (F.col("n") == F.col("d")) & (F.col("bad") == 0) & (F.col("n") == F.coalesce("declared", F.lit(0))) & (F.col("n") <= most)
     checked = facts.select(F.when(test, True).otherwise(F.raise_error(F.lit("incomplete pages"))).cast("boolean").alias("whole"))
     return rows.crossJoin(F.broadcast(checked)).where("whole").drop("whole")
+
+
+def guarded(rows: DataFrame, holds: Column, message: str) -> DataFrame:
+    """The rows, if an aggregate condition over all of them holds; else the query fails."""
+    checked = rows.agg(F.when(holds, True).otherwise(F.raise_error(F.lit(message))).cast("boolean").alias("g_holds"))
+    return rows.crossJoin(F.broadcast(checked)).where("g_holds").drop("g_holds")
+
+
+GAME = "gameId:bigint,status:string,gameType:string,timeStampZulu:string,location:string,home:struct<division:struct<title:string>,title:string>,visitor:struct<division:struct<title:string>,title:string>"
+
+
+def paged_games(landed: DataFrame) -> DataFrame:
+    """Scheduled games of {data, meta: {filtered}} pages; the query fails where a game is missing, repeated or without an id.
+
+    Practices, and games without a place or without a time of day and a zone in their start, are left out.
+    """
+    pages = landed.select(F.from_json("body", f"struct<data:array<struct<{GAME}>>,meta:struct<filtered:bigint>>").alias("p"))
+    rows = complete(pages.select(F.explode("p.data").alias("g"), F.col("p.meta.filtered").alias("total")).select("g.*", "total"), "gameId", F.col("total"))
+    start = F.try_to_timestamp("timeStampZulu").cast("timestamp_ntz")
+    kept = rows.where("status RLIKE '(?i)^(scheduled|upcoming)$' AND NOT coalesce(gameType, '') RLIKE '(?i)practice|training' AND timeStampZulu RLIKE 'T[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:[0-9]{2})$'")
+    named = kept.select(F.col("gameId").alias("game_id"), start.alias("start_ts"), F.col("home.title").alias("home"), F.col("visitor.title").alias("away"), F.coalesce("home.division.title", "visitor.division.title").alias("division"), _blank_to_null(F.col("location")).alias("location"))
+    return named.where("start_ts IS NOT NULL AND location IS NOT NULL AND home <> '' AND away <> ''")

@@ -206,6 +206,44 @@ def test_residual_form_against_a_plain_loop(spark, games):
         assert found[team].n == len(offs) and found[team].form == pytest.approx(np.mean(offs), abs=2e-6)
 
 
+def test_ratings_as_of_each_day_against_refits(spark, games):
+    """Every eleventh game: one dense fit on all games of earlier days, weighted by age."""
+    from slate.plans import extras
+
+    found = {(r.variant, r.game_id): r for r in extras.massey_asof(spark, SF).collect()}
+    for name, cap, ridge, target, half in extras.VARIANTS:
+        for rows in games.values():
+            teams, x, m = dense(rows)
+            capped = np.clip(m, -cap, cap)
+            y = {"margin": capped, "sqrt": np.sign(capped) * np.sqrt(np.abs(capped)), "result": np.sign(m)}[target]
+            pull = np.diag([ridge] * len(teams) + [1e-3])
+            for i in range(0, len(rows), 11):
+                past = [j for j in range(len(rows)) if rows[j].day < rows[i].day]
+                got = found[name, rows[i].game_id]
+                assert got.n_before == len(past)
+                if not past:
+                    assert got.expected is None
+                    continue
+                w = np.array([0.5 ** ((rows[i].day - rows[j].day).days / half) if half else 1.0 for j in past])
+                fit = np.linalg.solve((x[past] * w[:, None]).T @ x[past] + pull, (x[past] * w[:, None]).T @ y[past])
+                assert got.expected == pytest.approx(x[i] @ fit, abs=2e-6)
+
+
+def test_calibrations_are_at_their_optimum(spark):
+    rows = collections.defaultdict(list)
+    for r in results._walked(spark, SF).collect():
+        rows[r.day.year].append((r.signal, r.half_points / 2))
+    fits = {r.season: r for r in entry.queries()["calibrations"](spark, SF).collect()}
+    assert set(fits) == set(rows)
+    for season, fit in fits.items():
+        s, y = np.array(rows[season], float).T
+        sd = s.std(ddof=1)
+        off = 1 / (1 + np.exp(-(fit.intercept + fit.slope * s))) - y
+        assert fit.n == len(s) and abs((off * (s - s.mean()) / sd).sum() + fit.slope * sd) < 1e-5 and abs(off.sum()) < 1e-4
+        before = fits.get(season - 1)
+        assert (fit.prior_intercept, fit.prior_slope) == ((before.intercept, before.slope) if before else (0.0, 0.52))
+
+
 def test_sums_by_index_are_the_dense_ones():
     r = np.random.default_rng(1)
     h, a, n = r.integers(0, 7, 90), r.integers(0, 7, 90), r.random(90)
