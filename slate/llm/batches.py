@@ -13,9 +13,13 @@ PARTITION_BYTES = 128 << 20
 
 
 def partitions(df: DataFrame, each: int = PARTITION_BYTES) -> int:
-    """Partitions for an explicit shuffle of ``df``: the session's number, or more where its inputs have more than ``each`` bytes for each of them."""
+    """Partitions for an explicit shuffle of ``df``: the session's number, or more where the files it reads have more than ``each`` bytes for each of them.
+
+    Inputs that are no files (rows of the driver, say) have no known size and do not count.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    files = [leaf for leaf in map(leaves.apply, range(leaves.size())) if leaf.nodeName() == "LogicalRelation"]
+    size = sum(int(str(leaf.stats().sizeInBytes())) for leaf in files)
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 1 << 17))
 
 

@@ -60,3 +60,5 @@ def test_partitions_grow_with_the_input(spark, tmp_path):
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert partitions(table) == at_least and partitions(table, 1000) > 10 * at_least
     assert partitions(table.join(table, "id"), 1 << 40) == at_least
+    local = spark.createDataFrame([(i, "x") for i in range(100)], "id long, u string")
+    assert partitions(local) == partitions(table.join(local, "id")) == at_least
