@@ -140,10 +140,12 @@ def colley(counts: DataFrame) -> DataFrame:
     return _fit(counts, kernel, "rating double")
 
 
-def _newton(gradient: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], x: np.ndarray, steps: int) -> np.ndarray:
+def _newton(gradient: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], x: np.ndarray, steps: int, most: float = np.inf) -> np.ndarray:
+    """Newton's method; no entry moves by more than ``most`` in a step, so flat starts do not overshoot."""
     for _ in range(steps):
         g, hess = gradient(x)
         step = np.linalg.solve(hess, g)
+        step = step * min(1.0, most / max(np.abs(step).max(), 1e-300))
         x = x - step
         if np.abs(step).max() < 1e-7:
             break
@@ -209,6 +211,14 @@ def outcome(home_mean: float, away_mean: float, most: int = 30) -> tuple[float,
     return float(np.tril(grid, -1).sum()), float(np.trace(grid)), float(np.triu(grid, 1).sum())
 
 
+def elo_change(gap: float, margin: float, margins: str) -> float:
+    """What a game moves the home side's points by, per unit of k. ``gap`` is the home side's lead, edge included."""
+    size = 1.0 if margins == "none" else np.log(abs(margin) + 1) or 0.5
+    if margins == "damped":
+        size *= 2.2 / ((gap if margin >= 0 else -gap) * 0.001 + 2.2)
+    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / 400)))
+
+
 def elo(games: DataFrame, group: str, k: float = 20, edge: float = 50, margins: str = "log") -> DataFrame:
     """Elo before every game, and what the favourite's chance was. Games of a group are replayed in (day, id) order.
 
@@ -221,16 +231,10 @@ def elo(games: DataFrame, group: str, k: float = 20, edge: float = 50, margins:
         out = []
         for game in rows.itertuples():
             home, away = rating.get(game.home, 1500.0), rating.get(game.away, 1500.0)
-            gap, margin = home + edge - away, game.home_goals - game.away_goals
-            chance = 1 / (1 + 10 ** (-gap / 400))
-            size = 1.0
-            if margins != "none":
-                size = np.log(abs(margin) + 1) or 0.5
-            if margins == "damped":
-                size *= 2.2 / ((gap if margin >= 0 else -gap) * 0.001 + 2.2)
-            change = k * size * ((np.sign(margin) + 1) / 2 - chance)
+            gap = home + edge - away
+            change = k * elo_change(gap, game.home_goals - game.away_goals, margins)
             rating[game.home], rating[game.away] = home + change, away - change
-            out.append((game.game_id, home, away, chance))
+            out.append((game.game_id, home, away, 1 / (1 + 10 ** (-gap / 400))))
         return pd.DataFrame(out, columns=["game_id", "home_elo", "away_elo", "p_home"])
 
     slim = games.select(group, "game_id", F.col("day").cast("timestamp").alias("day"), "home", "away", "home_goals", "away_goals")
@@ -309,7 +313,7 @@ def walk_forward(signals: DataFrame, group: str, at_least: int = 30, ridge: floa
         for day, places in sorted(rows[~past].groupby("day").indices.items()):
             places = np.flatnonzero(~past)[places]
             k, y = np.nonzero(held)
-            if held.sum() >= at_least and len(np.unique(k)) > 1:
+            if held.sum() >= at_least:
                 fit = logistic(signal[k][:, None].astype(float), half[y] / 2, held[k, y], ridge)
                 now = signal[np.unique(at[0][places])]
                 out.append(pd.DataFrame({group: rows[group].iloc[0], "day": day, "signal": now, "p": 1 / (1 + np.exp(-(fit[0] + fit[1] * now)))}))

@@ -59,6 +59,16 @@ def prediction_scores(rows: DataFrame, p: Column, half: Column, by: list[str]) -
     )
 
 
+def weighted_scores(rows: DataFrame, p: Column, half: Column, n: Column, by: list[str]) -> DataFrame:
+    """``prediction_scores`` of rows that stand for ``n`` games each."""
+    y = half / F.lit(2.0)
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    hit = F.when((p == 0.5) | (half == 1), 0.5).when((p > 0.5) == (half == 2), 1.0).otherwise(0.0)
+    loss = -(y * F.ln(q) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - q))
+    mean = lambda x: F.sum(x * n) / F.sum(n)
+    return rows.groupBy(*by).agg(F.sum(n).cast("long").alias("n"), mean(hit).alias("accuracy"), mean(loss).alias("log_loss"), mean((p - y) * (p - y)).alias("brier"))
+
+
 def band(value: Column, edges: list[float]) -> Column:
     """Number of the first band [lo, hi) that holds the value; the last takes what is beyond."""
     out = F.lit(len(edges) - 2)
