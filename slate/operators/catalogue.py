@@ -568,6 +568,7 @@ class _Counts:
 
     def __init__(self, width: int) -> None:
         self.width, self.codes, self.counts = width, np.zeros(0, np.int64), np.zeros((0, 3))
+        self.last: np.ndarray | None = None
 
     def learn(self, codes: np.ndarray, half: np.ndarray, n: np.ndarray) -> None:
         merged = np.union1d(self.codes, codes)
@@ -579,7 +580,8 @@ class _Counts:
 
     def fit(self, ridge: float) -> np.ndarray:
         k, y = np.nonzero(self.counts)
-        return ratings.logistic(decoded(self.codes[k], self.width), y / 2, self.counts[k, y], ridge)
+        self.last = ratings.logistic(decoded(self.codes[k], self.width), y / 2, self.counts[k, y], ridge, self.last)
+        return self.last
 
 
 def decoded(codes: np.ndarray, width: int) -> np.ndarray:
@@ -591,7 +593,7 @@ def walk_combos(rows: DataFrame, chosen: list[Combo], at_least: int = 30, own_le
 
     Fits of a league alone need ``own_least`` earlier games of it; the pooled fit stands in.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * len(chosen) // 10, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = rows.groupBy("combo", F.unix_date("day").alias("day"), "league", "code", "half").agg(F.count_if(F.col("least_n") >= 2).alias("n"))
     ordered = counts.repartition(parts, "combo").sortWithinPartitions("combo", "day")
 
@@ -603,7 +605,7 @@ def walk_combos(rows: DataFrame, chosen: list[Combo], at_least: int = 30, own_le
             if number[0] != at:
                 at, tables = number[0], {None: _Counts(width)}
             if tables[None].counts.sum() >= at_least:
-                asked = np.unique(np.column_stack((league, code)), axis=0)
+                asked = np.unique(np.column_stack((league, code)), axis=0) if combo.by_league else np.unique(code)[:, None] * [0, 1]
                 fits = {None: tables[None].fit(combo.ridge)}
                 if combo.by_league:
                     fits |= {one: tables[one].fit(combo.ridge) for one in set(asked[:, 0].tolist()) & set(tables) if tables[one].counts.sum() >= own_least}
@@ -624,19 +626,30 @@ def walk_combos(rows: DataFrame, chosen: list[Combo], at_least: int = 30, own_le
     return made.withColumn("day", F.date_from_unix_date("day"))
 
 
-def combo_rows(long: DataFrame, chosen: list[Combo], listed: list[Candidate]) -> DataFrame:
-    """(combo, game_id, day, league, half, least_n, code): every combo's tuple of rounded signals for every game."""
+def combo_rows(long: DataFrame, chosen: list[Combo], listed: list[Candidate], after: int = 0) -> DataFrame:
+    """(combo, game_id, day, league, half, least_n, code): every combo's tuple of rounded signals for every game.
+
+    Combos are numbered from ``after``; the league is kept only where fits are by league, else it is 0.
+    """
     numbers = {c.name: i for i, c in enumerate(listed)}
     used = sorted({numbers[f] for c in chosen for f in c.features})
     picks = [F.max(F.when(F.col("metric") == i, stepped(F.col("value"), F.lit(listed[i].step * COARSE)))).alias(f"s{i}") for i in used]
     wide = long.where(F.col("metric").isin(used)).groupBy(*PASSED).agg(*picks)
     coded = []
-    for place, combo in enumerate(chosen):
+    for place, combo in enumerate(chosen, after):
         code = F.lit(0).cast("long")
         for i, feature in enumerate(combo.features):
             code = code + F.call_function("shiftleft", F.col(f"s{numbers[feature]}") + F.lit(8192), F.lit(15 * i))
-        coded.append(F.struct(F.lit(place).cast("long").alias("combo"), code.alias("code")))
-    return wide.select(*PASSED, F.inline(F.array(*coded)))
+        own = F.col("league") if combo.by_league else F.lit(0).cast("long")
+        coded.append(F.struct(F.lit(place).cast("long").alias("combo"), own.alias("own"), code.alias("code")))
+    return wide.select(*PASSED, F.inline(F.array(*coded))).select("combo", "game_id", "day", F.col("own").alias("league"), "half", "least_n", "code")
+
+
+def single_rows(long: DataFrame, listed: list[Candidate]) -> DataFrame:
+    """``combo_rows`` of every candidate alone, in its own steps; its number is the candidate's."""
+    step = F.element_at(F.array(*[F.lit(c.step) for c in listed]), (F.col("metric") + 1).cast("int"))
+    code = stepped(F.col("value"), step) + F.lit(8192)
+    return long.select(F.col("metric").alias("combo"), "game_id", "day", F.lit(0).cast("long").alias("league"), "half", "least_n", code.alias("code"))
 
 
 def split_day(known: DataFrame, least: int = 5, share: float = 0.6) -> DataFrame:
@@ -655,24 +668,18 @@ def scored(rows: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
 
 def evaluated(long: DataFrame, split: DataFrame, listed: list[Candidate], joined: list[Combo], least: int = 5) -> DataFrame:
     """(name, family, complexity, kind, part, n, accuracy, log_loss, brier) of every candidate, its own chances where it has them, and every combo."""
-    step = F.element_at(F.array(*[F.lit(c.step) for c in listed]), (F.col("metric") + 1).cast("int"))
-    stepped_rows = long.select("metric", "day", stepped(F.col("value"), step).alias("signal"), F.col("half").alias("half_points"), "least_n")
-    chances = ratings.walk_forward(stepped_rows.where("least_n >= 2").drop("least_n"), "metric")
-    asked = stepped_rows.where(F.col("least_n") >= least).groupBy("metric", "day", "signal", F.col("half_points").alias("half")).agg(F.count("*").alias("n"))
-    single = scored(asked.join(chances, ["metric", "day", "signal"]), split, ["metric"]).withColumn("kind", F.lit("calibrated"))
+    rows = single_rows(long, listed).unionByName(combo_rows(long, joined, listed, len(listed)))
+    fitted = walk_combos(rows, [*[Combo(c.name, (c.name,)) for c in listed], *joined])
+    asked = rows.where(F.col("least_n") >= least).groupBy("combo", "day", "league", "code", "half").agg(F.count("*").alias("n"))
+    walked = scored(asked.join(fitted, ["combo", "day", "league", "code"]), split, ["combo"]).withColumn("kind", F.when(F.col("combo") < len(listed), "calibrated").otherwise("combo"))
     raw = [i for i, c in enumerate(listed) if c.raw]
-    own = long.where(F.col("metric").isin(raw) & (F.col("least_n") >= least)).select("metric", "day", "half", score.sigmoid(F.col("value")).alias("p"), F.lit(1).alias("n"))
-    plain = scored(own, split, ["metric"]).withColumn("kind", F.lit("raw"))
-    names = F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit(c.family).alias("family"), F.lit(c.complexity).alias("complexity")) for c in listed])
-    entries = single.unionByName(plain).withColumn("x", F.element_at(names, (F.col("metric") + 1).cast("int"))).drop("metric")
+    own = long.where(F.col("metric").isin(raw) & (F.col("least_n") >= least)).select(F.col("metric").alias("combo"), "day", "half", score.sigmoid(F.col("value")).alias("p"), F.lit(1).alias("n"))
+    both = walked.unionByName(scored(own, split, ["combo"]).withColumn("kind", F.lit("raw")))
     complexity = {c.name: c.complexity for c in listed}
-    tuples = combo_rows(long, joined, listed)
-    fitted = walk_combos(tuples, joined)
-    wanted = tuples.where(F.col("least_n") >= least).groupBy("combo", "day", "league", "code", "half").agg(F.count("*").alias("n"))
-    of_combo = F.array(*[F.struct(F.lit(c.name).alias("name"), F.lit("combo").alias("family"), F.lit(sum(complexity[f] for f in c.features) + (2 if c.by_league else 1)).alias("complexity")) for c in joined])
-    stacked = scored(wanted.join(fitted, ["combo", "day", "league", "code"]), split, ["combo"]).withColumn("kind", F.lit("combo"))
-    both = entries.unionByName(stacked.withColumn("x", F.element_at(of_combo, (F.col("combo") + 1).cast("int"))).drop("combo"))
-    return both.select("x.name", "x.family", "x.complexity", "kind", "part", "n", "accuracy", "log_loss", "brier")
+    entries = [(c.name, c.family, c.complexity) for c in listed] + [(c.name, "combo", sum(complexity[f] for f in c.features) + (2 if c.by_league else 1)) for c in joined]
+    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("family"), F.lit(x).alias("complexity")) for n, f, x in entries])
+    out = both.withColumn("x", F.element_at(named, (F.col("combo") + 1).cast("int")))
+    return out.select("x.name", "x.family", "x.complexity", "kind", "part", "n", "accuracy", "log_loss", "brier")
 
 
 def selected(scores: DataFrame, top: int = 10, slack: float = 0.002) -> DataFrame:

@@ -272,8 +272,8 @@ def kalman(games: DataFrame, group: str, drift: float = 0.01, noise: float = 6.0
     return slim.groupBy(group).applyInPandas(run, f"{group} long, team long, rating double, variance double, edge double")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Ridge logistic fit of soft labels on standardised signals: intercept and slopes on the original scale."""
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:
+    """Ridge logistic fit of soft labels on standardised signals: intercept and slopes on the original scale. ``start``: a fit to begin from, such as yesterday's."""
     mean = np.average(x, axis=0, weights=w)
     spread = np.sqrt(np.maximum(((x - mean) ** 2 * w[:, None]).sum(axis=0) / max(w.sum() - 1, 1), 1e-12))
     z = np.column_stack((np.ones(len(x)), (x - mean) / spread))
@@ -283,7 +283,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
         p = 1 / (1 + np.exp(-(z @ b)))
         return z.T @ (w * (p - y)) + pull * b, (z * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + np.diag(pull)
 
-    fit = _newton(gradient, np.zeros(z.shape[1]), 30)
+    first = np.zeros(z.shape[1]) if start is None else np.append(start[0] + start[1:] @ mean, start[1:] * spread)
+    fit = _newton(gradient, first, 30)
     return np.concatenate(([fit[0] - (fit[1:] * mean / spread).sum()], fit[1:] / spread))
 
 
@@ -310,11 +311,12 @@ def walk_forward(signals: DataFrame, group: str, at_least: int = 30, ridge: floa
         past, n = rows.day.isna().to_numpy(), rows.n.to_numpy(float)
         np.add.at(held, (at[0][past], at[1][past]), n[past])
         out: list[pd.DataFrame] = []
+        fit = None
         for day, places in sorted(rows[~past].groupby("day").indices.items()):
             places = np.flatnonzero(~past)[places]
             k, y = np.nonzero(held)
             if held.sum() >= at_least:
-                fit = logistic(signal[k][:, None].astype(float), half[y] / 2, held[k, y], ridge)
+                fit = logistic(signal[k][:, None].astype(float), half[y] / 2, held[k, y], ridge, fit)
                 now = signal[np.unique(at[0][places])]
                 out.append(pd.DataFrame({group: rows[group].iloc[0], "day": day, "signal": now, "p": 1 / (1 + np.exp(-(fit[0] + fit[1] * now)))}))
             np.add.at(held, (at[0][places], at[1][places]), n[places])
