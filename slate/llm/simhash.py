@@ -8,9 +8,10 @@ Finding links: a fingerprint is cut into two segments of 32 bits, so at least on
 if two fingerprints link. For each segment and each of its bits, the segment with that bit taken out (a wildcard) is an index
 key; equal keys are the candidates, and every candidate is verified on all 64 bits.
 
-Only distinct fingerprints are indexed, so exact copies cost nothing here. A bucket (rows with one key) is cut into
-blocks of ``block`` fingerprints, and every two blocks of it meet in one group, so no task holds more than
-two blocks, however full a bucket is, and none of its pairs is missed. Inside a group the verified links are found by search from
+Only distinct fingerprints are indexed, so exact copies cost nothing here. A crowded bucket (rows with one key) is parted
+by the bytes of its other segment: two linked fingerprints differ in three bits at most, so one of its four bytes is
+equal, and four rows a fingerprint are enough. A part that is still larger than ``block`` is cut into blocks, and every two blocks
+of it meet in one group, so no task holds more than two blocks, however full a bucket is, and none of its pairs is missed. Inside a group the verified links are found by search from
 fingerprint to fingerprint, and those of a spanning forest are emitted, never all pairs: groups give at most one link
 per member. Small groups emit a link only from the first key that both sides share.
 
@@ -105,6 +106,12 @@ def _crowded(nodes: DataFrame, block: int) -> DataFrame:
     return full.select(F.explode(keys).alias("c_key"), (F.col("n") + block // 2).alias("m")).groupBy("c_key").agg(F.sum("m").alias("c_n"))
 
 
+def _parts(key: Column, fp: Column) -> Column:
+    """The four bytes of the segment that the key leaves out, each with its place: 0 to 1023. Linked fingerprints differ in three bits, so one byte is equal."""
+    other = F.when(F.shiftright(key, 37) == 0, _segment(fp, 1)).otherwise(_segment(fp, 0))
+    return F.array(*[F.shiftright(other, 8 * i).bitwiseAND(F.lit(0xFF)) + F.lit(256 * i) for i in range(4)])
+
+
 def _count(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
@@ -173,11 +180,14 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     # written first: where it is small, as nearly always, the joins below need no shuffle
     crowded = cut(_crowded(nodes, block))
-    blocks = F.greatest(F.ceil(F.col("c_n") / block), F.lit(1)).cast("long")
+    full = keyed.join(crowded, F.col("key") == F.col("c_key"))
+    parted = full.select("key", F.explode(_parts(F.col("key"), F.col("fp"))).alias("part"), "fp")
+    packed = cut(parted.groupBy(F.col("key").alias("p_key"), F.col("part").alias("p_part")).agg(F.count("*").alias("p_n")).where(F.col("p_n") > block))
+    placed = parted.join(packed, (F.col("key") == F.col("p_key")) & (F.col("part") == F.col("p_part")), "left")
+    blocks = F.coalesce(F.ceil(F.col("p_n") / block), F.lit(1)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("c_blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("c_blocks") - 1), lambda other: F.least(own, other) * F.col("c_blocks") + F.greatest(own, other))
-    full = keyed.join(crowded.withColumn("c_blocks", blocks), F.col("key") == F.col("c_key"))
-    met = full.select("key", F.explode(pairs).alias("sub"), "fp")
+    met = placed.withColumn("c_blocks", blocks).select("key", "part", F.explode(pairs).alias("pair"), "fp").select("key", (F.col("pair") * 1024 + F.col("part")).alias("sub"), "fp")
     plain = keyed.join(crowded, F.col("key") == F.col("c_key"), "left_anti").select("key", F.lit(0).cast("long").alias("sub"), "fp")
     grouped = plain.unionByName(met).repartition(parts, "key", "sub").sortWithinPartitions("key", "sub")
 
