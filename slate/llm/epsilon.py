@@ -93,9 +93,9 @@ def _compared(similarity: float):  # noqa: ANN202
                     held[task["code"]] = x, weights
                     counts[task["code"]] = np.zeros(len(x), np.int64)
                     continue
-                base = task["tile"] << V.FAN_BITS
+                base = task["tile"] << V.TILE_BITS
                 own = np.zeros(len(x), np.int64)
-                for i in range(1 << V.FAN_BITS):
+                for i in range(1 << V.TILE_BITS):
                     if not task["mask"] >> i & 1:
                         continue
                     left, left_weights = held[base + i]
@@ -125,12 +125,12 @@ def _rows(node: np.ndarray, links: np.ndarray, other: np.ndarray | None) -> pa.R
 def joined(made: DataFrame, similarity: float) -> DataFrame:
     """(node, links, other), written: numbers of links (other is null) and pointers between linked nodes (links is zero)."""
     wide = 2 - 2 * similarity + 1e-9
-    pairs = V.descend(made, made, 0, (F.col("a_code") <= F.col("b_code")) & (V.box_distance() <= F.lit(wide)))
-    tile = F.shiftright("a", V.FAN_BITS)
-    bit = F.call_function("shiftleft", F.lit(1), F.col("a").bitwiseAND(F.lit((1 << V.FAN_BITS) - 1)).cast("int"))
+    pairs = V.descend(made, made, (F.col("a_code") <= F.col("b_code")) & (V.box_distance() <= F.lit(wide)))
+    tile = F.shiftright("a", V.TILE_BITS)
+    bit = F.call_function("shiftleft", F.lit(1), F.col("a").bitwiseAND(F.lit((1 << V.TILE_BITS) - 1)).cast("int"))
     asked = cut(pairs.groupBy(tile.alias("tile"), F.shiftright("b", CHUNK_BITS).alias("chunk"), F.col("b").alias("code")).agg(F.bit_or(bit).alias("mask")))
     columns = ["tile", "chunk", "role", "code", "mask", "dim", "size", "n", "vecs"]
-    held = asked.select("tile", "chunk").distinct().join(made.withColumn("tile", F.shiftright("code", V.FAN_BITS)), "tile").withColumns({"role": F.lit(0), "mask": F.lit(0)})
+    held = asked.select("tile", "chunk").distinct().join(made.withColumn("tile", F.shiftright("code", V.TILE_BITS)), "tile").withColumns({"role": F.lit(0), "mask": F.lit(0)})
     passing = asked.join(made, "code").withColumn("role", F.lit(1))
     tasks = held.select(*columns).unionByName(passing.select(*columns))
     dealt = tasks.repartition(partitions(made), "tile", "chunk").sortWithinPartitions("tile", "chunk", "role", "code")

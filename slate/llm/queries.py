@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from slate.llm import chat, decontam, epsilon, htmltext, licenses, pieces, quality, sharding, simhash, tokenfiles, urlfilter
+from slate.llm import chat, decontam, epsilon, htmltext, licenses, negatives, pieces, quality, sharding, simhash, tokenfiles, urlfilter
 from slate.session import ship, small_batches, table
 
 
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": _over("documents", tokenfiles.query),
     "op9_html_extraction": _over("pages", htmltext.query),
     "op10_chat_formatting": _over("conversations", chat.query),
+    "op11_hard_negatives": _over("embeddings", negatives.query),
     "op12_embedding_duplicates": _over("embeddings", epsilon.query),
     "pipeline": corpus_pipeline.run,
 }
@@ -40,4 +41,5 @@ SQL: dict[str, str] = {
     "op5_decontamination": decontam.SQL,
     "op6_license_scans": licenses.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_hard_negatives": negatives.SQL,
 }

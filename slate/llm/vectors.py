@@ -1,7 +1,7 @@
 """Vectors in sorted blocks and boxes over intervals of the blocks: what the operators on embeddings share.
 
 Rows are sorted by grid cells on their leading principal axes and cut into blocks of consecutive rows. Blocks are the
-leaves of a tree: eight consecutive nodes of a level make a node of the next. A node has a box of its rows' coordinates on the
+leaves of a tree: 32 consecutive nodes of a level make a node of the next. A node has a box of its rows' coordinates on the
 axes, and the largest norm of what the axes leave out. ``descend`` goes down two trees at once, one join a level, and
 keeps the pairs of nodes that a predicate over their boxes allows.
 
@@ -27,7 +27,8 @@ AXES = 16
 SAMPLE = 4096
 WIDTH = 1024
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
-FAN_BITS = 3
+FAN_BITS = 5
+TILE_BITS = 3
 BATCH_BYTES = 16 << 20
 
 Prepare = Callable[[np.ndarray], np.ndarray]
@@ -175,19 +176,16 @@ def nodes(made: DataFrame, level: int, prefix: str, *more: Column) -> DataFrame:
     return grouped.select([F.col(c).alias(f"{prefix}{c}") for c in grouped.columns])
 
 
-def descend(a: DataFrame, b: DataFrame, a_bottom: int, meets: Column, a_more: tuple[Column, ...] = (), b_more: tuple[Column, ...] = ()) -> DataFrame:
-    """(dim, a, b): pairs of a node of ``a`` at level ``a_bottom`` and a block of ``b`` whose boxes, and those of all nodes above them, satisfy ``meets``.
+def descend(a: DataFrame, b: DataFrame, meets: Column, a_more: tuple[Column, ...] = (), b_more: tuple[Column, ...] = ()) -> DataFrame:
+    """(dim, a, b): pairs of a block of ``a`` and one of ``b`` whose boxes, and those of all nodes above them, satisfy ``meets``.
 
-    ``meets`` is over the columns of ``nodes`` with the prefixes a_ and b_. A pair of nodes opens to at most 64 pairs of the level below, so no
-    join is larger than 64 times the pairs that are left, and each level is written before the next.
+    ``meets`` is over the columns of ``nodes`` with the prefixes a_ and b_. It starts at the pair of the two roots. A pair opens to at most 1,024 pairs of the level
+    below, so no join is larger than 1,024 times the pairs that are left, and each level is written before the next.
     """
-    top = max(depth(a), depth(b), a_bottom)
     pairs = a.select("dim").distinct().withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
-    for level in range(top, -1, -1):
-        own = max(level, a_bottom)
-        up = FAN_BITS if level < top else 0
-        left = nodes(a, own, "a_", *a_more).withColumn("a_up", F.shiftright("a_code", up if level >= a_bottom else 0))
-        right = nodes(b, level, "b_", *b_more).withColumn("b_up", F.shiftright("b_code", up))
+    for level in range(max(1, depth(a), depth(b)) - 1, -1, -1):
+        left = nodes(a, level, "a_", *a_more).withColumn("a_up", F.shiftright("a_code", FAN_BITS))
+        right = nodes(b, level, "b_", *b_more).withColumn("b_up", F.shiftright("b_code", FAN_BITS))
         met = pairs.join(left, (pairs.dim == left.a_dim) & (pairs.a == left.a_up)).join(right, (F.col("dim") == right.b_dim) & (F.col("b") == right.b_up))
         pairs = cut(met.where(meets).select("dim", F.col("a_code").alias("a"), F.col("b_code").alias("b")))
     return pairs
