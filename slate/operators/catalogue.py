@@ -1,7 +1,7 @@
 """A catalogue of signals of coming games, each known from games of earlier days only, and their walk-forward scores.
 
-A candidate is a row of ``CANDIDATES``: a name, its family, its complexity, how it is computed and the step to which its signal is
-rounded for fits. Season records and meetings are running sums over days; form and fading sums are read in one ordered pass per
+A candidate is a name, its family, its complexity and how it is computed. A game is one row with an array of all its signals, unrounded, and
+walk-forward fits (``walk``) see them as they are. Season records and meetings are running sums over days; form and fading sums are read in one ordered pass per
 team; fitted ratings are refitted for every day from sums per pair of teams. Ordered passes stream: rows are partitioned and
 sorted by Spark, and a task holds one day of one league and the state (teams squared numbers), never a history.
 
@@ -10,6 +10,7 @@ A game without a day, sides or goals is not played and is left out. An empty tab
 
 from __future__ import annotations
 
+import datetime
 from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slate.operators import asof, ratings, score
+from slate.operators import asof, ratings, score, walk
 
 Columns = list[np.ndarray]
 
@@ -30,7 +31,6 @@ class Candidate(NamedTuple):
     complexity: int
     kind: str
     options: dict
-    step: float = 0.01
     raw: bool = False
 
 
@@ -120,7 +120,7 @@ def _normal(weights: np.ndarray, ridge: float) -> np.ndarray:
     return out
 
 
-class Logistic(Fitted):
+class BradleyTerry(Fitted):
     """Logistic ratings; with ``soft`` the margin counts through a hyperbolic tangent."""
 
     def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ class Logistic(Fitted):
         return self.start
 
 
-class Goals(Fitted):
+class Poisson(Fitted):
     """Attack and defence of Poisson goals; the signal is the log-odds of a win, a tie counted one half."""
 
     def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +149,8 @@ class Goals(Fitted):
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         k, x = len(self.prior), self.solved()
         means = np.exp(x[h] - x[k + a] + x[-2] + x[-1]), np.exp(x[a] - x[k + h] + x[-2])
-        chances = [ratings.outcome(one, two) for one, two in zip(*means, strict=True)]
-        p = np.clip([win + tie / 2 for win, tie, _ in chances], 1e-6, 1 - 1e-6)
+        win, tie, _ = ratings.outcomes(*means)
+        p = np.clip(win + tie / 2, 1e-6, 1 - 1e-6)
         return np.log(p / (1 - p))
 
     def solved(self) -> np.ndarray:
@@ -182,7 +182,7 @@ class Goals(Fitted):
         return self.start
 
 
-class Counted(Fitted):
+class Colley(Fitted):
     """A linear system of wins less losses, without a home edge."""
 
     def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,26 +242,26 @@ class Residual(Fitted):
         return np.array([over(home) - over(away) for home, away in zip(h.tolist(), a.tolist(), strict=True)])
 
 
-class Points:
+class Elo:
     """Elo points in game order; the signal is the favourite's log-odds."""
 
     def __init__(self, options: dict) -> None:
-        self.options, self.points = options, np.zeros(0)
+        self.options, self.ratings = options, np.zeros(0)
 
     def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
-        self.points = np.append(self.points, np.zeros(len(last) - len(self.points)))
+        self.ratings = np.append(self.ratings, np.zeros(len(last) - len(self.ratings)))
 
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        return (self.points[h] - self.points[a] + self.options["edge"]) / 400 * np.log(10)
+        return (self.ratings[h] - self.ratings[a] + self.options["edge"]) / 400 * np.log(10)
 
     def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
         for home, away, margin in zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True):
-            change = self.options["k"] * ratings.elo_change(self.points[home] + self.options["edge"] - self.points[away], margin, self.options["margins"])
-            self.points[home] += change
-            self.points[away] -= change
+            change = self.options["k"] * ratings.elo_change(self.ratings[home] + self.options["edge"] - self.ratings[away], margin, self.options["margins"])
+            self.ratings[home] += change
+            self.ratings[away] -= change
 
 
-class Drifting:
+class Kalman:
     """Strengths as random walks, seen through capped margins; place 0 is the home edge."""
 
     def __init__(self, options: dict) -> None:
@@ -295,7 +295,7 @@ class Drifting:
             self.cov -= np.outer(gain, gain / total)
 
 
-MODELS = {"squares": Fitted, "logistic": Logistic, "goals": Goals, "counted": Counted, "schedule": Schedule, "residual": Residual, "points": Points, "drifting": Drifting}
+MODELS = {"massey": Fitted, "bradley_terry": BradleyTerry, "poisson": Poisson, "colley": Colley, "schedule": Schedule, "residual": Residual, "elo": Elo, "kalman": Kalman}
 
 
 def _team_names() -> list[str]:
@@ -310,53 +310,52 @@ def candidates() -> list[Candidate]:
     """All candidates and the three baselines, in a fixed order; a candidate's number is its place."""
     out = [
         Candidate("baseline home rate", "baseline", 0, "zero", {}),
-        Candidate("baseline even", "baseline", 0, "zero", {}, 0.01, True),
-        Candidate("baseline shares", "baseline", 1, "shares", {}, 0.02, True),
-        Candidate("home edge", "home", 1, "one", {}),
+        Candidate("baseline even", "baseline", 0, "zero", {}, True),
+        Candidate("baseline shares", "baseline", 1, "shares", {}, True),
+        Candidate("home constant", "home", 1, "one", {}),
     ]
     add = lambda *args: out.append(Candidate(*args))
-    for what in ("points", "wins"):
+    for what in ("points", "wins", "scored", "conceded"):
         add(f"record {what}", "record", 1, "record", {"what": what})
-    for what in ("scored", "conceded"):
-        add(f"record {what}", "record", 1, "record", {"what": what}, 0.05)
     for cap in CAPS:
-        add(f"record margin cap {cap}", "record", 2, "record", {"what": f"margin {cap}"}, 0.05)
-    for power in (1.0, 1.5, 2.0, 2.5, 3.0):
-        add(f"record expected share {power}", "record", 2, "record", {"what": "power", "power": power})
+        add(f"record margin cap {cap}", "record", 2, "record", {"what": f"margin {cap}"})
     for place, name in enumerate(_team_names()):
-        add(name, "momentum" if place >= 15 else "recency", 1 if place >= 15 else 3 if "capped" in name else 2, "form", {"place": place}, 0.05 if "margin" in name or "capped" in name else 0.01)
+        add(name, "momentum" if place >= 15 else "recency", 1 if place >= 15 else 3 if "capped" in name else 2, "form", {"place": place})
     add("meetings result", "meetings", 1, "meetings", {"what": "result"})
-    add("meetings margin", "meetings", 1, "meetings", {"what": "margin"}, 0.05)
-    add("rest", "rest", 1, "record", {"what": "rest"}, 1.0)
-    for name, weights in (("share with opponents", (0.25, 0.5, 0.25)), ("share mostly own", (0.5, 0.35, 0.15)), ("opponents' share", (0.0, 1.0, 0.0))):
+    add("meetings margin", "meetings", 1, "meetings", {"what": "margin"})
+    add("rest", "rest", 1, "record", {"what": "rest"})
+    # Options of the rating methods, which decide what is compared with what.
+    pythagoras = [1.0, 1.5, 2.0, 2.5, 3.0]
+    rpi = {"rpi": (0.25, 0.5, 0.25), "rpi mostly own": (0.5, 0.35, 0.15), "rpi opponents": (0.0, 1.0, 0.0)}
+    sos_caps = [3, 5, np.inf]
+    massey: list[dict] = [{"cap": c, "ridge": r} for c in (2, 3, 5, 8, np.inf) for r in (0.3, 1, 3, 10)]
+    massey += [{"target": "result", "cap": 1, "ridge": r} for r in (1, 3, 10)]
+    massey += [{"cap": 5, "ridge": r, "half_life": life} for life in (30, 60) for r in (1, 3)]
+    massey += [{"cap": c, "ridge": r} for c in (6, 10, 12, 15) for r in (0.3, 1)] + [{"cap": 8, "ridge": 0.1}]
+    massey += [{"target": "sqrt", "cap": c, "ridge": r} for c in (8, np.inf) for r in (0.3, 1)]
+    massey += [{"cap": c, "ridge": 1, "half_life": life} for life in (90, 120) for c in (8, np.inf)]
+    bradley_terry = [{"ridge": r} for r in (0.1, 0.3, 1, 3)] + [{"ridge": r, "soft": s} for s in (2, 4) for r in (0.3, 1)] + [{"ridge": 0.3, "soft": s} for s in (6, 8)]
+    poisson = [{"ridge": r} for r in (1, 3, 10)] + [{"ridge": 3, "half_life": 90}]
+    elo = [{"k": k, "edge": e, "margins": m} for k in (8, 16, 24, 32, 48, 64) for e in (0, 35) for m in ("none", "log", "538")]
+    kalman = [{"drift": q, "noise": r, "start": v, "cap": 8} for q in (0, 0.002, 0.005, 0.01, 0.02) for r in (9, 14) for v in (1, 3)]
+    massey_priors: list[dict] = [{"prior": m, "share": s, "ridge": r, "cap": 8} for m in ("last", "outside", "blend") for s in (0.25, 0.5, 0.75, 1) for r in (1, 2, 4)]
+    massey_priors += [{"prior": "blend", "share": 1, "ridge": r, "scale": s, "cap": 8} for s in (0.5, 0.25) for r in (2, 4)]
+    kalman_priors = [{"prior": "blend", "share": s, "prior_variance": v, "drift": q, "noise": 9, "start": 3, "cap": 8} for s in (0.5, 1) for v in (0.5, 1.5) for q in (0, 0.005, 0.01)]
+    # End of the fixed values.
+    for power in pythagoras:
+        add(f"pythagoras {power}", "record", 2, "record", {"what": "power", "power": power})
+    for name, weights in rpi.items():
         add(name, "schedule", 2, "schedule", {"weights": weights})
-    for cap in (3, 5, np.inf):
-        add(f"margin with opponents cap {cap}", "schedule", 2, "schedule", {"cap": cap}, 0.05)
-    squares: list[dict] = [{"cap": c, "ridge": r} for c in (2, 3, 5, 8, np.inf) for r in (0.3, 1, 3, 10)]
-    squares += [{"target": "result", "cap": 1, "ridge": r} for r in (1, 3, 10)]
-    squares += [{"cap": 5, "ridge": r, "half_life": life} for life in (30, 60) for r in (1, 3)]
-    squares += [{"cap": c, "ridge": r} for c in (6, 10, 12, 15) for r in (0.3, 1)] + [{"cap": 8, "ridge": 0.1}]
-    squares += [{"target": "sqrt", "cap": c, "ridge": r} for c in (8, np.inf) for r in (0.3, 1)]
-    squares += [{"cap": c, "ridge": 1, "half_life": life} for life in (90, 120) for c in (8, np.inf)]
-    for o in squares:
-        add("squares " + _spelt(o), "squares", 3, "squares", o, 0.05)
-    for o in [{"ridge": r} for r in (0.1, 0.3, 1, 3)] + [{"ridge": r, "soft": s} for s in (2, 4) for r in (0.3, 1)] + [{"ridge": 0.3, "soft": s} for s in (6, 8)]:
-        add("logistic " + _spelt(o), "logistic", 3, "logistic", o, 0.02, True)
-    add("counted", "counted", 2, "counted", {})
-    for o in [{"ridge": r} for r in (1, 3, 10)] + [{"ridge": 3, "half_life": 90}]:
-        add("goals " + _spelt(o), "goals", 4, "goals", o, 0.02, True)
+    for cap in sos_caps:
+        add(f"sos margin cap {cap}", "schedule", 2, "schedule", {"cap": cap})
+    add("colley", "colley", 2, "colley", {})
     for n in LASTS:
-        add(f"residual last {n}", "momentum", 4, "residual", {"cap": 8, "ridge": 1, "last": n}, 0.05)
-    for o in [{"k": k, "edge": e, "margins": m} for k in (8, 16, 24, 32, 48, 64) for e in (0, 35) for m in ("none", "log", "damped")]:
-        add("points " + _spelt(o), "points", 3, "points", o, 0.02, True)
-    for o in [{"drift": q, "noise": r, "start": v, "cap": 8} for q in (0, 0.002, 0.005, 0.01, 0.02) for r in (9, 14) for v in (1, 3)]:
-        add("drifting " + _spelt(o), "drifting", 4, "drifting", o, 0.05)
-    priors: list[dict] = [{"prior": m, "share": s, "ridge": r, "cap": 8} for m in ("last", "outside", "blend") for s in (0.25, 0.5, 0.75, 1) for r in (1, 2, 4)]
-    priors += [{"prior": "blend", "share": 1, "ridge": r, "scale": s, "cap": 8} for s in (0.5, 0.25) for r in (2, 4)]
-    for o in priors:
-        add("squares " + _spelt(o), "squares with priors", 5, "squares", o, 0.05)
-    for o in [{"prior": "blend", "share": s, "prior_variance": v, "drift": q, "noise": 9, "start": 3, "cap": 8} for s in (0.5, 1) for v in (0.5, 1.5) for q in (0, 0.005, 0.01)]:
-        add("drifting " + _spelt(o), "drifting with priors", 6, "drifting", o, 0.05)
+        add(f"residual last {n}", "momentum", 4, "residual", {"cap": 8, "ridge": 1, "last": n})
+    families = (("massey", "massey", 3, massey), ("bradley_terry", "bradley-terry", 3, bradley_terry), ("poisson", "poisson", 4, poisson), ("elo", "elo", 3, elo), ("kalman", "kalman", 4, kalman),
+                ("massey", "massey with priors", 5, massey_priors), ("kalman", "kalman with priors", 6, kalman_priors))
+    for kind, family, complexity, options in families:
+        for o in options:
+            add(f"{family.split()[0]} {_spelt(o)}", family, complexity, kind, o, kind in ("bradley_terry", "poisson", "elo"))
     return out
 
 
@@ -366,7 +365,7 @@ def _spelt(options: dict) -> str:
 
 CAPS = (1, 2, 3, 5, 8, 99)
 PASSED = ("game_id", "day", "league", "half", "least_n")
-BUNDLE = 8
+BUNDLE = 6
 
 
 def played(games: DataFrame, group: str, priors: DataFrame) -> DataFrame:
@@ -380,25 +379,28 @@ def played(games: DataFrame, group: str, priors: DataFrame) -> DataFrame:
     return rows
 
 
-def fitted_signals(rows: DataFrame, chosen: list[tuple[int, Candidate]]) -> DataFrame:
-    """(metric, value and the passed columns) of rating candidates. ``rows``: ``played`` with least_n. Eight candidates share one pass over a league."""
+def fitted_signals(rows: DataFrame, chosen: list[Candidate]) -> DataFrame:
+    """(game_id, fitted): an array with the signals of all rating candidates, in their order. ``rows``: ``played``.
+
+    Candidates are dealt to bundles of one kind each, which share a pass over a league; what a pass gives is one row a game.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bundles = [chosen[i::max(1, -(-len(chosen) // BUNDLE))] for i in range(max(1, -(-len(chosen) // BUNDLE)))]
+    numbered = sorted(range(len(chosen)), key=lambda i: chosen[i].kind)
+    bundles = [numbered[at : at + BUNDLE] for at in range(0, len(numbered), BUNDLE)]
     numbers = F.explode(F.sequence(F.lit(0), F.lit(len(bundles) - 1))).alias("bundle")
     slim = rows.select(
         numbers, "league", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "home", "away",
-        *[F.col(c).cast("double").alias(c) for c in ("home_goals", "away_goals")], "half", "least_n",
+        *[F.col(c).cast("double").alias(c) for c in ("home_goals", "away_goals")],
         *[F.coalesce(f"{s}_{p}", F.lit(float("nan"))).alias(f"{s}_{p}") for s in ("home", "away") for p in ("last", "outside")],
     )
-    ordered = slim.repartition(parts, "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
-    names = ("metric", "game_id", "day", "league", "half", "least_n", "value")
+    ordered = slim.repartition(max(parts, len(bundles)), "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, n = None, [], 0
-        for bundle, league, day, game, home, away, hg, ag, half, least, *prior in whole_days(batches, 3):
+        at, held = None, []
+        for bundle, league, day, game, home, away, hg, ag, *prior in whole_days(batches, 3):
             if at != (bundle[0], league[0]):
                 at = (bundle[0], league[0])
-                models = [(number, MODELS[c.kind](c.options)) for number, c in bundles[int(bundle[0])]]
+                models = [MODELS[chosen[i].kind](chosen[i].options) for i in bundles[int(bundle[0])]]
                 place: dict[int, int] = {}
                 means: list[tuple[float, float]] = []
             size = len(place)
@@ -407,21 +409,30 @@ def fitted_signals(rows: DataFrame, chosen: list[tuple[int, Candidate]]) -> Data
                     place[team] = len(place)
                     means.append((last, outside))
             h, a = np.array([place[t] for t in home.tolist()]), np.array([place[t] for t in away.tolist()])
-            for number, model in models:
+            values = np.empty((len(game), len(models)))
+            for i, model in enumerate(models):
                 if len(place) > size:
                     model.grow(*np.array(means).T)
-                value = model.expect(h, a, int(day[0]))
+                values[:, i] = model.expect(h, a, int(day[0]))
                 model.learn(h, a, hg, ag, int(day[0]))
-                held.append([np.full(len(game), number), game, day, league, half, least, value])
-                n += len(game)
-            if n > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=list(names))
-                held, n = [], 0
+            held.append((game, bundle, values))
+            if sum(len(h[0]) for h in held) > 4096:
+                yield _signals(held)
+                held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=list(names))
+            yield _signals(held)
 
-    made = ordered.mapInArrow(run, "metric long, game_id long, day int, league long, half long, least_n long, value double")
-    return made.withColumn("day", F.date_from_unix_date("day"))
+    made = ordered.mapInArrow(run, "game_id long, bundle int, signals array<double>")
+    # as many rows a game as there are bundles
+    whole = made.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals"))
+    back = {number: place for place, number in enumerate(numbered)}
+    return whole.select("game_id", F.transform(F.array(*[F.lit(back[i] + 1) for i in range(len(chosen))]), lambda i: F.element_at("signals", i)).alias("fitted"))
+
+
+def _signals(held: list) -> pa.RecordBatch:
+    """Rows of one batch; bundles may differ in how many signals they have."""
+    games, bundles = (np.concatenate([h[i] for h in held]) for i in range(2))
+    return pa.RecordBatch.from_arrays([pa.array(games, pa.int64()), pa.array(bundles, pa.int32()), pa.array([row for h in held for row in h[2].tolist()], pa.list_(pa.float64()))], names=["game_id", "bundle", "signals"])
 
 
 def team_form(tg: DataFrame) -> DataFrame:
@@ -521,21 +532,25 @@ def _plain(c: Candidate) -> Column:
     return own - other
 
 
-def signals(known: DataFrame, chosen: list[tuple[int, Candidate]]) -> DataFrame:
-    """(metric, game_id, day, league, half, least_n, value) of all chosen candidates for all games."""
-    plain = [(i, c) for i, c in chosen if c.kind not in MODELS]
-    models = [(i, c) for i, c in chosen if c.kind in MODELS]
-    pairs = F.array(*[F.struct(F.lit(i).cast("long").alias("metric"), _plain(c).cast("double").alias("value")) for i, c in plain])
-    out = known.select(*PASSED, F.inline(pairs)).select("metric", *PASSED, "value") if plain else None
+def wide_signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
+    """``PASSED`` and x, the array of all candidates' signals in their order, for every game. Game ids are distinct."""
+    plain = [i for i, c in enumerate(listed) if c.kind not in MODELS]
+    models = [i for i, c in enumerate(listed) if c.kind in MODELS]
+    own = F.array(*[_plain(listed[i]).cast("double") for i in plain]) if plain else F.array().cast("array<double>")
+    rows = known.select(*PASSED, own.alias("plain"))
     if models:
-        made = fitted_signals(known, models).select("metric", *PASSED, "value")
-        out = made if out is None else out.unionByName(made)
-    return out
+        rows = rows.join(fitted_signals(known, [listed[i] for i in models]), "game_id")
+    else:
+        rows = rows.withColumn("fitted", F.array().cast("array<double>"))
+    back = {number: place for place, number in enumerate([*plain, *models])}
+    order = F.array(*[F.lit(back[i] + 1) for i in range(len(listed))])
+    both = rows.withColumn("all", F.concat("plain", "fitted"))
+    return both.select(*PASSED, F.transform(order, lambda i: F.element_at("all", i)).alias("x"))
 
 
-def stepped(value: Column, step: Column) -> Column:
-    """The signal in whole steps, within a band of 2^13 steps on both sides."""
-    return F.greatest(F.lit(-8191), F.least(F.lit(8191), F.floor(value / step + F.lit(0.5)))).cast("long")
+def signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
+    """(metric, game_id, day, league, half, least_n, value): ``wide_signals`` with a row for each signal; metric is the candidate's place."""
+    return wide_signals(known, listed).select(*PASSED, F.posexplode("x").alias("metric", "value"))
 
 
 class Combo(NamedTuple):
@@ -545,113 +560,26 @@ class Combo(NamedTuple):
     by_league: bool = False
 
 
-BASE = "squares cap 8 ridge 1"
+BASE = "massey cap 8 ridge 1"
 
 
 def combos() -> list[Combo]:
-    """Two to four signals in one fit. A fit sees counts of rounded tuples, whose number the steps bound; fits of eight signals are left out, for theirs would grow with the games."""
+    """One to eight signals in one fit."""
+    # Which signals are joined, and their ridges.
     second = ("meetings margin", "meetings result", "last capped 5", "last points 5", "residual last 3", "residual last 5", "streak", "last result", "rest", "record points",
-              "opponents' share", "points k 48 edge 35 margins log", "logistic ridge 0.3 soft 4", "goals ridge 3", "record scored")
+              "rpi opponents", "elo k 48 edge 35 margins log", "bradley-terry ridge 0.3 soft 4", "poisson ridge 3", "record scored")
+    many = (BASE, "meetings margin", "residual last 5", "streak", "rest", "record points", "elo k 48 edge 35 margins log", "poisson ridge 3")
+    many_ridges = (1.0, 10.0, 50.0)
+    models = (BASE, "elo k 48 edge 35 margins log", "poisson ridge 3", "bradley-terry ridge 0.3 soft 4")
+    record = ("record points", "record margin cap 99", "record scored")
+    # End of the fixed values.
     out = [Combo(f"{BASE} + {name}", (BASE, name)) for name in second]
-    out += [Combo(f"{BASE} by league", (BASE,), by_league=True), Combo(f"{BASE} + home edge by league", (BASE, "home edge"), by_league=True)]
-    out.append(Combo("squares + points + goals + logistic", (BASE, "points k 48 edge 35 margins log", "goals ridge 3", "logistic ridge 0.3 soft 4"), 10.0))
-    out.append(Combo("record only", ("record points", "record margin cap 99", "record scored")))
-    out.append(Combo("squares, margin + result", (BASE, "squares target result cap 1 ridge 1")))
+    out += [Combo(f"{BASE} by league", (BASE,), by_league=True), Combo(f"{BASE} + home constant by league", (BASE, "home constant"), by_league=True)]
+    out += [Combo(f"eight signals ridge {ridge:g}", many, ridge) for ridge in many_ridges]
+    out += [Combo("massey + elo + poisson + bradley-terry", models, 10.0), Combo("record only", record), Combo("massey margin + result", (BASE, "massey target result cap 1 ridge 1"))]
     return out
 
 
-COARSE = 4
-
-
-class _Counts:
-    """Outcome counts by tuple of rounded signals, coded in one number (15 bits each)."""
-
-    def __init__(self, width: int) -> None:
-        self.width, self.codes, self.counts = width, np.zeros(0, np.int64), np.zeros((0, 3))
-        self.last: np.ndarray | None = None
-
-    def learn(self, codes: np.ndarray, half: np.ndarray, n: np.ndarray) -> None:
-        merged = np.union1d(self.codes, codes)
-        if len(merged) > len(self.codes):
-            counts = np.zeros((len(merged), 3))
-            counts[np.searchsorted(merged, self.codes)] = self.counts
-            self.codes, self.counts = merged, counts
-        np.add.at(self.counts, (np.searchsorted(self.codes, codes), half), n)
-
-    def fit(self, ridge: float) -> np.ndarray:
-        k, y = np.nonzero(self.counts)
-        self.last = ratings.logistic(decoded(self.codes[k], self.width), y / 2, self.counts[k, y], ridge, self.last)
-        return self.last
-
-
-def decoded(codes: np.ndarray, width: int) -> np.ndarray:
-    return np.column_stack([(codes >> (15 * i) & 0x7FFF) - 8192 for i in range(width)]).astype(float)
-
-
-def walk_combos(rows: DataFrame, chosen: list[Combo], at_least: int = 30, own_least: int = 150) -> DataFrame:
-    """(combo, day, league, code, p): chances from fits on earlier days of the combo's games. ``rows``: combo, day, league, code, half, least_n.
-
-    Fits of a league alone need ``own_least`` earlier games of it; the pooled fit stands in.
-    """
-    parts = max(4 * len(chosen) // 10, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counts = rows.groupBy("combo", F.unix_date("day").alias("day"), "league", "code", "half").agg(F.count_if(F.col("least_n") >= 2).alias("n"))
-    ordered = counts.repartition(parts, "combo").sortWithinPartitions("combo", "day")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for number, day, league, code, half, n in whole_days(batches, 2):
-            combo = chosen[int(number[0])]
-            width = len(combo.features)
-            if number[0] != at:
-                at, tables = number[0], {None: _Counts(width)}
-            if tables[None].counts.sum() >= at_least:
-                asked = np.unique(np.column_stack((league, code)), axis=0) if combo.by_league else np.unique(code)[:, None] * [0, 1]
-                fits = {None: tables[None].fit(combo.ridge)}
-                if combo.by_league:
-                    fits |= {one: tables[one].fit(combo.ridge) for one in set(asked[:, 0].tolist()) & set(tables) if tables[one].counts.sum() >= own_least}
-                x = np.column_stack((np.ones(len(asked)), decoded(asked[:, 1], width)))
-                weights = np.array([fits.get(one, fits[None]) for one in asked[:, 0].tolist()])
-                p = 1 / (1 + np.exp(-(x * weights).sum(1)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(asked), number[0], np.int64)), pa.array(np.full(len(asked), day[0], np.int32)), pa.array(asked[:, 0]), pa.array(asked[:, 1]), pa.array(p)],
-                    names=["combo", "day", "league", "code", "p"],
-                )
-            known = n > 0
-            tables[None].learn(code[known], half[known], n[known])
-            for one in set(league[known].tolist()) if combo.by_league else ():
-                own = known & (league == one)
-                tables.setdefault(one, _Counts(width)).learn(code[own], half[own], n[own])
-
-    made = ordered.mapInArrow(run, "combo long, day int, league long, code long, p double")
-    return made.withColumn("day", F.date_from_unix_date("day"))
-
-
-def combo_rows(long: DataFrame, chosen: list[Combo], listed: list[Candidate], after: int = 0) -> DataFrame:
-    """(combo, game_id, day, league, half, least_n, code): every combo's tuple of rounded signals for every game.
-
-    Combos are numbered from ``after``; the league is kept only where fits are by league, else it is 0.
-    """
-    numbers = {c.name: i for i, c in enumerate(listed)}
-    used = sorted({numbers[f] for c in chosen for f in c.features})
-    picks = [F.max(F.when(F.col("metric") == i, stepped(F.col("value"), F.lit(listed[i].step * COARSE)))).alias(f"s{i}") for i in used]
-    wide = long.where(F.col("metric").isin(used)).groupBy(*PASSED).agg(*picks)
-    coded = []
-    for place, combo in enumerate(chosen, after):
-        code = F.lit(0).cast("long")
-        for i, feature in enumerate(combo.features):
-            code = code + F.call_function("shiftleft", F.col(f"s{numbers[feature]}") + F.lit(8192), F.lit(15 * i))
-        own = F.col("league") if combo.by_league else F.lit(0).cast("long")
-        coded.append(F.struct(F.lit(place).cast("long").alias("combo"), own.alias("own"), code.alias("code")))
-    return wide.select(*PASSED, F.inline(F.array(*coded))).select("combo", "game_id", "day", F.col("own").alias("league"), "half", "least_n", "code")
-
-
-def single_rows(long: DataFrame, listed: list[Candidate]) -> DataFrame:
-    """``combo_rows`` of every candidate alone, in its own steps; its number is the candidate's."""
-    step = F.element_at(F.array(*[F.lit(c.step) for c in listed]), (F.col("metric") + 1).cast("int"))
-    code = stepped(F.col("value"), step) + F.lit(8192)
-    return long.select(F.col("metric").alias("combo"), "game_id", "day", F.lit(0).cast("long").alias("league"), "half", "least_n", code.alias("code"))
-
-
 def split_day(known: DataFrame, least: int = 5, share: float = 0.6) -> DataFrame:
     """One row: the last training day, on which so large a share of the games with ``least`` earlier ones is reached. Running sums go over days."""
     days = known.where(F.col("least_n") >= least).groupBy("day").agg(F.count("*").alias("n"))
@@ -659,27 +587,36 @@ def split_day(known: DataFrame, least: int = 5, share: float = 0.6) -> DataFrame
     return running.agg(F.min(F.when(F.col("upto") >= F.floor(F.col("total") * share), F.col("day"))).alias("split_day"))
 
 
-def scored(rows: DataFrame, split: DataFrame, by: list[str]) -> DataFrame:
-    """Scores by part (train, holdout, all) of rows with p, half and a number n."""
-    one = F.when(F.col("day") <= F.col("split_day"), "train").otherwise("holdout")
-    parted = rows.where("p IS NOT NULL").crossJoin(F.broadcast(split)).withColumn("part", F.explode(F.array(one, F.lit("all"))))
-    return score.weighted_scores(parted, F.col("p"), F.col("half"), F.col("n"), [*by, "part"])
-
-
-def evaluated(long: DataFrame, split: DataFrame, listed: list[Candidate], joined: list[Combo], least: int = 5) -> DataFrame:
-    """(name, family, complexity, kind, part, n, accuracy, log_loss, brier) of every candidate, its own chances where it has them, and every combo."""
-    rows = single_rows(long, listed).unionByName(combo_rows(long, joined, listed, len(listed)))
-    fitted = walk_combos(rows, [*[Combo(c.name, (c.name,)) for c in listed], *joined])
-    asked = rows.where(F.col("least_n") >= least).groupBy("combo", "day", "league", "code", "half").agg(F.count("*").alias("n"))
-    walked = scored(asked.join(fitted, ["combo", "day", "league", "code"]), split, ["combo"]).withColumn("kind", F.when(F.col("combo") < len(listed), "calibrated").otherwise("combo"))
+def evaluated(wide: DataFrame, listed: list[Candidate], joined: list[Combo], least: int = 5) -> DataFrame:
+    """(name, family, complexity, kind, league, part, n, hits, loss, squares): sums of the scores of every candidate, its own chances where it has them, and
+    every combo, by league and part (train, holdout). ``table_of`` makes means of them."""
+    day = split_day(wide, least).first()[0]
+    last = (day - datetime.date(1970, 1, 1)).days if day else None
+    numbers = {c.name: i for i, c in enumerate(listed)}
+    entries = [walk.Entry((i,)) for i in range(len(listed))] + [walk.Entry(tuple(numbers[f] for f in c.features), c.ridge, c.by_league) for c in joined]
+    fitted = walk.scores(wide, entries, last, least).withColumn("kind", F.when(F.col("entry") < len(listed), "calibrated").otherwise("combo"))
     raw = [i for i, c in enumerate(listed) if c.raw]
-    own = long.where(F.col("metric").isin(raw) & (F.col("least_n") >= least)).select(F.col("metric").alias("combo"), "day", "half", score.sigmoid(F.col("value")).alias("p"), F.lit(1).alias("n"))
-    both = walked.unionByName(scored(own, split, ["combo"]).withColumn("kind", F.lit("raw")))
+    chances = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("entry"), score.sigmoid(F.col("x")[i]).alias("p")) for i in raw])).alias("c") if raw else None
+    out = fitted
+    if raw:
+        part = F.when(F.col("day") <= F.lit(day), "train").otherwise("holdout").alias("part")
+        own = wide.where(F.col("least_n") >= least).select("league", "half", part, chances).select("league", "half", "part", "c.*")
+        hit, loss, square = score.measures(F.col("p"), F.col("half"))
+        sums = own.groupBy("entry", "league", "part").agg(F.count("*").cast("double").alias("n"), F.sum(hit).alias("hits"), F.sum(loss).alias("loss"), F.sum(square).alias("squares"))
+        out = fitted.unionByName(sums.withColumn("kind", F.lit("raw")))
     complexity = {c.name: c.complexity for c in listed}
-    entries = [(c.name, c.family, c.complexity) for c in listed] + [(c.name, "combo", sum(complexity[f] for f in c.features) + (2 if c.by_league else 1)) for c in joined]
-    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("family"), F.lit(x).alias("complexity")) for n, f, x in entries])
-    out = both.withColumn("x", F.element_at(named, (F.col("combo") + 1).cast("int")))
-    return out.select("x.name", "x.family", "x.complexity", "kind", "part", "n", "accuracy", "log_loss", "brier")
+    named = [(c.name, c.family, c.complexity) for c in listed] + [(c.name, "combo", sum(complexity[f] for f in c.features) + (2 if c.by_league else 1)) for c in joined]
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f).alias("family"), F.lit(x).alias("complexity")) for n, f, x in named])
+    return out.withColumn("e", F.element_at(table, (F.col("entry") + 1).cast("int"))).select("e.*", "kind", "league", "part", "n", "hits", "loss", "squares")
+
+
+def table_of(sums: DataFrame, *by: str) -> DataFrame:
+    """Scores of ``evaluated`` by part (train, holdout, all) and the columns ``by``."""
+    parted = sums.withColumn("part", F.explode(F.array("part", F.lit("all"))))
+    n = F.sum("n")
+    return parted.groupBy("name", "family", "complexity", "kind", *by, "part").agg(
+        n.cast("long").alias("n"), (F.sum("hits") / n).alias("accuracy"), (F.sum("loss") / n).alias("log_loss"), (F.sum("squares") / n).alias("brier")
+    )
 
 
 def selected(scores: DataFrame, top: int = 10, slack: float = 0.002) -> DataFrame:

@@ -202,27 +202,39 @@ def poisson(counts: DataFrame, ridge: float = 1.0) -> DataFrame:
     return _fit(counts, kernel, "attack double, defence double, mean double, edge double")
 
 
-def outcome(home_mean: float, away_mean: float, most: int = 30) -> tuple[float, float, float]:
-    """Win, tie and loss chances of two independent Poisson counts."""
-    def chances(mean: float) -> np.ndarray:
-        return np.exp(-mean) * np.cumprod(np.concatenate(([1.0], mean / np.arange(1, most + 1))))
+def outcomes(home: np.ndarray, away: np.ndarray, most: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Win, tie and loss chances of pairs of independent Poisson counts, each cut at ``most``."""
+
+    def chances(mean: np.ndarray) -> np.ndarray:
+        steps = np.concatenate((np.ones((len(mean), 1)), mean[:, None] / np.arange(1, most + 1)), axis=1)
+        return np.exp(-mean)[:, None] * np.cumprod(steps, axis=1)
+
+    one, two = chances(np.asarray(home, float)), chances(np.asarray(away, float))
+    below = lambda x: np.cumsum(x, axis=1) - x
+    return (one * below(two)).sum(axis=1), (one * two).sum(axis=1), (two * below(one)).sum(axis=1)
 
-    grid = np.outer(chances(home_mean), chances(away_mean))
-    return float(np.tril(grid, -1).sum()), float(np.trace(grid)), float(np.triu(grid, 1).sum())
+
+def outcome(home_mean: float, away_mean: float, most: int = 30) -> tuple[float, float, float]:
+    """``outcomes`` of one pair."""
+    win, tie, loss = outcomes(np.array([home_mean]), np.array([away_mean]), most)
+    return float(win[0]), float(tie[0]), float(loss[0])
 
 
 def elo_change(gap: float, margin: float, margins: str) -> float:
     """What a game moves the home side's points by, per unit of k. ``gap`` is the home side's lead, edge included."""
-    size = 1.0 if margins == "none" else np.log(abs(margin) + 1) or 0.5
-    if margins == "damped":
-        size *= 2.2 / ((gap if margin >= 0 else -gap) * 0.001 + 2.2)
-    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / 400)))
+    # The published Elo scale, and the margin multipliers "log" and "538".
+    scale, flat, even, slope = 400, 2.2, 0.5, 0.001
+    # End of the fixed values.
+    size = 1.0 if margins == "none" else np.log(abs(margin) + 1) or even
+    if margins == "538":
+        size *= flat / ((gap if margin >= 0 else -gap) * slope + flat)
+    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / scale)))
 
 
 def elo(games: DataFrame, group: str, k: float = 20, edge: float = 50, margins: str = "log") -> DataFrame:
     """Elo before every game, and what the favourite's chance was. Games of a group are replayed in (day, id) order.
 
-    ``margins``: none, log (a tie counts one half) or damped (log, less for big favourites).
+    ``margins``: none, log (a tie counts one half) or 538 (log, less for big favourites).
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -48,25 +48,20 @@ def schedule_strength(tg: DataFrame) -> DataFrame:
     return own.join(second, "team").join(third, "team")
 
 
-def prediction_scores(rows: DataFrame, p: Column, half: Column, by: list[str]) -> DataFrame:
-    """Accuracy (ties and even predictions count half), log-loss (clamped at 1e-6) and Brier score; rows without p are left out."""
+def measures(p: Column, half: Column) -> tuple[Column, Column, Column]:
+    """Hit (ties and even predictions count half), log-loss (clamped at 1e-6) and squared error of one prediction."""
     y = half / F.lit(2.0)
     q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
     hit = F.when((p == 0.5) | (half == 1), 0.5).when((p > 0.5) == (half == 2), 1.0).otherwise(0.0)
-    loss = -(y * F.ln(q) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - q))
-    return rows.where(p.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(loss).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier")
-    )
+    return hit, -(y * F.ln(q) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - q)), (p - y) * (p - y)
 
 
-def weighted_scores(rows: DataFrame, p: Column, half: Column, n: Column, by: list[str]) -> DataFrame:
-    """``prediction_scores`` of rows that stand for ``n`` games each."""
-    y = half / F.lit(2.0)
-    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
-    hit = F.when((p == 0.5) | (half == 1), 0.5).when((p > 0.5) == (half == 2), 1.0).otherwise(0.0)
-    loss = -(y * F.ln(q) + (F.lit(1.0) - y) * F.ln(F.lit(1.0) - q))
-    mean = lambda x: F.sum(x * n) / F.sum(n)
-    return rows.groupBy(*by).agg(F.sum(n).cast("long").alias("n"), mean(hit).alias("accuracy"), mean(loss).alias("log_loss"), mean((p - y) * (p - y)).alias("brier"))
+def prediction_scores(rows: DataFrame, p: Column, half: Column, by: list[str]) -> DataFrame:
+    """Accuracy (ties and even predictions count half), log-loss (clamped at 1e-6) and Brier score; rows without p are left out."""
+    hit, loss, square = measures(p, half)
+    return rows.where(p.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(loss).alias("log_loss"), F.avg(square).alias("brier")
+    )
 
 
 def band(value: Column, edges: list[float]) -> Column:

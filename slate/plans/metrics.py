@@ -25,30 +25,35 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
     return cut(catalogue.known_games(rows, views.team_games(games)))
 
 
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(catalogue.wide_signals(_known(spark, sf), catalogue.candidates()))
+
+
 def metric_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Games, mean and spread of every candidate's signal by division."""
     listed = catalogue.candidates()
-    long = catalogue.signals(_known(spark, sf), list(enumerate(listed)))
+    long = catalogue.signals(_known(spark, sf), listed)
     names = F.array(*[F.lit(c.name) for c in listed])
     rows = long.groupBy("metric", "league").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"))
     return rows.select(F.element_at(names, (F.col("metric") + 1).cast("int")).alias("name"), "league", "n", score.rounded(F.col("mean")).alias("mean"), score.rounded(F.col("spread")).alias("spread"))
 
 
-def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    known = _known(spark, sf)
-    listed = catalogue.candidates()
-    long = cut(catalogue.signals(known, list(enumerate(listed))))
-    return catalogue.evaluated(long, cut(catalogue.split_day(known)), listed, catalogue.combos())
-
-
 def metric_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Walk-forward scores of all candidates, baselines, own chances and combos by part; ``chosen`` marks the one that the selection takes."""
-    scores = cut(_evaluated(spark, sf))
+    sums = cut(catalogue.evaluated(_wide(spark, sf), catalogue.candidates(), catalogue.combos()))
+    scores = catalogue.table_of(sums)
     one = catalogue.selected(scores).select("name", "kind", F.lit(True).alias("chosen"))
     return scores.join(F.broadcast(one), ["name", "kind"], "left").select(
         "name", "kind", "family", "complexity", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")], F.coalesce("chosen", F.lit(False)).alias("chosen")
     )
 
 
-QUERIES = {"metric_signals": metric_signals, "metric_catalogue": metric_catalogue}
+def metric_by_division(spark: SparkSession, sf: str) -> DataFrame:
+    """The scores of the plain signals, which need no fitted ratings, by division and part."""
+    plain = [c for c in catalogue.candidates() if c.kind not in catalogue.MODELS]
+    sums = catalogue.evaluated(cut(catalogue.wide_signals(_known(spark, sf), plain)), plain, [])
+    return catalogue.table_of(sums, "league").select("name", "kind", "family", "complexity", "league", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
+
+
+QUERIES = {"metric_signals": metric_signals, "metric_catalogue": metric_catalogue, "metric_by_division": metric_by_division}
 SQL: dict[str, str] = {}

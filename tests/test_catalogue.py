@@ -33,7 +33,7 @@ def frames(spark, rows):
 def found(spark):
     known = frames(spark, made())
     out = {}
-    for r in catalogue.signals(known, list(enumerate(LISTED))).collect():
+    for r in catalogue.signals(known, LISTED).collect():
         out[r.metric, r.game_id] = r.value
     return out
 
@@ -68,7 +68,7 @@ PLAIN = {
     "record wins": lambda p, d: mean([float(g[0] == 1) for g in p], 0.5),
     "record conceded": lambda p, d: -mean([g[2] for g in p], 0.0),
     "record margin cap 3": lambda p, d: mean([cap(g[1] - g[2], 3) for g in p], 0.0),
-    "record expected share 2.0": lambda p, d: (lambda a, b: a * a / (a * a + b * b))(mean([g[1] for g in p], 0.0) + 0.5, mean([g[2] for g in p], 0.0) + 0.5),
+    "pythagoras 2.0": lambda p, d: (lambda a, b: a * a / (a * a + b * b))(mean([g[1] for g in p], 0.0) + 0.5, mean([g[2] for g in p], 0.0) + 0.5),
     "fade points 3": lambda p, d: faded(p, 3, lambda g: g[0], 0.5),
     "fade margin 12": lambda p, d: faded(p, 12, lambda g: g[1] - g[2], 0.0),
     "fade capped 6": lambda p, d: faded(p, 6, lambda g: cap(g[1] - g[2], 5), 0.0),
@@ -111,11 +111,11 @@ def squares(past, ridge, target, weight, prior, teams=6):
 
 BLEND = np.array([1.5, -0.5, 0.75, -0.5, 0.0, 0.0])
 SQUARES = {
-    "squares cap 8 ridge 1": (1, lambda r: cap(r[4] - r[5], 8), 0, 0),
-    "squares target sqrt cap 8 ridge 0.3": (0.3, lambda r: np.sign(r[4] - r[5]) * math.sqrt(min(8, abs(r[4] - r[5]))), 0, 0),
-    "squares target result cap 1 ridge 3": (3, lambda r: np.sign(r[4] - r[5]), 0, 0),
-    "squares cap 5 ridge 1 half_life 30": (1, lambda r: cap(r[4] - r[5], 5), 30, 0),
-    "squares prior blend share 0.5 ridge 2 cap 8": (2, lambda r: cap(r[4] - r[5], 8), 0, 0.5),
+    "massey cap 8 ridge 1": (1, lambda r: cap(r[4] - r[5], 8), 0, 0),
+    "massey target sqrt cap 8 ridge 0.3": (0.3, lambda r: np.sign(r[4] - r[5]) * math.sqrt(min(8, abs(r[4] - r[5]))), 0, 0),
+    "massey target result cap 1 ridge 3": (3, lambda r: np.sign(r[4] - r[5]), 0, 0),
+    "massey cap 5 ridge 1 half_life 30": (1, lambda r: cap(r[4] - r[5], 5), 30, 0),
+    "massey prior blend share 0.5 ridge 2 cap 8": (2, lambda r: cap(r[4] - r[5], 8), 0, 0.5),
 }
 
 
@@ -145,9 +145,9 @@ def test_residuals_use_the_fit_of_the_day(found):
 
 
 def loss(values, past, name):
-    """Penalised loss of logistic or goals ratings, written out by game."""
+    """Penalised loss of Bradley-Terry or Poisson ratings, written out by game."""
     total = 0.0
-    if name == "logistic":
+    if name == "bradley_terry":
         total += 0.5 * (values[:6] ** 2).sum() * 0.3 + 0.5e-3 * values[6] ** 2
         for r in past:
             p = 1 / (1 + math.exp(-(values[r[2]] - values[r[3]] + values[6])))
@@ -162,7 +162,7 @@ def loss(values, past, name):
     return total
 
 
-@pytest.mark.parametrize(("kind", "options", "size"), [("logistic", {"ridge": 0.3, "soft": 4}, 7), ("goals", {"ridge": 3}, 14)])
+@pytest.mark.parametrize(("kind", "options", "size"), [("bradley_terry", {"ridge": 0.3, "soft": 4}, 7), ("poisson", {"ridge": 3}, 14)])
 def test_fits_are_at_their_optimum(kind, options, size):
     past = [r for r in sorted(made(), key=lambda r: r[1])]
     model = catalogue.MODELS[kind](options)
@@ -179,7 +179,7 @@ def test_fits_are_at_their_optimum(kind, options, size):
 def test_ratings_in_game_order(spark, found):
     """Points and drifting strengths against the replays of whole leagues (points of a day's games all come from earlier days)."""
     rows = made()
-    for name, k, edge, margins in (("points k 48 edge 35 margins log", 48, 35, "log"), ("points k 16 edge 0 margins damped", 16, 0, "damped")):
+    for name, k, edge, margins in (("elo k 48 edge 35 margins log", 48, 35, "log"), ("elo k 16 edge 0 margins 538", 16, 0, "538")):
         for i, day, home, away, _, _, league in rows:
             points = dict.fromkeys(range(6), 0.0)
             for r in earlier(rows, league, day):
@@ -190,7 +190,7 @@ def test_ratings_in_game_order(spark, found):
     games = spark.createDataFrame(rows, "game_id long, day date, home long, away long, home_goals long, away_goals long, division long")
     final = {(r.division, r.team): r for r in ratings.kalman(games, "division", drift=0.0, noise=9.0, start=3.0, cap=8.0).collect()}
     later = [*rows, (999, datetime.date(2024, 6, 1), 0, 2, 0, 0, 0)]
-    value = [r.value for r in catalogue.signals(frames(spark, later), [(0, LISTED[NUMBER["drifting drift 0 noise 9 start 3 cap 8"]])]).where("game_id = 999").collect()]
+    value = [r.value for r in catalogue.signals(frames(spark, later), [LISTED[NUMBER["kalman drift 0 noise 9 start 3 cap 8"]]]).where("game_id = 999").collect()]
     assert value == [pytest.approx(final[0, 0].rating - final[0, 2].rating + final[0, 0].edge)]
 
 
@@ -198,7 +198,7 @@ def test_later_games_change_nothing(spark, found):
     rows = made()
     last = max(r[1] for r in rows)
     other = [(*r[:4], 6 - r[4], r[5], r[6]) if r[1] == last else r for r in rows]
-    again = {(r.metric, r.game_id): r.value for r in catalogue.signals(frames(spark, other), list(enumerate(LISTED))).collect()}
+    again = {(r.metric, r.game_id): r.value for r in catalogue.signals(frames(spark, other), LISTED).collect()}
     assert again.keys() == found.keys()
     assert all(math.isclose(again[k], found[k], rel_tol=1e-9, abs_tol=1e-9) for k in found)
 
@@ -208,26 +208,39 @@ def test_names_and_numbers():
     assert all(set(c.features) <= set(NUMBER) for c in catalogue.combos())
 
 
-def test_combos_against_refits(spark):
-    known = frames(spark, made(5, 500))
-    chosen = [catalogue.Combo("two", ("record points", "rest")), catalogue.Combo("own", ("record points",), by_league=True)]
-    long = catalogue.signals(known, [(i, c) for i, c in enumerate(LISTED) if c.name in ("record points", "rest")])
-    tuples = catalogue.combo_rows(long, chosen, LISTED)
-    games = tuples.collect()
-    fits = {(r.combo, r.day, r.league, r.code): r.p for r in catalogue.walk_combos(tuples, chosen).collect()}
-    assert fits
-    for g in games[::23]:
-        width = len(chosen[g.combo].features)
-        past = [x for x in games if x.combo == g.combo and x.day < g.day and x.least_n >= 2]
-        own = [x for x in past if x.league == g.league]
-        use = own if chosen[g.combo].by_league and len(own) >= 150 else past
-        if len(past) < 30:
-            assert (g.combo, g.day, g.league, g.code) not in fits
-            continue
-        x = catalogue.decoded(np.array([r.code for r in use]), width)
-        fit = ratings.logistic(x, np.array([r.half / 2 for r in use]), np.ones(len(use)), 1.0)
-        want = 1 / (1 + math.exp(-(fit[0] + (catalogue.decoded(np.array([g.code]), width)[0] * fit[1:]).sum())))
-        assert fits[g.combo, g.day, g.league, g.code] == pytest.approx(want, abs=1e-6)
+def test_scores_of_entries(spark):
+    """Scores of one signal, one by league and the eight together against refits of all earlier games, game by game."""
+    known = frames(spark, made(5, 300))
+    wanted = {f for c in catalogue.combos() for f in c.features}
+    listed = [c for c in LISTED if c.name in wanted]
+    chosen = [c for c in catalogue.combos() if c.name in ("eight signals ridge 10", f"{catalogue.BASE} + rest", f"{catalogue.BASE} by league")]
+    wide = catalogue.wide_signals(known, listed).cache()
+    rows = wide.collect()
+    day = catalogue.split_day(wide).first()[0]
+    place = {c.name: i for i, c in enumerate(listed)}
+    table = {(r.name, r.kind, r.part): r for r in catalogue.table_of(catalogue.evaluated(wide, listed, chosen)).collect()}
+    assert len({k[0] for k in table}) == len(listed) + 3
+    for combo in [*chosen, catalogue.Combo("streak", ("streak",))]:
+        got = {"train": [], "holdout": []}
+        for g in rows:
+            past = [r for r in rows if r.day < g.day and r.least_n >= 2]
+            if g.least_n < 5 or len(past) < 30:
+                continue
+            own = [r for r in past if r.league == g.league]
+            use = own if combo.by_league and len(own) >= 150 else past
+            x = np.array([[r.x[place[f]] for f in combo.features] for r in use])
+            fit = ratings.logistic(x, np.array([r.half / 2 for r in use]), np.ones(len(use)), combo.ridge)
+            p = 1 / (1 + math.exp(-(fit[0] + sum(w * g.x[place[f]] for w, f in zip(fit[1:], combo.features, strict=True)))))
+            got["train" if g.day <= day else "holdout"].append((p - g.half / 2) ** 2)
+        kind = "calibrated" if combo.name == "streak" else "combo"
+        for part, squares_ in got.items():
+            assert table[combo.name, kind, part].n == len(squares_)
+            assert table[combo.name, kind, part].brier == pytest.approx(sum(squares_) / len(squares_), abs=1e-6)
+
+
+def test_all_combinations_are_there():
+    assert len(catalogue.combos()) == 23
+    assert max(len(c.features) for c in catalogue.combos()) == 8
 
 
 def test_selection_prefers_the_simplest_near_the_best(spark):
@@ -238,6 +251,6 @@ def test_selection_prefers_the_simplest_near_the_best(spark):
 
 def test_empty_and_unplayed(spark):
     known = frames(spark, [])
-    assert catalogue.signals(known, list(enumerate(LISTED))).count() == 0
+    assert catalogue.signals(known, LISTED).count() == 0
     some = frames(spark, [(1, None, 0, 1, 2, 3, 0), (2, datetime.date(2024, 1, 1), 0, 1, None, 3, 0), (3, datetime.date(2024, 1, 2), 0, 1, 2, 3, 0)])
-    assert [r.game_id for r in catalogue.signals(some, [(0, LISTED[0])]).collect()] == [3]
+    assert [r.game_id for r in catalogue.signals(some, [LISTED[0]]).collect()] == [3]
