@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from slate.llm import chat, decontam, epsilon, htmltext, licenses, negatives, pieces, quality, sharding, simhash, tokenfiles, urlfilter
+from slate.llm import chat, decontam, epsilon, htmltext, licenses, negatives, pieces, quality, sharding, simhash, spelling, tokenfiles, urlfilter
 from slate.session import ship, small_batches, table
 
 
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": _over("conversations", chat.query),
     "op11_hard_negatives": _over("embeddings", negatives.query),
     "op12_embedding_duplicates": _over("embeddings", epsilon.query),
+    "op13_spelling_variants": _over("documents", spelling.query),
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
