@@ -20,10 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slate.operators import asof, ratings, score, walk
-
-Columns = list[np.ndarray]
-
+from slate.operators import asof, models, score, walk
+from slate.operators.models import whole_days
 
 class Candidate(NamedTuple):
     name: str
@@ -34,270 +32,6 @@ class Candidate(NamedTuple):
     raw: bool = False
 
 
-def whole_days(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[Columns]:
-    """The rows of one value of the first ``keys`` columns at a time, as arrays; the input is sorted by them."""
-    held: Columns | None = None
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = now if held is None else [np.concatenate(pair) for pair in zip(held, now, strict=True)]
-        if not len(held[0]):
-            continue
-        new = np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0)
-        ends = [0, *(np.flatnonzero(new) + 1).tolist()]
-        for a, b in zip(ends, ends[1:], strict=False):
-            yield [c[a:b] for c in held]
-        held = [c[ends[-1] :] for c in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
-# Ratings that are refitted for every day, from sums per (home, away).
-
-
-class Fitted:
-    """Games, one sum and a second sum per (home, away), which fade with ``half_life`` days; a solve on demand."""
-
-    def __init__(self, options: dict) -> None:
-        self.options = options
-        self.games = self.first = self.second = np.zeros((0, 0))
-        self.prior = np.zeros(0)
-        self.day: int | None = None
-        self.start: np.ndarray | None = None
-
-    def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
-        more = len(last) - len(self.prior)
-        self.games, self.first, self.second = (np.pad(m, (0, more)) for m in (self.games, self.first, self.second))
-        self.prior = prior_of(last, outside, self.options)
-        self.start = None
-
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
-        life = self.options.get("half_life")
-        if life and self.day is not None:
-            faded = 0.5 ** ((day - self.day) / life)
-            self.games, self.first, self.second = self.games * faded, self.first * faded, self.second * faded
-        self.day = day
-        one, two = self.measured(hg, ag)
-        np.add.at(self.games, (h, a), 1.0)
-        np.add.at(self.first, (h, a), one)
-        np.add.at(self.second, (h, a), two)
-
-    def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cap = self.options.get("cap", np.inf)
-        margin = np.clip(hg - ag, -cap, cap)
-        target = self.options.get("target", "margin")
-        return {"margin": margin, "sqrt": np.sign(margin) * np.sqrt(np.abs(margin)), "result": np.sign(margin)}[target], np.zeros(len(hg))
-
-    def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        x = self.solved()
-        return x[h] - x[a] + x[-1]
-
-    def solved(self) -> np.ndarray:
-        """Ridge least squares of the first sum: a rating per team, drawn to its prior, and the home edge."""
-        ridge = self.options["ridge"]
-        right = np.append(self.first.sum(1) - self.first.sum(0) + ridge * self.prior, self.first.sum())
-        return np.linalg.solve(_normal(self.games, ridge), right)
-
-
-def prior_of(last: np.ndarray, outside: np.ndarray, options: dict) -> np.ndarray:
-    """Pre-season means from last season, an outside rating, or the mean of those that are known; 0 where none is."""
-    mode = options.get("prior")
-    if mode is None:
-        return np.zeros(len(last))
-    outside = outside * options.get("scale", 1.0)
-    known = {"last": [last], "outside": [outside], "blend": [last, outside]}[mode]
-    n = np.sum([~np.isnan(k) for k in known], axis=0)
-    return options.get("share", 1.0) * np.sum([np.nan_to_num(k) for k in known], axis=0) / np.maximum(n, 1)
-
-
-def _normal(weights: np.ndarray, ridge: float) -> np.ndarray:
-    """Weighted normal matrix of home - away + edge, from weights per (home, away)."""
-    k = len(weights)
-    both = weights + weights.T
-    out = np.zeros((k + 1, k + 1))
-    out[:k, :k] = np.diag(both.sum(1) + ridge) - both
-    out[k, :k] = out[:k, k] = weights.sum(1) - weights.sum(0)
-    out[k, k] = weights.sum() + 1e-3
-    return out
-
-
-class BradleyTerry(Fitted):
-    """Logistic ratings; with ``soft`` the margin counts through a hyperbolic tangent."""
-
-    def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        soft = self.options.get("soft")
-        return 0.5 + 0.5 * (np.tanh((hg - ag) / soft) if soft else np.sign(hg - ag)), np.zeros(len(hg))
-
-    def solved(self) -> np.ndarray:
-        ridge, k = self.options["ridge"], len(self.prior)
-
-        def gradient(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            p = 1 / (1 + np.exp(-(x[:k, None] - x[None, :k] + x[k])))
-            gap = self.games * p - self.first
-            side = np.append(gap.sum(1) - gap.sum(0) + ridge * x[:k], gap.sum() + 1e-3 * x[k])
-            return side, _normal(self.games * np.maximum(p * (1 - p), 1e-9), ridge)
-
-        self.start = ratings._newton(gradient, np.zeros(k + 1) if self.start is None else self.start, 40, 2.0)
-        return self.start
-
-
-class Poisson(Fitted):
-    """Attack and defence of Poisson goals; the signal is the log-odds of a win, a tie counted one half."""
-
-    def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return hg, ag
-
-    def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        k, x = len(self.prior), self.solved()
-        means = np.exp(x[h] - x[k + a] + x[-2] + x[-1]), np.exp(x[a] - x[k + h] + x[-2])
-        win, tie, _ = ratings.outcomes(*means)
-        p = np.clip(win + tie / 2, 1e-6, 1 - 1e-6)
-        return np.log(p / (1 - p))
-
-    def solved(self) -> np.ndarray:
-        k, ridge = len(self.prior), self.options["ridge"]
-        pull = np.append(np.full(2 * k, ridge), [0.0, 1e-3])
-        extra = np.diag(np.append(np.full(2 * k, ridge), [1e-3, 1e-3]))
-
-        def gradient(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            home = self.games * np.exp(x[:k, None] - x[None, k : 2 * k] + x[-2] + x[-1])
-            away = self.games * np.exp(x[None, :k] - x[k : 2 * k, None] + x[-2])
-            over, over_away = home - self.first, away - self.second
-            side = np.concatenate((over.sum(1) + over_away.sum(0), -over.sum(0) - over_away.sum(1), [over.sum() + over_away.sum(), over.sum()]))
-            scored, let_in, cross = home.sum(1) + away.sum(0), home.sum(0) + away.sum(1), -(home + away.T)
-            square = np.zeros((2 * k + 2, 2 * k + 2))
-            square[:k, :k], square[k : 2 * k, k : 2 * k] = np.diag(scored), np.diag(let_in)
-            square[:k, k : 2 * k], square[k : 2 * k, :k] = cross, cross.T
-            mean_row = np.concatenate((scored, -let_in))
-            edge_row = np.concatenate((home.sum(1), -home.sum(0)))
-            square[-2, : 2 * k] = square[: 2 * k, -2] = mean_row
-            square[-1, : 2 * k] = square[: 2 * k, -1] = edge_row
-            square[-2, -2], square[-1, -1] = home.sum() + away.sum(), home.sum()
-            square[-2, -1] = square[-1, -2] = home.sum()
-            return side + pull * x, square + extra
-
-        if self.start is None:
-            self.start = np.zeros(2 * k + 2)
-            self.start[-2] = np.log(max(0.5, (self.first.sum() + self.second.sum()) / max(1.0, 2 * self.games.sum())))
-        self.start = ratings._newton(gradient, self.start, 40, 2.0)
-        return self.start
-
-
-class Colley(Fitted):
-    """A linear system of wins less losses, without a home edge."""
-
-    def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.sign(hg - ag) / 2, np.zeros(len(hg))
-
-    def solved(self) -> np.ndarray:
-        both = self.games + self.games.T
-        return np.append(np.linalg.solve(np.diag(2 + both.sum(1)) - both, 1 + self.first.sum(1) - self.first.sum(0)), 0.0)
-
-
-class Schedule(Fitted):
-    """Own share, opponents' share and their opponents' share, weighted; or goal difference plus that of the opponents."""
-
-    def measured(self, hg: np.ndarray, ag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if "weights" in self.options:
-            return (np.sign(hg - ag) + 1) / 2, (np.sign(ag - hg) + 1) / 2
-        margin = super().measured(hg, ag)[0]
-        return margin, -margin
-
-    def solved(self) -> np.ndarray:
-        both = self.games + self.games.T
-        n = both.sum(1)
-        weights = self.options.get("weights")
-        none = 0.5 if weights else 0.0
-        mean = lambda total: np.where(n > 0, total / np.maximum(n, 1), none)
-        own = mean(self.first.sum(1) + self.second.sum(0))
-        second = mean(both @ own)
-        if weights is None:
-            return np.append(own + second, 0.0)
-        return np.append(weights[0] * own + weights[1] * second + weights[2] * mean(both @ second), 0.0)
-
-
-class Residual(Fitted):
-    """How far a team's last margins were above what today's fit expects of those games."""
-
-    def __init__(self, options: dict) -> None:
-        super().__init__(options)
-        self.past: list[deque] = []
-
-    def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
-        super().grow(last, outside)
-        self.past += [deque(maxlen=self.options["last"]) for _ in range(len(last) - len(self.past))]
-
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
-        super().learn(h, a, hg, ag, day)
-        for home, away, margin in zip(h.tolist(), a.tolist(), self.measured(hg, ag)[0].tolist(), strict=True):
-            self.past[home].append((away, 1, margin))
-            self.past[away].append((home, -1, -margin))
-
-    def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        x = self.solved()
-
-        def over(team: int) -> float:
-            gaps = [margin - (x[team] - x[other] + at_home * x[-1]) for other, at_home, margin in self.past[team]]
-            return sum(gaps) / len(gaps) if gaps else 0.0
-
-        return np.array([over(home) - over(away) for home, away in zip(h.tolist(), a.tolist(), strict=True)])
-
-
-class Elo:
-    """Elo points in game order; the signal is the favourite's log-odds."""
-
-    def __init__(self, options: dict) -> None:
-        self.options, self.ratings = options, np.zeros(0)
-
-    def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
-        self.ratings = np.append(self.ratings, np.zeros(len(last) - len(self.ratings)))
-
-    def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        return (self.ratings[h] - self.ratings[a] + self.options["edge"]) / 400 * np.log(10)
-
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
-        for home, away, margin in zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True):
-            change = self.options["k"] * ratings.elo_change(self.ratings[home] + self.options["edge"] - self.ratings[away], margin, self.options["margins"])
-            self.ratings[home] += change
-            self.ratings[away] -= change
-
-
-class Kalman:
-    """Strengths as random walks, seen through capped margins; place 0 is the home edge."""
-
-    def __init__(self, options: dict) -> None:
-        self.options = options
-        self.mean, self.cov, self.day = np.zeros(1), np.array([[0.25]]), None
-
-    def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
-        old, o = len(self.mean) - 1, self.options
-        more = len(last) - old
-        known = ~(np.isnan(last) & np.isnan(outside)) & ("prior" in o)
-        self.mean = np.append(self.mean, prior_of(last, outside, o)[old:])
-        self.cov = np.pad(self.cov, (0, more))
-        new = np.arange(old + 1, old + more + 1)
-        self.cov[new, new] = np.where(known[old:], o.get("prior_variance", 0.0), o["start"])
-
-    def _drift(self, day: int) -> None:
-        if self.day is not None and day > self.day:
-            self.cov[np.diag_indices_from(self.cov)] += np.append(0.0, np.full(len(self.mean) - 1, self.options["drift"] * (day - self.day)))
-        self.day = day
-
-    def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
-        return self.mean[h + 1] - self.mean[a + 1] + self.mean[0]
-
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
-        self._drift(day)
-        seen = np.clip(hg - ag, -self.options["cap"], self.options["cap"])
-        for home, away, margin in zip((h + 1).tolist(), (a + 1).tolist(), seen.tolist(), strict=True):
-            gain = self.cov[:, home] - self.cov[:, away] + self.cov[:, 0]
-            total = gain[home] - gain[away] + gain[0] + self.options["noise"]
-            self.mean += gain * ((margin - self.mean[home] + self.mean[away] - self.mean[0]) / total)
-            self.cov -= np.outer(gain, gain / total)
-
-
-MODELS = {"massey": Fitted, "bradley_terry": BradleyTerry, "poisson": Poisson, "colley": Colley, "schedule": Schedule, "residual": Residual, "elo": Elo, "kalman": Kalman}
-
-
 def _team_names() -> list[str]:
     shares = [f"fade points {x}" for x in FADES] + [f"fade margin {x}" for x in FADES] + [f"fade capped {x}" for x in FADES]
     return [*shares, *[f"last points {n}" for n in LASTS], *[f"last capped {n}" for n in LASTS], "streak", "last result"]
@@ -355,7 +89,7 @@ def candidates() -> list[Candidate]:
                 ("massey", "massey with priors", 5, massey_priors), ("kalman", "kalman with priors", 6, kalman_priors))
     for kind, family, complexity, options in families:
         for o in options:
-            add(f"{family.split()[0]} {_spelt(o)}", family, complexity, kind, o, kind in ("bradley_terry", "poisson", "elo"))
+            add(f"{family.split()[0]} {_spelt(o)}", family, complexity + bool(o.get("soft")) + bool(o.get("half_life")), kind, o, kind in ("bradley_terry", "poisson", "elo"))
     return out
 
 
@@ -365,7 +99,6 @@ def _spelt(options: dict) -> str:
 
 CAPS = (1, 2, 3, 5, 8, 99)
 PASSED = ("game_id", "day", "league", "half", "least_n")
-BUNDLE = 6
 
 
 def played(games: DataFrame, group: str, priors: DataFrame) -> DataFrame:
@@ -382,40 +115,27 @@ def played(games: DataFrame, group: str, priors: DataFrame) -> DataFrame:
 def fitted_signals(rows: DataFrame, chosen: list[Candidate]) -> DataFrame:
     """(game_id, fitted): an array with the signals of all rating candidates, in their order. ``rows``: ``played``.
 
-    Candidates are dealt to bundles of one kind each, which share a pass over a league; what a pass gives is one row a game.
+    Candidates of one method share a pass over a league, their sums and their solves; what a pass gives is one row a game.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = sorted(range(len(chosen)), key=lambda i: chosen[i].kind)
-    bundles = [numbered[at : at + BUNDLE] for at in range(0, len(numbered), BUNDLE)]
+    kinds = list(dict.fromkeys(c.kind for c in chosen))
+    bundles = [[i for i, c in enumerate(chosen) if c.kind == kind] for kind in kinds]
+    numbered = [i for bundle in bundles for i in bundle]
     numbers = F.explode(F.sequence(F.lit(0), F.lit(len(bundles) - 1))).alias("bundle")
     slim = rows.select(
         numbers, "league", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "home", "away",
         *[F.col(c).cast("double").alias(c) for c in ("home_goals", "away_goals")],
         *[F.coalesce(f"{s}_{p}", F.lit(float("nan"))).alias(f"{s}_{p}") for s in ("home", "away") for p in ("last", "outside")],
     )
-    ordered = slim.repartition(max(parts, len(bundles)), "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * len(bundles))
+    ordered = slim.repartition(parts, "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for bundle, league, day, game, home, away, hg, ag, *prior in whole_days(batches, 3):
+        for bundle, league, day, game, *columns in whole_days(batches, 3):
             if at != (bundle[0], league[0]):
                 at = (bundle[0], league[0])
-                models = [MODELS[chosen[i].kind](chosen[i].options) for i in bundles[int(bundle[0])]]
-                place: dict[int, int] = {}
-                means: list[tuple[float, float]] = []
-            size = len(place)
-            for team, last, outside in zip([*home.tolist(), *away.tolist()], [*prior[0], *prior[2]], [*prior[1], *prior[3]], strict=True):
-                if team not in place:
-                    place[team] = len(place)
-                    means.append((last, outside))
-            h, a = np.array([place[t] for t in home.tolist()]), np.array([place[t] for t in away.tolist()])
-            values = np.empty((len(game), len(models)))
-            for i, model in enumerate(models):
-                if len(place) > size:
-                    model.grow(*np.array(means).T)
-                values[:, i] = model.expect(h, a, int(day[0]))
-                model.learn(h, a, hg, ag, int(day[0]))
-            held.append((game, bundle, values))
+                own = models.League([models.BANKS[kinds[bundle[0]]]([chosen[i].options for i in bundles[bundle[0]]])])
+            held.append((game, bundle, own.day([day, *columns])))
             if sum(len(h[0]) for h in held) > 4096:
                 yield _signals(held)
                 held = []
@@ -423,7 +143,7 @@ def fitted_signals(rows: DataFrame, chosen: list[Candidate]) -> DataFrame:
             yield _signals(held)
 
     made = ordered.mapInArrow(run, "game_id long, bundle int, signals array<double>")
-    # as many rows a game as there are bundles
+    # as many rows a game as there are methods
     whole = made.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals"))
     back = {number: place for place, number in enumerate(numbered)}
     return whole.select("game_id", F.transform(F.array(*[F.lit(back[i] + 1) for i in range(len(chosen))]), lambda i: F.element_at("signals", i)).alias("fitted"))
@@ -534,15 +254,15 @@ def _plain(c: Candidate) -> Column:
 
 def wide_signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
     """``PASSED`` and x, the array of all candidates' signals in their order, for every game. Game ids are distinct."""
-    plain = [i for i, c in enumerate(listed) if c.kind not in MODELS]
-    models = [i for i, c in enumerate(listed) if c.kind in MODELS]
+    plain = [i for i, c in enumerate(listed) if c.kind not in models.BANKS]
+    fits = [i for i, c in enumerate(listed) if c.kind in models.BANKS]
     own = F.array(*[_plain(listed[i]).cast("double") for i in plain]) if plain else F.array().cast("array<double>")
     rows = known.select(*PASSED, own.alias("plain"))
-    if models:
-        rows = rows.join(fitted_signals(known, [listed[i] for i in models]), "game_id")
+    if fits:
+        rows = rows.join(fitted_signals(known, [listed[i] for i in fits]), "game_id")
     else:
         rows = rows.withColumn("fitted", F.array().cast("array<double>"))
-    back = {number: place for place, number in enumerate([*plain, *models])}
+    back = {number: place for place, number in enumerate([*plain, *fits])}
     order = F.array(*[F.lit(back[i] + 1) for i in range(len(listed))])
     both = rows.withColumn("all", F.concat("plain", "fitted"))
     return both.select(*PASSED, F.transform(order, lambda i: F.element_at("all", i)).alias("x"))

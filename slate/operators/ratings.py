@@ -2,7 +2,8 @@
 
 Massey and Colley need only sums per pair of teams, Bradley-Terry and Poisson counts per pair and outcome, so what
 reaches a fit is bounded by teams squared times outcomes, not by games; normal matrices are summed by index from these rows, so a fit holds teams squared
-numbers and its rows, and no design matrix. Elo and Kalman follow game order: one ordered pass per league in a grouped map, over rows of a few numbers.
+numbers and its rows, and no design matrix. Elo, Kalman and ratings as of each day
+stream the days of a league in order (``models``), so a task holds a day and the ratings.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slate.operators import models
+
+
 GROUP = "league"
 
 
@@ -71,42 +76,21 @@ def massey(counts: DataFrame, cap: float = 8, ridge: float = 1, home_prior: tupl
     return _fit(counts, kernel, "rating double, edge double")
 
 
-def massey_by_day(games: DataFrame, variants: DataFrame, group: str) -> DataFrame:
+def massey_by_day(games: DataFrame, variants: list[tuple[str, dict]], group: str) -> DataFrame:
     """(variant, game_id, n_before, expected): the margin that a fit on games of earlier days expects; null where there are none.
 
-    ``variants``: variant, cap, ridge, target (margin, sqrt or result), half_life in days (0: none). Each variant of a group is
-    a task. A day's games enter its sums once and are forgotten by scaling the sums by the half-life, so a day costs one solve, whatever came before it.
+    ``variants``: names with the options of ``models.Massey`` (ridge, cap, target, half_life). All variants of a group go through its days together.
     """
-    slim = games.select(F.col(group).alias(GROUP), "game_id", F.datediff("day", F.lit("1970-01-01")).alias("day"), "home", "away", (F.col("home_goals") - F.col("away_goals")).alias("margin"))
-    parts = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = slim.crossJoin(F.broadcast(variants)).repartition(parts, "variant", GROUP)
+    names = np.array([name for name, _ in variants])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        one = rows.iloc[0]
-        teams, places = np.unique(np.concatenate((rows.home, rows.away)), return_inverse=True)
-        h, a = places[: len(rows)], places[len(rows) :]
-        margin = rows.margin.to_numpy(float)
-        capped = np.clip(margin, -one.cap, one.cap)
-        target = {"margin": capped, "sqrt": np.sign(capped) * np.sqrt(np.abs(capped)), "result": np.sign(margin)}[one.target]
-        left, right, k = np.zeros((len(teams) + 1,) * 2), np.zeros(len(teams) + 1), len(teams)
-        pull = np.diag([one.ridge] * k + [1e-3])
-        expected, before = np.full(len(rows), np.nan), np.zeros(len(rows), int)
-        seen = last = 0
-        for day, now in sorted(rows.groupby("day").indices.items()):
-            if seen:
-                faded = 0.5 ** ((day - last) / one.half_life) if one.half_life else 1.0
-                left, right = left * faded, right * faded
-                fit = np.linalg.solve(left + pull, right)
-                expected[now] = fit[h[now]] - fit[a[now]] + fit[k]
-            before[now] = seen
-            weight = np.ones(len(now))
-            left = left + normal_matrix(h[now], a[now], weight, k)
-            right = right + normal_side(h[now], a[now], target[now], k)
-            seen, last = seen + len(now), day
-        return pd.DataFrame({"variant": one.variant, "game_id": rows.game_id, "n_before": before, "expected": expected})
-
-    fitted = work.groupBy("variant", GROUP).applyInPandas(run, "variant string, game_id long, n_before long, expected double")
-    return fitted.withColumn("expected", F.when(~F.isnan("expected"), F.col("expected")))
+    def each(league: models.League, columns: models.Columns) -> list:
+        _, day, home, away, hg, ag, game = columns
+        before = league.games
+        value = league.day([day, home, away, hg, ag])
+        expected = [None if before == 0 else v for v in value.ravel().tolist()]
+        return [np.tile(names, len(game)), np.repeat(game, len(names)), np.full(value.size, before, np.int64), pa.array(expected, pa.float64())]
+
+    return models.through_days(models.in_order(games, group), lambda: [models.Massey([o for _, o in variants])], "variant string, game_id long, n_before long, expected double", each)
 
 
 def calibrated(rows: DataFrame, ridge: float = 1.0, intercept: float = 0.0, slope: float = 0.52) -> DataFrame:
@@ -220,68 +204,41 @@ def outcome(home_mean: float, away_mean: float, most: int = 30) -> tuple[float,
     return float(win[0]), float(tie[0]), float(loss[0])
 
 
-def elo_change(gap: float, margin: float, margins: str) -> float:
-    """What a game moves the home side's points by, per unit of k. ``gap`` is the home side's lead, edge included."""
-    # The published Elo scale, and the margin multipliers "log" and "538".
-    scale, flat, even, slope = 400, 2.2, 0.5, 0.001
-    # End of the fixed values.
-    size = 1.0 if margins == "none" else np.log(abs(margin) + 1) or even
-    if margins == "538":
-        size *= flat / ((gap if margin >= 0 else -gap) * slope + flat)
-    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / scale)))
-
-
 def elo(games: DataFrame, group: str, k: float = 20, edge: float = 50, margins: str = "log") -> DataFrame:
-    """Elo before every game, and what the favourite's chance was. Games of a group are replayed in (day, id) order.
+    """Elo before every game, and what the favourite's chance was. Games of a group go by in (day, id) order; a task holds a day and the points.
 
     ``margins``: none, log (a tie counts one half) or 538 (log, less for big favourites).
     """
+    options = [{"k": k, "edge": edge, "margins": margins}]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["day", "game_id"])
-        rating: dict[int, float] = {}
-        out = []
-        for game in rows.itertuples():
-            home, away = rating.get(game.home, 1500.0), rating.get(game.away, 1500.0)
-            gap = home + edge - away
-            change = k * elo_change(gap, game.home_goals - game.away_goals, margins)
-            rating[game.home], rating[game.away] = home + change, away - change
-            out.append((game.game_id, home, away, 1 / (1 + 10 ** (-gap / 400))))
-        return pd.DataFrame(out, columns=["game_id", "home_elo", "away_elo", "p_home"])
+    def each(league: models.League, columns: models.Columns) -> list:
+        _, day, home, away, hg, ag, game = columns
+        h, a = league.numbered(home, away)
+        bank, out = league.banks[0], []
+        for i in range(len(game)):
+            one = slice(i, i + 1)
+            out.append((1500 + bank.points[0, h[i]], 1500 + bank.points[0, a[i]], 1 / (1 + 10 ** (-bank.gap(h[one], a[one])[0, 0] / 400))))
+            league.learn(h[one], a[one], hg[one], ag[one], int(day[0]))
+        return [game, *np.array(out).T]
 
-    slim = games.select(group, "game_id", F.col("day").cast("timestamp").alias("day"), "home", "away", "home_goals", "away_goals")
-    return slim.groupBy(group).applyInPandas(run, "game_id long, home_elo double, away_elo double, p_home double")
+    return models.through_days(models.in_order(games, group), lambda: [models.Elo(options)], "game_id long, home_elo double, away_elo double, p_home double", each)
 
 
 def kalman(games: DataFrame, group: str, drift: float = 0.01, noise: float = 6.0, start: float = 2.0, cap: float = 6.0) -> DataFrame:
-    """Strengths as random walks seen through capped margins: final mean and variance per team. Index 0 is the home term."""
+    """Strengths as random walks seen through capped margins: final mean and variance per team, and the home edge. A task holds a day and the state."""
+    options = [{"drift": drift, "noise": noise, "start": start, "cap": cap}]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["day", "game_id"])
-        teams = sorted(set(rows.home) | set(rows.away))
-        place = {t: i + 1 for i, t in enumerate(teams)}
-        mean, cov = np.zeros(len(teams) + 1), np.diag([0.25] + [0.0] * len(teams))
-        seen: set[int] = set()
-        last = None
-        for game in rows.itertuples():
-            for team in (game.home, game.away):
-                if team not in seen:
-                    seen.add(team)
-                    cov[place[team], place[team]] = start
-            if last is not None and game.day > last and drift > 0:
-                own = [place[t] for t in seen]
-                cov[own, own] += drift * (game.day - last).days
-            last = game.day
-            look = np.zeros(len(mean))
-            look[place[game.home]], look[place[game.away]], look[0] = 1, -1, 1
-            gain = cov @ look
-            total = look @ gain + noise
-            mean += gain / total * (np.clip(game.home_goals - game.away_goals, -cap, cap) - look @ mean)
-            cov -= np.outer(gain, gain) / total
-        return pd.DataFrame({group: rows[group].iloc[0], "team": teams, "rating": mean[1:], "variance": np.diag(cov)[1:], "edge": mean[0]})
-
-    slim = games.select(group, "game_id", F.col("day").cast("timestamp").alias("day"), "home", "away", "home_goals", "away_goals")
-    return slim.groupBy(group).applyInPandas(run, f"{group} long, team long, rating double, variance double, edge double")
+    def each(league: models.League, columns: models.Columns) -> list:
+        _, day, home, away, hg, ag, _ = columns
+        league.learn(*league.numbered(home, away), hg, ag, int(day[0]))
+        return []
+
+    def last(name: int, league: models.League) -> list:
+        bank = league.banks[0]
+        teams = np.array(list(league.place), np.int64)
+        return [np.full(len(teams), name, np.int64), teams, bank.mean[0, 1:], np.diag(bank.cov[0])[1:], np.full(len(teams), bank.mean[0, 0])]
+
+    return models.through_days(models.in_order(games, group), lambda: [models.Kalman(options)], f"{group} long, team long, rating double, variance double, edge double", each, last)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, start: np.ndarray | None = None) -> np.ndarray:

@@ -181,7 +181,7 @@ VARIANTS = (("plain", 8.0, 1.0, "margin", 0.0), ("root", 8.0, 1.0, "sqrt", 0.0),
 
 def massey_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Expected margin of every game by each variant, from games of earlier days only."""
-    variants = spark.createDataFrame(list(VARIANTS), "variant string, cap double, ridge double, target string, half_life double")
+    variants = [(name, {"cap": cap, "ridge": ridge, "target": target, "half_life": half}) for name, cap, ridge, target, half in VARIANTS]
     return ratings.massey_by_day(views.games(spark, sf), variants, "division").select("variant", "game_id", "n_before", score.rounded(F.col("expected")).alias("expected"))
 
 

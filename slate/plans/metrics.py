@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.operators import catalogue, score, studies
+from slate.operators import catalogue, models, score, studies
 from slate.plans import views
 from slate.session import cut
 
@@ -50,7 +50,7 @@ def metric_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric_by_division(spark: SparkSession, sf: str) -> DataFrame:
     """The scores of the plain signals, which need no fitted ratings, by division and part."""
-    plain = [c for c in catalogue.candidates() if c.kind not in catalogue.MODELS]
+    plain = [c for c in catalogue.candidates() if c.kind not in models.BANKS]
     sums = catalogue.evaluated(cut(catalogue.wide_signals(_known(spark, sf), plain)), plain, [])
     return catalogue.table_of(sums, "league").select("name", "kind", "family", "complexity", "league", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
 

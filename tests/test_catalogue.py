@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from slate.operators import catalogue, ratings
+from slate.operators import catalogue, models, ratings
 from slate.plans import views
 
 LISTED = catalogue.candidates()
@@ -125,9 +125,7 @@ def test_least_squares_as_of_the_day(found, name):
     ridge, target, life, share = SQUARES[name]
     for i, day, home, away, _, _, league in rows:
         past = earlier(rows, league, day)
-        # sums fade to the last day with games; a common factor matters next to the ridge
-        last = max((r[1] for r in past), default=day)
-        fit = squares(past, ridge, target, lambda r: 0.5 ** ((last - r[1]).days / life) if life else 1.0, share * BLEND)  # noqa: B023
+        fit = squares(past, ridge, target, lambda r: 0.5 ** ((day - r[1]).days / life) if life else 1.0, share * BLEND)  # noqa: B023
         assert found[NUMBER[name], i] == pytest.approx(fit[home] - fit[away] + fit[6], abs=1e-8)
 
 
@@ -165,11 +163,11 @@ def loss(values, past, name):
 @pytest.mark.parametrize(("kind", "options", "size"), [("bradley_terry", {"ridge": 0.3, "soft": 4}, 7), ("poisson", {"ridge": 3}, 14)])
 def test_fits_are_at_their_optimum(kind, options, size):
     past = [r for r in sorted(made(), key=lambda r: r[1])]
-    model = catalogue.MODELS[kind](options)
-    model.grow(np.full(6, np.nan), np.full(6, np.nan))
+    bank = models.BANKS[kind]([{"ridge": 9.0}, options])
+    bank.grow(np.full(6, np.nan), np.full(6, np.nan))
     for r in past:
-        model.learn(*[np.array([v]) for v in (r[2], r[3])], *[np.array([float(v)]) for v in (r[4], r[5])], r[1].toordinal())
-    x = model.solved()
+        bank.learn(*[np.array([v]) for v in (r[2], r[3])], *[np.array([float(v)]) for v in (r[4], r[5])], r[1].toordinal())
+    x = bank.solved()[1]
     best = loss(x, past, kind)
     for place in range(size):
         for move in (1e-4, -1e-4):
@@ -183,7 +181,7 @@ def test_ratings_in_game_order(spark, found):
         for i, day, home, away, _, _, league in rows:
             points = dict.fromkeys(range(6), 0.0)
             for r in earlier(rows, league, day):
-                change = k * ratings.elo_change(points[r[2]] + edge - points[r[3]], r[4] - r[5], margins)
+                change = k * models.elo_change(points[r[2]] + edge - points[r[3]], r[4] - r[5], margins)
                 points[r[2]] += change
                 points[r[3]] -= change
             assert found[NUMBER[name], i] == pytest.approx((points[home] + edge - points[away]) / 400 * math.log(10))

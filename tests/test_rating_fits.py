@@ -97,7 +97,7 @@ def test_kalman_without_drift_is_a_ridge_fit(spark, games):
         assert [found[league][t].variance for t in teams] == pytest.approx(np.diag(posterior)[:-1], abs=1e-8)
 
 
-@pytest.mark.parametrize("margins", ["none", "log", "damped"])
+@pytest.mark.parametrize("margins", ["none", "log", "538"])
 def test_elo_against_a_plain_loop(spark, games, margins):
     got = {r.game_id: r for r in ratings.elo(views.games(spark, SF), "division", margins=margins).collect()}
     for rows in games.values():
@@ -106,7 +106,7 @@ def test_elo_against_a_plain_loop(spark, games, margins):
             gap, m = rating[g.home] + 50 - rating[g.away], g.home_goals - g.away_goals
             chance = 1 / (1 + 10 ** (-gap / 400))
             size = {"none": 1.0}.get(margins, math.log(abs(m) + 1) if m else 0.5)
-            if margins == "damped":
+            if margins == "538":
                 size *= 2.2 / ((gap if m >= 0 else -gap) * 0.001 + 2.2)
             assert (got[g.game_id].home_elo, got[g.game_id].away_elo, got[g.game_id].p_home) == pytest.approx((rating[g.home], rating[g.away], chance))
             moved = 20 * size * ((m > 0) + 0.5 * (m == 0) - chance)
