@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from slate.operators import asof, models, score, walk
 from slate.operators.models import whole_days
+from slate.session import settled
 
 class Candidate(NamedTuple):
     name: str
@@ -144,7 +145,7 @@ def fitted_signals(rows: DataFrame, chosen: list[Candidate]) -> DataFrame:
 
     made = ordered.mapInArrow(run, "game_id long, bundle int, signals array<double>")
     # as many rows a game as there are methods
-    whole = made.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals"))
+    whole = settled(made.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals")))
     back = {number: place for place, number in enumerate(numbered)}
     return whole.select("game_id", F.transform(F.array(*[F.lit(back[i] + 1) for i in range(len(chosen))]), lambda i: F.element_at("signals", i)).alias("fitted"))
 
@@ -264,7 +265,7 @@ def wide_signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
         rows = rows.withColumn("fitted", F.array().cast("array<double>"))
     back = {number: place for place, number in enumerate([*plain, *fits])}
     order = F.array(*[F.lit(back[i] + 1) for i in range(len(listed))])
-    both = rows.withColumn("all", F.concat("plain", "fitted"))
+    both = settled(rows.select(*PASSED, F.concat("plain", "fitted").alias("all")))
     return both.select(*PASSED, F.transform(order, lambda i: F.element_at("all", i)).alias("x"))
 
 

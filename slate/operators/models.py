@@ -44,8 +44,8 @@ def newton(gradient: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], x: n
         step = np.linalg.solve(hessian, g[:, :, None])[:, :, 0]
         step = step * np.minimum(1.0, most / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
         x = x - step
-        if np.abs(step).max(initial=0) < 1e-7:
-            break
+        if np.abs(step).max(initial=0) < 3e-5:
+            break  # what is left is of the order of the step's square
     return x
 
 
@@ -112,6 +112,9 @@ class Massey(Bank):
         self.systems = list(dict.fromkeys(systems))
         self.system = np.array([self.systems.index(s) for s in systems])
         self.slot = np.array([int((self.system[:i] == s).sum()) for i, s in enumerate(self.system)])
+        targets = [(o.get("target", "margin"), o.get("cap", np.inf)) for o in options]
+        self.targets = list(dict.fromkeys(targets))
+        self.target = np.array([self.targets.index(t) for t in targets])
 
     def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
         more, self.teams = len(last) - self.teams, len(last)
@@ -126,7 +129,7 @@ class Massey(Bank):
         self.fade(day)
         x = _rows(h, a, self.teams)
         self.left = self.left + x.T @ x
-        self.right = self.right + np.array([target_of(o, hg - ag) for o in self.options]) @ x
+        self.right = self.right + (np.array([target_of({"target": t, "cap": c}, hg - ag) for t, c in self.targets]) @ x)[self.target]
 
     def solved(self) -> np.ndarray:
         """Options by (teams, edge)."""

@@ -8,9 +8,9 @@ with the logarithm of the games.
   Hessians of its games, which are summed by entry on the executors; the driver solves systems as wide as an entry.
 * Fits of the days in a block: blocks are tasks of their own, in parallel. Earlier games stand as the quadratic of their loss at the block's fit; games of
   the block count exactly, until more than ``HELD`` of them are there: then the older ones are added to the quadratic at the fit of the day. The first block has
-  no quadratic, so fits of fewer than ``EXACT`` games are exact.
+  no quadratic and holds its games, so fits of fewer than ``EXACT`` games are exact.
 
-A task holds a day, ``HELD`` games of at most ``WIDTH`` entries and their systems, however many games there are.
+A task holds a day, ``EXACT`` games of at most ``WIDTH`` entries and their systems, however many games there are.
 
 Cases: signals that are null, NaN or infinite count as zero; games without a day, league or outcome are left out before; days before ``at_least``
 games (``own_least`` of a league of its own; until then the pooled fit stands in) have no chance; an empty table gives an empty result.
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT, GROWTH, HELD, WIDTH = 2000, 0.15, 2048, 64
+EXACT, GROWTH, HELD, WIDTH = 2000, 0.15, 512, 64
 AT_LEAST, OWN_LEAST = 30, 150
-STEPS, CLOSE = 40, 1e-9
+STEPS, CLOSE = 40, 3e-4
 
 
 class Entry(NamedTuple):
@@ -104,9 +104,9 @@ def _clean(x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(x), x, 0.0)
 
 
-def _table(column: pa.Array, width: int) -> np.ndarray:
+def _table(column: pa.Array) -> np.ndarray:
     """A list column of one length as rows of numbers."""
-    return _clean(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width))
+    return _clean(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
 
 
 def _design(x: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -116,9 +116,23 @@ def _design(x: np.ndarray, features: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chance(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
+
+
 def _losses(x: np.ndarray, theta: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients and Hessians of the fits' losses over some games, without the ridge."""
-    p = 1 / (1 + np.exp(-np.clip((x @ theta[:, :, None])[:, :, 0], -700, 700)))
+    if x.shape[2] == 2:
+        own = x[:, :, 1]
+        p = _chance(own * theta[:, 1:] + theta[:, :1])
+        pull = weights * (p - y)
+        bent = weights * np.maximum(p * (1 - p), 1e-9)
+        leaning = bent * own
+        g = np.stack((pull.sum(1), np.einsum("ij,ij->i", pull, own)), axis=1)
+        a, b, c = bent.sum(1), leaning.sum(1), np.einsum("ij,ij->i", leaning, own)
+        return g, np.stack((a, b, b, c), axis=1).reshape(-1, 2, 2)
+    p = _chance((x @ theta[:, :, None])[:, :, 0])
     pull = weights * (p - y)
     bent = weights * np.maximum(p * (1 - p), 1e-9)
     turned = x.transpose(0, 2, 1)
@@ -177,7 +191,7 @@ def _block_sums(rows: DataFrame, plan: _Plan, states: dict[int, np.ndarray] | No
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
             block, league, half = (batch.column(i).to_numpy()[order] for i in range(3))
             counts = batch.column(3).to_numpy(zero_copy_only=False)[order]
-            signals = (_table(batch.column(4), len(centre))[order] - centre) / scale
+            signals = (_table(batch.column(4))[order, : len(centre)] - centre) / scale
             upto = np.searchsorted(block, np.arange(blocks))
             for number, bundle in enumerate(plan.bundles):
                 features = plan.features(bundle)
@@ -206,6 +220,24 @@ def _block_sums(rows: DataFrame, plan: _Plan, states: dict[int, np.ndarray] | No
     return out
 
 
+def _conditions(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every signal's mean and spread over all games. They condition the systems; the fits do not depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + 2 * width)
+        for batch in batches:
+            if batch.num_rows:
+                x = _table(batch.column(0))[:, :width]
+                total += np.concatenate(([len(x)], x.sum(axis=0), (x**2).sum(axis=0)))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["bundle", "sums"])
+
+    sums = _summed(rows.select("x").mapInArrow(run, "bundle int, sums array<double>"), 1).get(0, np.zeros(1 + 2 * width))
+    n = max(sums[0], 1)
+    centre = sums[1 : 1 + width] / n
+    spread = np.sqrt(np.maximum(sums[1 + width :] / n - centre**2, 0))
+    return centre, np.where(spread > 1e-9, spread, 1.0)
+
+
 class _Start(NamedTuple):
     """What a block begins with, by fit: the point of the quadratic, gradient and Hessian of earlier games there, and their moments."""
 
@@ -265,7 +297,7 @@ class _Days:
         n = self.moments[:, 0]
         if self.stale and n.max(initial=0) >= at_least:
             self._fit()
-        p = 1 / (1 + np.exp(-np.clip((x @ self.theta[:, :, None])[:, :, 0], -700, 700)))
+        p = _chance((x @ self.theta[:, :, None])[:, :, 0])
         p[n < at_least] = np.nan
         entries, out = [], []
         for i, fit in enumerate(self.bundle.fits):
@@ -287,8 +319,8 @@ class _Days:
             step = _solved(h, g)
             step *= np.minimum(1.0, 4.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
             self.theta = self.theta - step
-            if np.abs(step).max(initial=0) < CLOSE ** 0.5:
-                break  # the next step would be of the order of its square
+            if np.abs(step).max(initial=0) < CLOSE:
+                break  # what is left is of the order of the step's square
         self.stale = False
 
     def learn(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
@@ -315,13 +347,8 @@ def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held
     leagues = sorted(r[0] for r in rows.select("league").distinct().collect()) if any(e.by_league for e in entries) else []
     plan = _Plan(entries, leagues, _starts(rows, exact, growth))
     width = 1 + max(i for e in entries for i in e.features)
-    # every signal's mean and spread over all games condition the systems; the fits do not depend on them
-    stats = rows.select(F.posexplode(F.transform("x", lambda v: F.when(F.coalesce(F.abs(v) < float("inf"), F.lit(False)), v).otherwise(0.0))).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
-    centre, scale = np.zeros(width), np.ones(width)
-    for i, m, s in stats:
-        if i < width:
-            centre[i], scale[i] = m, s if s and s > 1e-9 else 1.0
-    blocked = rows.withColumn("block", F.size(F.filter(F.array(*[F.lit(s) for s in plan.starts]), lambda s: s <= F.col("day"))) - 1).withColumn("x", F.slice("x", 1, width))
+    centre, scale = _conditions(rows, width)
+    blocked = rows.withColumn("block", F.size(F.filter(F.array(*[F.lit(s) for s in plan.starts]), lambda s: s <= F.col("day"))) - 1)
     starts = _block_starts(blocked, plan, centre, scale)
     bundles = F.explode(F.sequence(F.lit(0), F.lit(len(plan.bundles) - 1))).alias("bundle")
     used = F.element_at(F.array(*[F.array(*[F.lit(int(i) + 1) for i in sorted(set(plan.features(b).ravel().tolist()))]) for b in plan.bundles]), F.col("bundle") + 1)
@@ -339,7 +366,7 @@ def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held
                 if kept is not None:
                     yield from emit(kept, None, None, None)
                 now, kept = (block, number), {}
-                days = _Days(plan, bundle, starts[number][block], centre, scale, held)
+                days = _Days(plan, bundle, starts[number][block], centre, scale, held if block else max(held, exact))
                 places = sorted(set(plan.features(bundle).ravel().tolist()))
                 local = np.searchsorted(places, plan.features(bundle))
             design = _design((x - centre[places]) / scale[places], local)
@@ -360,14 +387,13 @@ def _whole_days(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.nda
         if not batch.num_rows:
             continue
         plain = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-        lengths = batch.columns[-1].value_lengths().to_numpy()
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in plain[:3]], axis=0)) + 1
         for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
             part = [c[a:b] for c in plain]
             if held and any(held[-1][0][i][0] != part[i][0] for i in range(3)):
                 yield _put(held)
                 held = []
-            held.append((part, _table(batch.columns[-1].slice(a, b - a), int(lengths[a]))))
+            held.append((part, _table(batch.columns[-1].slice(a, b - a))))
     if held:
         yield _put(held)
 
@@ -397,9 +423,9 @@ def scores(wide: DataFrame, entries: list[Entry], split_day: int | None, least:
 
     def emit(kept: dict, entry, p, columns) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
         if entry is None:
-            keys = list(kept)
-            made = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*made, *[pa.array([float(kept[k][i]) for k in keys], pa.float64()) for i in range(4)]], names=["entry", "league", "part", "n", "hits", "loss", "squares"])
+            rows = [(int(e), *key, *sums) for key, (entries_, table) in kept.items() for e, sums in zip(entries_, table.tolist(), strict=True) if sums[0]]
+            kinds = (pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["entry", "league", "part", "n", "hits", "loss", "squares"])
             return
         _, day, league, half, least_n = columns
         part = "train" if split_day is not None and day[0] <= split_day else "holdout"
@@ -410,11 +436,9 @@ def scores(wide: DataFrame, entries: list[Entry], split_day: int | None, least:
         known = ~np.isnan(p) & (least_n >= least)
         for one in np.unique(league):
             at = known & (league == one)
-            sums = [np.where(at, v, 0.0).sum(axis=1) for v in (np.ones_like(p), hits, loss, (p - y) ** 2)]
-            for i, number in enumerate(entry.tolist()):
-                if sums[0][i]:
-                    own = kept.setdefault((number, int(one), part), np.zeros(4))
-                    own += [s[i] for s in sums]
+            if at.any():
+                sums = np.stack([np.where(at, v, 0.0).sum(axis=1) for v in (np.ones_like(p), hits, loss, (p - y) ** 2)], axis=1)
+                kept.setdefault((int(one), part), (entry, np.zeros_like(sums)))[1][:] += sums
 
     parts = _days(wide, entries, exact, growth, held, AT_LEAST, OWN_LEAST, "entry long, league long, part string, n double, hits double, loss double, squares double", emit)
     return parts.groupBy("entry", "league", "part").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "loss", "squares")])

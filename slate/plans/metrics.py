@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.operators import catalogue, models, score, studies
+from slate.operators import catalogue, score, studies
 from slate.plans import views
 from slate.session import cut
 
@@ -48,12 +48,22 @@ def metric_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def metric_by_division(spark: SparkSession, sf: str) -> DataFrame:
-    """The scores of the plain signals, which need no fitted ratings, by division and part."""
-    plain = [c for c in catalogue.candidates() if c.kind not in models.BANKS]
-    sums = catalogue.evaluated(cut(catalogue.wide_signals(_known(spark, sf), plain)), plain, [])
-    return catalogue.table_of(sums, "league").select("name", "kind", "family", "complexity", "league", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
+def _part(*families: str, combos: bool = False):  # noqa: ANN202
+    """A query over some families of the catalogue alone, or its combinations; their scores are those that the whole catalogue gives."""
 
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        joined = catalogue.combos() if combos else []
+        needed = {f for c in joined for f in c.features}
+        listed = [c for c in catalogue.candidates() if c.family in families or c.name in needed]
+        sums = catalogue.evaluated(cut(catalogue.wide_signals(_known(spark, sf), listed)), listed, joined)
+        return catalogue.table_of(sums, "league").select("name", "kind", "family", "complexity", "league", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
 
-QUERIES = {"metric_signals": metric_signals, "metric_catalogue": metric_catalogue, "metric_by_division": metric_by_division}
+    return run
+
+
+QUERIES = {
+    "metric_signals": metric_signals, "metric_catalogue": metric_catalogue,
+    "metric_plain": _part("baseline", "home", "record", "recency", "meetings", "schedule"), "metric_massey": _part("massey", "massey with priors", "colley", "momentum"),
+    "metric_likelihood": _part("bradley-terry", "poisson"), "metric_in_order": _part("elo", "kalman", "kalman with priors"), "metric_combos": _part(combos=True),
+}
 SQL: dict[str, str] = {}
