@@ -96,14 +96,14 @@ def _anchors(made: DataFrame) -> DataFrame:
 
 
 def _tasks(pairs: DataFrame, made: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Rows of tasks: for each interval of eight candidate blocks and 512 anchor leaves the blocks first (role 0), then the leaves (role 1), each with the mask of its blocks."""
+    """Rows of tasks: for each interval of eight candidate blocks, one length of vectors and 512 anchor leaves the blocks first (role 0), then the leaves (role 1), each with the mask of its blocks."""
     bit = F.call_function("shiftleft", F.lit(1), F.col("b").bitwiseAND(F.lit((1 << V.TILE_BITS) - 1)).cast("int"))
-    asked = cut(pairs.groupBy(F.shiftright("b", V.TILE_BITS).alias("tile"), F.shiftright("a", CHUNK_BITS).alias("chunk"), F.col("a").alias("code")).agg(F.bit_or(bit).alias("mask")))
-    blocks = asked.select("tile", "chunk").distinct().join(made.withColumn("tile", F.shiftright("code", V.TILE_BITS)), "tile")
+    asked = cut(pairs.groupBy("dim", F.shiftright("b", V.TILE_BITS).alias("tile"), F.shiftright("a", CHUNK_BITS).alias("chunk"), F.col("a").alias("code")).agg(F.bit_or(bit).alias("mask")))
+    blocks = asked.select("dim", "tile", "chunk").distinct().join(made.withColumn("tile", F.shiftright("code", V.TILE_BITS)), ["dim", "tile"])
     nothing = F.array().cast("array<long>")
     held = blocks.select("tile", "chunk", F.lit(0).alias("role"), "code", F.lit(0).alias("mask"), "dim", "grp", "size", "vecs", F.col("id").alias("ids"), nothing.alias("places"), nothing.alias("bounds"), nothing.alias("ranks"))
-    passing = asked.join(anchors, "code").select("tile", "chunk", F.lit(1).alias("role"), "code", "mask", "dim", "grp", "size", "vecs", "ids", "places", "bounds", "ranks")
-    return held.unionByName(passing).repartition(partitions(made), "tile", "chunk").sortWithinPartitions("tile", "chunk", "role", "code")
+    passing = asked.join(anchors, ["dim", "code"]).select("tile", "chunk", F.lit(1).alias("role"), "code", "mask", "dim", "grp", "size", "vecs", "ids", "places", "bounds", "ranks")
+    return held.unionByName(passing).repartition(partitions(made), "dim", "tile", "chunk").sortWithinPartitions("dim", "tile", "chunk", "role", "code")
 
 
 class _Tile:
@@ -130,7 +130,7 @@ def _scored(found):  # noqa: ANN001, ANN202
         now, rows, tile = None, [], None
         for batch in batches:
             for task in batch.to_pylist():
-                key = task["tile"], task["chunk"]
+                key = task["dim"], task["tile"], task["chunk"]
                 if key != now:
                     now, rows, tile = key, [], None
                 if task["role"] == 0:
