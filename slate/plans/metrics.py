@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.operators import catalogue, score, studies
+from slate.operators import catalogue, score, studies, trees, walk
 from slate.plans import views
 from slate.session import cut
 
@@ -61,8 +61,44 @@ def _part(*families: str, combos: bool = False):  # noqa: ANN202
     return run
 
 
+#: Signals of the sweep beside the context: pre-season gaps and whether both sides have one, the earlier games of the side with fewer, the division.
+# The curated signals.
+CURATED = (
+    "massey cap 8 ridge 1", "massey prior blend share 0.25 ridge 1 cap 8", "poisson ridge 3", "elo k 48 edge 35 margins log", "bradley-terry ridge 0.3 soft 4", "colley",
+    "record points", "record margin cap 99", "record scored", "record conceded", "last points 5", "last capped 5", "streak", "last result", "residual last 5",
+    "meetings margin", "meetings result", "rest", "rpi opponents", "kalman drift 0.002 noise 9 start 3 cap 8",
+)
+# End of the fixed values.
+SWEEP = (
+    trees.Model("boosting depth 2", 12, 1, 2, 0.2, 5.0, 5.0),
+    trees.Model("forest depth 4", 1, 12, 4, 1 / 12, 0.0, 20.0, 0.3, False),
+)
+RIDGES = {"logistic ridge 10": 10.0, "logistic ridge 100": 100.0}
+
+
+def model_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by part of boosted trees, a forest and logistic fits over the curated signals and their context, each from games of earlier days only."""
+    known = _known(spark, sf)
+    listed = [c for c in catalogue.candidates() if c.name in CURATED]
+    gap = lambda p: F.coalesce(f"home_{p}", F.lit(0.0)) - F.coalesce(f"away_{p}", F.lit(0.0))
+    both = lambda p: (F.col(f"home_{p}").isNotNull() & F.col(f"away_{p}").isNotNull()).cast("double")
+    context = known.select("game_id", F.array(gap("last"), both("last"), gap("outside"), both("outside"), F.col("least_n").cast("double"), F.col("league").cast("double")).alias("context"))
+    joined = catalogue.wide_signals(known, listed).join(context, "game_id")
+    wide = cut(joined.withColumn("x", F.concat("x", "context")).drop("context"))
+    grown = trees.chances(wide, list(SWEEP)).select("model", "game_id", "p")
+    places = tuple(range(len(listed) + 6))
+    entries = [walk.Entry(places, ridge) for ridge in RIDGES.values()]
+    names = F.array(*[F.lit(n) for n in RIDGES])
+    fits = walk.chances(wide, entries).select(F.element_at(names, (F.col("entry") + 1).cast("int")).alias("model"), "game_id", "p")
+    day = catalogue.split_day(wide).first()[0]
+    part = F.when(F.col("least_n") < 5, F.array(F.lit("early"))).when(F.col("day") <= F.lit(day), F.array(F.lit("train"), F.lit("eligible"))).otherwise(F.array(F.lit("holdout"), F.lit("eligible")))
+    rows = grown.unionByName(fits).join(wide.select("game_id", "half", F.explode(part).alias("part")), "game_id")
+    scores = score.prediction_scores(rows, F.col("p"), F.col("half"), ["model", "part"])
+    return scores.select("model", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
+
+
 QUERIES = {
-    "metric_signals": metric_signals, "metric_catalogue": metric_catalogue,
+    "metric_signals": metric_signals, "model_sweep": model_sweep, "metric_catalogue": metric_catalogue,
     "metric_plain": _part("baseline", "home", "record", "recency", "meetings", "schedule"), "metric_massey": _part("massey", "massey with priors", "colley", "momentum"),
     "metric_likelihood": _part("bradley-terry", "poisson"), "metric_in_order": _part("elo", "kalman", "kalman with priors"), "metric_combos": _part(combos=True),
 }
