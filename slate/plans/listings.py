@@ -63,13 +63,13 @@ SOURCE_LISTING = f"""WITH {SESSIONS} SELECT CASE ingest_pos % 4 WHEN 0 THEN 'sol
 
 
 def source_deep_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as rows under their nation's number, at two depths of nesting."""
+    """Suppliers as rows under their nation's number, at two depths of nesting, one of them beyond a dozen maps and lists."""
     rows = table(spark, sf, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("string").alias("nation"))
     item = F.struct(F.col("s_suppkey").cast("string").alias("GameDate"), F.col("s_name").alias("name"))
     lists = rows.groupBy("nation", (F.col("s_suppkey") / 50).cast("long").alias("block")).agg(F.collect_list(item).alias("rows"))
     texts = lists.select(
         F.col("block").alias("source_id"),
-        F.when(F.col("block") % 2 == 0, F.to_json(F.create_map("nation", "rows"))).otherwise(F.to_json(F.struct(F.create_map("nation", F.struct(F.array("rows").alias("games"))).alias("list")))).alias("body"),
+        F.when(F.col("block") % 2 == 0, F.to_json(F.create_map("nation", "rows"))).otherwise(F.concat(F.lit('{"in":[' * 5), F.to_json(F.struct(F.create_map("nation", F.struct(F.array("rows").alias("games"))).alias("list"))), F.lit("]}" * 5))).alias("body"),
     )
     return pages.deep_rows(texts, "GameDate", ["GameDate", "name"]).select(F.col("GameDate").cast("long").alias("id"), "name", "under")
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.streaming import snapshots
+from slate.operators import score
+from slate.plans import views
+from slate.session import scratch
+from slate.streaming import ratings, snapshots
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,5 +38,20 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 STREAM_DAILY = "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2"
 
-QUERIES = {"stream_dedupe": stream_dedupe, "stream_latest": stream_latest, "stream_daily": stream_daily}
+#: Options of the kept Kalman strengths.
+KALMAN = {"drift": 0.01, "noise": 9, "start": 3, "cap": 8}
+
+
+def stream_kalman(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected margins of all games from strengths that are kept across three runs: games of three spans of days land and are read one after the other."""
+    folder, root = scratch(spark, "landed"), scratch(spark, "kept")
+    games = views.games(spark, sf).withColumnRenamed("division", "league")
+    found = None
+    for span in ("day < '1997-01-01'", "day >= '1997-01-01' AND day < '1999-06-01'", "day >= '1999-06-01'"):
+        ratings.land(games.where(span), folder)
+        found = ratings.run(spark, folder, root, KALMAN)
+    return found.select("league", "game_id", "day", "n_before_sides", score.rounded(F.col("expected")).alias("expected"))
+
+
+QUERIES = {"stream_dedupe": stream_dedupe, "stream_latest": stream_latest, "stream_daily": stream_daily, "stream_kalman": stream_kalman}
 SQL = {"stream_dedupe": STREAM_DEDUPE, "stream_latest": STREAM_LATEST, "stream_daily": STREAM_DAILY}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slate.functions import times
+from slate.session import cut
 
 
 def _strip(html: Column) -> Column:
@@ -79,20 +80,24 @@ def listing(landed: DataFrame) -> DataFrame:
     return kept.select("source_id", "title", _at(F.col("day"), F.col("a")).alias("start_ts"), _at(F.col("day"), F.col("a") + F.col("m")).alias("end_ts"), "status", "price", "level")
 
 
-def deep_rows(landed: DataFrame, marker: str, fields: list[str], depth: int = 8) -> DataFrame:
-    """Objects that have the field ``marker``, at any depth of nested maps and lists down to ``depth``; a numeric key above is their ``under``."""
-    spark = landed.sparkSession
-    level = landed.select("source_id", F.try_parse_json("body").alias("v"), F.lit(None).cast("string").alias("under"))
-    found = []
-    for _ in range(depth):
-        level = level.withColumn("is_row", F.try_variant_get("v", f"$.{marker}", "string").isNotNull())
-        found.append(level.where("is_row").select("source_id", "under", *[F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in fields]))
-        below = level.where("NOT is_row").lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
-        level = below.select("source_id", F.col("value").alias("v"), F.when(F.col("key").rlike(r"^\d+$"), F.col("key")).otherwise(F.col("under")).alias("under"))
-    whole = found[0]
-    for rows in found[1:]:
-        whole = whole.unionByName(rows)
-    return whole
+def deep_rows(landed: DataFrame, marker: str, fields: list[str]) -> DataFrame:
+    """Objects that have the field ``marker``, at any depth of nested maps and lists; the nearest numeric key above is their ``under``. Nothing is looked for inside them.
+
+    A level of containers is written before the next is opened, until one has none, so a level is evaluated once however deep the texts are.
+    """
+    tvf = landed.sparkSession.tvf
+    level = landed.select("source_id", F.lit(None).cast("string").alias("under"), "body")
+    whole = None
+    while True:
+        parsed = cut(level.withColumn("is_row", F.try_variant_get(F.try_parse_json("body"), f"$.{marker}", "string").isNotNull()))
+        value = F.try_parse_json("body")
+        if whole is not None and parsed.isEmpty():
+            return whole
+        found = parsed.where("is_row").select("source_id", "under", *[F.try_variant_get(value, f"$.{f}", "string").alias(f) for f in fields])
+        whole = found if whole is None else whole.unionByName(found)
+        inside = parsed.where("NOT is_row").withColumn("v", value).lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "value"))
+        below = inside.select("source_id", F.when(F.col("key").rlike(r"^\d+$"), F.col("key")).otherwise(F.col("under")).alias("under"), F.to_json("value").alias("body"))
+        level = below.where(F.substring("body", 1, 1).isin("{", "["))
 
 
 #: A link of a page: the target of an href, or a document or image that src, data-src or content name.
