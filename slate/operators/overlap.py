@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +38,8 @@ def overlay(blocks: DataFrame, events: DataFrame, key: str, block_id: str, event
 def greedy(slots: DataFrame, classes: DataFrame, key: str, slot_id: str, class_id: str) -> DataFrame:
     """Each slot, by (start, id), takes the first class by (start, id) that overlaps it and is not taken.
 
-    A chain of overlaps never leaves its group: intervals are first cut into clusters by gaps that no interval spans,
-    and each cluster of a key is matched by itself, so tasks hold a run of touching intervals, not a key's whole history.
+    A chain of overlaps never leaves its group: intervals are first cut into clusters by gaps that no interval spans, and each cluster of a key is matched by
+    itself, in one sweep in order of start. A task holds the intervals that are open at one moment, so a key that never has a gap is no larger than any other.
     """
     sides = slots.select(F.col(key).alias("g_key"), F.lit(0).alias("side"), F.col(slot_id).alias("id"), "start_ts", "end_ts").unionByName(
         classes.select(F.col(key).alias("g_key"), F.lit(1).alias("side"), F.col(class_id).alias("id"), "start_ts", "end_ts")
@@ -53,19 +54,64 @@ def greedy(slots: DataFrame, classes: DataFrame, key: str, slot_id: str, class_i
     run = marked.withColumn("cluster", F.max(F.when(~F.col("new"), F.col("o_day"))).over(by_day.rowsBetween(Window.unboundedPreceding, 0))).select("g_key", "o_day", "cluster")
     placed = sides.withColumn("o_day", F.to_date("start_ts")).join(run, ["g_key", "o_day"])
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start_ts", "id"])
-        free = group[group.side == 1]
-        taken: set[int] = set()
-        out = []
-        for slot in group[group.side == 0].itertuples():
-            near = free[(free.start_ts < slot.end_ts) & (free.end_ts > slot.start_ts) & ~free.id.isin(taken)]
-            if len(near):
-                taken.add(int(near.id.iloc[0]))
-                out.append((slot.g_key, slot.id, near.id.iloc[0]))
-        return pd.DataFrame(out, columns=["g_key", "slot", "class"])
-
-    matched = placed.groupBy("g_key", "cluster").applyInPandas(match, "g_key long, slot long, class long")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sent = placed.select("g_key", F.unix_date("cluster").alias("cluster"), micros("start_ts").alias("start"), "side", "id", micros("end_ts").alias("end"))
+    parts = int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sent.repartition(parts, "g_key", "cluster").sortWithinPartitions("g_key", "cluster", "start", "side", "id")
+    matched = ordered.mapInArrow(_swept, "g_key long, slot long, class long")
     return matched.select(F.col("g_key").alias(key), F.col("slot").alias(slot_id), F.col("class").alias(class_id))
 
 
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches by one sweep over intervals in order of their starts. Held are the slots that still wait and the free classes that one of them may take: a slot
+    is decided, in its turn, once the sweep has passed its end, and a class that ends before the first waiting slot starts is dropped."""
+    now: tuple | None = None
+    waiting: deque = deque()
+    free: list[tuple] = []
+    out: list[tuple] = []
+
+    def decide(until: float) -> None:
+        nonlocal free
+        while waiting and waiting[0][1] <= until:
+            start, end, slot = waiting.popleft()
+            free = [c for c in free if c[1] > start]
+            first = next((i for i, c in enumerate(free) if c[0] < end), None)
+            if first is not None:
+                out.append((now[0], slot, free.pop(first)[2]))
+
+    for batch in batches:
+        for key, cluster, start, side, one, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, cluster) != now:
+                decide(float("inf"))
+                now, free = (key, cluster), []
+            decide(start)
+            if side == 0:
+                waiting.append((start, end, one))
+            elif not waiting or end > waiting[0][0]:
+                free.append((start, end, one))
+            if not waiting:
+                free = [c for c in free if c[1] > start]
+        if out:
+            yield _matches(out)
+            out = []
+    decide(float("inf"))
+    if out:
+        yield _matches(out)
+
+
+def _matches(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["g_key", "slot", "class"])
+
+
+def overlaid(bookings: DataFrame, classes: DataFrame, generic: Column, key: str, booking_id: str, class_id: str, taken: list[str]) -> DataFrame:
+    """Bookings whose ``generic`` title gives way to the class that ``greedy`` finds for them, and after them all classes that no booking took.
+
+    Both sides have ``key``, start_ts and end_ts. Of a booking that takes a class the columns ``taken`` are the class's where it has them. Result: key, the
+    booking's id (null for a class of its own), the class's id (null where none was taken), start_ts, end_ts and ``taken``.
+    """
+    matched = greedy(bookings.where(generic), classes, key, booking_id, class_id).select(booking_id, class_id)
+    theirs = classes.select(class_id, *[F.col(c).alias(f"class_{c}") for c in taken])
+    kept = bookings.join(matched, booking_id, "left").join(theirs, class_id, "left")
+    own = kept.select(key, booking_id, class_id, "start_ts", "end_ts", *[F.coalesce(f"class_{c}", c).alias(c) for c in taken])
+    left = classes.join(matched, class_id, "left_anti")
+    return own.unionByName(left.select(key, F.lit(None).cast(bookings.schema[booking_id].dataType).alias(booking_id), class_id, "start_ts", "end_ts", *taken))

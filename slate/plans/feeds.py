@@ -340,6 +340,17 @@ def overlay_greedy(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.greedy(*_sides(spark, sf), "rink_id", "block_id", "event_id")
 
 
+#: Titles that say no more than that the ice is taken.
+GENERIC = ("Glacier Hour", "Northern Lights", "Zephyr")
+
+
+def overlay_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bookings with plain titles named after the class that runs in them, one class a booking, and the classes that are left."""
+    bookings, classes = _sides(spark, sf)
+    named = lambda df: df.join(views.sessions(spark, sf).select("ingest_pos", "title", "kind").withColumnRenamed("ingest_pos", "pos"), F.col(df.columns[1]) == F.col("pos")).drop("pos")
+    return overlap.overlaid(named(bookings), named(classes), F.col("title").isin(*GENERIC), "rink_id", "block_id", "event_id", ["title", "kind"])
+
+
 def unique_match(spark: SparkSession, sf: str) -> DataFrame:
     """Customers to suppliers by a short name key: only keys that one supplier has; else a second key."""
     rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 613).alias("name_key"), (F.col("c_custkey") % 29).alias("retry_key0"))
@@ -369,7 +380,7 @@ QUERIES = {
     "classify_rules": classify_rules, "classify_cascade": classify_cascade, "regex_lookup": regex_lookup, "unknown_titles": unknown_titles,
     "dedupe_first": dedupe_first, "dedupe_latest": dedupe_latest, "upsert_last": upsert_last, "carry_over": carry_over, "stale_48h": stale_48h,
     "insert_only": insert_only, "merge_upcoming": merge_upcoming, "slot_merge": slot_merge, "overlap_slots": overlap_slots, "overlay_usage": overlay_usage,
-    "overlay_greedy": overlay_greedy, "unique_match": unique_match, "word_contain": word_contain,
+    "overlay_greedy": overlay_greedy, "overlay_classes": overlay_classes, "unique_match": unique_match, "word_contain": word_contain,
 }
 SQL = {
     "index_per_rink": INDEX_PER_RINK, "feed_open": FEED_OPEN, "feed_by_day": FEED_BY_DAY, "run_summary": RUN_SUMMARY, "feed_offerings": FEED_OFFERINGS,
