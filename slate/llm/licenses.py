@@ -9,7 +9,7 @@ a title or a copyright line. ``SPDX-License-Identifier`` tags count as sentences
 expression. Of several sentences that start at one place the longest holds, and shorter ones that end at a break inside it.
 
 What remains of a text is its sequence of identifiers, in text order; a licence rule is an ordered sequence of identifiers and holds
-if they occur in that order, whatever stands between. A rule gives way to one that holds too and contains it (the two
+if they occur in that order, whatever stands between; sentences that a licence can do without are left out of its shorter rule. A rule gives way to one that holds too and contains it (the two
 clauses of a licence to its three). The scan is one pass without a shuffle, and the table of known sentences is a
 constant of this module. Sentences are counted by line ends and ``.``, ``!``, ``?`` alone.
 
@@ -20,8 +20,9 @@ empty table. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
-from itertools import chain, product
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,11 +93,30 @@ WORDINGS = (
     ("lgpl2 notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("lgpl3 notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("gpl warranty", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("mit notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
     ("mit warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement"),
 )
+#: What licences are called for short, and the short lines that name one.
+SHORT = (
+    ("apache short", "apache 2 0"),
+    ("apache short", "apache2"),
+    ("bsd2 short", "bsd 2 clause"),
+    ("bsd3 short", "bsd 3 clause"),
+    ("gpl short", "gpl 3 0"),
+    ("gpl short", "gplv3"),
+    ("gpl2 short", "gpl 2 0"),
+    ("gpl2 short", "gplv2"),
+    ("isc short", "isc"),
+    ("mit short", "mit"),
+    ("mpl short", "mpl 2 0"),
+)
+LINES = ("{} licensed", "this project is {} licensed", "this software is {} licensed", "license {}", "licence {}", "see license {}", "see the license file {}", "{} license see license")
+#: The Creative Commons family by terms and version, and what follows the version in a notice.
+CC_TERMS = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+CC_VERSIONS = {"2 0": "generic", "2 5": "generic", "3 0": "unported", "4 0": "international"}
 #: How short notices begin, and what the licences are called in them.
 OPENINGS = ("released under", "licensed under", "distributed under", "available under", "this project is licensed under", "this software is licensed under", "this work is licensed under", "this file is licensed under", "this code is released under")
-CALLED = (
+CALLED: tuple[tuple[str, str], ...] = (
     ("agpl short", "gnu affero general public license version 3"),
     ("apache short", "apache license version 2 0"),
     ("apache short", "apache license 2 0"),
@@ -148,7 +168,7 @@ TAG = "spdx license identifier"
 LATER = " or later"
 
 #: Licence rules, as (rule, licence, kind, identifiers in order).
-RULES = (
+RULES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("agpl-3.0 line", "AGPL-3.0", "copyleft", ("agpl short",)),
     ("agpl-3.0 notice", "AGPL-3.0", "copyleft", ("agpl notice",)),
     ("agpl-3.0 text", "AGPL-3.0", "copyleft", ("agpl title",)),
@@ -190,6 +210,7 @@ RULES = (
     ("lgpl-2.1 text", "LGPL-2.1", "copyleft", ("lgpl2 title",)),
     ("lgpl-3.0 notice", "LGPL-3.0", "copyleft", ("lgpl3 notice",)),
     ("lgpl-3.0 text", "LGPL-3.0", "copyleft", ("lgpl3 title",)),
+    ("mit grant and warranty", "MIT", "permissive", ("mit grant", "mit warranty")),
     ("mit line", "MIT", "permissive", ("mit short",)),
     ("mit text", "MIT", "permissive", ("mit grant", "mit notice", "mit warranty")),
     ("mpl-2.0 line", "MPL-2.0", "copyleft", ("mpl short",)),
@@ -200,6 +221,25 @@ RULES = (
     ("zlib grant", "Zlib", "permissive", ("zlib grant",)),
 )
 
+
+
+def _cc() -> tuple[list[tuple[str, str]], list[tuple[str, str]], list[tuple[str, str, str, tuple[str, ...]]]]:
+    """Notices and short names of the Creative Commons family as (identifier, words), and their rules where none is there yet."""
+    notices, names, rules = [], [], []
+    for (terms, words), (version, area) in product(CC_TERMS.items(), CC_VERSIONS.items()):
+        name = "cc" + terms.replace(" ", "") + ("" if version == "4 0" else version.replace(" ", ""))
+        licence = f"CC-{terms.upper().replace(' ', '-')}-{version.replace(' ', '.')}"
+        kind = "restricted" if {"nc", "nd"} & set(terms.split()) else "copyleft" if "sa" in terms else "permissive"
+        full = f"creative commons {words} {version}"
+        notices += [(f"{name} notice", f"this work is licensed under {article} {full}{end}") for article in ("a", "the") for end in (f" {area} license", " license", f" {area}")]
+        names += [(f"{name} short", f"cc {terms} {version}")] + [(f"{name} short", full + end) for end in ("", f" {area}", " license", f" {area} license")]
+        rules += [(f"{licence.lower()} {what}", licence, kind, (f"{name} {what}",)) for what in ("line", "notice")]
+    return notices, names, [(rule, licence, kind, (names_[0].replace(" line", " short"),)) for rule, licence, kind, names_ in rules]
+
+
+CC_NOTICES, CC_NAMES, CC_RULES = _cc()
+RULES += tuple(rule for rule in CC_RULES if rule[0] not in {r[0] for r in RULES})
+CALLED += SHORT + tuple((name, words) for name, words in CC_NAMES if words.startswith("cc "))
 ANYWHERE = 10
 CUT = r"\n|[.!?][\x20\x09-\x0D]+"
 WORD = "[A-Za-z0-9]"
@@ -223,7 +263,7 @@ BREAKS = (
     ("S", "//"),
 )
 #: Every known sentence has one of these, so texts without them are not read for sentences.
-ANCHORS = ("licen", "warrant", "copyright", "permission", "unencumbered", "advertising")
+ANCHORS = ("licen", "warrant", "copyright", "permission", "unencumbered", "advertising", "creative commons", "cc by", "cc-by", "released under", "distributed under", "available under")
 
 
 def _tag(identifier: str) -> str:
@@ -243,6 +283,8 @@ def _sentences() -> dict[str, str]:
     """Identifiers by normalised sentence, other wordings and short notices included."""
     known = {sentence: name for name, sentence in SENTENCES.items()}
     known |= {sentence: name for name, sentence in WORDINGS}
+    for name, sentence in [*CC_NOTICES, *CC_NAMES, *((name, line.format(short)) for name, short in SHORT for line in LINES)]:
+        known.setdefault(sentence, name)
     for sentence, name in list(known.items()):
         if sentence.startswith(("this program is free software", "this library is free software")):
             known[sentence.split(" ", 2)[2]] = name  # whatever it is that is free software
@@ -308,7 +350,8 @@ def _names(text: Column) -> Column:
     """Identifiers of the known sentences of a text, by where they start; of two at one place the shorter is first."""
     lowered = F.translate(text, CAPITALS, CAPITALS.lower())
     found = F.regexp_extract_all(_marked(lowered), F.lit(FIND), 0)
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable({**KNOWN, **TAGGED}.items())])
+    # one literal that is read once, where a map of literals would be thousands of expressions
+    known = F.from_json(F.lit(json.dumps({**KNOWN, **TAGGED})), "map<string,string>")
 
     def named(hit: Column) -> Column:
         words = F.trim(F.regexp_replace(hit, "[ |/]+", " "))
