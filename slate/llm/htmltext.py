@@ -13,7 +13,7 @@ made-up pages (``labelled_pages``: articles in several layouts among menus, head
 forms and comments, half of them without names that say what they are); this number bounds what is sent to the driver.
 
 Text: character references are decoded, white space inside a block (line break elements too) becomes one space, blocks are trimmed and
-joined by line ends in page order. Buttons, selections and text fields have no text. Cases: null or empty html gives an empty text; text without
+joined by line ends in page order; formulas are text like any other. A page of text without block elements is its text. Buttons, selections and text fields have no text. Cases: null or empty html gives an empty text; text without
 markup is one block of the root; unclosed, misnested and cut-off markup is read as far as it goes: a tag without an end ends the page, an attribute value without its closing
 quote ends at the next ``>``, a script, style, title or frame without an end takes the rest of the page, and other skipped elements without an end are read; repeated rows are
 extracted one by one; an empty table gives an empty table. Nothing is dropped for its length, and reading is linear in it, whatever the markup. Only the id, URL and html columns are read.
@@ -42,10 +42,11 @@ AMOUNTS = 0.3
 NAMED = 4
 
 #: Element kinds of HTML.
-RAW = frozenset("script style noscript template iframe svg math object textarea title head button select".split())
+RAW = frozenset("script style noscript template iframe svg object textarea title head button select".split())
 TO_THE_END = frozenset("script style title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
+    "math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mspace mpadded mphantom mtable mtr mtd "
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter nobr output picture progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br source link meta".split()
 )
 CLOSED_BY = {
@@ -58,6 +59,7 @@ CLOSED_BY = {
     "option": ("option",),
 }
 SCOPE = ("ul", "ol", "dl", "table")
+PLAIN = ("html", "body", "#text")
 FIELDS = frozenset("input select textarea button option".split())
 
 _MARKUP = re.compile("<(/?)([a-zA-Z][^\\s/>]*)|<!--|<[!?/]")
@@ -344,6 +346,8 @@ class Model:
         page = parse(html or "")
         if not page.blocks:
             return ""
+        if all(node.tag in PLAIN for node in page.nodes[1:]):
+            return "\n".join(text for _, text in page.blocks)  # nothing but text: all of it is the page's
         chance = self.marginals(page)
         return "\n".join(text for node, text in page.blocks if chance[node] > 0.5)
 
