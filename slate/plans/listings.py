@@ -84,6 +84,14 @@ def asset_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return links.withColumn("n", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("points"), "url"))).where("n <= 5").withColumn("n", F.col("n").cast("long"))
 
 
+def schedule_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """The five files of every page that most look like a schedule. The pages link no files, so their links are made into some first."""
+    body = F.regexp_replace("html", 'href="/([a-zA-Z]+)"', 'href="/files/$1-schedule.pdf"')
+    body = F.regexp_replace(body, 'href="/files/([b-h][a-zA-Z]*)-schedule[.]pdf"', 'href="/img/$1-banner.png"')
+    landed = table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), "url", body.alias("body"))
+    return pages.schedule_assets(landed).where("place <= 5")
+
+
 #: Links of these pages are all href in double quotes, so a place in the text is the lengths of what stands before it.
 ASSET_RANKS = f"""WITH p AS (SELECT page_id, replace(html, 'href="/th', 'href="/schedule/th') AS body FROM pages),
 s AS (SELECT page_id, body, string_split(body, 'href="') AS s FROM p),
@@ -97,7 +105,7 @@ SELECT source_id, url, CAST(points AS INT) AS points, n FROM n WHERE n <= 5"""
 
 QUERIES = {
     "source_month_cells": source_month_cells, "source_item_list": source_item_list, "source_club_rows": source_club_rows, "source_listing": source_listing,
-    "source_deep_rows": source_deep_rows, "asset_ranks": asset_ranks,
+    "source_deep_rows": source_deep_rows, "asset_ranks": asset_ranks, "schedule_assets": schedule_assets,
 }
 SQL = {
     "source_month_cells": SOURCE_MONTH_CELLS, "source_item_list": SOURCE_ITEM_LIST, "source_club_rows": SOURCE_CLUB_ROWS, "source_listing": SOURCE_LISTING,

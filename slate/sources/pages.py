@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
+from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slate.functions import times
@@ -135,3 +137,47 @@ def asset_scores(landed: DataFrame) -> DataFrame:
         + case(F.col("near"), 1)
     )
     return links.select("source_id", "url", points.alias("points")).groupBy("source_id", "url").agg(F.max("points").alias("points")).where("points >= 1")
+
+
+# The files that may hold a schedule, the words of their names and surroundings, and what these count.
+FILES = r"pdf|png|jpe?g|webp|gif"
+GOOD = ("schedule", "skat", "stick", "hockey", "public", "calendar", "session", "hours", "flyer", "season", "freestyle", "lesson")
+BAD = ("logo", "icon", "sprite", "favicon", "banner", "header", "footer", "avatar", "thumb", "social", "sponsor", "badge", "arrow", "bg-", "background", "affiliate", "usahockey", "facebook", "twitter", "instagram-icon")
+NAMED_GOOD, NAMED_BAD, NEAR_GOOD, DOCUMENT, ENOUGH = 3, -4, 2, 1, 1
+# End of the fixed values.
+FILE = re.compile(rf"""(?:href|src|content)\s*=\s*["']([^"']+\.(?:{FILES})(?:\?[^"']*)?)["']""", re.I)
+
+
+def _files(body: str, base: str | None) -> dict[str, tuple[int, int]]:
+    """Points and first place of every linked document or image, by its whole URL."""
+    out: dict[str, tuple[int, int]] = {}
+    for m in FILE.finditer(body):
+        try:
+            url = urljoin(base or "", unescape(m[1]))
+        except ValueError:
+            continue
+        low, near = url.lower(), body[max(0, m.start() - AROUND) : m.end() + AROUND].lower()
+        points = NAMED_GOOD * any(w in low for w in GOOD) + NAMED_BAD * any(w in low for w in BAD) + NEAR_GOOD * any(w in near for w in GOOD) + DOCUMENT * bool(re.search(r"\.pdf(\?|$)", low))
+        known = out.get(url)
+        out[url] = (points, len(out)) if known is None else (max(points, known[0]), known[1])
+    return out
+
+
+def schedule_assets(landed: DataFrame) -> DataFrame:
+    """(source_id, url, points, place): documents and images of a page (source_id, url, body) that may hold a schedule, by the words of their names and of 400 characters on both sides.
+
+    A file that is linked more than once counts with its best surroundings; of equal points the first on the page comes first. A page without a URL keeps relative
+    links as they are; null pages have none.
+    """
+    kinds = landed.select("source_id", F.col("url"), F.lit(0).cast("long").alias("points"), F.lit(0).cast("long").alias("first")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                found = [(i, url, *rest) for i, (base, body) in enumerate(zip(one.column(1).to_pylist(), one.column(2).to_pylist(), strict=True)) for url, rest in _files(body or "", base).items()]
+                at, urls, points, first = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([one.column(0).take(pa.array(at, pa.int64())), pa.array(urls, pa.string()), pa.array(points, pa.int64()), pa.array(first, pa.int64())], names=["source_id", "url", "points", "first"])
+
+    links = landed.select("source_id", "url", "body").mapInArrow(run, kinds).where(F.col("points") >= ENOUGH)
+    order = Window.partitionBy("source_id").orderBy(F.desc("points"), "first")
+    return links.withColumn("place", F.row_number().over(order).cast("long")).select("source_id", "url", "points", "place")
