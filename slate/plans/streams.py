@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slate.functions import text
 from slate.operators import score
-from slate.plans import views
+from slate.plans import feeds, views
 from slate.session import scratch
-from slate.streaming import ratings, snapshots
+from slate.streaming import ratings, snapshots, versions
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,5 +54,20 @@ def stream_kalman(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("league", "game_id", "day", "n_before_sides", score.rounded(F.col("expected")).alias("expected"))
 
 
-QUERIES = {"stream_dedupe": stream_dedupe, "stream_latest": stream_latest, "stream_daily": stream_daily, "stream_kalman": stream_kalman}
-SQL = {"stream_dedupe": STREAM_DEDUPE, "stream_latest": STREAM_LATEST, "stream_daily": STREAM_DAILY}
+def label_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels after two runs, the first over views alone: the second looks up what the first has learnt and judges only what is new. A length stands for the model."""
+    table = versions.Versions(spark, scratch(spark, "labels"), versions.LABELS)
+    rows = feeds._normal(spark, sf).where(text.title_class(F.col("title_norm")).isNull()).select("kind", F.lit("*").alias("rink_id"), "title_norm")
+    judge = lambda titles: titles.withColumn("category", F.when(F.length("title_norm") % 2 == 0, "public_skate").otherwise("private_rental"))
+    versions.learn(table, rows.where("kind = 'view'"), judge, 1)
+    return versions.learn(table, rows, judge, 2)
+
+
+LABEL_LOOP = f"""WITH {views.SESSIONS}, normal AS (SELECT kind, {text.sql_normal_title("title")} AS title_norm FROM sessions WHERE {feeds._CLASS_SQL} IS NULL)
+SELECT '*' AS rink_id, title_norm, CASE WHEN length(title_norm) % 2 = 0 THEN 'public_skate' ELSE 'private_rental' END AS category, 'model' AS source,
+  CAST(CASE WHEN bool_or(kind = 'view') THEN 1 ELSE 2 END AS BIGINT) AS run
+FROM normal GROUP BY title_norm"""
+
+
+QUERIES = {"stream_dedupe": stream_dedupe, "stream_latest": stream_latest, "stream_daily": stream_daily, "stream_kalman": stream_kalman, "label_loop": label_loop}
+SQL = {"label_loop": LABEL_LOOP, "stream_dedupe": STREAM_DEDUPE, "stream_latest": STREAM_LATEST, "stream_daily": STREAM_DAILY}
