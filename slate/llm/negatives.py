@@ -45,8 +45,9 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def whole(x: np.ndarray) -> np.ndarray:
-    """Components as whole numbers, in doubles."""
-    return np.floor(SCALE * x)
+    """Components as whole numbers, in doubles; what is beyond them is their largest."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(SCALE * x))
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:

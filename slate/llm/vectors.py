@@ -58,7 +58,10 @@ def axes(rows: DataFrame, prepare: Prepare, column: str = "vec", sample: int = S
     out = {}
     for length in {len(x) for x in taken if x}:
         x = prepare(np.array([v for v in taken if len(v) == length], np.float64))[:, :WIDTH]
-        values, turned = np.linalg.eigh(np.cov(x.T).reshape(x.shape[1], x.shape[1]) if len(x) > 1 else np.eye(x.shape[1]))
+        with np.errstate(over="ignore", invalid="ignore"):
+            spread = np.cov(x.T).reshape(x.shape[1], x.shape[1]) if len(x) > 1 else np.eye(x.shape[1])
+        # where squares are beyond doubles, the coordinates themselves are the axes
+        values, turned = np.linalg.eigh(spread if np.isfinite(spread).all() else np.eye(x.shape[1]))
         top = np.argsort(-values, kind="stable")[:AXES]
         whole = np.zeros((len(top), length))
         whole[:, : x.shape[1]] = turned[:, top].T
@@ -122,7 +125,8 @@ def blocks(rows: DataFrame, prepare: Prepare, carry: tuple[str, ...], cell: floa
         own = axes_of(fitted, what[0])[0]
         on = np.zeros((len(x), AXES))
         on[:, : len(own)] = x @ own.T
-        rest = np.sqrt(((x - on[:, : len(own)] @ own) ** 2).sum(axis=1)).max()
+        with np.errstate(over="ignore", invalid="ignore"):
+            rest = np.nan_to_num(np.sqrt(((x - on[:, : len(own)] @ own) ** 2).sum(axis=1)).max(), nan=np.inf, posinf=np.inf)
         plain = [pa.array([v], t) for v, t in ((part, pa.int32()), (place, pa.int32()), (what[0], pa.int32()), (what[1], pa.int64()), (len(x), pa.int32()), (raw.astype(kind).tobytes(), pa.binary()))]
         boxes = [pa.array([on.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([on.max(axis=0).tolist()], pa.list_(pa.float64())), pa.array([float(rest)])]
         lists = [pa.array([v], pa.list_(pa.int64())) for v in carried]
@@ -209,4 +213,5 @@ def product_bounds() -> tuple[Column, Column]:
     size = F.aggregate(F.zip_with(left, right, lambda x, y: F.greatest(*[F.abs(e) for e in ends(x, y)])), F.lit(0.0), lambda total, x: total + x)
     rest = F.col("a_res") * F.col("b_res")
     slack = (size + rest) * 1e-9 + 1e-6
-    return low - rest - slack, high + rest + slack
+    # beyond doubles a bound is no number, and then says nothing
+    return F.nanvl(low - rest - slack, F.lit(float("-inf"))), F.nanvl(high + rest + slack, F.lit(float("inf")))

@@ -155,3 +155,14 @@ def test_intervals_hold_every_product(spark):
         products = [vecs[i] @ vecs[j] for i in ids[r.a_code] for j in ids[r.b_code]]
         assert r.least <= min(products) and max(products) <= r.most
         assert r.gap <= min(((vecs[i] - vecs[j]) ** 2).sum() for i in ids[r.a_code] for j in ids[r.b_code]) + 1e-9
+
+
+def test_components_of_any_size(spark):
+    """Components whose squares no double holds: scores are clipped to a long, cosines are as ever, and nothing fails."""
+    big = [[1e300, -1e300, 3.0], [1e300, -1e300, 4.0], [-1e300, 1e300, 1.0], [1e-300, -1e-300, 0.0], [5e307, 1e307, 0.0], [1.0, 2.0, 3.0]]
+    rows = [(50 * i, v, i % 2) for i, v in enumerate(big)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in epsilon.query(frame).collect()}
+    assert found == {0: (2, 0), 50: (2, 0), 100: (0, 100), 150: (2, 0), 200: (0, 200), 250: (0, 250)}
+    for r in negatives.query(frame).collect():
+        assert 50 * r.positive_score <= 100 * r.negative_score <= 95 * r.positive_score
