@@ -28,11 +28,23 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, left_id: str, right
 
 
 def overlay(blocks: DataFrame, events: DataFrame, key: str, block_id: str, event_id: str) -> DataFrame:
-    """Every event's host: the first block (by start, id) that it overlaps; null if there is none."""
-    pairs = overlapping(blocks, events, key, block_id, event_id)
-    starts = blocks.select(block_id, F.col("start_ts").alias("host_start"))
-    host = pairs.join(starts, block_id).groupBy(event_id).agg(F.min_by(block_id, F.struct("host_start", block_id)).alias("host"))
-    return events.select(key, event_id).join(host, event_id, "left")
+    """Every event's host: the first block (by start, id) that it overlaps; null if there is none. Event ids are distinct.
+
+    No pairs are made. A block that ends no later than an earlier one hosts nothing that the earlier one does not; of the others, ends grow with starts, so the
+    first block that ends after an event's start is the last one met on the way down from the latest end. It hosts the event if it starts before the event's end.
+    """
+    by_start = Window.partitionBy(key, "o_day").orderBy("a_start", "a_id").rowsBetween(Window.unboundedPreceding, -1)
+    a = with_days(blocks.where(F.col(key).isNotNull()).select(key, F.col("start_ts").alias("a_start"), F.col("end_ts").alias("a_end"), F.col(block_id).alias("a_id")), "a_start", "a_end")
+    first = a.withColumn("before", F.max("a_end").over(by_start)).where("before IS NULL OR a_end > before")
+    b = events.select(key, event_id, "start_ts", "end_ts", F.explode_outer(F.sequence(F.to_date("start_ts"), F.to_date("end_ts"))).alias("o_day"))
+    sides = b.select(key, "o_day", F.col("start_ts").alias("at"), F.lit(0).alias("side"), event_id, "start_ts", "end_ts").unionByName(
+        first.select(key, "o_day", F.col("a_end").alias("at"), F.lit(1).alias("side"), F.struct("a_start", "a_id", "a_end").alias("block")), allowMissingColumns=True
+    )
+    down = Window.partitionBy(key, "o_day").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sides.withColumn("block", F.last("block", ignorenulls=True).over(down)).where("side = 0")
+    hosts = F.col(key).isNotNull() & (F.col("block.a_start") < F.col("end_ts")) & (F.col("block.a_end") > F.col("start_ts"))
+    host = F.min(F.when(hosts, F.struct("block.a_start", "block.a_id")))
+    return met.groupBy(key, event_id).agg(host["a_id"].alias("host"))
 
 
 def greedy(slots: DataFrame, classes: DataFrame, key: str, slot_id: str, class_id: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Steps whose work once grew with pairs of rows: results against plain loops, and plans without the pairs."""
 
-from slate.operators import lookup
+import datetime as dt
+import random
+
+from slate.operators import lookup, overlap
 from slate.plans import feeds
 
 
@@ -8,6 +11,28 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _sides(spark, seed=5, n=250):
+    rng, t0 = random.Random(seed), dt.datetime(2024, 1, 1)
+    lengths = (0, 20, 60, 89, 600, 2000)
+    rows = lambda first: [(rng.choice((1, 2, None)), first + i, (s := t0 + dt.timedelta(minutes=rng.randrange(4 * 1440))), s + dt.timedelta(minutes=rng.choice(lengths))) for i in range(n)]
+    a, b = [*rows(0), (3, 900, t0, t0 + dt.timedelta(days=3))], [*rows(1000), (1, 2000, None, None)]
+    schema = "rink_id long, {} long, start_ts timestamp_ntz, end_ts timestamp_ntz"
+    return a, b, spark.createDataFrame(a, schema.format("block_id")), spark.createDataFrame(b, schema.format("event_id"))
+
+
+def _meet(a, b):
+    return a[0] is not None and a[0] == b[0] and b[2] is not None and a[2] < b[3] and b[2] < a[3]
+
+
+def test_hosts_are_found_without_pairs(spark):
+    a, b, blocks, events = _sides(spark)
+    found = overlap.overlay(blocks, events, "rink_id", "block_id", "event_id")
+    wanted = {e[1]: (e[0], min(((x[2], x[1]) for x in a if _meet(x, e)), default=(None, None))[1]) for e in b}
+    assert {r.event_id: (r.rink_id, r.host) for r in found.collect()} == wanted
+    assert found.count() == len(b)
+    assert "Join" not in _plan(found)
+
+
 def test_equal_word_sets_are_compared_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b", "c", "b"]) for i in range(40)], "k long, w array<string>")
     others = spark.createDataFrame([(i, ["c", "b", "a"] if i % 3 else ["b", "a"]) for i in range(30)], "o long, v array<string>")
