@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,79 @@ def overlay(blocks: DataFrame, events: DataFrame, key: str, block_id: str, event
     return met.groupBy(key, event_id).agg(host["a_id"].alias("host"))
 
 
+def members(blocks: DataFrame, events: DataFrame, key: str, block_id: str, event_id: str) -> DataFrame:
+    """For each block that overlaps any event: (block_id, n, overlap_s, members), the events' ids by start and id, comma-joined.
+
+    Pairs are as many as the result's ids, so they are never shuffled: a block goes to the day it starts on, an event to each such day whose blocks it may
+    overlap, and a sweep over a day in order of start holds what is open at one moment.
+    """
+    whole = lambda df: df.dropna(subset=[key, "start_ts", "end_ts"])
+    a = whole(blocks).select(F.col(key).alias("g_key"), F.to_date("start_ts").alias("home"), F.lit(0).alias("side"), F.col(block_id).alias("id"), "start_ts", "end_ts")
+    reach = a.groupBy("g_key", "home").agg(F.max("end_ts").alias("last")).withColumn("o_day", F.explode(F.sequence("home", F.to_date("last"))))
+    days = with_days(whole(events).select(F.col(key).alias("g_key"), F.lit(1).alias("side"), F.col(event_id).alias("id"), "start_ts", "end_ts"), "start_ts", "end_ts")
+    b = days.join(reach, ["g_key", "o_day"]).where("start_ts < last AND o_day = greatest(home, to_date(start_ts))").select(*a.columns)
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sent = a.unionByName(b).select("g_key", F.unix_date("home").alias("home"), micros("start_ts").alias("start"), "side", "id", micros("end_ts").alias("end"))
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sent.repartition(parts, "g_key", "home").sortWithinPartitions("g_key", "home", "start", "side", "id")
+    found = ordered.mapInArrow(_listed, "block long, n long, overlap_s long, members string")
+    return found.withColumnRenamed("block", block_id)
+
+
+#: Ids of members in one batch of results.
+MEMBERS = 500_000
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members by one sweep over intervals in order of their starts. Held are the blocks whose end is not passed and the events that one of them or a later one may overlap."""
+    now, out, size = None, [], 0
+    empty = np.zeros((0, 3), np.int64)
+    waiting = held = empty
+
+    def decided(until: float) -> Iterator[tuple]:
+        nonlocal waiting, held
+        due = waiting[:, 2] <= until
+        for block, start, end in waiting[due].tolist():
+            near = held[: np.searchsorted(held[:, 1], end)]
+            near = near[near[:, 2] > start]
+            if len(near):
+                seconds = np.minimum(near[:, 2], end) // 1_000_000 - np.maximum(near[:, 1], start) // 1_000_000
+                yield block, len(near), int(seconds.sum()), ",".join(map(str, near[:, 0].tolist()))
+        waiting = waiting[~due]
+        held = held[held[:, 2] > min(until, waiting[:, 1].min(initial=np.iinfo(np.int64).max))]
+
+    def rows() -> Iterator[tuple]:
+        nonlocal now, waiting, held
+        for batch in batches:
+            key, home, start, side, one, end = (c.to_numpy() for c in batch.columns)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (home[1:] != home[:-1])) + 1).tolist(), len(key)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if (key[i], home[i]) != now:
+                    yield from decided(np.inf)
+                    now, held = (key[i], home[i]), empty
+                part, event = np.column_stack((one, start, end))[i:j], side[i:j] == 1
+                waiting, held = np.concatenate((waiting, part[~event])), np.concatenate((held, part[event]))
+                yield from decided(int(start[j - 1]))
+        yield from decided(np.inf)
+
+    for row in rows():
+        out.append(row)
+        size += row[1]
+        if size >= MEMBERS:
+            yield _lists(out)
+            out, size = [], 0
+    if out:
+        yield _lists(out)
+
+
+def _lists(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "n", "overlap_s", "members"])
+
+
 def greedy(slots: DataFrame, classes: DataFrame, key: str, slot_id: str, class_id: str) -> DataFrame:
     """Each slot, by (start, id), takes the first class by (start, id) that overlaps it and is not taken.
 

@@ -292,10 +292,7 @@ ALLOWLIST = f"""WITH {GAMES} SELECT home, count(*) AS n, coalesce(max(s_name), '
 
 def block_members(spark: SparkSession, sf: str) -> DataFrame:
     """For each block that has any: the events that overlap it, by start."""
-    blocks, events = feeds._sides(spark, sf)
-    pairs = overlap.overlapping(blocks, events, "rink_id", "block_id", "event_id").join(events.select("event_id", "start_ts"), "event_id")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("start_ts", "event_id"))), lambda x: x["event_id"].cast("string"))
-    return pairs.groupBy("block_id").agg(F.count("*").alias("n"), F.sum("overlap_s").alias("overlap_s"), F.array_join(listed, ",").alias("members"))
+    return overlap.members(*feeds._sides(spark, sf), "rink_id", "block_id", "event_id")
 
 
 BLOCK_MEMBERS = f"""WITH {feeds._SIDES}

@@ -33,6 +33,18 @@ def test_hosts_are_found_without_pairs(spark):
     assert "Join" not in _plan(found)
 
 
+def test_members_of_blocks_are_not_shuffled_as_pairs(spark):
+    a, b, blocks, events = _sides(spark, 6)
+    found = overlap.members(blocks, events, "rink_id", "block_id", "event_id")
+    wanted = {}
+    for x in a:
+        own = sorted((e[2], e[1], int((min(x[3], e[3]) - max(x[2], e[2])).total_seconds())) for e in b if _meet(x, e))
+        if own:
+            wanted[x[1]] = (len(own), sum(o[2] for o in own), ",".join(str(o[1]) for o in own))
+    assert {r.block_id: (r.n, r.overlap_s, r.members) for r in found.collect()} == wanted
+    assert "Exchange" not in _plan(found).split("MapInArrow")[0]
+
+
 def test_equal_word_sets_are_compared_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["b", "c", "b"]) for i in range(40)], "k long, w array<string>")
     others = spark.createDataFrame([(i, ["c", "b", "a"] if i % 3 else ["b", "a"]) for i in range(30)], "o long, v array<string>")
