@@ -6,9 +6,8 @@ wall-clock times of the given zone and come out as UTC.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,30 +82,10 @@ def rule_days(rule: Column) -> Column:
     return F.filter(days, lambda d: d >= 0)
 
 
-def _array_after(text: str, name: str) -> str | None:
-    """The bracketed value assigned to a name; brackets inside strings do not count."""
-    at = text.find(name)
-    at = text.find("[", at) if at >= 0 else -1
-    if at < 0:
-        return None
-    depth, quote, k = 0, "", at
-    while k < len(text):
-        c = text[k]
-        if quote:
-            if c == "\\":
-                k += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"'":
-            quote = c
-        elif c == "[":
-            depth += 1
-        elif c == "]":
-            depth -= 1
-            if not depth:
-                return text[at : k + 1]
-        k += 1
-    return None
+def _from_array(text: Column, name: str) -> Column:
+    """The text from the first bracket after a name on; null if there is none. The JSON reader stops at the bracket that closes it."""
+    at = F.locate("[", F.substr(text, F.nullif(F.locate(name, text), F.lit(0))))
+    return F.substr(F.substr(text, F.locate(name, text)), F.nullif(at, F.lit(0)))
 
 
 # Names in the script format.
@@ -118,11 +97,7 @@ SCRIPT_ROW = "EventId:bigint,EventStartTime:string,EventEndTime:string,EventType
 def embedded_json(landed: DataFrame, name: str = SCRIPT_LIST) -> DataFrame:
     """An array assigned to a variable inside a script; conflicts are left out, the title is type, subtype, account without repeats."""
 
-    def find(bodies: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in bodies:
-            yield pa.array([_array_after(b or "", name) for b in batch.to_pylist()], pa.string())
-
-    rows = landed.select("source_id", F.explode(F.from_json(F.arrow_udf(find, "string")("body"), f"array<struct<{SCRIPT_ROW}>>")).alias("e"))
+    rows = landed.select("source_id", F.explode(F.from_json(_from_array(F.col("body"), name), f"array<struct<{SCRIPT_ROW}>>")).alias("e"))
     names = F.array_distinct(F.filter(F.array(F.trim("e.EventTypeName"), F.trim("e.SubEventTypeName"), F.when(F.col("e.ShowAccount"), F.trim("e.AccountName"))), lambda x: x.isNotNull() & (x != "")))
     typed = rows.where("NOT coalesce(e.EventTypeName, '') = 'Conflict'").select(
         "source_id", F.col("e.EventId").alias("event_id"), F.array_join(names, " - ").alias("title"), F.col("e.EventStartTime").cast("timestamp_ntz").alias("start_ts"), F.col("e.EventEndTime").cast("timestamp_ntz").alias("end_ts")

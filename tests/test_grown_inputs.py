@@ -5,6 +5,7 @@ import random
 
 from slate.operators import lookup, overlap
 from slate.plans import feeds
+from slate.sources import landed
 
 
 def _plan(df):
@@ -53,3 +54,11 @@ def test_equal_word_sets_are_compared_once(spark, tmp_path):
     parts = spark.createDataFrame([(1, "red nut", "BIG"), (2, "red nut", None), (3, None, "BIG")], "p_partkey long, p_name string, p_type string")
     parts.write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(tuple(r) for r in feeds.word_contain(spark, str(tmp_path)).collect()) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_arrays_in_scripts_are_read_without_python(spark):
+    row = '{"EventId": 1, "EventStartTime": "2024-01-01T10:00:00", "EventEndTime": "2024-01-01T11:00:00", "EventTypeName": "a ] [ \\" b"}'
+    bodies = [f"<script>var x = [3]; _onlineScheduleList = [{row}]; var y = '[';", f"_onlineScheduleList = [{row}", "no list [1]", "_onlineScheduleList = none", None, f"[0] _onlineScheduleList=[{row},[1]] ]"]
+    found = landed.embedded_json(spark.createDataFrame(list(enumerate(bodies)), "source_id long, body string"))
+    assert [(r.source_id, r.event_id, r.title) for r in found.collect() if r.source_id < 5] == [(0, 1, 'a ] [ " b')]
+    assert "Python" not in _plan(found)
