@@ -68,7 +68,12 @@ def target_of(options: dict, margin: np.ndarray) -> np.ndarray:
 
 
 class Bank:
-    """Games are counted once per half-life: ``design`` sums the products of the columns home - away and edge."""
+    """Games are counted once per half-life: ``design`` sums the products of the columns home - away and edge.
+
+    ``learn`` takes games of a day, or with ``n`` rows that stand for so many equal games each. A bank with ``ordered`` set needs every game, in order.
+    """
+
+    ordered = False
 
     def __init__(self, options: list[dict]) -> None:
         self.options, self.teams, self.day = options, 0, None
@@ -94,6 +99,10 @@ def _rows(h: np.ndarray, a: np.ndarray, teams: int) -> np.ndarray:
     return out
 
 
+def _times(h: np.ndarray, n: np.ndarray | None) -> np.ndarray:
+    return np.ones(len(h)) if n is None else n.astype(float)
+
+
 def _wider(x: np.ndarray, more: int, axes: int) -> np.ndarray:
     """Room for more teams before the last place (the edge) of the last ``axes`` axes."""
     for axis in range(x.ndim - axes, x.ndim):
@@ -125,11 +134,12 @@ class Massey(Bank):
         faded = self._faded(day)
         self.left, self.right = self.left * faded[:, None, None], self.right * faded[self.life][:, None]
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         self.fade(day)
         x = _rows(h, a, self.teams)
-        self.left = self.left + x.T @ x
-        self.right = self.right + (np.array([target_of({"target": t, "cap": c}, hg - ag) for t, c in self.targets]) @ x)[self.target]
+        counted = x * _times(h, n)[:, None]
+        self.left = self.left + x.T @ counted
+        self.right = self.right + (np.array([target_of({"target": t, "cap": c}, hg - ag) for t, c in self.targets]) @ counted)[self.target]
 
     def solved(self) -> np.ndarray:
         """Options by (teams, edge)."""
@@ -153,6 +163,8 @@ class Massey(Bank):
 class Residual(Massey):
     """How far a team's last margins were above what today's fit expects of those games."""
 
+    ordered = True
+
     def __init__(self, options: list[dict]) -> None:
         super().__init__(options)
         self.past: list[deque] = []
@@ -161,7 +173,7 @@ class Residual(Massey):
         super().grow(last, outside)
         self.past += [deque(maxlen=max(o["last"] for o in self.options)) for _ in range(len(last) - len(self.past))]
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         super().learn(h, a, hg, ag, day)
         for home, away, margin in zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True):
             self.past[home].append((away, 1, margin))
@@ -171,15 +183,21 @@ class Residual(Massey):
         self.fade(day)
         x = self.solved()
 
-        def over(team: int, i: int) -> float:
-            o = self.options[i]
-            own = list(self.past[team])[-o["last"] :]
-            if not own:
-                return 0.0
-            others, at_home, margins = (np.array(c, float) for c in zip(*own, strict=True))
-            return float((target_of(o, margins) - (x[i, team] - x[i, others.astype(int)] + at_home * x[i, -1])).mean())
+        def over(team: int) -> list[float]:
+            out = []
+            for i, o in enumerate(self.options):
+                own = list(self.past[team])[-o["last"] :]
+                if not own:
+                    out.append(0.0)
+                    continue
+                others, at_home, margins = (np.array(c, float) for c in zip(*own, strict=True))
+                out.append(float((target_of(o, margins) - (x[i, team] - x[i, others.astype(int)] + at_home * x[i, -1])).mean()))
+            return out
 
-        return np.array([[over(home, i) - over(away, i) for i in range(len(self.options))] for home, away in zip(h.tolist(), a.tolist(), strict=True)])
+        # a team has one value a day, however many games it plays
+        teams, place = np.unique(np.concatenate((h, a)), return_inverse=True)
+        values = np.array([over(t) for t in teams.tolist()]).reshape(len(teams), len(self.options))[place]
+        return values[: len(h)] - values[len(h) :]
 
 
 class BradleyTerry(Bank):
@@ -196,11 +214,12 @@ class BradleyTerry(Bank):
         self.games = np.pad(self.games, (0, more))
         self.right, self.start = _wider(self.right, more, 1), _wider(self.start, more, 1)
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         margin = hg - ag
         won = np.array([0.5 + 0.5 * (np.tanh(margin / o["soft"]) if o.get("soft") else np.sign(margin)) for o in self.options])
-        np.add.at(self.games, (h, a), 1.0)
-        self.right += won @ _rows(h, a, self.teams)
+        times = _times(h, n)
+        np.add.at(self.games, (h, a), times)
+        self.right += (won * times) @ _rows(h, a, self.teams)
 
     def solved(self) -> np.ndarray:
         k = self.teams
@@ -241,11 +260,11 @@ class Poisson(Bank):
         self.games, self.scored, self.let_in = (np.pad(m, ((0, 0), (0, more), (0, more))) for m in (self.games, self.scored, self.let_in))
         self.start = None
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         self.fade(day)
         day_sums = [np.zeros((self.teams, self.teams)) for _ in range(3)]
         for total, value in zip(day_sums, (np.ones(len(h)), hg, ag), strict=True):
-            np.add.at(total, (h, a), value)
+            np.add.at(total, (h, a), value * _times(h, n))
         self.games, self.scored, self.let_in = (old + new for old, new in zip((self.games, self.scored, self.let_in), day_sums, strict=True))
 
     def fade(self, day: int) -> None:
@@ -313,10 +332,11 @@ class Colley(Bank):
         more, self.teams = len(last) - self.teams, len(last)
         self.left, self.right = _wider(self.left, more, 2), _wider(self.right, more, 1)
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         x = _rows(h, a, self.teams)
-        self.left = self.left + x.T @ x
-        self.right = self.right + np.sign(hg - ag) / 2 @ x
+        counted = x * _times(h, n)[:, None]
+        self.left = self.left + x.T @ counted
+        self.right = self.right + np.sign(hg - ag) / 2 @ counted
 
     def solved(self) -> np.ndarray:
         k = self.teams
@@ -338,11 +358,11 @@ class Schedule(Bank):
         more, self.teams = len(last) - self.teams, len(last)
         self.met, self.own = np.pad(self.met, (0, more)), np.pad(self.own, ((0, 0), (0, more)))
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         for one, other, margin in ((h, a, hg - ag), (a, h, ag - hg)):
-            np.add.at(self.met, (one, other), 1.0)
+            np.add.at(self.met, (one, other), _times(h, n))
             for i, o in enumerate(self.options):
-                np.add.at(self.own[i], one, (np.sign(margin) + 1) / 2 if "weights" in o else target_of(o, margin))
+                np.add.at(self.own[i], one, _times(h, n) * ((np.sign(margin) + 1) / 2 if "weights" in o else target_of(o, margin)))
 
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         n = self.met.sum(1)
@@ -360,6 +380,8 @@ class Schedule(Bank):
 class Elo(Bank):
     """Elo points in game order; the signal is the home side's log-odds."""
 
+    ordered = True
+
     def __init__(self, options: list[dict]) -> None:
         super().__init__(options)
         self.points = np.zeros((len(options), 0))
@@ -377,22 +399,43 @@ class Elo(Bank):
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         return self.gap(h, a) / 400 * np.log(10)
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+        # a row for each team; what depends on the margin alone is made once for each margin
+        rows = list(np.ascontiguousarray(self.points.T))
+        bent = self.margins == "538"
+        sizes: dict[float, np.ndarray] = {}
         for home, away, margin in zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True):
-            change = self.k * elo_change(self.points[:, home] + self.edge - self.points[:, away], margin, self.margins)
-            self.points[:, home] += change
-            self.points[:, away] -= change
+            one, other = rows[home], rows[away]
+            gap = one + self.edge - other
+            if margin not in sizes:
+                sizes[margin] = elo_size(margin, self.margins)
+            won = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
+            change = self.k * (elo_bend(gap, margin, bent, sizes[margin]) * (won - 1 / (1 + 10 ** (-gap / SCALE))))
+            one += change
+            other -= change
+        self.points = np.array(rows).T.reshape(self.points.shape)
+
+
+# The published Elo scale, and the margin multipliers "log" and "538".
+SCALE, FLAT, EVEN, SLOPE = 400, 2.2, 0.5, 0.001
+# End of the fixed values.
+
+
+def elo_size(margin: float, margins: np.ndarray) -> np.ndarray:
+    """The part of a change's size that the margin alone decides."""
+    return np.where(margins == "none", 1.0, np.log(abs(margin) + 1) or EVEN)
+
+
+def elo_bend(gap: np.ndarray, margin: float, bent: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` where the multiplier is not "538", else less for a favourite's win."""
+    return np.where(bent, size * (FLAT / ((gap if margin >= 0 else -gap) * SLOPE + FLAT)), size)
 
 
 def elo_change(gap: np.ndarray | float, margin: float, margins: np.ndarray | str) -> np.ndarray:
     """What a game moves the home side's points by, per unit of k. ``gap`` is the home side's lead, edge included."""
-    # The published Elo scale, and the margin multipliers "log" and "538".
-    scale, flat, even, slope = 400, 2.2, 0.5, 0.001
-    # End of the fixed values.
     gap, margins = np.asarray(gap, float), np.asarray(margins)
-    size = np.where(margins == "none", 1.0, np.log(abs(margin) + 1) or even)
-    size = size * np.where(margins == "538", flat / ((gap if margin >= 0 else -gap) * slope + flat), 1.0)
-    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / scale)))
+    size = elo_bend(gap, margin, margins == "538", elo_size(margin, margins))
+    return size * ((np.sign(margin) + 1) / 2 - 1 / (1 + 10 ** (-gap / SCALE)))
 
 
 class Kalman(Bank):
@@ -417,19 +460,33 @@ class Kalman(Bank):
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         return (self.mean[:, h + 1] - self.mean[:, a + 1] + self.mean[:, :1]).T
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         if self.day is not None and day > self.day:
             at = np.arange(1, self.teams + 1)
             self.cov[:, at, at] += (self.drift * (day - self.day))[:, None]
         self.day = day
         seen = np.clip((hg - ag)[None, :], -self.cap[:, None], self.cap[:, None])
-        for g, (home, away) in enumerate(zip((h + 1).tolist(), (a + 1).tolist(), strict=True)):
+        times = _times(h, n)
+        if len(h) > self.teams:
+            self._learn_at_once(h, a, seen, times)
+            return
+        for g, (home, away, games) in enumerate(zip((h + 1).tolist(), (a + 1).tolist(), times.tolist(), strict=True)):
             gain = self.cov[:, :, home] - self.cov[:, :, away] + self.cov[:, :, 0]
-            total = gain[:, home] - gain[:, away] + gain[:, 0] + self.noise
+            total = gain[:, home] - gain[:, away] + gain[:, 0] + self.noise / games
             short = seen[:, g] - self.mean[:, home] + self.mean[:, away] - self.mean[:, 0]
             self.mean += gain * (short / total)[:, None]
             self.cov -= gain[:, :, None] * (gain / total[:, None])[:, None, :]
 
+    def _learn_at_once(self, h: np.ndarray, a: np.ndarray, seen: np.ndarray, times: np.ndarray) -> None:
+        """The same update from the sums of a day: strengths do not move within it, so the order of its games is free."""
+        x = np.roll(_rows(h, a, self.teams), 1, axis=1)
+        counted = x * times[:, None]
+        known, told = x.T @ counted / self.noise[:, None, None], seen @ counted / self.noise[:, None]
+        told = told - (known @ self.mean[:, :, None])[:, :, 0]
+        cov = np.linalg.solve(np.eye(self.teams + 1) + self.cov @ known, self.cov)
+        self.cov = (cov + cov.transpose(0, 2, 1)) / 2
+        self.mean = self.mean + (self.cov @ told[:, :, None])[:, :, 0]
+
 
 BANKS: dict[str, type] = {"massey": Massey, "bradley_terry": BradleyTerry, "poisson": Poisson, "colley": Colley, "schedule": Schedule, "residual": Residual, "elo": Elo, "kalman": Kalman}
 
@@ -459,16 +516,22 @@ class League:
 
     def day(self, columns: Columns) -> np.ndarray:
         """Signals of a day's games (day, home, away, goals and perhaps priors), games by options of all banks, which then learn the games."""
+        values, _, place = self.pairings(columns)
+        return values[place]
+
+    def pairings(self, columns: Columns, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signals of a day's distinct pairs of sides, where each pair is met first, and every row's pair; the banks then learn the rows (``n``: games of a row)."""
         day, home, away, hg, ag, *priors = columns
         h, a = self.numbered(home, away, priors or None)
-        values = np.concatenate([bank.expect(h, a, int(day[0])) for bank in self.banks], axis=1)
-        self.learn(h, a, hg, ag, int(day[0]))
-        return values
+        _, first, place = np.unique(h * len(self.place) + a, return_index=True, return_inverse=True)
+        values = np.concatenate([bank.expect(h[first], a[first], int(day[0])) for bank in self.banks], axis=1)
+        self.learn(h, a, hg, ag, int(day[0]), n)
+        return values, first, place
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int) -> None:
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         for bank in self.banks:
-            bank.learn(h, a, hg, ag, day)
-        self.games += len(h)
+            bank.learn(h, a, hg, ag, day, n)
+        self.games += int(_times(h, n).sum())
 
 
 def in_order(games: DataFrame, group: str, *more: str) -> DataFrame:
