@@ -113,30 +113,48 @@ def played(games: DataFrame, group: str, priors: DataFrame) -> DataFrame:
     return rows
 
 
-def fitted_signals(rows: DataFrame, chosen: list[Candidate]) -> DataFrame:
+SAME = ("day", "league", "home", "away")
+PRIORS = ("home_last", "home_outside", "away_last", "away_outside")
+
+
+def pairings(rows: DataFrame) -> DataFrame:
+    """``played`` with one row for each day, league and pair of sides: its first game, n games, their mean outcome (half) and ties.
+
+    Signals are what is known before the day, so games of one pairing have the same ones. Pairings are bounded by days and teams squared, games are not.
+    """
+    return rows.groupBy(*SAME).agg(F.min("game_id").alias("game_id"), *[F.min(p).alias(p) for p in PRIORS], F.count("*").alias("n"), F.avg("half").alias("half"), F.count_if(F.col("half") == 1).alias("ties"))
+
+
+def fitted_signals(rows: DataFrame, chosen: list[Candidate], by_pairing: bool = False) -> DataFrame:
     """(game_id, fitted): an array with the signals of all rating candidates, in their order. ``rows``: ``played``.
 
-    Candidates of one method share a pass over a league, their sums and their solves; what a pass gives is one row a game.
+    Candidates of one method share a pass over a league, their sums and their solves; what a pass gives is one row a game, or with ``by_pairing`` one for the
+    first game of each pairing. Methods that do not need the order of games then get equal scores of a pairing as one row.
     """
     kinds = list(dict.fromkeys(c.kind for c in chosen))
     bundles = [[i for i, c in enumerate(chosen) if c.kind == kind] for kind in kinds]
     numbered = [i for bundle in bundles for i in bundle]
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(bundles) - 1))).alias("bundle")
-    slim = rows.select(
-        numbers, "league", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "home", "away",
+    plain = rows.select(
+        "league", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "home", "away",
         *[F.col(c).cast("double").alias(c) for c in ("home_goals", "away_goals")],
-        *[F.coalesce(f"{s}_{p}", F.lit(float("nan"))).alias(f"{s}_{p}") for s in ("home", "away") for p in ("last", "outside")],
+        *[F.coalesce(p, F.lit(float("nan"))).alias(p) for p in PRIORS], F.lit(1).cast("long").alias("n"),
     )
+    equal = plain.groupBy("league", "day", "home", "away", "home_goals", "away_goals").agg(F.min("game_id").alias("game_id"), *[F.min(p).alias(p) for p in PRIORS], F.sum("n").alias("n"))
+    in_order = [b for b, kind in enumerate(kinds) if models.BANKS[kind].ordered or not by_pairing]
+    dealt = lambda df, some: df.select(F.explode(F.array(*[F.lit(b) for b in some])).alias("bundle"), *plain.columns)
+    slims = [dealt(df, some) for df, some in ((plain, in_order), (equal, [b for b in range(len(kinds)) if b not in in_order])) if some]
+    slim = slims[0] if len(slims) == 1 else slims[0].unionByName(slims[1])
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * len(bundles))
     ordered = slim.repartition(parts, "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
-        for bundle, league, day, game, *columns in whole_days(batches, 3):
+        for bundle, league, day, game, *columns, n in whole_days(batches, 3):
             if at != (bundle[0], league[0]):
                 at = (bundle[0], league[0])
                 own = models.League([models.BANKS[kinds[bundle[0]]]([chosen[i].options for i in bundles[bundle[0]]])])
-            held.append((game, bundle, own.day([day, *columns])))
+            values, first, place = own.pairings([day, *columns], n)
+            held.append((game[first], bundle[first], values) if by_pairing else (game, bundle, values[place]))
             if sum(len(h[0]) for h in held) > 4096:
                 yield _signals(held)
                 held = []
@@ -253,20 +271,24 @@ def _plain(c: Candidate) -> Column:
     return own - other
 
 
-def wide_signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
-    """``PASSED`` and x, the array of all candidates' signals in their order, for every game. Game ids are distinct."""
+def wide_signals(known: DataFrame, listed: list[Candidate], games: DataFrame | None = None) -> DataFrame:
+    """``PASSED`` and x, the array of all candidates' signals in their order, for every game. Game ids are distinct.
+
+    Where ``known`` has ``pairings`` instead of games, ``games`` are those that were ``played``; n and ties are passed on.
+    """
+    passed = [*PASSED, *[c for c in ("n", "ties") if games is not None]]
     plain = [i for i, c in enumerate(listed) if c.kind not in models.BANKS]
     fits = [i for i, c in enumerate(listed) if c.kind in models.BANKS]
     own = F.array(*[_plain(listed[i]).cast("double") for i in plain]) if plain else F.array().cast("array<double>")
-    rows = known.select(*PASSED, own.alias("plain"))
+    rows = known.select(*passed, own.alias("plain"))
     if fits:
-        rows = rows.join(fitted_signals(known, [listed[i] for i in fits]), "game_id")
+        rows = rows.join(fitted_signals(known if games is None else games, [listed[i] for i in fits], games is not None), "game_id")
     else:
         rows = rows.withColumn("fitted", F.array().cast("array<double>"))
     back = {number: place for place, number in enumerate([*plain, *fits])}
     order = F.array(*[F.lit(back[i] + 1) for i in range(len(listed))])
-    both = settled(rows.select(*PASSED, F.concat("plain", "fitted").alias("all")))
-    return both.select(*PASSED, F.transform(order, lambda i: F.element_at("all", i)).alias("x"))
+    both = settled(rows.select(*passed, F.concat("plain", "fitted").alias("all")))
+    return both.select(*passed, F.transform(order, lambda i: F.element_at("all", i)).alias("x"))
 
 
 def signals(known: DataFrame, listed: list[Candidate]) -> DataFrame:
@@ -303,7 +325,7 @@ def combos() -> list[Combo]:
 
 def split_day(known: DataFrame, least: int = 5, share: float = 0.6) -> DataFrame:
     """One row: the last training day, on which so large a share of the games with ``least`` earlier ones is reached. Running sums go over days."""
-    days = known.where(F.col("least_n") >= least).groupBy("day").agg(F.count("*").alias("n"))
+    days = known.where(F.col("least_n") >= least).groupBy("day").agg(F.sum(walk.games_of(known)).alias("n"))
     running = days.select("day", F.sum("n").over(Window.orderBy("day")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
     return running.agg(F.min(F.when(F.col("upto") >= F.floor(F.col("total") * share), F.col("day"))).alias("split_day"))
 
@@ -321,9 +343,8 @@ def evaluated(wide: DataFrame, listed: list[Candidate], joined: list[Combo], lea
     out = fitted
     if raw:
         part = F.when(F.col("day") <= F.lit(day), "train").otherwise("holdout").alias("part")
-        own = wide.where(F.col("least_n") >= least).select("league", "half", part, chances).select("league", "half", "part", "c.*")
-        hit, loss, square = score.measures(F.col("p"), F.col("half"))
-        sums = own.groupBy("entry", "league", "part").agg(F.count("*").cast("double").alias("n"), F.sum(hit).alias("hits"), F.sum(loss).alias("loss"), F.sum(square).alias("squares"))
+        own = wide.where(F.col("least_n") >= least).select("league", F.posexplode(walk.outcomes_of(wide)).alias("half", "games"), part, chances).where("games > 0").select("league", "half", "games", "part", "c.*")
+        sums = own.groupBy("entry", "league", "part").agg(F.sum("games").cast("double").alias("n"), *[F.sum(F.col("games") * m).alias(c) for c, m in zip(("hits", "loss", "squares"), score.measures(F.col("p"), F.col("half")), strict=True)])
         out = fitted.unionByName(sums.withColumn("kind", F.lit("raw")))
     complexity = {c.name: c.complexity for c in listed}
     named = [(c.name, c.family, c.complexity) for c in listed] + [(c.name, "combo", sum(complexity[f] for f in c.features) + (2 if c.by_league else 1)) for c in joined]

@@ -191,7 +191,7 @@ def chances(wide: DataFrame, models: list[Model], at_least: int = AT_LEAST, grow
     spread = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean**2, 0))
     spread = np.where(spread > 1e-9, spread, 1.0)
     lows, widths = mean - SPREADS * spread, 2 * SPREADS * spread / BINS
-    slim = blocked.where("counts").select(F.col("block").cast("int"), F.col("game_id").cast("long"), F.col("half").cast("long"), "x")
+    slim = blocked.where("counts > 0").select(F.col("block").cast("int"), F.col("game_id").cast("long"), F.col("half").cast("long"), "x")
     grown = [(model, fitted(slim, model, lows, widths)) for model in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXACT, GROWTH, HELD, WIDTH = 2000, 0.15, 512, 64
@@ -69,7 +69,7 @@ def _bundles(entries: list[Entry], leagues: list[int]) -> list[_Bundle]:
 
 def _starts(rows: DataFrame, exact: int, growth: float) -> list[int]:
     """First days of the blocks, as days since 1970. Only counts of days reach the driver."""
-    days = rows.where("counts").groupBy("day").agg(F.count("*").alias("n")).orderBy("day").collect()
+    days = rows.where("counts > 0").groupBy("day").agg(F.sum("counts").alias("n")).orderBy("day").collect()
     out, total, due = [-(1 << 30)], 0, exact
     for day, n in days:
         if total >= due:
@@ -211,7 +211,7 @@ def _block_sums(rows: DataFrame, plan: _Plan, states: dict[int, np.ndarray] | No
         names = [pa.array(total.keys(), pa.int32()), pa.array([v.ravel().tolist() for v in total.values()], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(names, names=["bundle", "sums"])
 
-    slim = rows.select(F.col("block").cast("int"), F.col("league").cast("long"), F.col("half").cast("long"), "counts", "x")
+    slim = rows.select(F.col("block").cast("int"), F.col("league").cast("long"), "half", "counts", "x")
     found = _summed(slim.mapInArrow(run, "bundle int, sums array<double>"), len(plan.bundles))
     out = {}
     for number, bundle in enumerate(plan.bundles):
@@ -336,13 +336,29 @@ class _Days:
             self.x, self.y, self.w = self.x[:, old:], self.y[old:], self.w[:, old:]
 
 
+def games_of(wide: DataFrame) -> Column:
+    """How many games a row stands for: column n, 1 where there is none."""
+    return F.col("n") if "n" in wide.columns else F.lit(1).cast("long")
+
+
+def outcomes_of(wide: DataFrame) -> Column:
+    """Array of a row's games that were lost, tied and won. Rows of n games have their mean ``half`` and their ``ties``."""
+    n = games_of(wide)
+    ties = F.col("ties") if "ties" in wide.columns else (F.col("half") == 1).cast("long")
+    won = F.round((F.col("half") * n - ties) / 2).cast("long")
+    return F.array(n - ties - won, ties, won)
+
+
 def prepared(wide: DataFrame, least: int = 2) -> DataFrame:
-    """``wide`` (game_id, day date, league, half, least_n, x array of signals) with whole days and whether a game counts for fits."""
-    return wide.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "league", "half", "least_n", (F.col("least_n") >= least).alias("counts"), "x")
+    """``wide`` (game_id, day date, league, half, least_n, x array of signals) with whole days and the games that count for fits. A row may stand for n games with
+    the same signals, see ``outcomes_of``; losses are linear in the outcome, so fits need no more than its mean."""
+    counts = F.when(F.col("least_n") >= least, games_of(wide)).otherwise(0).cast("long")
+    lost, tied, won = (outcomes_of(wide)[i].alias(c) for i, c in enumerate(("lost", "tied", "won")))
+    return wide.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "league", F.col("half").cast("double").alias("half"), "least_n", counts.alias("counts"), lost, tied, won, "x")
 
 
 def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held: int, at_least: int, own_least: int, schema: str, emit) -> DataFrame:  # noqa: ANN001
-    """Runs all days of all blocks; ``emit(held, entries, p, columns)`` makes the rows of the result, where columns are game_id, day, league, half and least_n."""
+    """Runs all days of all blocks; ``emit(held, entries, p, columns)`` makes the rows of the result, where columns are game_id, day, league, least_n and the games lost, tied and won."""
     rows = prepared(wide)
     leagues = sorted(r[0] for r in rows.select("league").distinct().collect()) if any(e.by_league for e in entries) else []
     plan = _Plan(entries, leagues, _starts(rows, exact, growth))
@@ -352,7 +368,7 @@ def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held
     starts = _block_starts(blocked, plan, centre, scale)
     bundles = F.explode(F.sequence(F.lit(0), F.lit(len(plan.bundles) - 1))).alias("bundle")
     used = F.element_at(F.array(*[F.array(*[F.lit(int(i) + 1) for i in sorted(set(plan.features(b).ravel().tolist()))]) for b in plan.bundles]), F.col("bundle") + 1)
-    sent = blocked.select("block", bundles, "day", "game_id", "league", "half", "least_n", "counts", "x").withColumn("x", F.transform(used, lambda i: F.element_at("x", i)))
+    sent = blocked.select("block", bundles, "day", "game_id", "league", "half", "least_n", "counts", "lost", "tied", "won", "x").withColumn("x", F.transform(used, lambda i: F.element_at("x", i)))
     tasks = len(plan.starts) * len(plan.bundles)
     parts = max(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(tasks, 1000))
     ordered = sent.repartition(parts, "block", "bundle").sortWithinPartitions("block", "bundle", "day", "game_id")
@@ -371,7 +387,7 @@ def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held
                 local = np.searchsorted(places, plan.features(bundle))
             design = _design((x - centre[places]) / scale[places], local)
             entry, p = days.chances(design, league, at_least, own_least)
-            yield from emit(kept, entry, p, [columns[3], columns[2], league, half, columns[6]])
+            yield from emit(kept, entry, p, [columns[3], columns[2], league, columns[6], *columns[8:11]])
             some = counts.astype(bool)
             days.learn(design[:, some], half[some] / 2, plan.weights(bundle, counts[some], league[some]))
         if kept is not None:
@@ -427,17 +443,18 @@ def scores(wide: DataFrame, entries: list[Entry], split_day: int | None, least:
             kinds = (pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["entry", "league", "part", "n", "hits", "loss", "squares"])
             return
-        _, day, league, half, least_n = columns
+        _, day, league, least_n, lost, tied, won = columns
         part = "train" if split_day is not None and day[0] <= split_day else "holdout"
-        y = half / 2
+        n = lost + tied + won
         q = np.clip(p, 1e-6, 1 - 1e-6)
-        hits = np.where((p == 0.5) | (half == 1), 0.5, ((p > 0.5) == (half == 2)).astype(float))
-        loss = -(y * np.log(q) + (1 - y) * np.log(1 - q))
+        hits = np.where(p == 0.5, n / 2, np.where(p > 0.5, won, lost) + tied / 2)
+        loss = -((won + tied / 2) * np.log(q) + (lost + tied / 2) * np.log(1 - q))
+        squares = lost * p**2 + tied * (p - 0.5) ** 2 + won * (p - 1) ** 2
         known = ~np.isnan(p) & (least_n >= least)
         for one in np.unique(league):
             at = known & (league == one)
             if at.any():
-                sums = np.stack([np.where(at, v, 0.0).sum(axis=1) for v in (np.ones_like(p), hits, loss, (p - y) ** 2)], axis=1)
+                sums = np.stack([np.where(at, v, 0.0).sum(axis=1) for v in (np.broadcast_to(n, p.shape), hits, loss, squares)], axis=1)
                 kept.setdefault((int(one), part), (entry, np.zeros_like(sums)))[1][:] += sums
 
     parts = _days(wide, entries, exact, growth, held, AT_LEAST, OWN_LEAST, "entry long, league long, part string, n double, hits double, loss double, squares double", emit)

@@ -25,22 +25,28 @@ def _known(spark: SparkSession, sf: str) -> DataFrame:
     return cut(catalogue.known_games(rows, views.team_games(games)))
 
 
-def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(catalogue.wide_signals(_known(spark, sf), catalogue.candidates()))
+def _wide(spark: SparkSession, sf: str, listed: list[catalogue.Candidate]) -> DataFrame:
+    """Signals by pairing: games of one day and pair of sides share them."""
+    games = views.games(spark, sf)
+    rows = catalogue.played(games, "division", _priors(spark))
+    known = cut(catalogue.known_games(catalogue.pairings(rows), views.team_games(games)))
+    return cut(catalogue.wide_signals(known, listed, rows))
 
 
 def metric_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Games, mean and spread of every candidate's signal by division."""
     listed = catalogue.candidates()
-    long = catalogue.signals(_known(spark, sf), listed)
+    long = _wide(spark, sf, listed).select("league", "n", F.posexplode("x").alias("metric", "value"))
     names = F.array(*[F.lit(c.name) for c in listed])
-    rows = long.groupBy("metric", "league").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("spread"))
+    n, total, squares = F.sum("n"), F.sum(F.col("n") * F.col("value")), F.sum(F.col("n") * F.col("value") ** 2)
+    spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1)))
+    rows = long.groupBy("metric", "league").agg(n.alias("n"), (total / n).alias("mean"), spread.alias("spread"))
     return rows.select(F.element_at(names, (F.col("metric") + 1).cast("int")).alias("name"), "league", "n", score.rounded(F.col("mean")).alias("mean"), score.rounded(F.col("spread")).alias("spread"))
 
 
 def metric_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     """Walk-forward scores of all candidates, baselines, own chances and combos by part; ``chosen`` marks the one that the selection takes."""
-    sums = cut(catalogue.evaluated(_wide(spark, sf), catalogue.candidates(), catalogue.combos()))
+    sums = cut(catalogue.evaluated(_wide(spark, sf, catalogue.candidates()), catalogue.candidates(), catalogue.combos()))
     scores = catalogue.table_of(sums)
     one = catalogue.selected(scores).select("name", "kind", F.lit(True).alias("chosen"))
     return scores.join(F.broadcast(one), ["name", "kind"], "left").select(
@@ -55,7 +61,7 @@ def _part(*families: str, combos: bool = False):  # noqa: ANN202
         joined = catalogue.combos() if combos else []
         needed = {f for c in joined for f in c.features}
         listed = [c for c in catalogue.candidates() if c.family in families or c.name in needed]
-        sums = catalogue.evaluated(cut(catalogue.wide_signals(_known(spark, sf), listed)), listed, joined)
+        sums = catalogue.evaluated(_wide(spark, sf, listed), listed, joined)
         return catalogue.table_of(sums, "league").select("name", "kind", "family", "complexity", "league", "part", "n", *[score.rounded(F.col(c)).alias(c) for c in ("accuracy", "log_loss", "brier")])
 
     return run
