@@ -125,45 +125,80 @@ def pairings(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*SAME).agg(F.min("game_id").alias("game_id"), *[F.min(p).alias(p) for p in PRIORS], F.count("*").alias("n"), F.avg("half").alias("half"), F.count_if(F.col("half") == 1).alias("ties"))
 
 
+def _measured(measure: models.Measure) -> Column:
+    """``models.measured`` of a game, as a column."""
+    kind, number = measure
+    if kind in ("home", "away"):
+        return F.col(f"{kind}_goals")
+    margin = F.col("home_goals") - F.col("away_goals")
+    if kind == "soft":
+        return 0.5 + 0.5 * (F.tanh(margin / F.lit(number)) if number else F.signum(margin))
+    capped = F.greatest(F.lit(-float(number)), F.least(F.lit(float(number)), margin))
+    return {"margin": capped, "sqrt": F.signum(capped) * F.sqrt(F.abs(capped)), "result": F.signum(margin)}[kind]
+
+
 def fitted_signals(rows: DataFrame, chosen: list[Candidate], by_pairing: bool = False) -> DataFrame:
     """(game_id, fitted): an array with the signals of all rating candidates, in their order. ``rows``: ``played``.
 
     Candidates of one method share a pass over a league, their sums and their solves; what a pass gives is one row a game, or with ``by_pairing`` one for the
-    first game of each pairing. Methods that do not need the order of games then get equal scores of a pairing as one row.
+    first game of each pairing. Methods that do not need the order of games then get a pairing as one row, with the sums of what they measure.
     """
     kinds = list(dict.fromkeys(c.kind for c in chosen))
     bundles = [[i for i, c in enumerate(chosen) if c.kind == kind] for kind in kinds]
     numbered = [i for bundle in bundles for i in bundle]
+    bank = lambda b: models.BANKS[kinds[b]]([chosen[i].options for i in bundles[b]])
     plain = rows.select(
         "league", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "home", "away",
         *[F.col(c).cast("double").alias(c) for c in ("home_goals", "away_goals")],
-        *[F.coalesce(p, F.lit(float("nan"))).alias(p) for p in PRIORS], F.lit(1).cast("long").alias("n"),
+        *[F.coalesce(p, F.lit(float("nan"))).alias(p) for p in PRIORS],
     )
-    equal = plain.groupBy("league", "day", "home", "away", "home_goals", "away_goals").agg(F.min("game_id").alias("game_id"), *[F.min(p).alias(p) for p in PRIORS], F.sum("n").alias("n"))
     in_order = [b for b, kind in enumerate(kinds) if models.BANKS[kind].ordered or not by_pairing]
-    dealt = lambda df, some: df.select(F.explode(F.array(*[F.lit(b) for b in some])).alias("bundle"), *plain.columns)
-    slims = [dealt(df, some) for df, some in ((plain, in_order), (equal, [b for b in range(len(kinds)) if b not in in_order])) if some]
-    slim = slims[0] if len(slims) == 1 else slims[0].unionByName(slims[1])
+    summed = [b for b in range(len(kinds)) if b not in in_order]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * len(bundles))
-    ordered = slim.repartition(parts, "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for bundle, league, day, game, *columns, n in whole_days(batches, 3):
-            if at != (bundle[0], league[0]):
-                at = (bundle[0], league[0])
-                own = models.League([models.BANKS[kinds[bundle[0]]]([chosen[i].options for i in bundles[bundle[0]]])])
-            values, first, place = own.pairings([day, *columns], n)
-            held.append((game[first], bundle[first], values) if by_pairing else (game, bundle, values[place]))
-            if sum(len(h[0]) for h in held) > 4096:
+    dealt = lambda df, some: df.select(F.explode(F.array(*[F.lit(b) for b in some])).alias("bundle"), *df.columns)
+    ordered = lambda df, some: dealt(df, some).repartition(parts, "bundle", "league").sortWithinPartitions("bundle", "league", "day", "game_id")
+
+    def passed(signals_of):  # noqa: ANN001, ANN202
+        """A pass over the days of each bundle and league; ``signals_of`` gives games and their signals from a league and the columns of its day."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, []
+            for bundle, league, *columns in whole_days(batches, 3):
+                if at != (bundle[0], league[0]):
+                    at = (bundle[0], league[0])
+                    own = models.League([bank(int(bundle[0]))])
+                game, values = signals_of(own, int(bundle[0]), columns)
+                held.append((game, np.full(len(game), bundle[0]), values))
+                if sum(len(h[0]) for h in held) > 4096:
+                    yield _signals(held)
+                    held = []
+            if held:
                 yield _signals(held)
-                held = []
-        if held:
-            yield _signals(held)
 
-    made = ordered.mapInArrow(run, "game_id long, bundle int, signals array<double>")
+        return run
+
+    def of_games(own: models.League, bundle: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        day, game, *columns = columns
+        values, first, place = own.pairings([day, *columns])
+        return (game[first], values) if by_pairing else (game, values[place])
+
+    schema = "game_id long, bundle int, signals array<double>"
+    made = [ordered(plain, in_order).mapInArrow(passed(of_games), schema)] if in_order else []
+    if summed:
+        measures = list(dict.fromkeys(m for b in summed for m in bank(b).measures))
+        places = {b: [measures.index(m) for m in bank(b).measures] for b in summed}
+        sums = F.array(*[F.sum(_measured(m)).cast("double") for m in measures])
+        few = plain.groupBy("league", "day", "home", "away").agg(F.min("game_id").alias("game_id"), *[F.min(p).alias(p) for p in PRIORS], F.count("*").alias("n"), sums.alias("sums"))
+
+        def of_sums(own: models.League, bundle: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            day, game, home, away, *priors, n, told = columns
+            return game, own.summed(int(day[0]), home, away, priors, n, np.stack(told)[:, places[bundle]].T)
+
+        slim = few.select("league", "day", "game_id", "home", "away", *PRIORS, "n", "sums")
+        made.append(ordered(slim, summed).mapInArrow(passed(of_sums), schema))
+    both = made[0] if len(made) == 1 else made[0].unionByName(made[1])
     # as many rows a game as there are methods
-    whole = settled(made.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals")))
+    whole = settled(both.groupBy("game_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bundle", "signals"))), lambda x: x["signals"])).alias("signals")))
     back = {number: place for place, number in enumerate(numbered)}
     return whole.select("game_id", F.transform(F.array(*[F.lit(back[i] + 1) for i in range(len(chosen))]), lambda i: F.element_at("signals", i)).alias("fitted"))
 
@@ -179,7 +214,7 @@ def team_form(tg: DataFrame) -> DataFrame:
     parts = int(tg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = tg.select("team", F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "half_points", (F.col("gf") - F.col("ga")).alias("margin"))
     ordered = slim.repartition(parts, "team").sortWithinPartitions("team", "day", "game_id")
-    faded = 0.5 ** (1 / np.array(FADES, float))[:, None]
+    faded = 0.5 ** (1 / np.array(FADES, float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -190,11 +225,16 @@ def team_form(tg: DataFrame) -> DataFrame:
             points = [np.mean([p[0] for p in list(past)[-n:]]) if past else 0.5 for n in LASTS]
             capped = [np.mean([p[1] for p in list(past)[-n:]]) if past else 0.0 for n in LASTS]
             held.append((team[0], day[0], [*mean.T.ravel().tolist(), *points, *capped, float(streak), past[-1][0] - 0.5 if past else 0.0]))
-            for h, m in zip((half / 2).tolist(), margin.tolist(), strict=True):
-                sums = sums * faded + [1.0, h, m, max(-5, min(5, m))]
-                past.append((h, max(-5, min(5, m))))
-                sign = int(np.sign(h - 0.5))
-                streak = (streak + sign if streak * sign > 0 else sign) if sign else 0
+            # what is left of each game of the day when the day is over
+            left = faded[:, None] ** np.arange(len(half) - 1, -1, -1)
+            capped_now = np.clip(margin, -5, 5)
+            sums = sums * (faded ** len(half))[:, None] + left @ np.column_stack((np.ones(len(half)), half / 2, margin, capped_now))
+            past.extend(zip((half[-max(LASTS) :] / 2).tolist(), capped_now[-max(LASTS) :].tolist(), strict=True))
+            signs = np.sign(half - 1)
+            last = int(signs[-1])
+            other = np.flatnonzero(signs != last)
+            run_length = len(signs) - 1 - int(other[-1]) if len(other) else len(signs)
+            streak = last * run_length + (streak if last and not len(other) and streak * last > 0 else 0)
             if len(held) >= 4096:
                 yield _form(held)
                 held = []

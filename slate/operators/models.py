@@ -67,16 +67,34 @@ def target_of(options: dict, margin: np.ndarray) -> np.ndarray:
     return {"margin": capped, "sqrt": np.sign(capped) * np.sqrt(np.abs(capped)), "result": np.sign(margin)}[target]
 
 
+#: What a bank sums over games beside their number: a target and its cap, a soft result and its scale (0: the plain result), or the goals of a side.
+Measure = tuple[str, float]
+
+
+def measured(measure: Measure, hg: np.ndarray, ag: np.ndarray) -> np.ndarray:
+    kind, number = measure
+    if kind in ("home", "away"):
+        return hg if kind == "home" else ag
+    if kind == "soft":
+        return 0.5 + 0.5 * (np.tanh((hg - ag) / number) if number else np.sign(hg - ag))
+    return target_of({"target": kind, "cap": number}, hg - ag)
+
+
 class Bank:
     """Games are counted once per half-life: ``design`` sums the products of the columns home - away and edge.
 
-    ``learn`` takes games of a day, or with ``n`` rows that stand for so many equal games each. A bank with ``ordered`` set needs every game, in order.
+    ``learn`` takes games of a day, or with ``n`` rows that stand for so many equal games each; ``add`` takes a day's pairs of sides with their games n and
+    the sums of the bank's ``measures`` over them (measures by pairs). A bank with ``ordered`` set needs every game, in order.
     """
 
     ordered = False
 
     def __init__(self, options: list[dict]) -> None:
         self.options, self.teams, self.day = options, 0, None
+        needed = [self.measures_of(o) for o in options]
+        self.measures: list[Measure] = list(dict.fromkeys(m for some in needed for m in some))
+        #: the place of each option's first measure
+        self.measure = np.array([self.measures.index(some[0]) if some else 0 for some in needed], int)
         self.lives = list(dict.fromkeys(o.get("half_life") or np.inf for o in options))
         self.life = np.array([self.lives.index(o.get("half_life") or np.inf) for o in options])
 
@@ -89,6 +107,16 @@ class Bank:
     def fade(self, day: int) -> None:
         """Sums as of the day."""
 
+    def measures_of(self, options: dict) -> list[Measure]:
+        return []
+
+    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+        times = _times(h, n)
+        self.add(h, a, times, np.array([measured(m, hg, ag) * times for m in self.measures]), day)
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
+        raise NotImplementedError
+
 
 def _rows(h: np.ndarray, a: np.ndarray, teams: int) -> np.ndarray:
     """Games by (teams: home less away, edge)."""
@@ -121,9 +149,9 @@ class Massey(Bank):
         self.systems = list(dict.fromkeys(systems))
         self.system = np.array([self.systems.index(s) for s in systems])
         self.slot = np.array([int((self.system[:i] == s).sum()) for i, s in enumerate(self.system)])
-        targets = [(o.get("target", "margin"), o.get("cap", np.inf)) for o in options]
-        self.targets = list(dict.fromkeys(targets))
-        self.target = np.array([self.targets.index(t) for t in targets])
+
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [(options.get("target", "margin"), options.get("cap", np.inf))]
 
     def grow(self, last: np.ndarray, outside: np.ndarray) -> None:
         more, self.teams = len(last) - self.teams, len(last)
@@ -134,12 +162,11 @@ class Massey(Bank):
         faded = self._faded(day)
         self.left, self.right = self.left * faded[:, None, None], self.right * faded[self.life][:, None]
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
         self.fade(day)
         x = _rows(h, a, self.teams)
-        counted = x * _times(h, n)[:, None]
-        self.left = self.left + x.T @ counted
-        self.right = self.right + (np.array([target_of({"target": t, "cap": c}, hg - ag) for t, c in self.targets]) @ counted)[self.target]
+        self.left = self.left + x.T @ (x * n[:, None])
+        self.right = self.right + (sums @ x)[self.measure]
 
     def solved(self) -> np.ndarray:
         """Options by (teams, edge)."""
@@ -214,12 +241,12 @@ class BradleyTerry(Bank):
         self.games = np.pad(self.games, (0, more))
         self.right, self.start = _wider(self.right, more, 1), _wider(self.start, more, 1)
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
-        margin = hg - ag
-        won = np.array([0.5 + 0.5 * (np.tanh(margin / o["soft"]) if o.get("soft") else np.sign(margin)) for o in self.options])
-        times = _times(h, n)
-        np.add.at(self.games, (h, a), times)
-        self.right += (won * times) @ _rows(h, a, self.teams)
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [("soft", float(options.get("soft") or 0))]
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
+        np.add.at(self.games, (h, a), n)
+        self.right += (sums @ _rows(h, a, self.teams))[self.measure]
 
     def solved(self) -> np.ndarray:
         k = self.teams
@@ -260,11 +287,14 @@ class Poisson(Bank):
         self.games, self.scored, self.let_in = (np.pad(m, ((0, 0), (0, more), (0, more))) for m in (self.games, self.scored, self.let_in))
         self.start = None
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [("home", 0.0), ("away", 0.0)]
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
         self.fade(day)
         day_sums = [np.zeros((self.teams, self.teams)) for _ in range(3)]
-        for total, value in zip(day_sums, (np.ones(len(h)), hg, ag), strict=True):
-            np.add.at(total, (h, a), value * _times(h, n))
+        for total, value in zip(day_sums, (n, *sums), strict=True):
+            np.add.at(total, (h, a), value)
         self.games, self.scored, self.let_in = (old + new for old, new in zip((self.games, self.scored, self.let_in), day_sums, strict=True))
 
     def fade(self, day: int) -> None:
@@ -332,11 +362,13 @@ class Colley(Bank):
         more, self.teams = len(last) - self.teams, len(last)
         self.left, self.right = _wider(self.left, more, 2), _wider(self.right, more, 1)
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [("result", 1.0)]
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
         x = _rows(h, a, self.teams)
-        counted = x * _times(h, n)[:, None]
-        self.left = self.left + x.T @ counted
-        self.right = self.right + np.sign(hg - ag) / 2 @ counted
+        self.left = self.left + x.T @ (x * n[:, None])
+        self.right = self.right + sums[0] / 2 @ x
 
     def solved(self) -> np.ndarray:
         k = self.teams
@@ -358,11 +390,16 @@ class Schedule(Bank):
         more, self.teams = len(last) - self.teams, len(last)
         self.met, self.own = np.pad(self.met, (0, more)), np.pad(self.own, ((0, 0), (0, more)))
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
-        for one, other, margin in ((h, a, hg - ag), (a, h, ag - hg)):
-            np.add.at(self.met, (one, other), _times(h, n))
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [("soft", 0.0) if "weights" in options else ("margin", options.get("cap", np.inf))]
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
+        # a share of the away side is what the home side leaves, a margin is the home side's turned
+        for one, other, sign in ((h, a, 1), (a, h, -1)):
+            np.add.at(self.met, (one, other), n)
             for i, o in enumerate(self.options):
-                np.add.at(self.own[i], one, _times(h, n) * ((np.sign(margin) + 1) / 2 if "weights" in o else target_of(o, margin)))
+                own = sums[self.measure[i]]
+                np.add.at(self.own[i], one, (n - own if sign < 0 else own) if "weights" in o else sign * own)
 
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         n = self.met.sum(1)
@@ -400,20 +437,21 @@ class Elo(Bank):
         return self.gap(h, a) / 400 * np.log(10)
 
     def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
-        # a row for each team; what depends on the margin alone is made once for each margin
-        rows = list(np.ascontiguousarray(self.points.T))
-        bent = self.margins == "538"
-        sizes: dict[float, np.ndarray] = {}
-        for home, away, margin in zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True):
-            one, other = rows[home], rows[away]
-            gap = one + self.edge - other
-            if margin not in sizes:
-                sizes[margin] = elo_size(margin, self.margins)
-            won = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5
-            change = self.k * (elo_bend(gap, margin, bent, sizes[margin]) * (won - 1 / (1 + 10 ** (-gap / SCALE))))
-            one += change
-            other -= change
-        self.points = np.array(rows).T.reshape(self.points.shape)
+        # plain numbers, a pass for each option: a game is too little work for arrays. What depends on the margin alone is made once for each margin
+        games = list(zip(h.tolist(), a.tolist(), (hg - ag).tolist(), strict=True))
+        for i, (k, edge, margins) in enumerate(zip(self.k.tolist(), self.edge.tolist(), self.margins.tolist(), strict=True)):
+            points = self.points[i].tolist()
+            told = {m: (k * float(elo_size(m, np.asarray(margins))), 1.0 if m > 0 else 0.0 if m < 0 else 0.5, SLOPE if m >= 0 else -SLOPE) for m in {g[2] for g in games}}
+            bent = margins == "538"
+            for home, away, margin in games:
+                size, won, slope = told[margin]
+                gap = points[home] + edge - points[away]
+                change = size * (won - 1 / (1 + 10 ** min(-gap / SCALE, 300.0)))
+                if bent:
+                    change *= FLAT / (gap * slope + FLAT)
+                points[home] += change
+                points[away] -= change
+            self.points[i] = points
 
 
 # The published Elo scale, and the margin multipliers "log" and "538".
@@ -460,17 +498,19 @@ class Kalman(Bank):
     def expect(self, h: np.ndarray, a: np.ndarray, day: int) -> np.ndarray:
         return (self.mean[:, h + 1] - self.mean[:, a + 1] + self.mean[:, :1]).T
 
-    def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
+    def measures_of(self, options: dict) -> list[Measure]:
+        return [("margin", float(options["cap"]))]
+
+    def add(self, h: np.ndarray, a: np.ndarray, n: np.ndarray, sums: np.ndarray, day: int) -> None:
         if self.day is not None and day > self.day:
             at = np.arange(1, self.teams + 1)
             self.cov[:, at, at] += (self.drift * (day - self.day))[:, None]
         self.day = day
-        seen = np.clip((hg - ag)[None, :], -self.cap[:, None], self.cap[:, None])
-        times = _times(h, n)
+        seen = (sums / n)[self.measure]
         if len(h) > self.teams:
-            self._learn_at_once(h, a, seen, times)
+            self._learn_at_once(h, a, seen, n)
             return
-        for g, (home, away, games) in enumerate(zip((h + 1).tolist(), (a + 1).tolist(), times.tolist(), strict=True)):
+        for g, (home, away, games) in enumerate(zip((h + 1).tolist(), (a + 1).tolist(), n.tolist(), strict=True)):
             gain = self.cov[:, :, home] - self.cov[:, :, away] + self.cov[:, :, 0]
             total = gain[:, home] - gain[:, away] + gain[:, 0] + self.noise / games
             short = seen[:, g] - self.mean[:, home] + self.mean[:, away] - self.mean[:, 0]
@@ -505,14 +545,17 @@ class League:
         size = len(self.place)
         none = np.full(2 * len(home), np.nan)
         last, outside = (none, none) if priors is None else (np.concatenate((priors[0], priors[2])), np.concatenate((priors[1], priors[3])))
-        for team, one, other in zip([*home.tolist(), *away.tolist()], last.tolist(), outside.tolist(), strict=True):
+        teams, first, at = np.unique(np.concatenate((home, away)), return_index=True, return_inverse=True)
+        for place in np.sort(first).tolist():
+            team = int(home[place] if place < len(home) else away[place - len(home)])
             if team not in self.place:
                 self.place[team] = len(self.place)
-                self.means.append((one, other))
+                self.means.append((float(last[place]), float(outside[place])))
         if len(self.place) > size:
             for bank in self.banks:
                 bank.grow(*np.array(self.means).T)
-        return np.array([self.place[t] for t in home.tolist()]), np.array([self.place[t] for t in away.tolist()])
+        numbers = np.array([self.place[t] for t in teams.tolist()], int)[at]
+        return numbers[: len(home)], numbers[len(home) :]
 
     def day(self, columns: Columns) -> np.ndarray:
         """Signals of a day's games (day, home, away, goals and perhaps priors), games by options of all banks, which then learn the games."""
@@ -528,6 +571,17 @@ class League:
         self.learn(h, a, hg, ag, int(day[0]), n)
         return values, first, place
 
+    def summed(self, day: int, home: np.ndarray, away: np.ndarray, priors: list[np.ndarray], n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Signals of a day's distinct pairs of sides, whose n games the banks then learn; ``sums`` are those of the banks' measures in turn, measures by pairs."""
+        h, a = self.numbered(home, away, priors)
+        values = np.concatenate([bank.expect(h, a, day) for bank in self.banks], axis=1)
+        at = 0
+        for bank in self.banks:
+            bank.add(h, a, n.astype(float), sums[at : at + len(bank.measures)], day)
+            at += len(bank.measures)
+        self.games += int(n.sum())
+        return values
+
     def learn(self, h: np.ndarray, a: np.ndarray, hg: np.ndarray, ag: np.ndarray, day: int, n: np.ndarray | None = None) -> None:
         for bank in self.banks:
             bank.learn(h, a, hg, ag, day, n)

@@ -64,6 +64,18 @@ def prediction_scores(rows: DataFrame, p: Column, half: Column, by: list[str]) -
     )
 
 
+def counted_scores(rows: DataFrame, p: Column, outcomes: Column, by: list[str]) -> DataFrame:
+    """``prediction_scores`` of rows that stand for several games of one chance: ``outcomes`` is the array of those lost, tied and won."""
+    won, tied, lost = outcomes[2], outcomes[1], outcomes[0]
+    n = lost + tied + won
+    q = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+    hits = F.when(p == 0.5, n / 2).otherwise(F.when(p > 0.5, won).otherwise(lost) + tied / 2)
+    loss = -((won + tied / 2) * F.ln(q) + (lost + tied / 2) * F.ln(F.lit(1.0) - q))
+    squares = lost * p * p + tied * (p - 0.5) * (p - 0.5) + won * (p - 1) * (p - 1)
+    sums = rows.where(p.isNotNull()).groupBy(*by).agg(F.sum(n).alias("n"), *[F.sum(c).alias(name) for name, c in (("accuracy", hits), ("log_loss", loss), ("brier", squares))])
+    return sums.select(*by, "n", *[(F.col(c) / F.col("n")).alias(c) for c in ("accuracy", "log_loss", "brier")])
+
+
 def band(value: Column, edges: list[float]) -> Column:
     """Number of the first band [lo, hi) that holds the value; the last takes what is beyond."""
     out = F.lit(len(edges) - 2)

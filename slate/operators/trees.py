@@ -8,6 +8,9 @@ driver picks the splits. What is summed and sent depends on refits, trees, nodes
 Boosting fits gradients of the log-loss, a tie being half a win; a forest fits the outcome, with Poisson weights by game and tree and a
 share of the signals at each node. Bins are equal parts of the mean plus or minus ``SPREADS`` deviations of the earlier games, so no later game has a part in them.
 
+A row may stand for the n games of a pairing, which have the same signals (``walk.outcomes_of``): gradients then count n times, and the sums of the games' Poisson
+weights are ``drawn`` before.
+
 Cases: signals that are null, NaN or infinite count as zero; days before the first refit have no chance; an empty table gives an empty result.
 """
 
@@ -86,10 +89,27 @@ def _weights(games: np.ndarray, tree: int) -> np.ndarray:
     return np.searchsorted(np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120)]), u).astype(float)
 
 
+def drawn(games: DataFrame, by: list[str], trees: int) -> DataFrame:
+    """(game_id, drawn): for the first game of each group, sums over its games of the trees' Poisson weights, then those of the weights times half. ``games``: game_id, half and ``by``."""
+    kept = games.select(*by, F.col("game_id").cast("long").alias("game_id"), F.col("half").cast("long").alias("half"))
+    passed, names = kept.columns, [f"w{t}" for t in range(trees)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            game = batch.column(len(by)).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(_weights(game, t).astype(np.int8)) for t in range(trees)]], names=[*passed, *names])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], *[f"{n} tinyint" for n in names]])
+    sums = [F.sum(n) for n in names] + [F.sum(F.col(n) * F.col("half")) for n in names]
+    return kept.mapInArrow(run, schema).groupBy(*by).agg(F.min("game_id").alias("game_id"), F.array(*[x.cast("double") for x in sums]).alias("drawn")).drop(*by)
+
+
 def _histograms(rows: DataFrame, model: Model, rounds: list[Grown], now: Grown, level: int, lows: np.ndarray, widths: np.ndarray) -> np.ndarray:
     """(refit, tree, node, signal, bin, 2): sums of gradients and weights over the games before each refit. Refit 0 stands for none."""
     refits, signals = lows.shape
     shape = (refits, model.trees, 1 << level, signals, BINS, 2)
+    given = not model.boosted and "drawn" in rows.columns
+    slim = rows.select("block", "game_id", "half", F.col("counts") if "counts" in rows.columns else F.lit(1).cast("long").alias("counts"), "x", *["drawn"] * given)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
@@ -97,8 +117,13 @@ def _histograms(rows: DataFrame, model: Model, rounds: list[Grown], now: Grown,
             if not batch.num_rows:
                 continue
             order = np.argsort(batch.column(0).to_numpy(), kind="stable")
-            block, game, half = (batch.column(i).to_numpy()[order] for i in range(3))
-            x = walk._table(batch.column(3))[order]
+            block, game, half, counts = (batch.column(i).to_numpy()[order] for i in range(4))
+            x = walk._table(batch.column(4))[order]
+            if given:
+                told = walk._table(batch.column(5))[order].T
+            elif not model.boosted:
+                weights = np.array([_weights(game, tree) for tree in range(model.trees)]) * counts
+                told = np.concatenate((weights, weights * half))
             upto = np.searchsorted(block, np.arange(refits))
             for refit in range(1, refits):
                 n = int(upto[refit])
@@ -107,19 +132,18 @@ def _histograms(rows: DataFrame, model: Model, rounds: list[Grown], now: Grown,
                 bins, y = _binned(x[:n], lows[refit], widths[refit]), half[:n] / 2
                 if model.boosted:
                     p = 1 / (1 + np.exp(-margins(bins, model, rounds, refit)))
-                    pull, weight = p - y, np.maximum(p * (1 - p), 1e-6)
+                    pull, weight = counts[:n] * (p - y), counts[:n] * np.maximum(p * (1 - p), 1e-6)
                 for tree in range(model.trees):
                     if not model.boosted:
-                        weight = _weights(game[:n], tree)
-                        pull = -y * weight
+                        weight, pull = told[tree, :n], -told[model.trees + tree, :n] / 2
                     node = _nodes(bins, now.signal[refit, tree], now.cut[refit, tree], level)
                     place = (node[:, None] * signals + np.arange(signals)) * BINS + bins
                     for i, value in enumerate((pull, weight)):
                         sums = np.bincount(place.ravel(), np.repeat(value, signals), (1 << level) * signals * BINS)
                         total[refit, tree, :, :, :, i] += sums.reshape(1 << level, signals, BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(refits), pa.int32()), pa.array([t.ravel().tolist() for t in total], pa.list_(pa.float64()))], names=["bundle", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(refits), pa.int32()), walk._lists(total.reshape(refits, -1))], names=["bundle", "sums"])
 
-    found = walk._summed(rows.mapInArrow(run, "bundle int, sums array<double>"), refits)
+    found = walk._summed(slim.mapInArrow(run, "bundle int, sums array<double>"), refits)
     return np.array([found.get(r, np.zeros(int(np.prod(shape[1:])))) for r in range(refits)]).reshape(shape)
 
 
@@ -154,7 +178,7 @@ def _leaves(histogram: np.ndarray, signal: np.ndarray, cut: np.ndarray, model: M
 
 
 def fitted(rows: DataFrame, model: Model, lows: np.ndarray, widths: np.ndarray) -> list[Grown]:
-    """The rounds of all refits. ``rows``: block, game_id, half, x of the games that count."""
+    """The rounds of all refits. ``rows``: block, game_id, half, x of the games that count, or of pairings with their counts (n) and, for forests, ``drawn``."""
     refits = len(lows)
     rounds: list[Grown] = []
     for number in range(model.rounds):
@@ -177,7 +201,9 @@ def fitted(rows: DataFrame, model: Model, lows: np.ndarray, widths: np.ndarray)
 
 
 def chances(wide: DataFrame, models: list[Model], at_least: int = AT_LEAST, growth: float = GROWTH) -> DataFrame:
-    """(model, game_id, day, half, least_n, p) of every game from the first refit on. ``wide``: game_id, day date, league, half, least_n, x."""
+    """(model, game_id, day, half, least_n, p) of every game from the first refit on. ``wide``: game_id, day date, league, half, least_n, x; or pairings with n, ties and ``drawn``."""
+    if "n" in wide.columns and "drawn" not in wide.columns and not all(m.boosted for m in models):
+        raise ValueError("a forest over pairings needs the weights that were drawn for their games")
     rows = walk.prepared(wide)
     starts = walk._starts(rows, at_least, growth)
     place = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("day"))) - 1
@@ -191,7 +217,7 @@ def chances(wide: DataFrame, models: list[Model], at_least: int = AT_LEAST, grow
     spread = np.sqrt(np.maximum(squares / np.maximum(n, 1) - mean**2, 0))
     spread = np.where(spread > 1e-9, spread, 1.0)
     lows, widths = mean - SPREADS * spread, 2 * SPREADS * spread / BINS
-    slim = blocked.where("counts > 0").select(F.col("block").cast("int"), F.col("game_id").cast("long"), F.col("half").cast("long"), "x")
+    slim = blocked.where("counts > 0").select(F.col("block").cast("int"), F.col("game_id").cast("long"), F.col("half").cast("double"), "counts", "x", *["drawn"] * ("drawn" in rows.columns))
     grown = [(model, fitted(slim, model, lows, widths)) for model in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,5 +231,5 @@ def chances(wide: DataFrame, models: list[Model], at_least: int = AT_LEAST, grow
                 for model, rounds in grown:
                     yield pa.RecordBatch.from_arrays([pa.array([model.name] * len(at)), *taken.columns, pa.array(chance(bins, model, rounds, refit))], names=["model", "game_id", "day", "half", "least_n", "p"])
 
-    sent = blocked.select(F.col("block").cast("int"), F.col("game_id").cast("long"), "day", F.col("half").cast("long"), F.col("least_n").cast("long"), "x")
-    return sent.mapInArrow(run, "model string, game_id long, day int, half long, least_n long, p double").withColumn("day", F.date_from_unix_date("day"))
+    sent = blocked.select(F.col("block").cast("int"), F.col("game_id").cast("long"), "day", F.col("half").cast("double"), F.col("least_n").cast("long"), "x")
+    return sent.mapInArrow(run, "model string, game_id long, day int, half double, least_n long, p double").withColumn("day", F.date_from_unix_date("day"))

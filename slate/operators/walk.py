@@ -163,8 +163,13 @@ def _moments(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate((weights.sum(axis=1, keepdims=True), (own @ weights[:, :, None])[:, :, 0], (own**2 @ weights[:, :, None])[:, :, 0]), axis=1)
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as a list column, without a Python object for each number."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def _summed(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
-    """Sums of the tasks' arrays by bundle; what the driver gets is as large as the fits' systems, not as the games."""
+    """Sums of the tasks' arrays (one length for a bundle) by bundle; what the driver gets is as large as the fits' systems, not as the games."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -172,10 +177,11 @@ def _summed(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
             for bundle, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = values.values.to_numpy()
                 total[bundle] = total[bundle] + own if bundle in total else own.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["bundle", "sums"])
+        for bundle, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int32()), _lists(own[None])], names=["bundle", "sums"])
 
     rows = partials.repartition(parts, "bundle").mapInArrow(run, "bundle int, sums array<double>").toArrow()
-    return dict(zip(rows.column(0).to_pylist(), [np.array(v) for v in rows.column(1).to_pylist()], strict=True))
+    return dict(zip(rows.column(0).to_pylist(), [v.values.to_numpy() for v in rows.column(1)], strict=True))
 
 
 def _block_sums(rows: DataFrame, plan: _Plan, states: dict[int, np.ndarray] | None, centre: np.ndarray, scale: np.ndarray) -> dict[int, np.ndarray]:
@@ -354,7 +360,7 @@ def prepared(wide: DataFrame, least: int = 2) -> DataFrame:
     the same signals, see ``outcomes_of``; losses are linear in the outcome, so fits need no more than its mean."""
     counts = F.when(F.col("least_n") >= least, games_of(wide)).otherwise(0).cast("long")
     lost, tied, won = (outcomes_of(wide)[i].alias(c) for i, c in enumerate(("lost", "tied", "won")))
-    return wide.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "league", F.col("half").cast("double").alias("half"), "least_n", counts.alias("counts"), lost, tied, won, "x")
+    return wide.select(F.datediff("day", F.lit("1970-01-01")).alias("day"), "game_id", "league", F.col("half").cast("double").alias("half"), "least_n", counts.alias("counts"), lost, tied, won, "x", *["drawn"] * ("drawn" in wide.columns))
 
 
 def _days(wide: DataFrame, entries: list[Entry], exact: int, growth: float, held: int, at_least: int, own_least: int, schema: str, emit) -> DataFrame:  # noqa: ANN001
