@@ -148,14 +148,28 @@ def _solved(hessian: np.ndarray, gradient: np.ndarray) -> np.ndarray:
 
 
 def _penalties(moments: np.ndarray, ridges: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Weights of the squared parameters: the ridge times each signal's variance among the games that count, as slopes are of standardised signals.
+    """Matrices of the squared parameters: the ridge times each signal's variance among the games that count, as slopes are of standardised signals, and a trace
+    on the intercept where these games have their means, so that it is the same wherever signals are centred.
 
     ``moments``: fits by (n, sums, sums of squares) of scaled signals."""
     width = scale.shape[1]
     n = moments[:, :1]
     variance = np.maximum(moments[:, 1 + width :] - moments[:, 1 : 1 + width] ** 2 / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
     flat = np.sqrt(variance) * scale <= 1e-12
-    return np.column_stack((np.full(len(n), 1e-6), ridges[:, None] * np.where(flat, 1 / scale**2, variance)))
+    out = np.zeros((len(n), width + 1, width + 1))
+    out[:, np.arange(1, width + 1), np.arange(1, width + 1)] = ridges[:, None] * np.where(flat, 1 / scale**2, variance)
+    at = np.column_stack((np.ones(len(n)), moments[:, 1 : 1 + width] / np.maximum(n, 1)))
+    return out + 1e-6 * at[:, :, None] * at[:, None, :]
+
+
+def _length(step: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    """How far each fit's step goes over the games that count: the slopes of standardised signals, and the intercept at the signals' means.
+
+    Early games of a signal that grows lie far from the mean of all games, so its slope and the intercept move far together and chances hardly at all."""
+    width = step.shape[1] - 1
+    mean, square = (m / np.maximum(moments[:, :1], 1) for m in (moments[:, 1 : 1 + width], moments[:, 1 + width :]))
+    slopes = np.abs(step[:, 1:]) * np.sqrt(np.maximum(square - mean**2, 0))
+    return np.maximum(slopes.max(axis=1, initial=0), np.abs(step[:, 0] + (step[:, 1:] * mean).sum(axis=1)))
 
 
 def _moments(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -267,12 +281,12 @@ def _block_starts(rows: DataFrame, plan: _Plan, centre: np.ndarray, scale: np.nd
             now[b] = states[b].copy()
             for at in range(1, blocks):
                 pen = _penalties(moments[b][at], plan.ridges(bundle), scale[plan.features(bundle)])
-                g = sums[b][at][:, :k] + pen * states[b][at]
-                h = sums[b][at][:, k:].reshape(-1, k, k) + pen[:, :, None] * np.eye(k)
+                g = sums[b][at][:, :k] + (pen @ states[b][at][:, :, None])[:, :, 0]
+                h = sums[b][at][:, k:].reshape(-1, k, k) + pen
                 step = _solved(h, g)
-                step *= np.minimum(1.0, 4.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
+                step *= np.minimum(1.0, 4.0 / np.maximum(_length(step, moments[b][at]), 1e-300))[:, None]
                 now[b][at] = states[b][at] - step
-                moved = max(moved, float(np.abs(step).max()))
+                moved = max(moved, float(_length(step, moments[b][at]).max()))
         if moved < 1e-4:
             break  # the quadratic at this point has the last step in it
         states = now
@@ -317,15 +331,14 @@ class _Days:
 
     def _fit(self) -> None:
         pen = _penalties(self.moments, self.ridges, self.scale)
-        eye = np.eye(pen.shape[1])
         for _ in range(STEPS):
             g, h = _losses(self.x, self.theta, self.y, self.w)
-            g += self.gradient + (self.hessian @ (self.theta - self.point)[:, :, None])[:, :, 0] + pen * self.theta
-            h += self.hessian + pen[:, :, None] * eye
+            g += self.gradient + (self.hessian @ (self.theta - self.point)[:, :, None])[:, :, 0] + (pen @ self.theta[:, :, None])[:, :, 0]
+            h += self.hessian + pen
             step = _solved(h, g)
-            step *= np.minimum(1.0, 4.0 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
+            step *= np.minimum(1.0, 4.0 / np.maximum(_length(step, self.moments), 1e-300))[:, None]
             self.theta = self.theta - step
-            if np.abs(step).max(initial=0) < CLOSE:
+            if _length(step, self.moments).max(initial=0) < CLOSE:
                 break  # what is left is of the order of the step's square
         self.stale = False
 

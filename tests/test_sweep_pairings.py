@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slate.operators import catalogue, models, score, trees
+from slate.operators import catalogue, models, score, trees, walk
 
 SCHEMA = "game_id long, day date, league long, half long, least_n long, x array<double>"
 BOOSTED = trees.Model("boosting", 4, 1, 2, 0.3, 1.0, 2.0)
@@ -103,3 +103,27 @@ def test_form_of_a_day_of_many_games_is_that_of_its_games(spark):
             sign = int(np.sign(h - 0.5))
             streak = (streak + sign if streak * sign > 0 else sign) if sign else 0
         assert form == pytest.approx([*want, streak, values[0][-1] - 0.5 if past else 0.0])
+
+
+def test_early_fits_settle_where_a_signal_grows_far():
+    """Of early games, counts so far lie close together and far from their mean over all games."""
+    rng = np.random.default_rng(6)
+    n = 400
+    signal, counts = rng.normal(size=n), rng.integers(20, 26, n).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(signal + 0.5 * (counts - 22.5))))).astype(float)
+    centre, scale = np.array([0.0, 9000.0]), np.array([1.0, 5000.0])
+    plan = walk._Plan([walk.Entry((0, 1), 1.0)], [], [0])
+    none = walk._Start(np.zeros((1, 3)), np.zeros((1, 3)), np.zeros((1, 3, 3)), np.zeros((1, 5)))
+    days = walk._Days(plan, plan.bundles[0], none, centre, scale, 10_000)
+    x = np.column_stack((signal, counts))
+    design = walk._design((x - centre) / scale, plan.features(plan.bundles[0]))
+    days.learn(design, y, np.ones((1, n)))
+    _, p = days.chances(design, np.zeros(n, int), 30, 150)
+    z = np.column_stack((np.ones(n), (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)))
+    theta = np.zeros(3)
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-z @ theta))
+        pull = np.array([0.0, 1.0, 1.0])
+        theta -= np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + np.diag(pull), z.T @ (q - y) + pull * theta)
+    want = 1 / (1 + np.exp(-z @ theta))
+    assert p[0] == pytest.approx(want, abs=2e-3)
